@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lociflow.operators import shred
-from lociflow.plans import joins, models, statistics
+from lociflow.plans import joins, models, shared, statistics
 from lociflow.plans.shared import oracle, query
 from lociflow.runtime import table
 
@@ -25,6 +25,7 @@ def p6_checks(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p6_found, p6_nodes, p6_checks)}
 SQL: dict[str, str] = {}
+shared.DERIVED |= models.DERIVED
 for _module in (statistics, joins, models):
     QUERIES |= {name: query(body) for name, body in _module.BODIES.items()}
     SQL |= {name: oracle(body) for name, body in _module.BODIES.items()}

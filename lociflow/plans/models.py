@@ -4,34 +4,47 @@ Add-alpha estimates come from grouped counts joined on the left, so a context ne
 Randomised nulls order rows by md5(seed, replicate, key), the same in any engine and on any partitioning.
 """
 
+from lociflow.plans.statistics import STREAM_POSITIONS
+
 BODIES: dict[str, str] = {}
 
+#: Relations that a study reads several times; Spark writes them once to the shared folder.
+DERIVED: dict[str, str] = {}
+
 # symbols of a word with its end; unknown ones (not in train) become '?' before contexts are built
-_SYMBOLS = """known AS (SELECT DISTINCT ch FROM {chars} WHERE split = 'train'),
+DERIVED["ngram_events"] = """
+WITH known AS (SELECT DISTINCT ch FROM {chars} WHERE split = 'train'),
 ends AS (SELECT locus_id, split, wp, length(w) AS cp, '$' AS ch FROM {tok} WHERE split IS NOT NULL),
 sym AS (SELECT c.locus_id, c.split, c.wp, c.cp, CASE WHEN k.ch IS NULL THEN '?' ELSE c.ch END AS s FROM {chars} c LEFT JOIN known k ON c.ch = k.ch WHERE c.split IS NOT NULL
         UNION ALL SELECT locus_id, split, wp, cp, ch FROM ends),
-ev AS (SELECT locus_id, split, s, coalesce(lag(s, 1) OVER w, '^') AS h1, coalesce(lag(s, 2) OVER w, '^') AS h2, coalesce(lag(s, 3) OVER w, '^') AS h3 FROM sym WINDOW w AS (PARTITION BY locus_id, wp ORDER BY cp)),
-oev AS (SELECT split, 0 AS k, '' AS h, s, count(*) AS n FROM ev GROUP BY split, s UNION ALL SELECT split, 1, h1, s, count(*) FROM ev GROUP BY split, h1, s
-        UNION ALL SELECT split, 2, h2 || h1, s, count(*) FROM ev GROUP BY split, h2, h1, s UNION ALL SELECT split, 3, h3 || h2 || h1, s, count(*) FROM ev GROUP BY split, h3, h2, h1, s),
-fit AS (SELECT k, h, s, n FROM oev WHERE split = 'train'), tot AS (SELECT k, h, cast(sum(n) AS DOUBLE) AS t FROM fit GROUP BY k, h), v AS (SELECT count(*) + 2 AS v FROM known)"""
+ev AS (SELECT split, s, coalesce(lag(s, 1) OVER w, '^') AS h1, coalesce(lag(s, 2) OVER w, '^') AS h2, coalesce(lag(s, 3) OVER w, '^') AS h3 FROM sym WINDOW w AS (PARTITION BY locus_id, wp ORDER BY cp))
+SELECT split, h3, h2, h1, s, count(*) AS n FROM ev GROUP BY split, h3, h2, h1, s"""
 
-BODIES["ngram_fit"] = f"WITH {_SYMBOLS} SELECT k, h, s, n FROM fit WHERE n >= 5"
+_SYMBOLS = """oev AS (SELECT split, 0 AS k, '' AS h, s, sum(n) AS n FROM {ngram_events} GROUP BY split, s UNION ALL SELECT split, 1, h1, s, sum(n) FROM {ngram_events} GROUP BY split, h1, s
+        UNION ALL SELECT split, 2, h2 || h1, s, sum(n) FROM {ngram_events} GROUP BY split, h2, h1, s UNION ALL SELECT split, 3, h3 || h2 || h1, s, n FROM {ngram_events}),
+fit AS (SELECT k, h, s, n FROM oev WHERE split = 'train'), tot AS (SELECT k, h, cast(sum(n) AS DOUBLE) AS t FROM fit GROUP BY k, h), v AS (SELECT count(DISTINCT s) + 1 AS v FROM {ngram_events} WHERE split = 'train')"""
+
+BODIES["ngram_fit"] = f"WITH {_SYMBOLS} SELECT cast(k AS BIGINT) AS k, h, s, cast(n AS BIGINT) AS n FROM fit WHERE n >= 5"
 
 BODIES["ngram_score"] = f"""
 WITH {_SYMBOLS}, sc AS (SELECT e.split, e.k, e.n, e.s, -log2((coalesce(f.n, 0) + 1e-1) / (coalesce(t.t, 0e0) + 1e-1 * v.v)) AS bits
   FROM oev e LEFT JOIN fit f ON e.k = f.k AND e.h = f.h AND e.s = f.s LEFT JOIN tot t ON e.k = t.k AND e.h = t.h CROSS JOIN v WHERE e.split <> 'train')
-SELECT split, k, cast(sum(n) AS BIGINT) AS predicted, round(sum(n * bits) / sum(n), 6) AS bits_per_symbol, round(power(2, sum(n * bits) / sum(n)), 5) AS perplexity,
+SELECT split, cast(k AS BIGINT) AS k, cast(sum(n) AS BIGINT) AS predicted, round(sum(n * bits) / sum(n), 6) AS bits_per_symbol, round(power(2, sum(n * bits) / sum(n)), 5) AS perplexity,
   cast(sum(CASE WHEN s = '$' THEN n ELSE 0 END) AS BIGINT) AS ends, cast(sum(CASE WHEN s = '?' THEN n ELSE 0 END) AS BIGINT) AS unknown FROM sc GROUP BY split, k"""
 
-_STREAM = """st AS (SELECT split, ch, row_number() OVER (PARTITION BY split ORDER BY locus_id, wp, cp) AS pos FROM {chars} WHERE split IS NOT NULL),
-g AS (SELECT split, ch AS a, lead(ch, 1) OVER w AS b, lead(ch, 2) OVER w AS c, lead(ch, 3) OVER w AS d FROM st WINDOW w AS (PARTITION BY split ORDER BY pos)),
-f1 AS (SELECT d, count(*) AS n FROM g WHERE split = 'train' AND d IS NOT NULL GROUP BY d), f2 AS (SELECT c, d, count(*) AS n FROM g WHERE split = 'train' AND d IS NOT NULL GROUP BY c, d),
-f3 AS (SELECT b, c, d, count(*) AS n FROM g WHERE split = 'train' AND d IS NOT NULL GROUP BY b, c, d), f4 AS (SELECT a, b, c, d, count(*) AS n FROM g WHERE split = 'train' AND d IS NOT NULL GROUP BY a, b, c, d),
+# windows of four over the stream, in ranges of positions; each range also holds the first three of the next
+DERIVED["stream4"] = f"""
+WITH {STREAM_POSITIONS},
+st AS (SELECT split, ch, pos, floor(pos / 65536) AS part, 0 AS halo FROM pos UNION ALL SELECT split, ch, pos, floor(pos / 65536) - 1, 1 FROM pos WHERE pos % 65536 < 3 AND pos >= 65536),
+win AS (SELECT split, halo, ch AS a, lead(ch, 1) OVER w AS b, lead(ch, 2) OVER w AS c, lead(ch, 3) OVER w AS d FROM st WINDOW w AS (PARTITION BY split, part ORDER BY pos))
+SELECT split, a, b, c, d, count(*) AS n FROM win WHERE halo = 0 AND d IS NOT NULL GROUP BY split, a, b, c, d"""
+
+_STREAM = """f4 AS (SELECT a, b, c, d, n FROM {stream4} WHERE split = 'train'), f3 AS (SELECT b, c, d, sum(n) AS n FROM f4 GROUP BY b, c, d),
+f2 AS (SELECT c, d, sum(n) AS n FROM f4 GROUP BY c, d), f1 AS (SELECT d, sum(n) AS n FROM f4 GROUP BY d),
 t1 AS (SELECT cast(sum(n) AS DOUBLE) AS t FROM f1), t2 AS (SELECT c, sum(n) AS t FROM f2 GROUP BY c), t3 AS (SELECT b, c, sum(n) AS t FROM f3 GROUP BY b, c), t4 AS (SELECT a, b, c, sum(n) AS t FROM f4 GROUP BY a, b, c)"""
 
 BODIES["sliding_4gram"] = f"""
-WITH {_STREAM}, ev AS (SELECT split, a, b, c, d, count(*) AS n FROM g WHERE d IS NOT NULL AND split <> 'train' GROUP BY split, a, b, c, d),
+WITH {_STREAM}, ev AS (SELECT * FROM {{stream4}} WHERE split <> 'train'),
 p AS (SELECT ev.split, ev.n, 1e-1 * (coalesce(f1.n, 0) + 1e-1) / (t1.t + 26e-1) + 2e-1 * (coalesce(f2.n, 0) + 1e-1) / (coalesce(t2.t, 0) + 26e-1)
    + 3e-1 * (coalesce(f3.n, 0) + 1e-1) / (coalesce(t3.t, 0) + 26e-1) + 4e-1 * (coalesce(f4.n, 0) + 1e-1) / (coalesce(t4.t, 0) + 26e-1) AS p
  FROM ev CROSS JOIN t1 LEFT JOIN f1 ON ev.d = f1.d LEFT JOIN f2 ON ev.c = f2.c AND ev.d = f2.d LEFT JOIN t2 ON ev.c = t2.c LEFT JOIN f3 ON ev.b = f3.b AND ev.c = f3.c AND ev.d = f3.d
@@ -39,38 +52,40 @@ p AS (SELECT ev.split, ev.n, 1e-1 * (coalesce(f1.n, 0) + 1e-1) / (t1.t + 26e-1)
 SELECT split, cast(sum(n) AS BIGINT) AS windows, round(-sum(n * log2(p)) / sum(n), 6) AS bits FROM p GROUP BY split"""
 
 BODIES["unknown_window"] = f"""
-WITH {_STREAM}, k AS (SELECT d AS ch FROM f1 WHERE n >= 200), u AS (SELECT g.split, CASE WHEN ka.ch IS NULL OR kb.ch IS NULL OR kc.ch IS NULL OR kd.ch IS NULL THEN 1 ELSE 0 END AS unk FROM g
- LEFT JOIN k ka ON g.a = ka.ch LEFT JOIN k kb ON g.b = kb.ch LEFT JOIN k kc ON g.c = kc.ch LEFT JOIN k kd ON g.d = kd.ch WHERE g.d IS NOT NULL)
-SELECT split, count(*) AS windows, cast(sum(unk) AS BIGINT) AS unknown, round(sum(unk) * log2(26e0) / count(*), 6) AS floor_bits FROM u GROUP BY split"""
-
-_BIGRAM = """vocab AS (SELECT w FROM {tok} WHERE split = 'train' GROUP BY w HAVING count(*) >= 2),
-m AS (SELECT t.locus_id, t.split, t.grp, t.wp, t.w AS raw, coalesce(v.w, '?') AS w FROM {tok} t LEFT JOIN vocab v ON t.w = v.w WHERE t.split IS NOT NULL),
-pr AS (SELECT split, grp, w, raw, lag(w) OVER (PARTITION BY locus_id ORDER BY wp) AS prev, wp FROM m),
-uni AS (SELECT w, count(*) AS c FROM m WHERE split = 'train' GROUP BY w), n AS (SELECT cast(sum(c) AS DOUBLE) AS n, (SELECT count(*) FROM vocab) + 1 AS v FROM uni),
-bi AS (SELECT prev, w, count(*) AS c FROM pr WHERE split = 'train' AND prev IS NOT NULL GROUP BY prev, w), ctx AS (SELECT prev, sum(c) AS t FROM bi GROUP BY prev),
-sc AS (SELECT p.split, p.grp, p.w, p.raw, -log2((coalesce(u.c, 0) + 1e-1) / (n.n + 1e-1 * n.v)) AS ub,
+WITH {_STREAM}, k AS (SELECT d AS ch FROM f1 WHERE n >= 200), u AS (SELECT g.split, g.n, CASE WHEN ka.ch IS NULL OR kb.ch IS NULL OR kc.ch IS NULL OR kd.ch IS NULL THEN 1 ELSE 0 END AS unk FROM {{stream4}} g
+ LEFT JOIN k ka ON g.a = ka.ch LEFT JOIN k kb ON g.b = kb.ch LEFT JOIN k kc ON g.c = kc.ch LEFT JOIN k kd ON g.d = kd.ch)
+SELECT split, cast(sum(n) AS BIGINT) AS windows, cast(sum(unk * n) AS BIGINT) AS unknown, round(sum(unk * n) * log2(26e0) / sum(n), 6) AS floor_bits FROM u GROUP BY split"""
+
+DERIVED["mapped"] = """
+WITH vocab AS (SELECT w FROM {tok} WHERE split = 'train' GROUP BY w HAVING count(*) >= 2), m AS (SELECT t.locus_id, t.split, t.grp, t.wp, t.w AS raw, coalesce(v.w, '?') AS w FROM {tok} t LEFT JOIN vocab v ON t.w = v.w WHERE t.split IS NOT NULL)
+SELECT split, grp, w, raw, lag(w) OVER (PARTITION BY locus_id ORDER BY wp) AS prev, wp FROM m"""
+
+_BIGRAM = """uni AS (SELECT w, count(*) AS c FROM {mapped} WHERE split = 'train' GROUP BY w), n AS (SELECT cast(sum(c) AS DOUBLE) AS n, count(*) FILTER (WHERE w <> '?') + 1 AS v FROM uni),
+bi AS (SELECT prev, w, count(*) AS c FROM {mapped} WHERE split = 'train' AND prev IS NOT NULL GROUP BY prev, w), ctx AS (SELECT prev, sum(c) AS t FROM bi GROUP BY prev),
+ev AS (SELECT split, grp, prev, w, count(*) AS k FROM {mapped} WHERE split <> 'train' AND wp > 0 GROUP BY split, grp, prev, w),
+sc AS (SELECT p.split, p.grp, p.w, p.k, -log2((coalesce(u.c, 0) + 1e-1) / (n.n + 1e-1 * n.v)) AS ub,
    -log2((coalesce(b.c, 0) + 10 * (coalesce(u.c, 0) + 1e-1) / (n.n + 1e-1 * n.v)) / (coalesce(x.t, 0) + 10)) AS bb
- FROM pr p CROSS JOIN n LEFT JOIN uni u ON p.w = u.w LEFT JOIN bi b ON p.prev = b.prev AND p.w = b.w LEFT JOIN ctx x ON p.prev = x.prev WHERE p.split <> 'train' AND p.wp > 0)"""
+ FROM ev p CROSS JOIN n LEFT JOIN uni u ON p.w = u.w LEFT JOIN bi b ON p.prev = b.prev AND p.w = b.w LEFT JOIN ctx x ON p.prev = x.prev)"""
 
 BODIES["bigram_fit"] = f"WITH {_BIGRAM} SELECT b.prev, b.w, b.c, round((b.c + 10 * (u.c + 1e-1) / (n.n + 1e-1 * n.v)) / (x.t + 10), 8) AS p FROM bi b JOIN uni u ON b.w = u.w JOIN ctx x ON b.prev = x.prev CROSS JOIN n WHERE b.c >= 2"
 
 BODIES["bigram_score"] = f"""
-WITH {_BIGRAM} SELECT split, count(*) AS n, count(*) FILTER (WHERE w = '?') AS unknown, round(avg(ub), 6) AS unigram_bits, round(avg(bb), 6) AS bigram_bits, round(avg(ub - bb), 6) AS gain FROM sc GROUP BY split"""
+WITH {_BIGRAM} SELECT split, cast(sum(k) AS BIGINT) AS n, cast(sum(CASE WHEN w = '?' THEN k ELSE 0 END) AS BIGINT) AS unknown, round(sum(k * ub) / sum(k), 6) AS unigram_bits, round(sum(k * bb) / sum(k), 6) AS bigram_bits, round(sum(k * (ub - bb)) / sum(k), 6) AS gain FROM sc GROUP BY split"""
 
-BODIES["bigram_score_groups"] = f"WITH {_BIGRAM} SELECT grp, count(*) AS n, round(sum(ub), 4) AS unigram_bits, round(sum(bb), 4) AS bigram_bits FROM sc GROUP BY grp"
+BODIES["bigram_score_groups"] = f"WITH {_BIGRAM} SELECT grp, cast(sum(k) AS BIGINT) AS n, round(sum(k * ub), 4) AS unigram_bits, round(sum(k * bb), 4) AS bigram_bits FROM sc GROUP BY grp"
 
 BODIES["unseen_words"] = f"""
-WITH {_BIGRAM}, tr AS (SELECT DISTINCT w FROM {{tok}} WHERE split = 'train')
-SELECT m.split, count(*) AS n, count(*) FILTER (WHERE m.w = '?') AS unknown, count(*) FILTER (WHERE tr.w IS NULL) AS unseen FROM m LEFT JOIN tr ON m.raw = tr.w WHERE m.split <> 'train' GROUP BY m.split"""
+WITH tr AS (SELECT DISTINCT w FROM {{tok}} WHERE split = 'train')
+SELECT m.split, count(*) AS n, count(*) FILTER (WHERE m.w = '?') AS unknown, count(*) FILTER (WHERE tr.w IS NULL) AS unseen FROM {{mapped}} m LEFT JOIN tr ON m.raw = tr.w WHERE m.split <> 'train' GROUP BY m.split"""
 
 BODIES["bootstrap_groups"] = f"""
-WITH {_BIGRAM}, gs AS (SELECT grp, sum(ub) AS u, sum(bb) AS b, count(*) AS n FROM sc WHERE split = 'test' GROUP BY grp),
+WITH {_BIGRAM}, gs AS (SELECT grp, sum(k * ub) AS u, sum(k * bb) AS b, sum(k) AS n FROM sc WHERE split = 'test' GROUP BY grp),
 num AS (SELECT *, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS k FROM gs),
 draw AS (SELECT r.r, s.i AS slot, cast(conv_(substr(md5('9:' || r.r || ':' || s.i), 1, 8)) AS BIGINT) % s.k AS pick FROM num s CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS r(r))
 SELECT d.r, round(sum(n.u - n.b) / sum(n.n), 6) AS gain FROM draw d JOIN num n ON d.pick = n.i GROUP BY d.r"""
 
 BODIES["leave_one_group_out"] = f"""
-WITH {_BIGRAM}, gs AS (SELECT grp, sum(ub - bb) AS g, count(*) AS n FROM sc WHERE split = 'test' GROUP BY grp), t AS (SELECT sum(g) AS g, sum(n) AS n FROM gs)
+WITH {_BIGRAM}, gs AS (SELECT grp, sum(k * (ub - bb)) AS g, sum(k) AS n FROM sc WHERE split = 'test' GROUP BY grp), t AS (SELECT sum(g) AS g, sum(n) AS n FROM gs)
 SELECT round(min((t.g - gs.g) / (t.n - gs.n)), 6) AS low, round(max((t.g - gs.g) / (t.n - gs.n)), 6) AS high FROM gs CROSS JOIN t WHERE t.n > gs.n"""
 
 _BOUNDARY = """b AS (SELECT locus_id, split, grp, wp, nw, w, substr(w, 1, 1) AS ini, lag(substr(w, length(w), 1)) OVER (PARTITION BY locus_id ORDER BY wp) AS fin, length(lag(w) OVER (PARTITION BY locus_id ORDER BY wp)) AS plen,
@@ -152,8 +167,11 @@ n AS (SELECT o.locus_id, o.wp, s.w FROM o JOIN s ON o.locus_id = s.locus_id AND
 SELECT count(*) AS words, count(*) FILTER (WHERE n.w = t.w) AS unmoved FROM n JOIN {tok} t ON n.locus_id = t.locus_id AND n.wp = t.wp"""
 
 BODIES["null_stream"] = """
-WITH o AS (SELECT split, w, row_number() OVER (PARTITION BY split ORDER BY md5('608:' || locus_id || ':' || wp), locus_id, wp) AS k FROM {tok} WHERE split IS NOT NULL)
-SELECT split, count(*) AS pairs, count(*) FILTER (WHERE w = prev) AS equal FROM (SELECT split, w, lag(w) OVER (PARTITION BY split ORDER BY k) AS prev FROM o) WHERE prev IS NOT NULL GROUP BY split"""
+WITH o AS (SELECT split, w, substr(md5('608:' || locus_id || ':' || wp), 1, 3) AS part, md5('608:' || locus_id || ':' || wp) || ':' || locus_id || ':' || wp AS k FROM {tok} WHERE split IS NOT NULL),
+inside AS (SELECT split, w, lag(w) OVER (PARTITION BY split, part ORDER BY k) AS prev FROM o),
+ends AS (SELECT split, part, min_by(w, k) AS first_w, max_by(w, k) AS last_w FROM o GROUP BY split, part),
+across AS (SELECT split, first_w AS w, lag(last_w) OVER (PARTITION BY split ORDER BY part) AS prev FROM ends)
+SELECT split, count(*) AS pairs, count(*) FILTER (WHERE w = prev) AS equal FROM (SELECT * FROM inside UNION ALL SELECT * FROM across) WHERE prev IS NOT NULL GROUP BY split"""
 
 BODIES["line_order_perm"] = """
 WITH s AS (SELECT volume_id, folio, words, row_number() OVER (PARTITION BY volume_id, folio ORDER BY md5('7:' || locus_id), locus_id) AS k FROM {recs} WHERE paragraph AND nw > 0 AND folio IS NOT NULL AND volume_id IS NOT NULL)

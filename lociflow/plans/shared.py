@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lociflow.operators import views
-from lociflow.runtime import table
+from lociflow.runtime import spool, table
 
 _DUCK = {
     "once": "SELECT DISTINCT ON (locus_id) * FROM loci WHERE locus_id IS NOT NULL",
@@ -32,7 +32,13 @@ FROM (SELECT *, (('0x' || substr(sha256('{views.SALT}' || grp), 1, 16))::UBIGINT
 }
 
 
+#: Relations written out once in a query, by their bodies over the base relations.
+DERIVED: dict[str, str] = {}
+
+
 def _build(spark: SparkSession, d: str, name: str) -> DataFrame:
+    if name in DERIVED:
+        return spool(query(DERIVED[name])(spark, d), name)
     if name == "paras":
         return table(spark, d, "paragraphs").where("paragraph_id is not null").dropDuplicates(["paragraph_id"])
     recs = views.records(table(spark, d, "loci"))
@@ -62,11 +68,16 @@ def query(body: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: spark.sql(text, **{n: _build(spark, d, n) for n in names_in(text)})
 
 
+def _plain(body: str) -> str:
+    body = re.sub(r"conv_\((.*?)\)\)", r"('0x' || \1))::UBIGINT", body).replace("::UBIGINT AS BIGINT", "::UBIGINT AS BIGINT")
+    return re.sub(r"array_to_string_\(([^)]*)\)", r"array_to_string(\1, ' ')", re.sub(r"\{(\w+)\}", r"\1", body)).strip()
+
+
 def oracle(body: str) -> str:
     """The same for DuckDB, with the base relations as common table expressions in front."""
-    ctes = ", ".join(f"{k} AS ({v})" for k, v in _DUCK.items())
-    body = re.sub(r"conv_\((.*?)\)\)", r"('0x' || \1))::UBIGINT", body).replace("::UBIGINT AS BIGINT", "::UBIGINT AS BIGINT")
-    body = re.sub(r"array_to_string_\(([^)]*)\)", r"array_to_string(\1, ' ')", re.sub(r"\{(\w+)\}", r"\1", body)).strip()
+    needed = _DUCK | {n: _plain(DERIVED[n]) for n in names_in(body) if n in DERIVED}
+    ctes = ", ".join(f"{k} AS ({v})" for k, v in needed.items())
+    body = _plain(body)
     if re.match(r"WITH RECURSIVE\b", body):
         return f"WITH RECURSIVE {ctes}, {body[14:].lstrip()}"
     return f"WITH {ctes}, {body[4:].lstrip()}" if re.match(r"WITH\b", body) else f"WITH {ctes} {body}"

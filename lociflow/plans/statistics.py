@@ -24,7 +24,7 @@ BODIES["top_tokens"] = """
 SELECT w, c FROM (SELECT w, count(*) AS c, min(source_order * 100000 + wp) AS first_at FROM {tok} GROUP BY w) ORDER BY c DESC, first_at LIMIT 25"""
 
 BODIES["rank_types"] = """
-SELECT w, c, cast(row_number() OVER (ORDER BY c DESC, w) AS BIGINT) AS rnk FROM (SELECT w, count(*) AS c FROM {tok} GROUP BY w) ORDER BY c DESC, w LIMIT 200"""
+SELECT w, c, cast(row_number() OVER (ORDER BY c DESC, w) AS BIGINT) AS rnk FROM (SELECT w, count(*) AS c FROM {tok} GROUP BY w ORDER BY c DESC, w LIMIT 200)"""
 
 BODIES["entropy_h1"] = """
 SELECT round(-sum(n / t * log2(n / t)), 6) AS h1 FROM (SELECT n, cast(sum(n) OVER () AS DOUBLE) AS t FROM (SELECT ch, count(*) AS n FROM {chars} GROUP BY ch))"""
@@ -160,14 +160,22 @@ SELECT c1, c2, ch, count(*) AS n FROM (
   SELECT ch, coalesce(lag(ch, 2) OVER (PARTITION BY locus_id, wp ORDER BY cp), '^') AS c1, coalesce(lag(ch, 1) OVER (PARTITION BY locus_id, wp ORDER BY cp), '^') AS c2 FROM {chars})
 GROUP BY c1, c2, ch"""
 
-BODIES["stream_offsets"] = """
-SELECT split, cast(max(off) AS BIGINT) AS last_offset, cast(sum(off % 97) AS BIGINT) AS checksum FROM (
-  SELECT split, sum(length(w)) OVER (PARTITION BY split ORDER BY source_order, wp) - length(w) AS off FROM {tok} WHERE split IS NOT NULL) GROUP BY split"""
+# Positions in one stream per split. A running sum over a whole split would be one task; so ranges of ids are summed
+# first, their few totals run up in front, and the running sum inside a range is added.
+STREAM_BLOCKS = """tot AS (SELECT split, floor(locus_id / 65536) AS blk, sum(length(w)) AS n FROM {tok} WHERE split IS NOT NULL GROUP BY split, floor(locus_id / 65536)),
+base AS (SELECT split, blk, sum(n) OVER (PARTITION BY split ORDER BY blk) - n AS base FROM tot)"""
 
-BODIES["fixed_blocks"] = """
-SELECT split, count(*) AS blocks, count(*) FILTER (WHERE n = 64) AS full_blocks, max(n) AS largest FROM (
-  SELECT split, floor(pos / 64) AS block, count(*) AS n FROM (
-    SELECT split, row_number() OVER (PARTITION BY split ORDER BY locus_id, wp, cp) - 1 AS pos FROM {chars} WHERE split IS NOT NULL) GROUP BY split, floor(pos / 64)) GROUP BY split"""
+BODIES["stream_offsets"] = f"""
+WITH {STREAM_BLOCKS}, o AS (SELECT split, floor(locus_id / 65536) AS blk, sum(length(w)) OVER (PARTITION BY split, floor(locus_id / 65536) ORDER BY locus_id, wp) - length(w) AS inside FROM {{tok}} WHERE split IS NOT NULL)
+SELECT o.split, cast(max(base + inside) AS BIGINT) AS last_offset, cast(sum((base + inside) % 97) AS BIGINT) AS checksum FROM o JOIN base b ON o.split = b.split AND o.blk = b.blk GROUP BY o.split"""
+
+STREAM_POSITIONS = STREAM_BLOCKS + """,
+inner_ AS (SELECT split, ch, floor(locus_id / 65536) AS blk, row_number() OVER (PARTITION BY split, floor(locus_id / 65536) ORDER BY locus_id, wp, cp) - 1 AS k FROM {chars} WHERE split IS NOT NULL),
+pos AS (SELECT i.split, i.ch, cast(b.base + i.k AS BIGINT) AS pos FROM inner_ i JOIN base b ON i.split = b.split AND i.blk = b.blk)"""
+
+BODIES["fixed_blocks"] = f"""
+WITH {STREAM_POSITIONS} SELECT split, count(*) AS blocks, count(*) FILTER (WHERE n = 64) AS full_blocks, max(n) AS largest FROM (
+  SELECT split, floor(pos / 64) AS block, count(*) AS n FROM pos GROUP BY split, floor(pos / 64)) GROUP BY split"""
 
 BODIES["cum_width"] = """
 SELECT least(width, 400) AS width, count(*) AS n FROM (SELECT cast(sum(length(w) + 1) OVER (PARTITION BY locus_id ORDER BY wp) AS BIGINT) AS width FROM {tok}) GROUP BY least(width, 400)"""
