@@ -176,10 +176,10 @@ def _classes(records: DataFrame) -> DataFrame:
     return records.groupBy("class").agg(F.bit_or("role").alias("roles"), F.first("words").alias("words"))
 
 
-def candidate_pairs(chunks: DataFrame) -> DataFrame:
+def candidate_pairs(classes: DataFrame) -> DataFrame:
     """Rows (t, e), each once: classes of train and of evaluation records that share a chunk at places and with lengths
-    that the allowed edits can explain."""
-    side = lambda role, x: chunks.where(F.col("roles").bitwiseAND(role) != 0).select("size", "digest", F.col("class").alias(x), F.col("at").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"))
+    that the allowed edits can explain. Classes are told apart by role before they are cut."""
+    side = lambda role, x: chunk_table(classes.where(F.col("roles").bitwiseAND(role) != 0)).select("size", "digest", F.col("class").alias(x), F.col("at").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"))
     most = F.floor(F.greatest("n_t", "n_e") / EDIT_SHARE)
     near = (F.abs(F.col("n_t") - F.col("n_e")) <= most) & (F.abs(F.col("at_t") - F.col("at_e")) <= most)
     return side(TRAIN, "t").join(side(EVAL, "e"), ["size", "digest"]).where((F.col("t") != F.col("e")) & near).select("t", "e").distinct()
@@ -196,7 +196,7 @@ def cross_split_pairs(records: DataFrame, files: DataFrame, id_col: str = "rec_i
     """
     all_records = spool(normalised_records(records, files, id_col, tokens_col), "records")
     classes = spool(_classes(all_records), "classes")
-    pairs = candidate_pairs(chunk_table(classes.where(F.size("words") >= EDIT_SHARE - 1)))
+    pairs = candidate_pairs(classes.where(F.size("words") >= EDIT_SHARE - 1))
     words = lambda x: classes.select(F.col("class").alias(x), F.col("words").alias(f"w_{x}"))
     near = pairs.join(words("t"), "t").join(words("e"), "e").select("t", "e", "w_t", "w_e").mapInArrow(_verified, "t binary, e binary")
     members = all_records.select("rec", "role", "class")
