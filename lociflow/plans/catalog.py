@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lociflow.operators import shred
+from lociflow.operators import graphs, shred, solvers, tablecipher
 from lociflow.plans import joins, models, shared, statistics
 from lociflow.plans.shared import oracle, query
-from lociflow.runtime import table
+from lociflow.runtime import spool, table
+from lociflow.sources import ivtff
+from lociflow.streaming import counts
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,8 +28,92 @@ def p6_checks(spark: SparkSession, d: str) -> DataFrame:
     return shred.entity_table(adj, "receipt_id", "cases/checks", ["name", "expected", "observed", "passed"])
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_nodes, p6_checks)}
-SQL: dict[str, str] = {}
+def ivtff_lexer(spark: SparkSession, d: str) -> DataFrame:
+    loci = table(spark, d, "loci").dropDuplicates(["locus_id"])
+    tokens, excluded, malformed = ivtff.lexed(F.col("text_raw"))
+    start, end = ivtff.paragraph_flags(F.col("text_raw"))
+    return loci.select("locus_id", F.array_join(tokens, " ").alias("tokens"), excluded.cast("long").alias("excluded"), malformed.alias("malformed"), start.alias("opens"), end.alias("closes"))
+
+
+def _problem(spark: SparkSession, d: str, top: int = 40) -> tuple[dict[str, int], set[str], DataFrame, DataFrame]:
+    """The `top` most frequent validation types with exact weights, and the train types as lexicon: a bounded problem."""
+    types = query(joins.BODIES["objective_weights"])(spark, d).where("length(w) between 2 and 6").orderBy(F.desc("weight"), "w").limit(top)
+    words = query("SELECT w, count(*) AS c FROM {tok} WHERE split = 'train' AND length(w) BETWEEN 2 AND 6 GROUP BY w ORDER BY c DESC, w LIMIT 400")(spark, d)
+    weights = {r.w: int(r.weight) for r in types.collect()}
+    known = {r.w for r in words.collect()}
+    return weights, known, spark.createDataFrame(sorted(weights.items()), "w string, weight long"), spark.createDataFrame(sorted((w,) for w in known), "w string")
+
+
+def key_search(spark: SparkSession, d: str) -> DataFrame:
+    """Restarts of annealing, local search and branch and bound on one lexicon problem, each a row, with re-derived scores."""
+    weights, known, types, words = _problem(spark, d)
+    jobs = [("anneal", s, c, 200) for s in range(6) for c in (1, 2)] + [("local", s, 1, 2) for s in range(2)] + [("bnb", 0, 1, 20), ("bnb", 0, 2, 10)]
+    found = spool(solvers.solve(spark, weights, known, jobs), "keys")
+    scores = solvers.score_keys(found, types, words)
+    return found.join(scores, ["method", "seed", "capacity"], "left").select("method", "seed", "capacity", "status", "lower", "upper", "nodes", F.coalesce("score", F.lit(0)).alias("score"))
+
+
+def key_identifiability(spark: SparkSession, d: str) -> DataFrame:
+    """Which units of a certified optimum are forced: one threshold query per unit, on a small problem."""
+    weights, known, _, _ = _problem(spark, d, 8)
+    lex = solvers.Lexicon(weights, known, 1)
+    best = solvers.branch_and_bound(lex, 200)
+    rows = [(u, v, verdict, best["status"]) for u, v, verdict in solvers.assess_optimum(lex, best["key"], 50)]
+    return spark.createDataFrame(rows, "unit string, value string, verdict string, optimum string")
+
+
+def cyclic_matchings(spark: SparkSession, d: str) -> DataFrame:
+    """Matchings and forced edges of graphs over visual units: an edge joins units whose line counts agree in most lines."""
+    graph = query(statistics.BODIES["alternation"])(spark, d).where("alternating * 2 > n_lines").withColumn("grp", F.substring("a", 1, 1))
+    return graphs.matchings_by(graph.select("grp", "a", "b"), "grp")
+
+
+def line_lattice(spark: SparkSession, d: str) -> DataFrame:
+    """Integer lattices of the unit counts of lines, by language and illustration class."""
+    body = "SELECT coalesce(r.il, '?') || coalesce(r.ll, '?') AS track, cast(v.locus_id AS STRING) AS line, v.u AS unit, count(*) AS n FROM {visual} v JOIN {recs} r ON v.locus_id = r.locus_id WHERE v.split = 'train' GROUP BY 1, 2, 3"
+    return graphs.lattice_tracks(query(body)(spark, d), "track", ["o", "a", "e", "y", "d", "l", "ch", "sh"])
+
+
+def table_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Round trip of the table cipher over paragraphs: tokens with the number of readings and whether the plain text is among them."""
+    book = tablecipher.rule_book(spark)
+    paras = table(spark, d, "paragraphs").dropDuplicates(["paragraph_id"])
+    cipher = tablecipher.encrypt(paras, "paragraph_id", "text", book).groupBy(F.col("token").alias("w"), "plain").agg(F.count("*").alias("n"))
+    cipher = spool(cipher, "cipher")
+    reads = tablecipher.readings(cipher, book)
+    return cipher.join(reads.select("w", F.col("plain").alias("read")), "w", "left").groupBy("w", "plain", "n").agg(F.count("read").alias("readings"), F.max(F.col("plain") == F.col("read")).alias("recovered"))
+
+
+def stream_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    """Letter pairs kept by a stream over the locus files, after all of them."""
+    return counts.run_to_table(counts.bigrams(counts.read_loci_stream(spark, f"{d}/loci.parquet")), f"bigrams_{uuid.uuid4().hex}")
+
+
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Terms by day of receipt, by a stream over the locus files."""
+    out = counts.run_to_table(counts.windowed_terms(counts.read_loci_stream(spark, f"{d}/loci.parquet")), f"windows_{uuid.uuid4().hex}")
+    return out.groupBy("start").agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p6_found, p6_nodes, p6_checks, ivtff_lexer, key_search, key_identifiability, cyclic_matchings, line_lattice, table_readings,
+        stream_bigrams, stream_windows,
+    )
+}
+SQL: dict[str, str] = {
+    "ivtff_lexer": r"""
+WITH once AS (SELECT DISTINCT ON (locus_id) locus_id, text_raw FROM loci),
+a AS (SELECT *, regexp_replace(text_raw, '<[%$]>|<![^>]*>|<@[A-Z]=[A-Za-z0-9@]>|\\s+', '', 'g') AS x FROM once),
+b AS (SELECT *, replace(regexp_replace(x, '<[-~]>', '.', 'g'), ',', '.') AS y FROM a),
+c AS (SELECT *, regexp_replace(regexp_replace(y, '\\[[A-Za-z?{}]*:[A-Za-z?{}:]*\\]|\\?+|''|@(?:12[89]|1[3-9][0-9]|2[0-4][0-9]|25[0-5]);', '0', 'g'), '\\{([A-Za-z0]+)\\}', '\\1', 'g') AS z FROM b),
+d AS (SELECT *, list_filter(string_split(z, '.'), lambda w: w <> '') AS p FROM c),
+e AS (SELECT *, list_filter(list_transform(p, lambda w: lower(w)), lambda w: regexp_matches(w, '^[a-z]+$')) AS t FROM d)
+SELECT locus_id, array_to_string(t, ' ') AS tokens, (len(p) - len(t))::BIGINT AS excluded, regexp_matches(z, '[<>\\[\\]{}:;|()"`#/=+*&!%$@]') AS malformed,
+       contains(regexp_replace(text_raw, '<![^>]*>', '', 'g'), '<%>') AS opens, contains(regexp_replace(text_raw, '<![^>]*>', '', 'g'), '<$>') AS closes FROM e""".replace("\\\\", "\\"),
+    "stream_bigrams": oracle("SELECT prev, ch, count(*) AS n FROM (SELECT substr('^' || w || '$', i_ + 1, 1) AS prev, substr('^' || w || '$', i_ + 2, 1) AS ch FROM (SELECT w, unnest(range(length(w) + 1)) AS i_ FROM {tok})) GROUP BY prev, ch"),
+}
 shared.DERIVED |= models.DERIVED
 for _module in (statistics, joins, models):
     QUERIES |= {name: query(body) for name, body in _module.BODIES.items()}
