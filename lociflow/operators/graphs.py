@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def perfect_matchings(edges: list[tuple[str, str]], budget: int = 100_000, most: int = 2) -> tuple[str, list[list[tuple[str, str]]], int]:
-    """(status, up to `most` matchings, nodes): depth-first on the vertex with the fewest partners left.
+def perfect_matchings(edges: list[tuple[str, str]], budget: int = 100_000, most: int = 2, units: set[str] = frozenset()) -> tuple[str, list[list[tuple[str, str]]], int]:
+    """(status, up to `most` matchings, nodes): depth-first on the vertex with the fewest partners left; `units` are
+    vertices that need a partner though they may have no edge.
 
     status: unique, multiple, none, unknown_budget or empty_scope.
     """
-    near: dict[str, set[str]] = {}
+    near: dict[str, set[str]] = {u: set() for u in units}
     for a, b in edges:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
@@ -42,7 +43,7 @@ def forced_edges(edges: list[tuple[str, str]], budget: int = 100_000, queries: i
     """For each edge of a first matching (a, b, verdict): forced if no matching does without it, else free or unknown."""
     status, found, _ = perfect_matchings(edges, budget, 1)
     for a, b in found[0][:queries] if found else []:
-        s, other, _ = perfect_matchings([e for e in edges if set(e) != {a, b}], budget, 1)
+        s, other, _ = perfect_matchings([e for e in edges if set(e) != {a, b}], budget, 1, {a, b})
         yield a, b, "unknown" if s == "unknown_budget" else "free" if other else "forced"
 
 
