@@ -55,8 +55,9 @@ _SPAN = re.compile(r"(`+)(?!`)((?:(?!\n[ \t]*\n).)+?)(?<!`)\1(?!`)", re.S)
 _VERBATIM = re.compile(r"\\begin\{(verbatim\*?|Verbatim|lstlisting|minted|alltt)\}(?:\[[^\]\n]*\])?(?:\{[^}\n]*\})?(.*?)(?:\\end\{\1\}|\Z)", re.S)
 _VERB = re.compile(r"\\(?:verb\*?|lstinline)([^\sA-Za-z*{])([^\n]*?)\1")
 _MATH_ENV = re.compile(r"\\begin\{((?:equation|align|gather|multline|eqnarray|displaymath|math|flalign|alignat|split|aligned)\*?)\}(.*?)\\end\{\1\}", re.S)
-_DISPLAY = re.compile(r"\$\$(?!\$)((?:(?!\n[ \t]*\n).)+?)\$\$", re.S)
-_DOLLAR = re.compile(r"\$(?![\s$])((?:[^$\n]|\n(?![ \t]*\n))*?)(?<![\s\\])\$(?![\d$])")
+_DISPLAY = re.compile(r"\$\$(?!\$)((?:(?!\n[ \t]*\n|<[%$~!-]).)+?)\$\$", re.S)
+_DOLLAR = re.compile(r"\$(?![\s$])((?:[^$\n<]|<(?![%$~!-])|\n(?![ \t]*\n))*?)(?<![\s\\])\$(?![\d$])")
+_AMOUNT = re.compile(r"\d[\d.,]*(?:\s[^\\^_=+]*)?", re.S)  # a price and what follows it, up to the next dollar sign
 _BRACKET = re.compile(r"\\\[(.+?)\\\]", re.S)
 _PAREN = re.compile(r"\\\((.+?)\\\)", re.S)
 _REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|([A-Za-z][A-Za-z0-9]{1,31}));")
@@ -245,7 +246,7 @@ class _Document:
         if c == "$":
             if m := _DISPLAY.match(text, i):
                 return self.found(TEX, FORMULA, f"$${m[1].strip()}$$"), m.end()
-            if m := _DOLLAR.match(text, i):
+            if (m := _DOLLAR.match(text, i)) and not (_AMOUNT.fullmatch(m[1]) and " " in m[1]):
                 return self.found(TEX, FORMULA, m.group()), m.end()
             return None
         if c == "\\":
@@ -275,7 +276,7 @@ class _Document:
                         lines[k] = ""
                 text = "\n".join(lines)
         # what isn't a reference is no event
-        text = re.sub("&", lambda m: "&" if (r := _REFERENCE.match(text, m.start())) and (not r[1] or r[1] + ";" in html5) else self.aside("&"), text)
+        text = re.sub(r"(?<!\\)&", lambda m: "&" if (r := _REFERENCE.match(text, m.start())) and (not r[1] or r[1] + ";" in html5) else self.aside("&"), text)
         events = _Events(self)
         events.feed(text)
         events.close()
