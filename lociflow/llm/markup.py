@@ -64,10 +64,11 @@ _REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|([A-Za-z][A-Za-z0-9
 _OPENERS = re.compile(f"[<`~$\\\\@{S}{E}]")
 _ANY = re.compile(r"[<>&*_`#\[{$\\|~@]|''|^[;:=]|^[ \t]*(?:[-+]|\d+[.)])[ \t]|^[ \t]*[-=]{3,}[ \t]*$|[" + S + E + "]", re.M)
 
+# an emphasis is sought over 1,000 characters of its line: longer ones occur in no markup, unclosed marks do
 _WIKI_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*\n(.*?)(?:^[ \t]*\|\}|\Z)", re.S | re.M)
 _WIKI_HEAD = re.compile(r"^(={1,6})[ \t]*([^=\s](?:[^\n]*?[^=\s])?)[ \t]*\1[ \t]*$", re.M)
 _WIKI_LIST = re.compile(r"^[;:]+[*#;:]*[ \t]*(?=\S)", re.M)
-_QUOTES = re.compile(r"(?<![\d'])('{5}|'{3}|'{2})(?=[^\s'])([^\n]*?[^\s'])\1(?!')")
+_QUOTES = re.compile(r"(?<![\d'])('{5}|'{3}|'{2})(?=[^\s'])([^\n]{0,1000}?[^\s'])\1(?!')")
 _WIKI_LINK = re.compile(r"\[\[(?![\d,\s\[\]]*\]\])([^\[\]\n]+)\]\]")
 _TEMPLATE = re.compile(r"\{\{([^{}]+)\}\}")
 _WIKI_OUTER = re.compile(r"\[(?:https?|ftp)://[^\s\]]+(?:[ \t]+([^\]\n]+))?\](?!\()")
@@ -84,16 +85,16 @@ _TEX_SIGN = re.compile(r"\\([&%$#_{}])|\\\\(?:\[[^\]\n]*\])?(?=\s|$)|\\['\"`^~=.
 _TEX_RULES = re.compile(r"\\(?:hline|toprule|midrule|bottomrule|cline\{[^}]*\})")
 
 _ATX = re.compile(r"^[ ]{0,3}(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", re.M)
-_SETEXT = re.compile(r"^([^\n|]*[^\s|][^\n|]*)\n[ ]{0,3}(={2,}|-{3,})[ \t]*$", re.M)
-_PIPES = re.compile(r"^([^\n]*\|[^\n]*)\n[ \t]*(?:\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?|\|[ \t]*:?-+:?[ \t]*\|)[ \t]*$((?:\n[^\n]*\|[^\n]*)*)", re.M)
+_UNDERLINE = re.compile(r"\n[ ]{0,3}(={2,}|-{3,})[ \t]*(?=\n|\Z)")
+_DELIMITERS = re.compile(r"\n[ \t]*(?:\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?|\|[ \t]*:?-+:?[ \t]*\|)[ \t]*(?=\n|\Z)")
 _RULE = re.compile(r"^[ ]{0,3}(?:-[ \t]*){3,}$|^[ ]{0,3}(?:\*[ \t]*){3,}$|^[ ]{0,3}(?:_[ \t]*){3,}$", re.M)
 _LIST = re.compile(r"^([ \t]*)(?:[*+-]+|(\d{1,9})[.)])[ \t]+(?:\[[ xX]\][ \t]+)?(?=\S)", re.M)
 _QUOTE = re.compile(r"^[ ]{0,3}>[ \t]?(?=\S)", re.M)
-_LINK = re.compile(r"(!?)\[([^\]\n]*)\]\([^()\s]*(?:[ \t]+\"[^\"\n]*\")?\)|\[\^[\w-]+\]:?")
-_REF_LINK = re.compile(r"\[([^\]\n]+)\]\[([\w -]+)\](?!\w)")
-_STARS = re.compile(r"(?<![\w*])(\*{1,3})(?=[^\s*])([^\n]*?[^\s*])\1(?![\w*])")
-_LOW = re.compile(r"(?<![\w])(_{1,3})(?=[^\s_])([^\n]*?[^\s_])\1(?!\w)")
-_STRIKE = re.compile(r"~~(?=[^\s~])([^\n]*?[^\s~])~~")
+_LINK = re.compile(r"(!?)\[([^\[\]\n]*)\]\([^()\s]*(?:[ \t]+\"[^\"\n]*\")?\)|\[\^[\w-]+\]:?")
+_REF_LINK = re.compile(r"\[([^\[\]\n]+)\]\[([\w -]+)\](?!\w)")
+_STARS = re.compile(r"(?<![\w*])(\*{1,3})(?=[^\s*])([^\n]{0,1000}?[^\s*])\1(?![\w*])")
+_LOW = re.compile(r"(?<![\w])(_{1,3})(?=[^\s_])([^\n]{0,1000}?[^\s_])\1(?!\w)")
+_STRIKE = re.compile(r"~~(?=[^\s~])([^\n]{0,1000}?[^\s~])~~")
 _ANCHOR = re.compile(r"<a\b[^<>]*>(.*?)</a\s*>", re.I)
 
 
@@ -186,6 +187,7 @@ class _Document:
     def __init__(self) -> None:
         self.kinds: set[tuple[str, str]] = set()
         self.kept: list[str] = []
+        self.absent: set[str] = set()
 
     def aside(self, s: str) -> str:
         self.kept.append(s)
@@ -199,6 +201,15 @@ class _Document:
     def code(self, family: str, body: str) -> str:
         return self.found(family, CODE, "\n```\n" + body.strip("\n") + "\n```\n")
 
+    def closes(self, text: str, mark: str, i: int) -> bool:
+        """Whether `mark` comes after i; where it doesn't, it is not sought again, so that openers cost no more than once."""
+        if mark in self.absent:
+            return False
+        if text.find(mark, i) < 0:
+            self.absent.add(mark)
+            return False
+        return True
+
     def opaque(self, text: str) -> str:
         """Sets aside what no later pass may look into."""
         out, pos = [], 0
@@ -227,7 +238,7 @@ class _Document:
             if m := _MATH.match(text, i):
                 inner = html.unescape(" ".join(_TAG.sub(" ", m[2]).split())).strip("$ ")
                 return self.found(HTML, FORMULA, f"${inner}$"), m.end()
-            if m := _CODE.match(text, i):
+            if self.closes(text, "</", i) and (m := _CODE.match(text, i)):
                 body = html.unescape(m[2])
                 return (self.code(HTML, body) if "\n" in body.strip() else self.found(HTML, INLINE, body)), m.end()
             if m := _AUTOLINK.match(text, i):
@@ -252,9 +263,9 @@ class _Document:
         if c == "\\":
             if m := _VERBATIM.match(text, i):
                 return self.code(TEX, m[2]), m.end()
-            if m := _MATH_ENV.match(text, i):
+            if self.closes(text, "\\end{", i) and (m := _MATH_ENV.match(text, i)):
                 return self.found(TEX, FORMULA, f"$${m[2].strip()}$$"), m.end()
-            if (m := _BRACKET.match(text, i)) or (m := _PAREN.match(text, i)):
+            if (self.closes(text, "\\]", i) and (m := _BRACKET.match(text, i))) or (self.closes(text, "\\)", i) and (m := _PAREN.match(text, i))):
                 return self.found(TEX, FORMULA, f"${m[1].strip()}$"), m.end()
             if m := _VERB.match(text, i):
                 return self.found(TEX, INLINE, m[2]), m.end()
@@ -355,23 +366,19 @@ class _Document:
         return text
 
     def markdown(self, text: str) -> str:
-        def table(m: re.Match) -> str:
-            self.kinds.add((MD, TABLE))
-            rows = [m[1], *m[2].strip("\n").split("\n")] if m[2] else [m[1]]
-            return "\n".join(self.aside("| ") + r.strip().strip("|").strip() + self.aside(" |") for r in rows)
-
         if "|" in text:
-            text = _PIPES.sub(table, text)
+            text = self.pipe_tables(text)
         if "#" in text:
             text = _ATX.sub(lambda m: self.found(MD, HEAD, m[1] + " ") + m[2], text)
         if "==" in text or "---" in text:
-            text = _SETEXT.sub(lambda m: self.found(MD, HEAD, "# " if m[2][0] == "=" else "## ") + m[1] if not _LIST.match(m[1]) else m[0], text)
+            text = self.underlined(text)
         text = _RULE.sub(lambda m: self.found(MD, INLINE, ""), text)
         text = _LIST.sub(lambda m: self.found(MD, ITEM, m[1] + (m[2] + ". " if m[2] else "- ")), text)
         if ">" in text:
             text = _QUOTE.sub(lambda m: self.found(MD, INLINE, ""), text)
         if "[" in text:
-            text = _LINK.sub(lambda m: self.found(MD, INLINE, "") + (m[2] or ""), text)
+            for _ in range(2):  # an image in a link comes first
+                text = _LINK.sub(lambda m: self.found(MD, INLINE, "") + (m[2] or ""), text)
             text = _REF_LINK.sub(lambda m: self.found(MD, INLINE, "") + m[1], text)
         for mark, pattern in (("*", _STARS), ("_", _LOW)):
             if mark in text:
@@ -381,6 +388,45 @@ class _Document:
             text = _STRIKE.sub(lambda m: self.found(MD, INLINE, "") + m[1], text)
         return text
 
+    def pipe_tables(self, text: str) -> str:
+        """Tables by their row of dashes: the line before it heads the table, lines with a bar after it follow."""
+        out, pos = [], 0
+        while m := _DELIMITERS.search(text, pos):
+            start = max(pos, text.rfind("\n", 0, m.start()) + 1)
+            head = text[start : m.start()]
+            if "|" not in head:
+                out.append(text[pos : m.end()])
+                pos = m.end()
+                continue
+            self.kinds.add((MD, TABLE))
+            rows, end = [head], m.end()
+            while end < len(text):
+                stop = text.find("\n", end + 1)
+                stop = len(text) if stop < 0 else stop
+                if "|" not in text[end + 1 : stop]:
+                    break
+                rows.append(text[end + 1 : stop])
+                end = stop
+            out.append(text[pos:start])
+            out.append("\n".join(self.aside("| ") + r.strip().strip("|").strip() + self.aside(" |") for r in rows))
+            pos = end
+        out.append(text[pos:])
+        return "".join(out)
+
+    def underlined(self, text: str) -> str:
+        """Headings by their underlines."""
+        out, pos = [], 0
+        while m := _UNDERLINE.search(text, pos):
+            start = max(pos, text.rfind("\n", 0, m.start()) + 1)
+            head = text[start : m.start()]
+            if head.strip() and "|" not in head and not _LIST.match(head):
+                out += (text[pos:start], self.found(MD, HEAD, "# " if m[1][0] == "=" else "## "), head)
+            else:
+                out.append(text[pos : m.end()])
+            pos = m.end()
+        out.append(text[pos:])
+        return "".join(out)
+
     def restored(self, text: str) -> str:
         for _ in range(8):  # things set aside may hold others
             text, n = _ASIDE.subn(lambda m: self.kept[int(m[1])], text)
