@@ -93,9 +93,11 @@ BODIES["conflict_self_join"] = f"""
 WITH {_SAMPLES}, {_CODE}, top AS (SELECT w FROM cip ORDER BY c DESC, w LIMIT 12),
 cand AS (SELECT t.w, l.w AS x FROM top t JOIN pat p ON t.w = p.w JOIN (SELECT l.w, q.len, q.code FROM lex l JOIN pat q ON l.w = q.w) l ON l.len = p.len AND l.code = p.code),
 ua AS (SELECT DISTINCT c.w, c.x, h.cp, h.ch AS u, g.ch AS v FROM cand c JOIN (SELECT DISTINCT w, cp, ch FROM {{chars}}) h ON c.w = h.w JOIN (SELECT DISTINCT w, cp, ch FROM {{chars}}) g ON c.x = g.w AND g.cp = h.cp),
-pairs AS (SELECT a.w AS a, a.x AS ax, b.w AS b, b.x AS bx FROM cand a JOIN cand b ON a.w < b.w),
-bad AS (SELECT DISTINCT a.w AS a, a.x AS ax, b.w AS b, b.x AS bx FROM ua a JOIN ua b ON a.w < b.w AND ((a.u = b.u AND a.v <> b.v) OR (a.u <> b.u AND a.v = b.v)))
-SELECT p.a, p.b, count(*) AS combinations, count(*) - count(bad.a) AS consistent FROM pairs p LEFT JOIN bad ON p.a = bad.a AND p.ax = bad.ax AND p.b = bad.b AND p.bx = bad.bx GROUP BY p.a, p.b"""
+k AS (SELECT w, count(*) AS n FROM cand GROUP BY w),
+bad AS (SELECT a.w AS a, a.x AS ax, b.w AS b, b.x AS bx FROM ua a JOIN ua b ON a.u = b.u WHERE a.w < b.w AND a.v <> b.v
+        UNION SELECT a.w, a.x, b.w, b.x FROM ua a JOIN ua b ON a.v = b.v WHERE a.w < b.w AND a.u <> b.u),
+nb AS (SELECT a, b, count(*) AS n FROM bad GROUP BY a, b)
+SELECT k1.w AS a, k2.w AS b, k1.n * k2.n AS combinations, k1.n * k2.n - coalesce(nb.n, 0) AS consistent FROM k k1 JOIN k k2 ON k1.w < k2.w LEFT JOIN nb ON nb.a = k1.w AND nb.b = k2.w"""
 
 _KEY = """freq AS (SELECT split, ch, count(*) AS n FROM {chars} WHERE split IN ('train', 'validation') GROUP BY split, ch),
 rk AS (SELECT split, ch, row_number() OVER (PARTITION BY split ORDER BY n DESC, ch) AS k FROM freq),

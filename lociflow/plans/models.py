@@ -4,21 +4,21 @@ Add-alpha estimates come from grouped counts joined on the left, so a context ne
 Randomised nulls order rows by md5(seed, replicate, key), the same in any engine and on any partitioning.
 """
 
-from lociflow.plans.statistics import STREAM_POSITIONS
-
 BODIES: dict[str, str] = {}
 
 #: Relations that a study reads several times; Spark writes them once to the shared folder.
 DERIVED: dict[str, str] = {}
 
 # symbols of a word with its end; unknown ones (not in train) become '?' before contexts are built
+# Events come from distinct words with their counts, so histories are read off a few types, not off all tokens.
 DERIVED["ngram_events"] = """
-WITH known AS (SELECT DISTINCT ch FROM {chars} WHERE split = 'train'),
-ends AS (SELECT locus_id, split, wp, length(w) AS cp, '$' AS ch FROM {tok} WHERE split IS NOT NULL),
-sym AS (SELECT c.locus_id, c.split, c.wp, c.cp, CASE WHEN k.ch IS NULL THEN '?' ELSE c.ch END AS s FROM {chars} c LEFT JOIN known k ON c.ch = k.ch WHERE c.split IS NOT NULL
-        UNION ALL SELECT locus_id, split, wp, cp, ch FROM ends),
-ev AS (SELECT split, s, coalesce(lag(s, 1) OVER w, '^') AS h1, coalesce(lag(s, 2) OVER w, '^') AS h2, coalesce(lag(s, 3) OVER w, '^') AS h3 FROM sym WINDOW w AS (PARTITION BY locus_id, wp ORDER BY cp))
-SELECT split, h3, h2, h1, s, count(*) AS n FROM ev GROUP BY split, h3, h2, h1, s"""
+WITH ty AS (SELECT split, w, count(*) AS n FROM {tok} WHERE split IS NOT NULL GROUP BY split, w),
+pos AS (SELECT split, w, n, explode_(length(w) + 1) AS i FROM ty),
+raw AS (SELECT split, w, n, i, CASE WHEN i > length(w) THEN '$' ELSE substr(w, cast(i AS INT), 1) END AS ch FROM pos),
+known AS (SELECT DISTINCT ch FROM raw WHERE split = 'train'),
+sym AS (SELECT r.split, r.w, r.n, r.i, CASE WHEN k.ch IS NULL THEN '?' ELSE r.ch END AS s FROM raw r LEFT JOIN known k ON r.ch = k.ch),
+ev AS (SELECT split, n, s, coalesce(lag(s, 1) OVER w, '^') AS h1, coalesce(lag(s, 2) OVER w, '^') AS h2, coalesce(lag(s, 3) OVER w, '^') AS h3 FROM sym WINDOW w AS (PARTITION BY split, w ORDER BY i))
+SELECT split, h3, h2, h1, s, cast(sum(n) AS BIGINT) AS n FROM ev GROUP BY split, h3, h2, h1, s"""
 
 _SYMBOLS = """oev AS (SELECT split, 0 AS k, '' AS h, s, sum(n) AS n FROM {ngram_events} GROUP BY split, s UNION ALL SELECT split, 1, h1, s, sum(n) FROM {ngram_events} GROUP BY split, h1, s
         UNION ALL SELECT split, 2, h2 || h1, s, sum(n) FROM {ngram_events} GROUP BY split, h2, h1, s UNION ALL SELECT split, 3, h3 || h2 || h1, s, n FROM {ngram_events}),
@@ -32,12 +32,20 @@ WITH {_SYMBOLS}, sc AS (SELECT e.split, e.k, e.n, e.s, -log2((coalesce(f.n, 0) +
 SELECT split, cast(k AS BIGINT) AS k, cast(sum(n) AS BIGINT) AS predicted, round(sum(n * bits) / sum(n), 6) AS bits_per_symbol, round(power(2, sum(n * bits) / sum(n)), 5) AS perplexity,
   cast(sum(CASE WHEN s = '$' THEN n ELSE 0 END) AS BIGINT) AS ends, cast(sum(CASE WHEN s = '?' THEN n ELSE 0 END) AS BIGINT) AS unknown FROM sc GROUP BY split, k"""
 
-# windows of four over the stream, in ranges of positions; each range also holds the first three of the next
-DERIVED["stream4"] = f"""
-WITH {STREAM_POSITIONS},
-st AS (SELECT split, ch, pos, floor(pos / 65536) AS part, 0 AS halo FROM pos UNION ALL SELECT split, ch, pos, floor(pos / 65536) - 1, 1 FROM pos WHERE pos % 65536 < 3 AND pos >= 65536),
-win AS (SELECT split, halo, ch AS a, lead(ch, 1) OVER w AS b, lead(ch, 2) OVER w AS c, lead(ch, 3) OVER w AS d FROM st WINDOW w AS (PARTITION BY split, part ORDER BY pos))
-SELECT split, a, b, c, d, count(*) AS n FROM win WHERE halo = 0 AND d IS NOT NULL GROUP BY split, a, b, c, d"""
+# Windows of four over each split's stream. Records, not letters, are numbered and ordered: a record's letters with the
+# first three that follow it, from the next three records at most, hold all windows that begin in it. Numbers run in
+# ranges of ids with their totals in front; each part of 65,536 records also holds the first three of the next.
+DERIVED["stream4"] = """
+WITH nz AS (SELECT split, locus_id, floor(locus_id / 65536) AS b, replace(array_to_string_(words), ' ', '') AS s FROM {recs} WHERE split IS NOT NULL AND nw > 0),
+tot AS (SELECT split, b, count(*) AS n FROM nz GROUP BY split, b), base AS (SELECT split, b, sum(n) OVER (PARTITION BY split ORDER BY b) - n AS base FROM tot),
+inside AS (SELECT split, b, s, row_number() OVER (PARTITION BY split, b ORDER BY locus_id) - 1 AS k FROM nz),
+num AS (SELECT i.split, i.s, cast(t.base + i.k AS BIGINT) AS k FROM inside i JOIN base t ON i.split = t.split AND i.b = t.b),
+part AS (SELECT split, s, k, floor(k / 65536) AS p, 0 AS halo FROM num UNION ALL SELECT split, s, k, floor(k / 65536) - 1, 1 FROM num WHERE k % 65536 < 3 AND k >= 65536),
+nxt AS (SELECT split, s, halo, coalesce(lead(s, 1) OVER w, '') || coalesce(lead(s, 2) OVER w, '') || coalesce(lead(s, 3) OVER w, '') AS rest FROM part WINDOW w AS (PARTITION BY split, p ORDER BY k)),
+ext AS (SELECT split, s || substr(rest, 1, 3) AS t, length(s) AS m FROM nxt WHERE halo = 0),
+win AS (SELECT split, t, explode_(least(m, length(t) - 3)) AS i FROM ext WHERE length(t) > 3),
+g AS (SELECT split, substr(t, cast(i AS INT), 4) AS x FROM win)
+SELECT split, substr(x, 1, 1) AS a, substr(x, 2, 1) AS b, substr(x, 3, 1) AS c, substr(x, 4, 1) AS d, n FROM (SELECT split, x, count(*) AS n FROM g GROUP BY split, x)"""
 
 _STREAM = """f4 AS (SELECT a, b, c, d, n FROM {stream4} WHERE split = 'train'), f3 AS (SELECT b, c, d, sum(n) AS n FROM f4 GROUP BY b, c, d),
 f2 AS (SELECT c, d, sum(n) AS n FROM f4 GROUP BY c, d), f1 AS (SELECT d, sum(n) AS n FROM f4 GROUP BY d),
