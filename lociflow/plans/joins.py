@@ -165,3 +165,16 @@ WITH {_BOOK}, t AS (SELECT w, count(*) AS c FROM {{tok}} GROUP BY w),
 r AS (SELECT t.w, t.c, count(s.suf) AS n FROM t LEFT JOIN halves h ON length(t.w) = 4 AND substr(t.w, 1, 2) = h.pre LEFT JOIN tails s ON h.pre IS NOT NULL AND substr(t.w, 3) = s.suf GROUP BY t.w, t.c)
 SELECT count(*) AS types, count(*) FILTER (WHERE n > 0) AS parseable_types, count(*) FILTER (WHERE n > 1) AS ambiguous_types, cast(sum(CASE WHEN n > 0 THEN c ELSE 0 END) AS BIGINT) AS parseable_tokens,
        round(sum(n * c) / cast(sum(c) AS DOUBLE), 6) AS mean_candidates, max(n) AS max_candidates FROM r"""
+
+BODIES["focus_rows"] = f"""
+WITH {_SIDES}, page AS (SELECT folio, volume_id FROM l GROUP BY folio, volume_id ORDER BY count(*) DESC, volume_id, folio LIMIT 1)
+SELECT k.idx, max(k.lid) AS left_id, max(k.rid) AS right_id FROM (SELECT l.volume_id, l.folio, l.idx, l.id AS lid, NULL AS rid FROM l UNION ALL SELECT r.volume_id, r.folio, r.idx, NULL, r.id FROM r) k
+JOIN page p ON k.volume_id = p.volume_id AND k.folio = p.folio GROUP BY k.idx"""
+
+BODIES["adapt_paragraphs"] = """
+WITH p AS (SELECT paragraph_id, book_id, chapter_key, lower(trim(regexp_replace_all_(text))) AS seq FROM {paras} WHERE book_id IS NOT NULL AND chapter_key IS NOT NULL),
+c AS (SELECT book_id, chapter_key, min(paragraph_id) AS first_at FROM p GROUP BY book_id, chapter_key),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY first_at) - 1 AS i, count(*) OVER (PARTITION BY book_id) AS k FROM c),
+s AS (SELECT p.paragraph_id, coalesce(p.seq, '') AS seq, CASE WHEN i < floor(k * 6 / 10) THEN 0 WHEN i < floor(k * 6 / 10) + floor(k * 2 / 10) THEN 1 ELSE 2 END AS rnk FROM p JOIN n ON p.chapter_key = n.chapter_key AND p.book_id = n.book_id),
+m AS (SELECT seq, min(rnk) AS first_rank FROM s GROUP BY seq)
+SELECT s.rnk AS split_rank, count(*) AS paragraphs, count(*) FILTER (WHERE s.seq = '') AS empties, count(*) FILTER (WHERE s.seq <> '' AND s.rnk > m.first_rank) AS duplicates FROM s JOIN m ON s.seq = m.seq GROUP BY s.rnk"""

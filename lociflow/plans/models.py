@@ -192,3 +192,34 @@ score AS (SELECT a.panel, b.slot AS rotation, cast(sum(a.hits * b.hits) % 10 AS
 h AS (SELECT panel, s, count(*) AS n FROM score GROUP BY panel, s),
 c AS (SELECT h1.s + h2.s AS s, sum(h1.n * h2.n) AS n FROM (SELECT * FROM h WHERE panel = 1) h1 CROSS JOIN (SELECT * FROM h WHERE panel = 2) h2 GROUP BY h1.s + h2.s)
 SELECT c.s + h3.s AS s, cast(sum(c.n * h3.n) AS BIGINT) AS combinations FROM c CROSS JOIN (SELECT * FROM h WHERE panel = 3) h3 GROUP BY c.s + h3.s"""
+
+# a key by frequency ranks, and keys at random by md5: both score the validation stream under the train model
+_UNDER_KEY = """tr AS (SELECT h1, s, sum(n) AS n FROM {ngram_events} WHERE split = 'train' GROUP BY h1, s), tt AS (SELECT h1, cast(sum(n) AS DOUBLE) AS t FROM tr GROUP BY h1), v AS (SELECT count(DISTINCT s) AS v FROM tr),
+va AS (SELECT h1, s, sum(n) AS n FROM {ngram_events} WHERE split = 'validation' GROUP BY h1, s),
+lt AS (SELECT s, row_number() OVER (ORDER BY sum(n) DESC, s) AS k FROM tr WHERE s <> '$' GROUP BY s), lv AS (SELECT s, sum(n) AS n FROM va WHERE s <> '$' GROUP BY s),
+keys AS (SELECT -1 AS r, a.s AS u, lt.s AS x FROM (SELECT s, row_number() OVER (ORDER BY n DESC, s) AS k FROM lv) a JOIN lt ON a.k = lt.k
+  UNION ALL SELECT a.r, a.s, lt.s FROM (SELECT r.r, s, row_number() OVER (PARTITION BY r.r ORDER BY md5('12:' || r.r || ':' || s), s) AS k FROM lv CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS r(r)) a JOIN lt ON a.k = lt.k
+  UNION ALL SELECT r.r, e.u, e.u FROM (VALUES (-1), (0), (1), (2), (3), (4), (5), (6), (7)) AS r(r) CROSS JOIN (VALUES ('^'), ('$')) AS e(u)),
+de AS (SELECT a.r, va.n, a.x AS h, b.x AS s FROM va JOIN keys a ON va.h1 = a.u JOIN keys b ON va.s = b.u AND a.r = b.r),
+ks AS (SELECT de.r, sum(de.n) AS n, -sum(de.n * log2((coalesce(tr.n, 0) + 1e-1) / (coalesce(tt.t, 0) + 1e-1 * v.v))) AS bits FROM de LEFT JOIN tr ON de.h = tr.h1 AND de.s = tr.s LEFT JOIN tt ON de.h = tt.h1 CROSS JOIN v GROUP BY de.r)"""
+
+BODIES["score_key"] = f"WITH {_UNDER_KEY} SELECT cast(n AS BIGINT) AS events, round(bits / n, 6) AS bits_per_symbol FROM ks WHERE r = -1"
+BODIES["random_key_baseline"] = f"WITH {_UNDER_KEY} SELECT count(*) AS n_keys, round(min(bits / n), 6) AS low, round(max(bits / n), 6) AS high FROM ks WHERE r >= 0"
+
+BODIES["baseline_plaintext"] = f"""
+WITH {_UNDER_KEY} SELECT round(-sum(va.n * log2((coalesce(tr.n, 0) + 1e-1) / (coalesce(tt.t, 0) + 1e-1 * v.v))) / sum(va.n), 6) AS identity_bits
+FROM va LEFT JOIN tr ON va.h1 = tr.h1 AND va.s = tr.s LEFT JOIN tt ON va.h1 = tt.h1 CROSS JOIN v"""
+
+BODIES["null_tail"] = """
+WITH s AS (SELECT r.r, locus_id, w, row_number() OVER (PARTITION BY r.r, locus_id ORDER BY CASE WHEN wp = 0 THEN '' ELSE md5('408:' || r.r || ':' || locus_id || ':' || wp) END, wp) AS k FROM {tok} CROSS JOIN (VALUES (0), (1), (2)) AS r(r)),
+p AS (SELECT r, w, lag(w) OVER (PARTITION BY r, locus_id ORDER BY k) AS prev FROM s)
+SELECT r, count(prev) AS pairs, count(*) FILTER (WHERE substr(prev, length(prev), 1) = substr(w, 1, 1)) AS same_unit FROM p GROUP BY r"""
+
+BODIES["null_same_tail"] = f"""
+WITH {_BOUNDARY}, cell AS (SELECT *, substr(w, 2) AS tail FROM e WHERE split = 'test'),
+ok AS (SELECT role, tail, plen FROM cell GROUP BY role, tail, plen HAVING count(DISTINCT ini) > 1 AND count(DISTINCT fin) > 1),
+i AS (SELECT c.role, c.tail, c.plen, c.ini, count(*) AS n FROM cell c JOIN ok ON c.role = ok.role AND c.tail = ok.tail AND c.plen = ok.plen GROUP BY c.role, c.tail, c.plen, c.ini),
+f AS (SELECT c.role, c.tail, c.plen, c.fin, count(*) AS n FROM cell c JOIN ok ON c.role = ok.role AND c.tail = ok.tail AND c.plen = ok.plen GROUP BY c.role, c.tail, c.plen, c.fin),
+t AS (SELECT role, tail, plen, sum(n) AS t FROM i GROUP BY role, tail, plen)
+SELECT cast(sum(CASE WHEN i.ini = f.fin THEN i.n * f.n ELSE 0 END) AS BIGINT) AS weight, round(sum(CASE WHEN i.ini = f.fin THEN i.n * f.n / cast(t.t AS DOUBLE) ELSE 0e0 END), 6) AS expected_equal
+FROM i JOIN f ON i.role = f.role AND i.tail = f.tail AND i.plen = f.plen JOIN t ON i.role = t.role AND i.tail = t.tail AND i.plen = t.plen"""

@@ -64,6 +64,7 @@ def names_in(body: str) -> list[str]:
 def query(body: str) -> Callable[[SparkSession, str], DataFrame]:
     """The Spark query of a body."""
     text = re.sub(r"conv_\((.*?)\)\)", r"conv(\1), 16, 10)", body)
+    text = re.sub(r"regexp_replace_all_\((\w+)\)", r"regexp_replace(\1, '[^A-Za-z]+', ' ')", text)
     text = re.sub(r"explode_\((.*?)\) AS i FROM", r"explode(sequence(1, cast(\1 AS INT))) AS i FROM", text)
     text = re.sub(r"array_to_string_\(([^)]*)\)", r"array_join(\1, ' ')", text)
     return lambda spark, d: spark.sql(text, **{n: _build(spark, d, n) for n in names_in(text)})
@@ -71,6 +72,7 @@ def query(body: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _plain(body: str) -> str:
     body = re.sub(r"conv_\((.*?)\)\)", r"('0x' || \1))::UBIGINT", body).replace("::UBIGINT AS BIGINT", "::UBIGINT AS BIGINT")
+    body = re.sub(r"regexp_replace_all_\((\w+)\)", r"regexp_replace(\1, '[^A-Za-z]+', ' ', 'g')", body)
     body = re.sub(r"explode_\((.*?)\) AS i FROM", r"unnest(range(1, \1 + 1)) AS i FROM", body)
     return re.sub(r"array_to_string_\(([^)]*)\)", r"array_to_string(\1, ' ')", re.sub(r"\{(\w+)\}", r"\1", body)).strip()
 
