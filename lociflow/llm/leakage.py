@@ -100,8 +100,8 @@ def normalised_records(records: DataFrame, files: DataFrame, id_col: str, tokens
     empty are dropped. `words` are 64-bit hashes of them, `class` a 128-bit digest of the list.
     """
     roles = files.select("file_id", role_of(F.col("split_name")).cast("int").alias("role")).where("role is not null").distinct()
-    joined = records.where(F.col(id_col).isNotNull()).join(broadcast_if_small(roles, roles.count()), "file_id")
-    source = joined.select(F.col(id_col).alias("rec"), "role", F.col(tokens_col).alias("tokens"))
+    own = records.where(F.col(id_col).isNotNull()).select("file_id", F.col(id_col).alias("rec"), F.col(tokens_col).alias("tokens"))
+    source = own.join(broadcast_if_small(roles, roles.count()), "file_id").select("rec", "role", "tokens")
     id_type = source.schema["rec"].dataType.simpleString()
     return source.mapInArrow(_normalised, f"rec {id_type}, role int, class binary, words array<long>").dropDuplicates(["rec", "role", "class"])
 

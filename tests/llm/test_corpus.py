@@ -185,7 +185,7 @@ def test_cross_split_pairs(spark):
     role = {1: 1, 5: 1, 2: 2, 3: 2}
     ok = [(i, role[f], w) for i, f, t in rows if f in role and len(w := [x for x in (norm(y) for y in t or [] if y is not None) if x]) >= 6]
     want = {(min(i, j), max(i, j)) for (i, r, a), (j, s, b) in combinations(ok, 2) if r != s and 8 * distance(a, b) <= max(len(a), len(b))}
-    df = spark.createDataFrame(rows + rows[:9], "rec_id long, file_id long, tokens array<string>")
+    df = spark.createDataFrame([(*r, 1, "x", "y") for r in rows + rows[:9]], "rec_id long, file_id long, tokens array<string>, role int, class string, rec string")
     manifest = spark.createDataFrame(files, "file_id long, corpus_id string, split_name string")
     got = leakage.cross_split_pairs(df, manifest).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 20
