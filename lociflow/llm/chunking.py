@@ -44,17 +44,21 @@ def units(enc: Encoder, text: str) -> tuple[list[str], list[int], list[int]]:
     return names, sizes, parts
 
 
-def boundaries(names: list[str], text: str) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(names: list[str], text: str, parts: list[int] = ()) -> tuple[np.ndarray, np.ndarray]:
     """For each unit: its kind as an index of KINDS if a piece may end after it (before white space or inside an unspaced
     run), else -1; and the offset where it ends.
 
     Cuts stand before white space, which then opens the next piece: so the tokens stay what they are in the whole text.
+    Only a run of white space so long that it came in parts may be cut inside.
     """
+    cut = set(parts)
     ends = np.cumsum([len(x) for x in names])
     kind = [-1] * len(names)
     for i, (this, nxt) in enumerate(zip(names, names[1:])):
         last, c = this[-1], nxt[0]
         if last <= " " or last.isspace():
+            if i in cut and i + 1 in cut and nxt[0].isspace():
+                kind[i] = 5
             continue
         if c > " " and not c.isspace():
             kind[i] = 5
@@ -127,7 +131,7 @@ def split_text(enc: Encoder, text: str, limit: int, overlap: int) -> list[tuple[
     Every piece, encoded on its own, has at most `limit` tokens; the new parts join to the whole text.
     """
     names, sizes, parts = units(enc, text)
-    kind, ends = boundaries(names, text)
+    kind, ends = boundaries(names, text, parts)
     offset, total, part = np.concatenate([[0], ends]), np.concatenate([[0], np.cumsum(sizes)]), np.array(parts, np.int64)
     within = limit
     while True:

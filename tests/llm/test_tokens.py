@@ -57,7 +57,7 @@ def test_query_shape(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@given(st.lists(st.sampled_from(["word", "a longer sentence ends here. ", "\n\n", "\n# Heading\n", "x" * 700, " ", "\n", "über 12.5; ", "== wiki ==\n"]), min_size=1, max_size=400))
+@given(st.lists(st.sampled_from(["word", "a longer sentence ends here. ", "\n\n", "\n# Heading\n", "x" * 700, " ", "\n", "über 12.5; ", "== wiki ==\n", " " * 3000, "\n" * 2500, "\u3000" * 700, "🙂" * 300]), min_size=1, max_size=400))
 @settings(max_examples=60, deadline=None)
 def test_pieces_cover_and_fit(enc, parts):
     text = "".join(parts)
