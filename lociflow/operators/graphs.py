@@ -124,7 +124,7 @@ def verify_lattice(rows: list[list[int]], certificate: dict) -> bool:
 
 
 def lattice_tracks(counts: DataFrame, track_col: str, columns: list[str]) -> DataFrame:
-    """Rows (track, columns, rows, status, rank, gcd) for count vectors (track, line, unit, n): each track's distinct rows
+    """Rows (track, columns, rows, status, rank, rank modulo 3, gcd) for count vectors (track, line, unit, n): each track's distinct rows
     are reduced in one task. Rows are made distinct before they are gathered; of rows of one track only as many
     as the lattice needs enter the elimination, so the task holds the distinct rows of a track at most."""
     wide = counts.groupBy(track_col, "line").pivot("unit", columns).sum("n").na.fill(0).drop("line").distinct()
@@ -134,9 +134,11 @@ def lattice_tracks(counts: DataFrame, track_col: str, columns: list[str]) -> Dat
         r = lattice_certificate(rows[: 4 * len(columns)])
         if r["status"] != "certified" and len(rows) > 4 * len(columns):
             r = lattice_certificate(rows)
-        return pd.DataFrame([(key[0], len(columns), len(rows), r["status"], r["rank"], math.gcd(*r["pivots"]) if r["pivots"] else 0)], columns=[track_col, "n_columns", "n_rows", "status", "rank", "gcd"])
+        mod3 = rank_mod([list(x) for x in sorted({tuple(v % 3 for v in row) for row in rows})])
+        out = (key[0], len(columns), len(rows), r["status"], r["rank"], mod3, math.gcd(*r["pivots"]) if r["pivots"] else 0)
+        return pd.DataFrame([out], columns=[track_col, "n_columns", "n_rows", "status", "rank", "rank_mod3", "gcd"])
 
-    return wide.groupBy(track_col).applyInPandas(run, f"`{track_col}` string, n_columns int, n_rows long, status string, rank int, gcd long")
+    return wide.groupBy(track_col).applyInPandas(run, f"`{track_col}` string, n_columns int, n_rows long, status string, rank int, rank_mod3 int, gcd long")
 
 
 def rank_mod(rows: list[list[int]], p: int = 3) -> int:

@@ -11,6 +11,7 @@ import heapq
 import math
 import random
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import product
 
 import pandas as pd
@@ -271,3 +272,45 @@ def score_keys(solved: DataFrame, types: DataFrame, words: DataFrame) -> DataFra
     letters = F.transform(F.split("w", ""), lambda u: F.coalesce(F.try_element_at("m", u), F.when(u == "", "").otherwise("?")))
     hits = spelt.withColumn("x", F.array_join(letters, "")).join(words.select(F.col("w").alias("x")).distinct(), "x")
     return hits.groupBy("method", "seed", "capacity").agg(F.sum("weight").cast("long").alias("score"))
+
+
+def pair_bound(lex: Lexicon, top: int = 12) -> int:
+    """A bound from conflicts: of `top` types by weight, two conflict if no pair of their candidates is jointly allowed;
+    of a clique of conflicting types one at most comes true. Types outside the top count in full."""
+    live = sorted((t for t in lex.types if lex.candidates[t]), key=lambda t: (-lex.types[t], t))
+    head, rest = live[:top], live[top:]
+
+    def joint(a: dict[str, str], b: dict[str, str]) -> bool:
+        return all(b.get(u, v) == v for u, v in a.items()) and lex.allowed({**a, **b})
+
+    conflict = {(s, t) for i, s in enumerate(head) for t in head[i + 1 :] if not any(joint(a, b) for a in lex.candidates[s] for b in lex.candidates[t])}
+    cliques: list[list[str]] = []
+    for t in head:
+        home = next((c for c in cliques if all((s, t) in conflict for s in c)), None)
+        if home is None:
+            cliques.append([t])
+        else:
+            home.append(t)
+    return sum(lex.types[c[0]] for c in cliques) + sum(lex.types[t] for t in rest)
+
+
+def likelihood_ratio(train: dict[tuple[str, str], int], vocabulary: int, a: dict[tuple[str, str], int], b: dict[tuple[str, str], int]) -> Fraction:
+    """The exact ratio of the likelihoods of two histograms of (context, symbol) events under add-0.1 estimates: only
+    events that differ in number enter, each as (10 c + 1) / (10 t + V)."""
+    totals: dict[str, int] = {}
+    for (h, _), n in train.items():
+        totals[h] = totals.get(h, 0) + n
+    ratio = Fraction(1)
+    for event in sorted(set(a) | set(b)):
+        if d := a.get(event, 0) - b.get(event, 0):
+            ratio *= Fraction(10 * train.get(event, 0) + 1, 10 * totals.get(event[0], 0) + vocabulary) ** d
+    return ratio
+
+
+def rank_keys(train: dict[tuple[str, str], int], vocabulary: int, events: dict[str, dict[tuple[str, str], int]]) -> list[tuple[str, str, str, float]]:
+    """Candidate keys by exact likelihood, the best first: (name, numerator, denominator, log2) of each against the first
+    name, numerator and denominator in hexadecimal."""
+    first = min(events)
+    ratio = {k: likelihood_ratio(train, vocabulary, e, events[first]) for k, e in events.items()}
+    best = sorted(events, key=lambda k: (-ratio[k], k))
+    return [(k, hex(ratio[k].numerator), hex(ratio[k].denominator), math.log2(ratio[k].numerator) - math.log2(ratio[k].denominator)) for k in best]

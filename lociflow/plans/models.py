@@ -223,3 +223,11 @@ f AS (SELECT c.role, c.tail, c.plen, c.fin, count(*) AS n FROM cell c JOIN ok ON
 t AS (SELECT role, tail, plen, sum(n) AS t FROM i GROUP BY role, tail, plen)
 SELECT cast(sum(CASE WHEN i.ini = f.fin THEN i.n * f.n ELSE 0 END) AS BIGINT) AS weight, round(sum(CASE WHEN i.ini = f.fin THEN i.n * f.n / cast(t.t AS DOUBLE) ELSE 0e0 END), 6) AS expected_equal
 FROM i JOIN f ON i.role = f.role AND i.tail = f.tail AND i.plen = f.plen JOIN t ON i.role = t.role AND i.tail = t.tail AND i.plen = t.plen"""
+
+BODIES["lm_fit_declared"] = """
+WITH d AS (SELECT h1, s, sum(n) AS n FROM {ngram_events} WHERE split = 'train' GROUP BY h1, s)
+SELECT h1 AS context, CASE WHEN s IN ('j', 'u', 'v', 'w', 'z', '?') THEN '?' ELSE s END AS symbol, cast(sum(n) AS BIGINT) AS n FROM d GROUP BY h1, CASE WHEN s IN ('j', 'u', 'v', 'w', 'z', '?') THEN '?' ELSE s END"""
+
+BODIES["gates"] = f"""
+WITH {_UNDER_KEY} SELECT k.bits / k.n < r.low AS beats_random, k.bits / k.n < log2(cast(v.v AS DOUBLE)) AS beats_uniform, k.n >= 1000 AS enough_events, k.bits / k.n < r.low AND k.bits / k.n < log2(cast(v.v AS DOUBLE)) AND k.n >= 1000 AS passed
+FROM (SELECT * FROM ks WHERE r = -1) k CROSS JOIN (SELECT min(bits / n) AS low FROM ks WHERE r >= 0) r CROSS JOIN v"""

@@ -32,6 +32,7 @@ def test_branch_and_bound_is_exact(monkeypatch):
             assert best <= lex.pivot_bound({}) <= lex.bound({})
             assert solvers.branch_and_bound(lex, 100_000, target=best + 1)["status"] == "infeasible"
             assert solvers.branch_and_bound(lex, 100_000, target=best)["status"] in ("feasible", "bound_certified")
+            assert best <= solvers.pair_bound(lex, 4) <= lex.bound({})
             cut = solvers.branch_and_bound(lex, 1)
             assert cut["lower"] <= best <= cut["upper"]
             s, key = solvers.anneal_key(lex, 60, seed)
@@ -64,6 +65,15 @@ def test_empty_and_too_many():
     assert solvers.preserved_completions(2, [1, 1, 1]) == 6 and solvers.preserved_completions(3, [2, 1]) == 3 and solvers.preserved_completions(0, []) == 1
 
 
+def test_exact_ratio():
+    train = {("a", "b"): 3, ("a", "c"): 1, ("b", "a"): 5}
+    a, b = {("a", "b"): 2, ("b", "a"): 1}, {("a", "c"): 2, ("b", "a"): 1}
+    want = (31 / 44) ** 2 / (11 / 44) ** 2
+    assert abs(float(solvers.likelihood_ratio(train, 4, a, b)) - want) < 1e-12
+    ranked = solvers.rank_keys(train, 4, {"x": b, "y": a})
+    assert [r[0] for r in ranked] == ["y", "x"] and ranked[1][1:3] == ("0x1", "0x1")
+
+
 def test_solved_scores_agree_with_joins(spark):
     types, words = {"xyx": 5, "xy": 3, "z": 2}, {"aba", "ab", "c"}
     found = solvers.solve(spark, types, words, [("bnb", 0, 1, 100), ("anneal", 1, 2, 50), ("local", 2, None, 2)])
