@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -23,12 +24,16 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
-    root = Path(__file__).parent
-    to = Path(tempfile.mkdtemp(prefix="lociflow-")) / "lociflow.zip"  # on the driver; executors fetch it from there
-    with zipfile.ZipFile(to, "w") as z:
+    root, data = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    context.addPyFile(str(to))
+    to = f"{shared_dir(spark)}/lociflow-{context.applicationId}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(to)
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(data.getvalue())
+    out.close()
+    context.addPyFile(to)
     _SHIPPED.add(context.applicationId)
 
 
