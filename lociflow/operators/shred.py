@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.runtime import spool
+
 _JSON_BLANKS = " \t\n\r"
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
 _STRING = re.compile(r'"[^"\\\x00-\x1f]*(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*)*"')
@@ -171,12 +173,10 @@ def object_links(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """Rows (id, parent_path, node_path), each once: every object of a payload but the whole payload, with the nearest
     object around it (the empty string for the whole payload or none).
 
-    Objects join their owners in the adjacency table. A node's owner is of the same row, so repeated rows are
-    made one first: by the fewest columns, before the join.
+    Objects join their owners in the adjacency table. Repeated rows are made one before the join.
     """
     objects = adjacency(df, id_col, payload_col).where("kind = 'o'").select(id_col, "node", "owner", "path")
-    # an owner's path is a prefix of the path: the join on (id, node) needs no shuffle beyond that on id
-    objects = objects.dropDuplicates([id_col, "node", "path"])
+    objects = spool(objects.dropDuplicates([id_col, "node", "path"]), "objects")  # both sides of the join: parsed once
     owners = objects.select(F.col(id_col).alias("__i"), F.col("node").alias("__n"), F.col("path").alias("__p"))
     joined = objects.join(owners, (objects[id_col] == owners["__i"]) & (objects["owner"] == owners["__n"]), "left")
     return (
