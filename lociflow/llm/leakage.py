@@ -16,6 +16,8 @@ from lociflow.runtime import broadcast_if_small, spool
 #: A pair qualifies with one word edit in so many words of the longer list, and from so many words in each on.
 EDIT_SHARE, LEAST = 8, 6
 TRAIN, EVAL = 1, 2
+#: Words in a row that a train record must have too for them to count as overlap; the least chunk size of layers().
+SHARED = 3
 
 
 def run_length(n: int) -> int:
@@ -33,21 +35,27 @@ def layers(n: int) -> list[int]:
     return sorted({min(run_length(m), 6) - 1 for m in range(max(n, EDIT_SHARE), longest + 1)})
 
 
-def cuts(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Content-defined chunks of `size` words: (positions, digests).
-
-    A rolling hash runs over all windows of `size` words; of any two neighbouring windows the one with the lower
-    hash is a chunk. So any size + 1 words that two lists share in a row give the same chunk in both, wherever they stand.
-    """
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A rolling hash over every window of `size` words; none where the list is shorter."""
     if len(words) < size:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64)
     h = np.zeros(len(words) - size + 1, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
             h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k]
             h ^= h >> np.uint64(29)
-    if len(h) == 1:
-        return np.zeros(1, np.int64), h
+    return h
+
+
+def cuts(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Content-defined chunks of `size` words: (positions, digests).
+
+    A rolling hash runs over all windows of `size` words; of any two neighbouring windows the one with the lower
+    hash is a chunk. So any size + 1 words that two lists share in a row give the same chunk in both, wherever they stand.
+    """
+    h = window_hashes(words, size)
+    if len(h) < 2:
+        return np.arange(len(h)), h
     low = h[:-1] <= h[1:]
     pick = np.zeros(len(h), bool)
     pick[:-1] |= low
@@ -207,18 +215,35 @@ def cross_split_pairs(records: DataFrame, files: DataFrame, id_col: str = "rec_i
     return out.select(a.alias("rec_a"), b.alias("rec_b")).where("rec_a < rec_b").distinct()
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 2048):
+            b = batch.slice(start, 2048)
+            lists = [window_hashes(np.array(words, np.int64).view(np.uint64), SHARED) for words in b.column(1).to_pylist()]
+            if lists:
+                own = pa.array(np.repeat(np.arange(len(lists)), [len(h) for h in lists]), pa.int64())
+                place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in lists])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), pa.array(place), pa.array(np.concatenate(lists).view(np.int64))], ["class", "at", "digest"])
+
+
 def overlap_fractions(records: DataFrame, files: DataFrame, id_col: str = "rec_id", tokens_col: str = "tokens") -> DataFrame:
-    """Rows (id, n_words, shared_words, overlap): of each evaluation record, the words that lie in chunks which some
-    train record has too, as a share of its words; 1 for a record that a train record repeats. Records of less than six
-    words and of files without a split have no row."""
+    """Rows (id, n_words, shared_words, overlap): of each evaluation record, the words that lie in a run of SHARED words or
+    more which some train record has too, as a share of its words; 1 for a record that stands whole in a train record.
+    Records of less than six words and of files without a split have no row.
+
+    Both sides are cut at every window of SHARED words, whatever their lengths: any longer shared chunk consists of such
+    windows, and none is lost at an edge or by its neighbours, as a chunk of cuts() may be.
+    """
     all_records = spool(normalised_records(records, files, id_col, tokens_col), "records")
     classes = spool(_classes(all_records), "classes")
-    chunks = spool(chunk_table(classes), "chunks")
-    seen = chunks.where(F.col("roles").bitwiseAND(TRAIN) != 0).select("size", "digest").distinct()
-    mine = chunks.where(F.col("roles").bitwiseAND(EVAL) != 0).join(seen, ["size", "digest"], "left_semi")
-    covered = mine.select("class", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("word")).distinct().groupBy("class").count()
+    of = lambda role: classes.where(F.col("roles").bitwiseAND(role) != 0)
+    windows = lambda df: df.select("class", "words").mapInArrow(_windows, "class binary, at int, digest long")
+    # what a train record repeats whole needs no windows
+    mine = windows(of(EVAL).where(F.col("roles") != TRAIN + EVAL)).join(windows(of(TRAIN)).select("digest").distinct(), "digest", "left_semi")
+    words = F.array_distinct(F.flatten(F.transform(F.collect_list("at"), lambda at: F.sequence(at, at + (SHARED - 1)))))
+    covered = mine.groupBy("class").agg(F.size(words).cast("long").alias("count"))
     of_class = (
-        classes.where(F.col("roles").bitwiseAND(EVAL) != 0)
+        of(EVAL)
         .select("class", F.size("words").cast("long").alias("n_words"), (F.col("roles") == TRAIN + EVAL).alias("same"))
         .join(covered, "class", "left")
         .select("class", "n_words", F.when(F.col("same"), F.col("n_words")).otherwise(F.coalesce("count", F.lit(0))).alias("shared_words"))

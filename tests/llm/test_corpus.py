@@ -196,6 +196,31 @@ def test_cross_split_pairs(spark):
     assert leakage.cross_split_pairs(df.limit(0), manifest).count() == 0
 
 
+def test_overlap_of_unlike_lengths(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(40)}"
+    rows = [(i, 1, [word() for _ in range(rng.choice([6, 9, 18, 25, 40]))]) for i in range(60)]
+    whole = set()
+    for i in range(60, 160):
+        long_ = rng.choice(rows[:60])[2]
+        n = rng.choice([6, 7, 8, 10, 12, 13, 18])
+        at = rng.randrange(max(1, len(long_) - n))
+        part = long_[at : at + n]
+        if i % 2:
+            part = [*(word() for _ in range(rng.randrange(9))), *part[: rng.randrange(2, n)], *(word() for _ in range(rng.randrange(9)))]
+        elif len(part) >= 6:
+            whole.add(i)
+        rows.append((i, 2, part))
+    runs = {tuple(t[k : k + 3]) for _, f, t in rows if f == 1 for k in range(len(t) - 2)}
+    want = {i: (len(t), len({k + j for k in range(len(t) - 2) if tuple(t[k : k + 3]) in runs for j in range(3)})) for i, f, t in rows if f == 2 and len(t) >= 6}
+    df = spark.createDataFrame(rows + rows[-5:], "rec_id long, file_id long, tokens array<string>")
+    manifest = spark.createDataFrame([(1, "a", "train"), (2, "a", "test")], "file_id long, corpus_id string, split_name string")
+    got = leakage.overlap_fractions(df, manifest).collect()
+    assert {r.rec_id: (r.n_words, r.shared_words) for r in got} == want and len(got) == len(want)
+    assert len(whole) > 20 and {r.overlap for r in got if r.rec_id in whole} == {1.0}
+    assert len({s for _, s in want.values()}) > 5
+
+
 KINDS = [
     ("<p>Bonum</p>", {("html", "inline")}),
     ("a < b and c > d; 39 < 42 and 39 > 37", set()),
