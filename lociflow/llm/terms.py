@@ -17,13 +17,17 @@ def term_of(token: Column) -> Column:
 
 
 def postings(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """Rows (term, id, delivery), one for each occurrence of a term (letters a-z only, trimmed and lower-cased).
+    """Rows (term, id, delivery), one for each occurrence of a term (letters a-z only, trimmed and lower-cased) in the
+    first delivery of its id.
 
-    `delivery` tells rows of one id apart. Null tokens, null lists and rows without an id give none.
+    Null tokens, null lists and rows without an id give none. Each task first reduces an id to its first delivery, so an
+    id with many deliveries leaves a row for each task.
     """
+    rows = df.select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tokens"), F.monotonically_increasing_id().alias("delivery"))
     return (
-        df.select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tokens"), F.monotonically_increasing_id().alias("delivery"))
-        .where(F.col("id").isNotNull())
+        rows.where(F.col("id").isNotNull())
+        .groupBy("id")
+        .agg(F.min_by("tokens", "delivery").alias("tokens"), F.min("delivery").alias("delivery"))
         .select(F.explode("tokens").alias("token"), "id", "delivery")
         .select(term_of(F.col("token")).alias("term"), "id", "delivery")
         .where(F.col("term").rlike("^[a-z]+$"))
@@ -80,14 +84,14 @@ def term_frequencies(df: DataFrame, id_col: str = "locus_id", tokens_col: str =
     (those without terms too), else null. A re-delivered row (the same id again) counts once, by its first
     delivery; a row without an id counts as no record. An empty table gives no row.
 
-    Plan: (term, id, delivery) is range-partitioned and sorted by all three, so a hot term spreads over as many
-    partitions as it fills while the rows of one (term, id) stay together; sorting spills to disk. The scan
-    leaves a row for each term and partition, which one small sum joins.
+    Plan: ids are reduced to their first deliveries. (term, id) is then range-partitioned by both, so a hot term spreads
+    over as many partitions as it fills while the rows of one (term, id), being of one record, stay together; sorting
+    spills to disk. The scan leaves a row for each term and partition, which one small sum joins.
     """
     n = df.agg(F.count_distinct(F.col(id_col))).first()[0]
     runs = (
         postings(df, id_col, tokens_col)
-        .repartitionByRange("term", "id", "delivery")
+        .repartitionByRange("term", "id")
         .sortWithinPartitions("term", "id", "delivery")
         .mapInArrow(scan_runs, "term string, occurrences long, records long")
     )

@@ -96,6 +96,22 @@ def test_terms(spark):
     assert terms.term_frequencies(df.limit(0)).count() == 0
 
 
+def test_terms_of_an_id_with_many_deliveries(spark):
+    from pyspark.sql import functions as F
+
+    hot = spark.range(0, 3000, 1, 6).select(F.lit(1).cast("long").alias("locus_id"), F.expr("array('solus', 'bis', 'bis')").alias("tokens"))
+    others = spark.range(2, 30).select(F.col("id").alias("locus_id"), F.expr("array('bis', 'ter')").alias("tokens"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        got = {tuple(r) for r in terms.term_frequencies(hot.unionByName(others)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {("solus", 1, 1, "rare"), ("bis", 30, 29, "common"), ("ter", 28, 28, "common")}
+
+
 @pytest.mark.parametrize("dictionary", [1000, 2])
 @pytest.mark.parametrize("share", [256, 3])
 def test_pairs(spark, monkeypatch, dictionary, share):
