@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.runtime import spool
@@ -200,3 +200,38 @@ def entity_table(adj: DataFrame, id_col: str, entity: str, columns: list[str]) -
     joined = objects.join(scalars, (objects[id_col] == scalars["__i"]) & (objects["node"] == scalars["__p"]), "left")
     picks = [F.max(F.when(F.col("label") == c, F.col("value")))["scalar"].alias(c) for c in columns]
     return joined.groupBy(id_col, "node", "owner", "path").agg(*picks)
+
+
+def entity_pivot(adj: DataFrame, id_col: str, at: Column, first: tuple[str, ...] = ()) -> DataFrame:
+    """The objects whose entity (column `entity`) fulfils `at`, as a flat table: (id, node, owner, path, entity, then one
+    column for each key that has a scalar or null in any of them; `first` in front, there even if no object has it).
+
+    The keys come from the adjacency table; they are distinct labels, sent to the driver. A key that is spelled like a
+    column before it, case aside, gets a number behind it. Cells are null as in entity_table(); the child object or list
+    in their place has a row or rows in the tables of children and list values. A scalar's home is its entity less its
+    label, so objects and scalars meet in one aggregation without a join.
+    """
+    scalar = F.col("kind").isin("s", "n", "b", "z") & F.col("label").isNotNull()
+    home = F.when(F.col("kind") == "o", F.col("entity")).when(scalar, F.expr("substring(entity, 1, length(entity) - length(label) - 1)"))
+    rows = adj.withColumn("entity", home).where("entity is not null").where(at)
+    rows = spool(rows.select(id_col, "node", "parent", "owner", "label", "kind", "scalar", "path", "entity"), "entity")  # read twice, parsed once
+    found = sorted(r[0] for r in rows.where("kind <> 'o'").select("label").distinct().collect())
+    names, used = {}, {id_col.lower(), "node", "owner", "path", "entity"}
+    for label in [*first, *[x for x in found if x not in first]]:
+        name, k = label, 1
+        while name.lower() in used or not name:
+            k += 1
+            name = f"{label}_{k}"
+        used.add(name.lower())
+        names[label] = name
+    is_object = F.col("kind") == "o"
+    of_object = lambda c: F.max(F.when(is_object, F.col(c))).alias(c)
+    value = F.struct("node", "scalar")
+    picks = [F.max(F.when(~is_object & (F.col("label") == label), value))["scalar"].alias(name) for label, name in names.items()]
+    key = F.when(is_object, F.col("node")).otherwise(F.col("parent"))
+    return rows.groupBy(id_col, key.alias("__key")).agg(of_object("node"), *[of_object(c) for c in ("owner", "path", "entity")], *picks).where("node is not null").drop("__key")
+
+
+def list_values(adj: DataFrame, id_col: str) -> DataFrame:
+    """Rows (id, node, parent, owner, ordinal, kind, scalar, path, entity), each once: the scalars that stand in lists."""
+    return adj.where(F.col("ordinal").isNotNull() & F.col("kind").isin("s", "n", "b", "z")).select(id_col, "node", "parent", "owner", "ordinal", "kind", "scalar", "path", "entity").distinct()

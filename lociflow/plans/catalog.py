@@ -23,9 +23,41 @@ def p6_nodes(spark: SparkSession, d: str) -> DataFrame:
     return shred.adjacency(table(spark, d, "receipts"), "receipt_id", "payload").distinct()
 
 
-def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+#: The entities of receipts by their place, positions left out. Checks, tracks and regions also stand as values of
+#: an object whose keys are their names: checks and tracks at the top, regions anywhere.
+ENTITIES = {
+    "cases": "(^|/)cases$",
+    "checks": "(^|/)checks$|^checks/[^/]+$",
+    "sources": "(^|/)sources$",
+    "tracks": "(^|/)tracks$|^tracks/[^/]+$",
+    "regions": "(^|/)regions(/[^/]+)?$",
+    "batches": "(^|/)batches$",
+}
+
+
+def _entity(name: str, *first: str):
+    """The query that pivots the objects of an entity."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        adj = shred.adjacency(table(spark, d, "receipts"), "receipt_id", "payload")
+        return shred.entity_pivot(adj, "receipt_id", F.col("entity").rlike(ENTITIES[name]), first)
+
+    run.__name__ = f"p6_{name}"
+    return run
+
+
+p6_cases, p6_sources, p6_tracks, p6_regions, p6_batches = map(_entity, ("cases", "sources", "tracks", "regions", "batches"))
+p6_checks = _entity("checks", "name", "expected", "observed", "passed")
+
+
+def p6_children(spark: SparkSession, d: str) -> DataFrame:
+    """All objects that none of the entities takes, whatever the layout."""
     adj = shred.adjacency(table(spark, d, "receipts"), "receipt_id", "payload")
-    return shred.entity_table(adj, "receipt_id", "cases/checks", ["name", "expected", "observed", "passed"])
+    return shred.entity_pivot(adj, "receipt_id", ~F.col("entity").rlike("|".join(ENTITIES.values())))
+
+
+def p6_list_values(spark: SparkSession, d: str) -> DataFrame:
+    return shred.list_values(shred.adjacency(table(spark, d, "receipts"), "receipt_id", "payload"), "receipt_id")
 
 
 def ivtff_lexer(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +130,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p6_found, p6_nodes, p6_checks, ivtff_lexer, key_search, key_identifiability, cyclic_matchings, line_lattice, table_readings,
+        p6_found, p6_nodes, p6_cases, p6_checks, p6_sources, p6_tracks, p6_regions, p6_batches, p6_children, p6_list_values, ivtff_lexer, key_search, key_identifiability, cyclic_matchings, line_lattice, table_readings,
         stream_bigrams, stream_windows,
     )
 }

@@ -70,3 +70,34 @@ def test_tables(spark):
     assert (1, "cases/0", "cases/0/checks/1") in links and (1, "cases/0/checks/1", "cases/0/checks/1/expected") in links
     assert (2, "cases", "cases/checks") in links and len(links) == 6
     assert shred.object_links(df.limit(0), "receipt_id", "payload").count() == 0
+
+
+def test_every_object_has_a_row(spark, tmp_path):
+    from lociflow.plans import catalog
+
+    texts = [
+        {"cases": [{"name": "c", "checks": [{"name": "x", "passed": True, "observed": {"folio": "f1", "counts": {"kept": 2}}}, {"name": "y", "observed": [3, "q", None]}]}]},
+        {"checks": {"source_pinned": True, "source_structure": [{"target": "t", "expected": 4, "by_book": {"1": 9}}]}, "freeze": {"files": [{"path": "p", "Path": "q", "sha256": "s"}]}},
+        {"tracks": {"QX": {"regions": {"sun": {"loci": ["a", "b"], "candidates": [{"token": "o", "at": {"line": 1}}]}}}}, "sources": {"source": "s", "tracks": {"L": "A", "pivots": [{"col": 2, "rows": [1]}]}}},
+        {"manual_review": {"batches": [{"name": "b", "feature_status_counts": {"choice": {"PASS": 1}}}, {}]}, "earlier_failures": [{"steps": [{"name": "z"}]}]},
+        [{"cases": {"name": "bare"}}],
+    ]
+    rows = [(i, json.dumps(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows + rows[:2], "receipt_id long, payload string").write.parquet(f"{tmp_path}/receipts.parquet")
+    tables = {n: [r.asDict() for r in catalog.QUERIES[f"p6_{n}"](spark, str(tmp_path)).collect()] for n in [*catalog.ENTITIES, "children", "list_values"]}
+    values = tables.pop("list_values")
+    want = [(i, n[7], n[8]) for i, t in rows for n in shred.nodes(t) if n[5] == "o"]
+    assert sorted((r["receipt_id"], r["path"], r["entity"]) for t in tables.values() for r in t) == sorted(want)
+    paths = {n: sorted(r["path"] for r in t) for n, t in tables.items()}
+    assert paths["checks"] == ["cases/0/checks/0", "cases/0/checks/1", "checks", "checks/source_structure/0"]
+    assert paths["tracks"] == ["sources/tracks", "tracks", "tracks/QX"] and paths["regions"] == ["tracks/QX/regions", "tracks/QX/regions/sun"]
+    assert paths["cases"] == ["0/cases", "cases/0"] and paths["sources"] == ["sources"] and paths["batches"] == ["manual_review/batches/0", "manual_review/batches/1"]
+    checks = {r["path"]: r for r in tables["checks"]}
+    assert (checks["cases/0/checks/0"]["name"], checks["cases/0/checks/0"]["passed"], checks["cases/0/checks/0"]["observed"]) == ("x", "true", None)
+    assert checks["checks"]["source_pinned"] == "true" and (checks["checks/source_structure/0"]["target"], checks["checks/source_structure/0"]["expected"]) == ("t", "4")
+    children = {r["path"]: r for r in tables["children"]}
+    assert children["cases/0/checks/0/observed"]["folio"] == "f1" and children["sources/tracks/pivots/0"]["col"] == "2" and children["earlier_failures/0/steps/0"]["name"] == "z"
+    assert {children["freeze/files/0"][k] for k in ("path_2", "Path_2", "path_3", "Path_3") if k in children["freeze/files/0"]} == {"p", "q"}
+    assert sorted((r["receipt_id"], r["path"], r["scalar"]) for r in values) == sorted(
+        [(0, "cases/0/checks/1/observed/0", "3"), (0, "cases/0/checks/1/observed/1", "q"), (0, "cases/0/checks/1/observed/2", None), (2, "tracks/QX/regions/sun/loci/0", "a"), (2, "tracks/QX/regions/sun/loci/1", "b"), (2, "sources/tracks/pivots/0/rows/0", "1")]
+    )
