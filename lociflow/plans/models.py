@@ -9,6 +9,15 @@ BODIES: dict[str, str] = {}
 #: Relations that a study reads several times; Spark writes them once to the shared folder.
 DERIVED: dict[str, str] = {}
 
+#: Replicates of the reference: permutations of words in lines, bootstrap draws, and nulls of word ends.
+PERMUTATIONS, DRAWS, NULLS = 499, 499, 99
+
+
+def _replicates(n: int) -> str:
+    """The numbers 0 to n - 1 as relation r(r)."""
+    return f"(SELECT i - 1 AS r FROM (SELECT explode_({n}) AS i FROM (VALUES (0)) AS z(z)) AS x) AS r"
+
+
 # symbols of a word with its end; unknown ones (not in train) become '?' before contexts are built
 # Events come from distinct words with their counts, so histories are read off a few types, not off all tokens.
 DERIVED["ngram_events"] = """
@@ -86,12 +95,16 @@ BODIES["unseen_words"] = f"""
 WITH tr AS (SELECT DISTINCT w FROM {{tok}} WHERE split = 'train')
 SELECT m.split, count(*) AS n, count(*) FILTER (WHERE m.w = '?') AS unknown, count(*) FILTER (WHERE tr.w IS NULL) AS unseen FROM {{mapped}} m LEFT JOIN tr ON m.raw = tr.w WHERE m.split <> 'train' GROUP BY m.split"""
 
-BODIES["bootstrap_groups"] = f"""
+def bootstrap_groups(draws: int = DRAWS) -> str:
+    return f"""
 WITH {_BIGRAM}, gs AS (SELECT grp, sum(k * ub) AS u, sum(k * bb) AS b, sum(k) AS n FROM sc WHERE split = 'test' GROUP BY grp),
 num AS (SELECT *, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS k FROM gs),
-draw AS (SELECT r.r, s.i AS slot, cast(conv_(substr(md5('9:' || r.r || ':' || s.i), 1, 8)) AS BIGINT) % s.k AS pick FROM num s CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS r(r))
+draw AS (SELECT r.r, s.i AS slot, cast(conv_(substr(md5('9:' || r.r || ':' || s.i), 1, 8)) AS BIGINT) % s.k AS pick FROM num s CROSS JOIN {_replicates(draws)})
 SELECT d.r, round(sum(n.u - n.b) / sum(n.n), 6) AS gain FROM draw d JOIN num n ON d.pick = n.i GROUP BY d.r"""
 
+
+BODIES["bootstrap_groups"] = bootstrap_groups()
+
 BODIES["leave_one_group_out"] = f"""
 WITH {_BIGRAM}, gs AS (SELECT grp, sum(k * (ub - bb)) AS g, sum(k) AS n FROM sc WHERE split = 'test' GROUP BY grp), t AS (SELECT sum(g) AS g, sum(n) AS n FROM gs)
 SELECT round(min((t.g - gs.g) / (t.n - gs.n)), 6) AS low, round(max((t.g - gs.g) / (t.n - gs.n)), 6) AS high FROM gs CROSS JOIN t WHERE t.n > gs.n"""
@@ -121,11 +134,15 @@ BODIES["same_tail_components"] = f"""
 WITH {_BOUNDARY}, cell AS (SELECT role, substr(w, 2) AS tail, plen, count(*) AS n, count(DISTINCT ini) AS ki, count(DISTINCT fin) AS kf, sum(base_bits - cond_bits) AS observed FROM gain WHERE split = 'test' GROUP BY role, substr(w, 2), plen)
 SELECT ki, kf, count(*) AS cells, cast(sum(n) AS BIGINT) AS n, round(sum(observed), 4) AS observed FROM cell WHERE ki > 1 AND kf > 1 GROUP BY ki, kf"""
 
-BODIES["null_matched"] = f"""
+def null_matched(replicates: int = NULLS) -> str:
+    return f"""
 WITH {_BOUNDARY}, o AS (SELECT role, plen, ini, row_number() OVER (PARTITION BY role, plen ORDER BY locus_id, wp) AS k FROM e WHERE split = 'test'),
-s AS (SELECT r.r, role, plen, fin, row_number() OVER (PARTITION BY r.r, role, plen ORDER BY md5('410:' || r.r || ':' || locus_id || ':' || wp), locus_id, wp) AS k FROM e CROSS JOIN (VALUES (0), (1), (2)) AS r(r) WHERE split = 'test')
+s AS (SELECT r.r, role, plen, fin, row_number() OVER (PARTITION BY r.r, role, plen ORDER BY md5('410:' || r.r || ':' || locus_id || ':' || wp), locus_id, wp) AS k FROM e CROSS JOIN {_replicates(replicates)} WHERE split = 'test')
 SELECT s.r, count(*) AS n, count(*) FILTER (WHERE s.fin = o.ini) AS equal FROM o JOIN s ON o.role = s.role AND o.plen = s.plen AND o.k = s.k GROUP BY s.r"""
 
+
+BODIES["null_matched"] = null_matched()
+
 _MEMORY = """voc AS (SELECT w, count(*) AS c FROM {tok} WHERE split = 'train' GROUP BY w HAVING count(*) >= 2), tn AS (SELECT count(*) AS n FROM {tok} WHERE split = 'train'), vn AS (SELECT count(*) + 1 AS v FROM voc),
 t AS (SELECT k.locus_id, k.split, k.wp, coalesce(voc.w, '?') AS w, (coalesce(voc.c, (SELECT n FROM tn) - (SELECT sum(c) FROM voc)) + 1e-1) / ((SELECT n FROM tn) + 1e-1 * (SELECT v FROM vn)) AS p0 FROM {tok} k LEFT JOIN voc ON k.w = voc.w WHERE k.split IN ('validation', 'test')),
 near AS (SELECT a.locus_id, a.split, a.wp, a.p0, g.width, sum(CASE WHEN a.w = b.w THEN 1e0 ELSE 0e0 END) / nullif(count(b.w), 0) AS kernel FROM t a CROSS JOIN (VALUES (1), (4), (16)) AS g(width)
@@ -137,17 +154,27 @@ BODIES["memory_score"] = f"WITH {_MEMORY} SELECT split, width, round(lam, 2) AS
 BODIES["memory_grid"] = f"""
 WITH {_MEMORY} SELECT width, round(lam, 2) AS lam, round(bits, 6) AS bits FROM (SELECT *, row_number() OVER (ORDER BY round(bits, 9), lam, width) AS k FROM grid WHERE split = 'validation') WHERE k = 1"""
 
-_LINES = """ln AS (SELECT locus_id, wp, w, nw FROM {tok} WHERE paragraph AND excluded = 0 AND NOT coalesce(interrupted, false) AND nw >= 3),
-perm AS (SELECT r.r, locus_id, w, row_number() OVER (PARTITION BY r.r, locus_id ORDER BY md5('408:' || r.r || ':' || locus_id || ':' || wp), wp) - 1 AS wp FROM ln CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS r(r)),
+def _lines(permutations: int = PERMUTATIONS) -> str:
+    return f"""ln AS (SELECT locus_id, wp, w, nw FROM {{tok}} WHERE paragraph AND excluded = 0 AND NOT coalesce(interrupted, false) AND nw >= 3),
+perm AS (SELECT r.r, locus_id, w, row_number() OVER (PARTITION BY r.r, locus_id ORDER BY md5('408:' || r.r || ':' || locus_id || ':' || wp), wp) - 1 AS wp FROM ln CROSS JOIN {_replicates(permutations)}),
 al AS (SELECT -1 AS r, locus_id, w, wp FROM ln UNION ALL SELECT r, locus_id, w, wp FROM perm),
 st AS (SELECT r, locus_id, w, wp, lag(w) OVER (PARTITION BY r, locus_id ORDER BY wp) AS prev FROM al),
 stat AS (SELECT r, count(prev) AS pairs, count(*) FILTER (WHERE w = prev) AS equal, count(*) FILTER (WHERE levenshtein(w, prev) <= 1) AS near, count(*) FILTER (WHERE wp = 0 AND substr(w, 1, 1) IN ('t', 'k', 'p', 'f')) AS gallows FROM st GROUP BY r)"""
 
-BODIES["perm_word_order"] = f"WITH {_LINES} SELECT r, pairs, equal, near, gallows FROM stat"
-BODIES["rank_fraction"] = f"""
-WITH {_LINES} SELECT round((1 + sum(CASE WHEN s.equal >= o.equal THEN 1 ELSE 0 END)) / cast(1 + count(*) AS DOUBLE), 6) AS p_equal, round((1 + sum(CASE WHEN s.near >= o.near THEN 1 ELSE 0 END)) / cast(1 + count(*) AS DOUBLE), 6) AS p_near,
+
+def perm_word_order(permutations: int = PERMUTATIONS) -> str:
+    return f"WITH {_lines(permutations)} SELECT r, pairs, equal, near, gallows FROM stat"
+
+
+def rank_fraction(permutations: int = PERMUTATIONS) -> str:
+    return f"""
+WITH {_lines(permutations)} SELECT round((1 + sum(CASE WHEN s.equal >= o.equal THEN 1 ELSE 0 END)) / cast(1 + count(*) AS DOUBLE), 6) AS p_equal, round((1 + sum(CASE WHEN s.near >= o.near THEN 1 ELSE 0 END)) / cast(1 + count(*) AS DOUBLE), 6) AS p_near,
   round((1 + sum(CASE WHEN s.gallows >= o.gallows THEN 1 ELSE 0 END)) / cast(1 + count(*) AS DOUBLE), 6) AS p_gallows FROM stat s CROSS JOIN (SELECT * FROM stat WHERE r = -1) o WHERE s.r >= 0"""
 
+
+BODIES["perm_word_order"] = perm_word_order()
+BODIES["rank_fraction"] = rank_fraction()
+
 BODIES["perm_expectation"] = """
 WITH ln AS (SELECT locus_id, wp, w, nw FROM {tok} WHERE paragraph AND excluded = 0 AND NOT coalesce(interrupted, false) AND nw >= 3),
 g AS (SELECT locus_id, max(nw) AS n, count(*) FILTER (WHERE substr(w, 1, 1) IN ('t', 'k', 'p', 'f')) AS g FROM ln GROUP BY locus_id),
@@ -210,11 +237,15 @@ BODIES["baseline_plaintext"] = f"""
 WITH {_UNDER_KEY} SELECT round(-sum(va.n * log2((coalesce(tr.n, 0) + 1e-1) / (coalesce(tt.t, 0) + 1e-1 * v.v))) / sum(va.n), 6) AS identity_bits
 FROM va LEFT JOIN tr ON va.h1 = tr.h1 AND va.s = tr.s LEFT JOIN tt ON va.h1 = tt.h1 CROSS JOIN v"""
 
-BODIES["null_tail"] = """
-WITH s AS (SELECT r.r, locus_id, w, row_number() OVER (PARTITION BY r.r, locus_id ORDER BY CASE WHEN wp = 0 THEN '' ELSE md5('408:' || r.r || ':' || locus_id || ':' || wp) END, wp) AS k FROM {tok} CROSS JOIN (VALUES (0), (1), (2)) AS r(r)),
+def null_tail(replicates: int = NULLS) -> str:
+    return f"""
+WITH s AS (SELECT r.r, locus_id, w, row_number() OVER (PARTITION BY r.r, locus_id ORDER BY CASE WHEN wp = 0 THEN '' ELSE md5('408:' || r.r || ':' || locus_id || ':' || wp) END, wp) AS k FROM {{tok}} CROSS JOIN {_replicates(replicates)}),
 p AS (SELECT r, w, lag(w) OVER (PARTITION BY r, locus_id ORDER BY k) AS prev FROM s)
 SELECT r, count(prev) AS pairs, count(*) FILTER (WHERE substr(prev, length(prev), 1) = substr(w, 1, 1)) AS same_unit FROM p GROUP BY r"""
 
+
+BODIES["null_tail"] = null_tail()
+
 BODIES["null_same_tail"] = f"""
 WITH {_BOUNDARY}, cell AS (SELECT *, substr(w, 2) AS tail FROM e WHERE split = 'test'),
 ok AS (SELECT role, tail, plen FROM cell GROUP BY role, tail, plen HAVING count(DISTINCT ini) > 1 AND count(DISTINCT fin) > 1),
