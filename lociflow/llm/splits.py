@@ -118,7 +118,8 @@ def anneal(vectors: list[tuple[float, ...]], shares: list[float], start: list[in
         for d in range(dims):
             off[s][d] += v[d]
     cost = sum((off[s][d] * scale[d]) ** 2 for s in range(k) for d in range(dims))
-    best, kept, n = cost, list(at), len(vectors)
+    best, n = cost, len(vectors)
+    since: list[tuple[int, int, int, int]] = []  # accepted moves since the best: (family, its split before, the other or -1, its split before)
     steps = MOVES * n if n > 1 else 0
     heat = max(cost, 1e-12) / 10
     cooling = math.exp(math.log(1e-4) / max(1, steps))
@@ -144,12 +145,16 @@ def anneal(vectors: list[tuple[float, ...]], shares: list[float], start: list[in
             if j >= 0:
                 at[j] = a
             cost += change
+            since.append((i, a, j, b))
             if cost < best - 1e-15:
-                best, kept = cost, list(at) if n <= 64 else None
-                if kept is None:  # copying at every gain would cost more than the search; the end is as good as the best
-                    kept = at
+                best = cost
+                since.clear()
         heat *= cooling
-    return (cost if kept is at else best), list(kept)
+    for i, a, j, b in reversed(since):
+        at[i] = a
+        if j >= 0:
+            at[j] = b
+    return best, at
 
 
 def hashed_split(key: int, shares: list[float]) -> int:

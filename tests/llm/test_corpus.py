@@ -73,6 +73,24 @@ def test_assignment_keeps_families_and_shares(spark):
     assert splits.assign_splits(df.limit(0), "locus_id", splits.locus_ties(), F.lit("A"), ["A"], {"a": 1, "b": 1}).count() == 0
 
 
+def test_annealing_returns_its_best(monkeypatch):
+    # the search is cut after each number of moves; its walk is the same up to there, so the best never rises
+    rng = random.Random(4)
+    vectors = [(float(rng.randrange(1, 9)), float(rng.randrange(3))) for _ in range(100)]
+    shares = [0.7, 0.1, 0.2]
+    target = [[p * sum(v[d] for v in vectors) for d in range(2)] for p in shares]
+    start = [rng.randrange(3) for _ in vectors]
+    ends = []
+    monkeypatch.setattr(splits.math, "exp", lambda x: 0.5 if x < 0 else 1.0)  # half of the moves uphill are taken: the end is not the best
+    for moves in (1, 2, 4, 8):
+        monkeypatch.setattr(splits, "MOVES", moves)
+        cost, at = splits.anneal(vectors, shares, start, 7, target)
+        sums = [[sum(v[d] for v, x in zip(vectors, at) if x == s) for d in range(2)] for s in range(3)]
+        assert abs(splits.deviation(sums, target) - cost) < 1e-9
+        ends.append(cost)
+    assert ends == sorted(ends, reverse=True)
+
+
 def test_long_chain(spark):
     edges = spark.range(500).selectExpr("xxhash64(id) as a", "xxhash64(id + 1) as b").selectExpr("least(a, b) as u", "greatest(a, b) as v")
     labels = splits.connected(edges).collect()
