@@ -2,14 +2,15 @@
 
 A text goes through four passes: opaque regions (code, formulas, comments, transcription marks) are set aside; the
 events of the standard library's streaming HTML parser give tags and references; lines and inline marks of the other
-families follow; then everything set aside returns in one plain notation. Lines of page furniture are found by their
-text-to-tag ratio, smoothed with a Gaussian and cut at a threshold.
+families follow; then everything set aside returns in one plain notation. Content regions are selected in every text by
+the text-to-tag ratio of its lines, smoothed with a Gaussian and cut at a threshold.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
@@ -28,8 +29,9 @@ _TAGS |= {t: ITEM for t in "ul ol dl li dt dd list item".split()}
 _TAGS |= {t: TABLE for t in "table tr td th thead tbody tfoot caption colgroup col row cell".split()}
 _TAGS |= {t: CODE for t in "pre listing xmp eg syntaxhighlight".split()}
 _TAGS |= {t: FORMULA for t in "math formula".split()}
-_BLOCKS = frozenset("p div ul ol dl list table section article header footer nav main body html lg blockquote quote ab".split())
-_DROPPED = frozenset("script style del figure".split())
+_BLOCKS = frozenset("p div ul ol dl list table section article header footer nav main body html lg blockquote quote ab figure".split())
+_SILENT_TO_END = frozenset("script style".split())  # their text goes if they are closed at all
+_READINGS, _CORRECTIONS = frozenset("sic orig abbr".split()), frozenset("corr reg expan".split())
 _BARE_ATTRIBUTES = "reversed|border|compact|nowrap|checked|disabled|hidden|selected|noshade|ismap|open|required|multiple|async|defer|itemscope"
 _LISTS = frozenset("itemize enumerate description list".split())
 _TABLES = frozenset("tabular tabular* tabularx tabulary longtable table table* array".split())
@@ -44,7 +46,8 @@ _TAG = re.compile(
     r"</?[A-Za-z][\w:-]*(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>=`]+)|\s+(?:" + _BARE_ATTRIBUTES + r")(?=[\s/>]))*\s*/?>"
 )
 _LOCUS = re.compile(r"<(?:%|\$|-|~|f(?:\d+[rvRV]?\d*|[Rr]os)(?:\.[\w.]+)?(?:[,;][^<>\s]*)?|![^-<>][^<>]*|!>|@[A-Z]=[^<>]*)>|@\d{1,3};", re.A)
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_OPEN_COMMENT = re.compile(r"<!--((?:(?!\n[ \t]*\n).)*)", re.S)  # never closed: a mark before text
 _DECLARATION = re.compile(r"<!DOCTYPE\b[^<>]*>|<\?[A-Za-z][^<>]*\?>|<!\[CDATA\[.*?\]\]>", re.S | re.I)
 _PRE = re.compile(r"<(pre|listing|xmp|eg|syntaxhighlight|source(?=\s+lang))\b([^<>]*)>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
 _CODE = re.compile(r"<(code|tt|kbd|samp|nowiki)\b[^<>]*>(.*?)</\1\s*>", re.S | re.I)
@@ -61,14 +64,12 @@ _AMOUNT = re.compile(r"\d[\d.,]*(?:\s[^\\^_=+]*)?", re.S)  # a price and what fo
 _BRACKET = re.compile(r"\\\[(.+?)\\\]", re.S)
 _PAREN = re.compile(r"\\\((.+?)\\\)", re.S)
 _REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|([A-Za-z][A-Za-z0-9]{1,31}));")
-_OPENERS = re.compile(f"[<`~$\\\\@{S}{E}]")
+_OPENERS = re.compile(r"[<`~$\\@]")
 _ANY = re.compile(r"[<>&*_`#\[{$\\|~@]|''|^[;:=]|^[ \t]*(?:[-+]|\d+[.)])[ \t]|^[ \t]*[-=]{3,}[ \t]*$|[" + S + E + "]", re.M)
 
-# an emphasis is sought over 1,000 characters of its line: longer ones occur in no markup, unclosed marks do
 _WIKI_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*\n(.*?)(?:^[ \t]*\|\}|\Z)", re.S | re.M)
 _WIKI_HEAD = re.compile(r"^(={1,6})[ \t]*([^=\s](?:[^\n]*?[^=\s])?)[ \t]*\1[ \t]*$", re.M)
 _WIKI_LIST = re.compile(r"^[;:]+[*#;:]*[ \t]*(?=\S)", re.M)
-_QUOTES = re.compile(r"(?<![\d'])('{5}|'{3}|'{2})(?=[^\s'])([^\n]{0,1000}?[^\s'])\1(?!')")
 _WIKI_LINK = re.compile(r"\[\[(?![\d,\s\[\]]*\]\])([^\[\]\n]+)\]\]")
 _TEMPLATE = re.compile(r"\{\{([^{}]+)\}\}")
 _WIKI_OUTER = re.compile(r"\[(?:https?|ftp)://[^\s\]]+(?:[ \t]+([^\]\n]+))?\](?!\()")
@@ -92,15 +93,56 @@ _LIST = re.compile(r"^([ \t]*)(?:[*+-]+|(\d{1,9})[.)])[ \t]+(?:\[[ xX]\][ \t]+)?
 _QUOTE = re.compile(r"^[ ]{0,3}>[ \t]?(?=\S)", re.M)
 _LINK = re.compile(r"(!?)\[([^\[\]\n]*)\]\([^()\s]*(?:[ \t]+\"[^\"\n]*\")?\)|\[\^[\w-]+\]:?")
 _REF_LINK = re.compile(r"\[([^\[\]\n]+)\]\[([\w -]+)\](?!\w)")
-_STARS = re.compile(r"(?<![\w*])(\*{1,3})(?=[^\s*])([^\n]{0,1000}?[^\s*])\1(?![\w*])")
-_LOW = re.compile(r"(?<![\w])(_{1,3})(?=[^\s_])([^\n]{0,1000}?[^\s_])\1(?!\w)")
-_STRIKE = re.compile(r"~~(?=[^\s~])([^\n]{0,1000}?[^\s~])~~")
+_BLANK_LINE = re.compile(r"\n[ \t]*\n")
 _ANCHOR = re.compile(r"<a\b[^<>]*>(.*?)</a\s*>", re.I)
 
 
+#: What an emphasis is written with: the lengths of its marks, and what may not stand before the opening mark and after
+#: the closing one.
+_EMPHASIS = {
+    "*": ((1, 2, 3), re.compile(r"[\w*]"), re.compile(r"[\w*]")),
+    "_": ((1, 2, 3), re.compile(r"\w"), re.compile(r"\w")),
+    "'": ((2, 3, 5), re.compile(r"[\d']"), re.compile(r"'")),
+    "~": ((2,), re.compile(r"~"), re.compile(r"~")),
+}
+
+
+def emphasised(text: str, mark: str, put) -> tuple[str, int]:
+    """The text with `put()` in place of each pair of marks that enclose words of one line, and the number of pairs.
+
+    Marks are runs of the sign, of a length that the sign allows; a pair has equal lengths, no blank inside its marks, and
+    begins at the first mark that opens. What stands between is left for the next call. A line costs in proportion to
+    its marks: the closing ones are looked up by length, so marks that nothing closes cost no more than others.
+    """
+    sizes, before, after = _EMPHASIS[mark]
+    lines, pairs = text.split("\n"), 0
+    for k, line in enumerate(lines):
+        if mark * sizes[0] not in line:
+            continue
+        runs = [m.span() for m in re.finditer(re.escape(mark) + "+", line) if m.end() - m.start() in sizes]
+        closing: dict[int, list[int]] = {n: [] for n in sizes}
+        for r, (a, b) in enumerate(runs):
+            if a > 0 and not line[a - 1].isspace() and not (b < len(line) and after.match(line[b])):
+                closing[b - a].append(r)
+        out, pos, r = [], 0, 0
+        while r < len(runs):
+            a, b = runs[r]
+            if b < len(line) and not line[b].isspace() and not (a > 0 and before.match(line[a - 1])):
+                ends = closing[b - a]
+                e = bisect_right(ends, r)
+                if e < len(ends):
+                    c, d = runs[ends[e]]
+                    out += (line[pos:a], put(), line[b:c])
+                    pos, r, pairs = d, ends[e], pairs + 1
+            r += 1
+        if out:
+            lines[k] = "".join(out) + line[pos:]
+    return "\n".join(lines), pairs
+
+
 def content_lines(text_len: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Which lines belong to content regions: characters of text for each tag of the line, smoothed with a Gaussian,
-    in the upper cluster, that is above the standard deviation of the smoothed ratios."""
+    in the upper cluster, that is not below the standard deviation of the smoothed ratios."""
     ratio = text_len / np.maximum(1, tags)
     x = np.arange(-2, 3)
     kernel = np.exp(-(x**2) / (2 * sigma**2))
@@ -108,6 +150,21 @@ def content_lines(text_len: np.ndarray, tags: np.ndarray, sigma: float = 1.0) ->
     return smooth >= smooth.std()
 
 
+def furniture(lines: list[str]) -> list[int]:
+    """Lines of page furniture: outside the content regions, and themselves of nothing but link texts and signs.
+
+    The text of a line, for its ratio, is what stands outside links: a line of links has none, whatever its length. In a
+    text without tags, or whose lines are all alike, all is content; no word outside a link is ever in such a line.
+    """
+    tags = np.array([len(_TAG.findall(x)) if "<" in x else 0 for x in lines])
+    linked = [k for k in np.flatnonzero(tags >= 2) if _ANCHOR.search(lines[k])]
+    if not linked:
+        return []
+    own = [_ASIDE.sub("", _TAG.sub("", _ANCHOR.sub("", x) if k in linked else x)).strip() for k, x in enumerate(lines)]
+    content = content_lines(np.array([sum(map(str.isalnum, x)) for x in own]), tags)
+    return [k for k in linked if not content[k] and not any(map(str.isalnum, own[k]))]
+
+
 class _Events(HTMLParser):
     """Takes the parser's events and leaves the text, with structure set aside."""
 
@@ -116,23 +173,38 @@ class _Events(HTMLParser):
     def __init__(self, doc: _Document) -> None:
         super().__init__(convert_charrefs=False)
         self.doc, self.out = doc, []
-        self.silent: list[str] = []
-        self.choice = 0
+        self.open: list[tuple[str, int]] = []  # elements whose text may go: name, place in out
+        self.choices: list[tuple[list[tuple[int, int]], list[bool]]] = []  # readings of each open choice; whether it has a correction
 
     def element(self, tag: str) -> str:
         kind = _TAGS.get(tag.rpartition(":")[2], INLINE)
         self.doc.kinds.add((HTML, kind))
         return kind
 
+    def block(self) -> None:
+        """The border of a block: an element to be dropped that is still open here was never closed and keeps its text."""
+        self.open = [x for x in self.open if x[0] in _SILENT_TO_END]
+        while self.choices:
+            self.choose()
+
+    def choose(self) -> None:
+        """End of a choice: its readings go if there is a correction; without one they are all there is."""
+        readings, corrected = self.choices.pop()
+        if corrected:
+            for a, b in reversed(readings):
+                del self.out[a:b]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         kind = self.element(tag)
-        if tag in _DROPPED or (self.choice and tag in ("sic", "orig", "abbr")):
-            self.silent.append(tag)
-        if self.silent:
-            return
         put = self.doc.aside
-        if tag == "choice":
-            self.choice += 1
+        if tag in _BLOCKS or kind == HEAD:
+            self.block()
+        if tag in _SILENT_TO_END or tag == "del" or (self.choices and tag in _READINGS):
+            self.open.append((tag, len(self.out)))
+        elif self.choices and tag in _CORRECTIONS:
+            self.choices[-1][1].append(True)
+        elif tag == "choice":
+            self.choices.append(([], []))
         elif kind == HEAD:
             self.out.append(put("\n\n" + "#" * (int(tag[1]) if tag[1:].isdigit() else 2) + " "))
         elif tag in ("li", "item", "dt", "dd"):
@@ -148,26 +220,32 @@ class _Events(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.element(tag)
-        if not self.silent and tag in ("br", "lb", "hr", "p"):
+        if tag in ("br", "lb", "hr", "p"):
             self.out.append(self.doc.aside("\n"))
 
     def handle_endtag(self, tag: str) -> None:
         kind = self.element(tag)
-        if self.silent:
-            if tag in self.silent:
-                del self.silent[self.silent.index(tag) :]
-            return
         put = self.doc.aside
-        if tag == "choice":
-            self.choice = max(0, self.choice - 1)
+        if tag in _BLOCKS or kind == HEAD:
+            self.block()
+        if (at := next((k for k in reversed(range(len(self.open))) if self.open[k][0] == tag), None)) is not None:
+            start = self.open[at][1]
+            del self.open[at:]
+            if tag in _READINGS and self.choices:
+                self.choices[-1][0].append((start, len(self.out)))
+            else:
+                del self.out[start:]
+        elif tag == "choice" and self.choices:
+            self.choose()
         elif kind == HEAD or tag in _BLOCKS:
             self.out.append(put("\n\n"))
         elif tag in ("td", "th", "cell"):
             self.out.append(put(" |"))
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
-            self.out.append(data)
+        if self.open and "\n" in data and _BLANK_LINE.search(data):
+            self.block()
+        self.out.append(data)
 
     def handle_charref(self, name: str) -> None:
         self.reference(f"&#{name};")
@@ -177,8 +255,7 @@ class _Events(HTMLParser):
 
     def reference(self, source: str) -> None:
         self.doc.kinds.add((HTML, INLINE))
-        if not self.silent:
-            self.out.append(self.doc.aside(html.unescape(source).replace("\xa0", " ")))
+        self.out.append(self.doc.aside(html.unescape(source).replace("\xa0", " ")))
 
 
 class _Document:
@@ -187,6 +264,7 @@ class _Document:
     def __init__(self) -> None:
         self.kinds: set[tuple[str, str]] = set()
         self.kept: list[str] = []
+        self.dropped: set[str] = set()
         self.absent: set[str] = set()
 
     def aside(self, s: str) -> str:
@@ -228,7 +306,12 @@ class _Document:
 
     def region(self, text: str, i: int, c: str) -> tuple[str, int] | None:
         if c == "<":
-            if m := _COMMENT.match(text, i) or _DECLARATION.match(text, i):
+            if text.startswith("<!--", i):
+                if self.closes(text, "-->", i) and (m := _COMMENT.match(text, i)):
+                    return self.found(HTML, INLINE, ""), m.end()
+                m = _OPEN_COMMENT.match(text, i)
+                return self.found(HTML, INLINE, m[1].strip()), m.end()
+            if m := _DECLARATION.match(text, i):
                 return self.found(HTML, INLINE, ""), m.end()
             if m := _LOCUS.match(text, i):
                 return self.aside(m.group()), m.end()
@@ -270,27 +353,22 @@ class _Document:
             if m := _VERB.match(text, i):
                 return self.found(TEX, INLINE, m[2]), m.end()
             return (text[i : i + 2], i + 2) if i + 1 < len(text) and text[i + 1] in "\\$" else None
-        return self.aside(c), i + 1  # a noncharacter of the text's own
+        return None
 
     def tags(self, text: str) -> str:
-        """The parser's events; lines of links with few words beside their tags are page furniture and go."""
+        """The parser's events. Lines outside the content regions are marked here and go when all passes have seen them."""
         lines = text.split("\n")
-        if len(lines) >= 8:
-            tags = np.array([len(_TAG.findall(x)) for x in lines])
-            if tags.sum() >= 8:
-                size = np.array([len(_TAG.sub("", x).strip()) for x in lines])
-                content = content_lines(size, tags)
-                for k in np.flatnonzero(~content & (tags >= 2) & (size > 0)):
-                    if sum(len(_TAG.sub("", x)) for x in _ANCHOR.findall(lines[k])) >= 0.8 * size[k]:
-                        for t in re.findall(r"</?([A-Za-z][\w:-]*)", lines[k]):
-                            self.kinds.add((HTML, _TAGS.get(t.lower(), INLINE)))
-                        lines[k] = ""
-                text = "\n".join(lines)
+        for k in furniture(lines):
+            mark = self.aside("")
+            self.dropped.add(mark)
+            lines[k] += mark
+        text = "\n".join(lines)
         # what isn't a reference is no event
         text = re.sub(r"(?<!\\)&", lambda m: "&" if (r := _REFERENCE.match(text, m.start())) and (not r[1] or r[1] + ";" in html5) else self.aside("&"), text)
         events = _Events(self)
         events.feed(text)
         events.close()
+        events.block()
         return "".join(events.out)
 
     def latex(self, text: str) -> str:
@@ -311,10 +389,9 @@ class _Document:
         text = _TEX_ITEM.sub(lambda m: self.found(TEX, ITEM, "\n- " + (m[1] + " " if m[1] else "")), text)
         text = _TEX_HEAD.sub(lambda m: self.found(TEX, HEAD, "\n\n## ") + m[2] + self.aside("\n\n"), text)
         text = _TEX_GROUP.sub(lambda m: self.found(TEX, INLINE, "") + m[1], text)
-        for _ in range(4):  # arguments within arguments, the inner first
+        n = 1
+        while n:  # arguments within arguments, the inner first
             text, n = _TEX_ARG.subn(lambda m: self.found(TEX, INLINE, "") + ("" if m[1] in _SILENT else m[2]), text)
-            if not n:
-                break
         text = _TEX_BARE.sub(lambda m: self.found(TEX, INLINE, ""), text)
         return _TEX_SIGN.sub(lambda m: self.found(TEX, INLINE, m[1] or m[2] or "\n"), text)
 
@@ -351,16 +428,14 @@ class _Document:
             text = _WIKI_HEAD.sub(lambda m: self.found(WIKI, HEAD, "\n" + "#" * len(m[1]) + " ") + m[2] + self.aside("\n"), text)
         text = _WIKI_LIST.sub(lambda m: self.found(WIKI, ITEM, "- "), text)
         if "''" in text:
-            for _ in range(2):
-                text = _QUOTES.sub(lambda m: self.found(WIKI, INLINE, "") + m[2], text)
+            text = self.emphasis(text, WIKI, "'")
         if "[" in text:
             text = _WIKI_LINK.sub(link, text)
             text = _WIKI_OUTER.sub(lambda m: self.found(WIKI, INLINE, "") + (m[1] or ""), text)
         if "{{" in text:
-            for _ in range(4):
+            n = 1
+            while n:
                 text, n = _TEMPLATE.subn(template, text)
-                if not n:
-                    break
         if "__" in text or "~~~" in text:
             text = _MAGIC.sub(lambda m: self.found(WIKI, INLINE, ""), text)
         return text
@@ -377,15 +452,19 @@ class _Document:
         if ">" in text:
             text = _QUOTE.sub(lambda m: self.found(MD, INLINE, ""), text)
         if "[" in text:
-            for _ in range(2):  # an image in a link comes first
-                text = _LINK.sub(lambda m: self.found(MD, INLINE, "") + (m[2] or ""), text)
+            n = 1
+            while n:  # an image in a link comes first
+                text, n = _LINK.subn(lambda m: self.found(MD, INLINE, "") + (m[2] or ""), text)
             text = _REF_LINK.sub(lambda m: self.found(MD, INLINE, "") + m[1], text)
-        for mark, pattern in (("*", _STARS), ("_", _LOW)):
+        for mark in "*_~":
             if mark in text:
-                for _ in range(2):
-                    text = pattern.sub(lambda m: self.found(MD, INLINE, "") + m[2], text)
-        if "~~" in text:
-            text = _STRIKE.sub(lambda m: self.found(MD, INLINE, "") + m[1], text)
+                text = self.emphasis(text, MD, mark)
+        return text
+
+    def emphasis(self, text: str, family: str, mark: str) -> str:
+        n = 1
+        while n:  # emphasis within emphasis, the outer first
+            text, n = emphasised(text, mark, lambda: self.found(family, INLINE, ""))
         return text
 
     def pipe_tables(self, text: str) -> str:
@@ -428,10 +507,11 @@ class _Document:
         return "".join(out)
 
     def restored(self, text: str) -> str:
-        for _ in range(8):  # things set aside may hold others
+        if self.dropped:
+            text = "\n".join("" if any(m.group() in self.dropped for m in _ASIDE.finditer(x)) else x for x in text.split("\n"))
+        n = 1
+        while n:  # things set aside may hold others, set aside before them
             text, n = _ASIDE.subn(lambda m: self.kept[int(m[1])], text)
-            if not n:
-                break
         return text
 
 
@@ -439,6 +519,16 @@ def convert(text: str | None) -> tuple[str | None, list[tuple[str, str]]]:
     """The clean text and the kinds of markup found, sorted pairs (family, element)."""
     if not text or not _ANY.search(text):
         return text, []
+    own = [c for c in (S, E) if c in text]
+    if own:  # the marks' own characters stand aside for others that the text lacks
+        spare = [c for c in map(chr, range(0xFDD2, 0xFDF0)) if c not in text]
+        swap = list(zip(own, spare)) + [(c, "\ufffd") for c in own[len(spare) :]]
+        for c, x in swap:
+            text = text.replace(c, x)
+        clean, kinds = convert(text)
+        for c, x in swap:
+            clean = clean.replace(x, c) if x != "\ufffd" else clean
+        return clean, kinds
     doc = _Document()
     body = doc.opaque(text)
     if "<" in body or "&" in body:
