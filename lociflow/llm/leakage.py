@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,52 +17,69 @@ from lociflow.runtime import broadcast_if_small, spool
 #: A pair qualifies with one word edit in so many words of the longer list, and from so many words in each on.
 EDIT_SHARE, LEAST = 8, 6
 TRAIN, EVAL = 1, 2
-#: Words in a row that a train record must have too for them to count as overlap; the least chunk size of layers().
+#: Words of a chunk; also the words in a row that a train record must have too for them to count as overlap.
 SHARED = 3
+#: Chunks that a task counts at once, those it names frequent, and how many of the most frequent all tasks are told of.
+#: What is called frequent sets the order in which chunks are chosen, never whether a pair is found.
+COUNTED, OFTEN, HOT = 1 << 20, 4, 1 << 17
 
 
-def run_length(n: int) -> int:
-    """Words that two lists, the longer of n words and within n // 8 edits, share in a row at least: the edits cut the
-    words left standing into one run more than there are edits, and the longest run is no shorter than the mean."""
-    d = n // EDIT_SHARE
-    return -(-(n - d) // (d + 1))
+def most_edits(n: int) -> int:
+    """Word edits that a list of n words and a partner of any length may be apart: one in EDIT_SHARE words of the longer,
+    which is no longer than n * EDIT_SHARE / (EDIT_SHARE - 1)."""
+    return n // (EDIT_SHARE - 1)
 
 
-def layers(n: int) -> list[int]:
-    """Chunk sizes at which a list of n words is cut. A partner's longer length is between n and 8 n / 7; each
-    such length promises a common run of r words, 4 to 6 being told apart, in which a chunk of r - 1 words is
-    found by both sides (see cuts())."""
-    longest = n * EDIT_SHARE // (EDIT_SHARE - 1)
-    return sorted({min(run_length(m), 6) - 1 for m in range(max(n, EDIT_SHARE), longest + 1)})
+def prefix(n: int) -> int:
+    """Chunks, the rarest first, of which any two lists within the allowed edits have one in common at matching places.
+
+    An edit changes at most SHARED of a list's chunks, so with d edits all but SHARED * d stand in both lists, at places
+    that the edits explain. Of those the first by the common order has at most SHARED * d others before it in either
+    list, and so is among the first SHARED * d + 1 of both.
+    """
+    return SHARED * most_edits(n) + 1
 
 
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A rolling hash over every window of `size` words; none where the list is shorter."""
-    if len(words) < size:
-        return np.empty(0, np.uint64)
-    h = np.zeros(len(words) - size + 1, np.uint64)
+def chunk_hashes(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A rolling hash over every SHARED words of many lists laid end to end: (list number, place in it, digest)."""
+    ends = np.cumsum(lengths)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    n = max(0, len(words) - SHARED + 1)
+    h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(size):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k]
+        for k in range(SHARED):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : n + k]
             h ^= h >> np.uint64(29)
-    return h
-
-
-def cuts(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Content-defined chunks of `size` words: (positions, digests).
-
-    A rolling hash runs over all windows of `size` words; of any two neighbouring windows the one with the lower
-    hash is a chunk. So any size + 1 words that two lists share in a row give the same chunk in both, wherever they stand.
-    """
-    h = window_hashes(words, size)
-    if len(h) < 2:
-        return np.arange(len(h)), h
-    low = h[:-1] <= h[1:]
-    pick = np.zeros(len(h), bool)
-    pick[:-1] |= low
-    pick[1:] |= ~low
-    at = np.flatnonzero(pick)
-    return at, h[at]
+    at = np.arange(n)
+    inside = at + SHARED <= ends[row[:n]] if n else np.empty(0, bool)
+    row, at = row[:n][inside], at[inside]
+    return row, at - (ends - lengths)[row], h[inside]
+
+
+def chosen(row: np.ndarray, digest: np.ndarray, lengths: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which chunks of the lists are cut out: those of which less than prefix() others of the list come before them by the
+    common order, which goes by the digest for all but the frequent ones; these, the ascending digests `hot[0]` with their
+    ranks `hot[1]`, come last, the most frequent at the end."""
+    order = digest >> np.uint64(1)
+    if len(hot[0]):
+        k = np.minimum(np.searchsorted(hot[0], digest), len(hot[0]) - 1)
+        order = np.where(hot[0][k] == digest, np.uint64(1 << 63) + hot[1][k], order)
+    by = np.lexsort((order, row))
+    r, o = row[by], order[by]
+    first = np.ones(len(by), bool)  # of its list; of its equals
+    first[1:] = r[1:] != r[:-1]
+    start = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+    first[1:] |= o[1:] != o[:-1]
+    before = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0)) - start
+    limit = SHARED * (lengths // (EDIT_SHARE - 1)) + 1
+    out = np.zeros(len(by), bool)
+    out[by] = before < limit[r]
+    return out
+
+
+def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the lengths of its lists; null lists are empty."""
+    return col.flatten(), pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class _Words(dict):
@@ -80,19 +98,22 @@ class _Words(dict):
 def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            b = batch.slice(at, 2048)
-            keep, lists, digests = [], [], []
-            for i, tokens in enumerate(b.column(2).to_pylist()):
-                words = np.array([h for t in tokens or () if t is not None and (h := known[t])], np.uint64)
-                if len(words) >= LEAST:
-                    keep.append(i)
-                    lists.append(words.view(np.int64))
-                    digests.append(xxhash.xxh3_128_digest(words.tobytes()))
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["rec", "role", "class", "words"]
-            )
+        for at in range(0, batch.num_rows, 8192):
+            b = batch.slice(at, 8192)
+            tokens, lengths = _lists(b.column(2))
+            coded = tokens.dictionary_encode()
+            hashes = np.array([0, *[0 if w is None else known[w] for w in coded.dictionary.to_pylist()]], np.uint64)
+            words = hashes[pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False) + 1]
+            row = np.repeat(np.arange(b.num_rows), lengths)[words != 0]
+            words = words[words != 0]
+            n = np.bincount(row, minlength=b.num_rows)
+            words = words[n[row] >= LEAST]
+            take = np.flatnonzero(n >= LEAST)
+            offsets = np.concatenate([[0], np.cumsum(n[take])]).astype(np.int32)
+            raw = words.tobytes()
+            digests = [xxhash.xxh3_128_digest(raw[8 * x : 8 * y]) for x, y in zip(offsets.tolist(), offsets[1:].tolist())]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array(digests, pa.binary()), lists], ["rec", "role", "class", "words"])
 
 
 def role_of(split_name: Column) -> Column:
@@ -102,7 +123,7 @@ def role_of(split_name: Column) -> Column:
 
 
 def normalised_records(records: DataFrame, files: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """Rows (rec, role, class, words), each once: records of files with a split and of LEAST words or more, normalised.
+    """Rows (rec, role, class, words): records of files with a split and of LEAST words or more, normalised.
 
     Words are compared after NFKD, case folding and removal of combining marks and outer blanks; words then null or
     empty are dropped. `words` are 64-bit hashes of them, `class` a 128-bit digest of the list.
@@ -111,34 +132,62 @@ def normalised_records(records: DataFrame, files: DataFrame, id_col: str, tokens
     own = records.where(F.col(id_col).isNotNull()).select("file_id", F.col(id_col).alias("rec"), F.col(tokens_col).alias("tokens"))
     source = own.join(broadcast_if_small(roles, roles.count()), "file_id").select("rec", "role", "tokens")
     id_type = source.schema["rec"].dataType.simpleString()
-    return source.mapInArrow(_normalised, f"rec {id_type}, role int, class binary, words array<long>").dropDuplicates(["rec", "role", "class"])
+    return source.mapInArrow(_normalised, f"rec {id_type}, role int, class binary, words array<long>")
+
 
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests that come up OFTEN or more in COUNTED chunks, with their counts."""
+    held, total = [], 0
+
+    def out() -> pa.RecordBatch:
+        digest, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= OFTEN
+        return pa.RecordBatch.from_arrays([pa.array(digest[often].view(np.int64)), pa.array(n[often])], ["digest", "n"])
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 2048):
-            b = batch.slice(start, 2048)
-            owner, size, place, digest, length = [], [], [], [], []
-            for i, words in enumerate(b.column(2).to_pylist()):
-                n = len(words)
-                list_ = np.array(words, np.int64).view(np.uint64)
-                for k in layers(n):
-                    at, h = cuts(list_, k)
-                    owner.append(np.full(len(at), i))
-                    size.append(np.full(len(at), k, np.int32))
-                    length.append(np.full(len(at), n, np.int32))
-                    place.append(at.astype(np.int32))
-                    digest.append(h.view(np.int64))
-            if owner:
-                own = pa.array(np.concatenate(owner), pa.int64())
+        for at in range(0, batch.num_rows, 8192):
+            words, lengths = _lists(batch.column(0).slice(at, 8192))
+            held.append(chunk_hashes(words.to_numpy().view(np.uint64), lengths)[2])
+            total += len(held[-1])
+            if total >= COUNTED:
+                yield out()
+                held, total = [], 0
+    if total:
+        yield out()
+
+
+def frequent_chunks(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The HOT most frequent chunks at most, as ascending digests and their ranks by count."""
+    counted = classes.select("words").mapInArrow(_frequent, "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n"))
+    rows = sorted(tuple(r) for r in counted.orderBy(F.desc("n"), "digest").limit(HOT).select("n", "digest").collect())
+    digest = np.array([d for _, d in rows], np.int64).view(np.uint64)
+    by = np.argsort(digest)
+    return digest[by], by.astype(np.uint64)
+
+
+def _cutter(hot):
+    """Worker: (key, roles, words) to the chosen chunks, each once for a list; a chunk that a list repeats has no place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 8192):
+                b = batch.slice(start, 8192)
+                words, lengths = _lists(b.column(2))
+                row, at, digest = chunk_hashes(words.to_numpy().view(np.uint64), lengths)
+                keep = chosen(row, digest, lengths, hot.value)
+                row, at, digest = row[keep], at[keep], digest[keep]
+                by = np.lexsort((digest, row))
+                row, at, digest = row[by], at[by], digest[by]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])
+                once = new & np.append(new[1:], True)
+                place = np.where(once, at, -1)[new].astype(np.int32)
+                own = pa.array(row[new])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(own), b.column(1).take(own), *[pa.array(np.concatenate(x)) for x in (size, digest, place, length)]], ["class", "roles", "size", "digest", "at", "n"]
+                    [b.column(0).take(own), b.column(1).take(own), pa.array(digest[new].view(np.int64)), pa.array(place), pa.array(lengths[row[new]].astype(np.int32))], ["key", "roles", "digest", "at", "n"]
                 )
 
-
-def chunk_table(classes: DataFrame) -> DataFrame:
-    """Rows (class, roles, size, digest, at, n): the chunks of each class of equal word lists."""
-    return classes.select("class", "roles", "words").mapInArrow(_chunks, "class binary, roles int, size int, digest long, at int, n int")
+    return run
 
 
 def word_distance(a: list[int], b: list[int], most: int) -> int:
@@ -181,33 +230,39 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _classes(records: DataFrame) -> DataFrame:
-    return records.groupBy("class").agg(F.bit_or("role").alias("roles"), F.first("words").alias("words"))
+    """One row for each distinct word list; `key` is a short name of the class, which two classes may share by chance."""
+    return records.groupBy("class").agg(F.bit_or("role").alias("roles"), F.first("words").alias("words")).withColumn("key", F.xxhash64("class"))
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Rows (t, e), each once: classes of train and of evaluation records that share a chunk at places and with lengths
-    that the allowed edits can explain. Classes are told apart by role before they are cut."""
-    side = lambda role, x: chunk_table(classes.where(F.col("roles").bitwiseAND(role) != 0)).select("size", "digest", F.col("class").alias(x), F.col("at").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"))
+    """Rows (t, e), each once: keys of classes of train and of evaluation records that share a chosen chunk at places and
+    with lengths that the allowed edits can explain."""
+    hot = classes.sparkSession.sparkContext.broadcast(frequent_chunks(classes))
+    chunks = spool(classes.select("key", "roles", "words").mapInArrow(_cutter(hot), "key long, roles int, digest long, at int, n int"), "chunks")
+    side = lambda role, x: chunks.where(F.col("roles").bitwiseAND(role) != 0).select("digest", F.col("key").alias(x), F.col("at").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"))
     most = F.floor(F.greatest("n_t", "n_e") / EDIT_SHARE)
-    near = (F.abs(F.col("n_t") - F.col("n_e")) <= most) & (F.abs(F.col("at_t") - F.col("at_e")) <= most)
-    return side(TRAIN, "t").join(side(EVAL, "e"), ["size", "digest"]).where((F.col("t") != F.col("e")) & near).select("t", "e").distinct()
+    longer, later = F.col("n_t") - F.col("n_e"), F.col("at_t") - F.col("at_e")
+    unplaced = (F.col("at_t") < 0) | (F.col("at_e") < 0)
+    near = (F.abs(longer) <= most) & (unplaced | (F.abs(later) + F.abs(longer - later) <= most))
+    return side(TRAIN, "t").join(side(EVAL, "e"), "digest").where((F.col("t") != F.col("e")) & near).select("t", "e").distinct()
 
 
 def cross_split_pairs(records: DataFrame, files: DataFrame, id_col: str = "rec_id", tokens_col: str = "tokens") -> DataFrame:
     """Rows (rec_a, rec_b), rec_a < rec_b: one record of a train file and one of an evaluation file (dev, validation,
     test) whose word lists, of six words or more each, are at most one word edit in eight words of the longer apart.
 
-    All such pairs come out: copies by their class, near copies because the chunks of cuts() leave no pair
-    out (see run_length()). Files without a split take no part; a record given twice counts once; null token lists and
-    records without id or file give nothing. Equal lists are one class throughout, so a group of copies costs as
-    one record until the last join, in which its pairs, being the result, are written out.
+    All such pairs come out: copies by their class, near copies because the chunks chosen leave no pair out (see
+    prefix()). Files without a split take no part; a record given twice counts once; null token lists and records
+    without id or file give nothing. Equal lists are one class throughout, so a group of copies costs as one record
+    until the last join, in which its pairs, being the result, are written out. A phrase that many records have is
+    among the last chunks chosen, so records that share nothing else do not meet.
     """
     all_records = spool(normalised_records(records, files, id_col, tokens_col), "records")
     classes = spool(_classes(all_records), "classes")
     pairs = candidate_pairs(classes.where(F.size("words") >= EDIT_SHARE - 1))
-    words = lambda x: classes.select(F.col("class").alias(x), F.col("words").alias(f"w_{x}"))
-    near = pairs.join(words("t"), "t").join(words("e"), "e").select("t", "e", "w_t", "w_e").mapInArrow(_verified, "t binary, e binary")
-    members = all_records.select("rec", "role", "class")
+    words = lambda x: classes.select(F.col("key").alias(x), F.col("class").alias(f"c_{x}"), F.col("words").alias(f"w_{x}"))
+    near = pairs.join(words("t"), "t").join(words("e"), "e").select(F.col("c_t").alias("t"), F.col("c_e").alias("e"), "w_t", "w_e").mapInArrow(_verified, "t binary, e binary")
+    members = all_records.select("rec", "role", "class").distinct()
     of = lambda role, x: members.where(F.col("role") == role).select(F.col("class").alias(x), F.col("rec").alias(f"r_{x}"))
     both = classes.where(F.col("roles") == TRAIN + EVAL).select(F.col("class").alias("t"), F.col("class").alias("e"))
     out = near.unionByName(both).join(of(TRAIN, "t"), "t").join(of(EVAL, "e"), "e")
@@ -217,13 +272,11 @@ def cross_split_pairs(records: DataFrame, files: DataFrame, id_col: str = "rec_i
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 2048):
-            b = batch.slice(start, 2048)
-            lists = [window_hashes(np.array(words, np.int64).view(np.uint64), SHARED) for words in b.column(1).to_pylist()]
-            if lists:
-                own = pa.array(np.repeat(np.arange(len(lists)), [len(h) for h in lists]), pa.int64())
-                place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in lists])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(own), pa.array(place), pa.array(np.concatenate(lists).view(np.int64))], ["class", "at", "digest"])
+        for start in range(0, batch.num_rows, 8192):
+            b = batch.slice(start, 8192)
+            words, lengths = _lists(b.column(1))
+            row, at, digest = chunk_hashes(words.to_numpy().view(np.uint64), lengths)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(digest.view(np.int64))], ["class", "at", "digest"])
 
 
 def overlap_fractions(records: DataFrame, files: DataFrame, id_col: str = "rec_id", tokens_col: str = "tokens") -> DataFrame:
@@ -231,8 +284,8 @@ def overlap_fractions(records: DataFrame, files: DataFrame, id_col: str = "rec_i
     more which some train record has too, as a share of its words; 1 for a record that stands whole in a train record.
     Records of less than six words and of files without a split have no row.
 
-    Both sides are cut at every window of SHARED words, whatever their lengths: any longer shared chunk consists of such
-    windows, and none is lost at an edge or by its neighbours, as a chunk of cuts() may be.
+    Both sides are cut at every chunk of SHARED words, whatever their lengths: any longer shared passage consists of such
+    chunks, and none is lost at an edge.
     """
     all_records = spool(normalised_records(records, files, id_col, tokens_col), "records")
     classes = spool(_classes(all_records), "classes")
@@ -248,7 +301,7 @@ def overlap_fractions(records: DataFrame, files: DataFrame, id_col: str = "rec_i
         .join(covered, "class", "left")
         .select("class", "n_words", F.when(F.col("same"), F.col("n_words")).otherwise(F.coalesce("count", F.lit(0))).alias("shared_words"))
     )
-    out = all_records.where(F.col("role") == EVAL).select(F.col("rec").alias(id_col), "class").join(of_class, "class")
+    out = all_records.where(F.col("role") == EVAL).select(F.col("rec").alias(id_col), "class").distinct().join(of_class, "class")
     return out.select(id_col, "n_words", "shared_words", (F.col("shared_words") / F.col("n_words")).alias("overlap")).distinct()
 
 

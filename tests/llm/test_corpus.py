@@ -178,7 +178,7 @@ def test_chunks_leave_no_pair_out():
     import numpy as np
 
     rng = random.Random(4)
-    for _ in range(4000):
+    for _ in range(3000):
         n = rng.randrange(8, 90)
         a = [rng.randrange(1, 1 << 40) for _ in range(n)]
         b = list(a)
@@ -194,9 +194,35 @@ def test_chunks_leave_no_pair_out():
         most = max(len(a), len(b)) // 8
         if leakage.word_distance(a, b, most) > most:
             continue
-        cut = lambda x: {(k, int(h), int(at)) for k in leakage.layers(len(x)) for at, h in zip(*leakage.cuts(np.array(x, np.uint64), k))}
-        x, y = cut(a), cut(b)
-        assert any(k == k2 and h == h2 and abs(p - q) <= most for k, h, p in x for k2, h2, q in y)
+        lists = np.array(a + b, np.uint64)
+        lengths = np.array([len(a), len(b)])
+        row, at, digest = leakage.chunk_hashes(lists, lengths)
+        hot = np.unique(rng.sample(digest.tolist(), rng.randrange(len(digest))))
+        hot = (hot.astype(np.uint64), np.array(rng.sample(range(len(hot)), len(hot)), np.uint64))
+        keep = leakage.chosen(row, digest, lengths, hot)
+        assert all(np.bincount(row[keep], minlength=2) <= [leakage.prefix(len(a)), leakage.prefix(len(b))])
+        x, y = ([(int(h), int(p)) for h, p in zip(digest[keep & (row == k)], at[keep & (row == k)])] for k in (0, 1))
+        longer = len(a) - len(b)
+        assert any(h == h2 and abs(p - q) + abs(longer - (p - q)) <= most for h, p in x for h2, q in y)
+
+
+def test_pairs_of_repeated_words(spark):
+    # few words, so chunks recur within a list and across lists, and a phrase that every list has
+    rng = random.Random(12)
+    rows = []
+    for i in range(260):
+        t = list(rng.choice(rows)[2]) if rows and rng.random() < 0.5 else ["in", "the", "name", "of"] + [rng.choice("ab") for _ in range(rng.randrange(3, 24))]
+        if rng.random() < 0.7:
+            k = rng.randrange(len(t))
+            t[k : k + rng.randrange(2)] = [rng.choice("abc")]
+        rows.append((i, 1 + i % 2, t))
+    rows += [(300 + k, 1 + k % 2, ["la"] * n) for k, n in enumerate([7, 8, 9, 40, 45, 46, 3000, 3001])]
+    want = {(min(i, j), max(i, j)) for (i, f, a), (j, g, b) in combinations(rows, 2) if f != g and max(len(a), len(b)) < 100 and min(len(a), len(b)) > 5 and 8 * distance(a, b) <= max(len(a), len(b))}
+    want.add((306, 307))
+    df = spark.createDataFrame(rows, "rec_id long, file_id long, tokens array<string>")
+    manifest = spark.createDataFrame([(1, "a", "train"), (2, "a", "test")], "file_id long, corpus_id string, split_name string")
+    got = leakage.cross_split_pairs(df, manifest).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
 
 
 def test_cross_split_pairs(spark):
@@ -300,6 +326,39 @@ def test_clean_text():
     markup.convert("<" * 20000 + "*" * 20000 + "[[" * 9000 + "$" * 3000 + "\\[" * 3000 + "`" * 999)
 
 
+def test_no_text_is_lost():
+    clean = lambda s: markup.convert(s)[0]
+    assert clean("a <del>gone</del> b <del>stays\n\nnext</p> words") == "a  b stays\n\nnext\n\n words"
+    assert clean("x <script>y stays") == "x y stays" and clean("x <style>p</style>z") == "x z"
+    assert clean("one <!-- two *a*\n\n**b**") == "one two *a*\n\nb" and clean("a<!-- b -->c") == "ac"
+    assert clean("<figure><p>picture</p><head>Caption</head></figure>") == "picture\n\n## Caption"
+    assert clean("a <choice><sic>wrd</sic></choice> b") == "a wrd b"
+    assert clean("<choice><abbr>etc</abbr><expan>et cetera</expan></choice>") == "et cetera"
+    assert clean("<choice><orig>u</orig><reg>v</reg>") == "v"
+
+
+def test_nesting_without_end():
+    clean = lambda s: markup.convert(s)[0]
+    assert clean("\\emph{" * 60 + "x" + "}" * 60) == "x"
+    assert clean("a" + "{{t|" * 40 + "x" + "}}" * 40 + "b") == "ab"
+    assert clean("**a *b __c ''d ~~e~~ d'' c__ b* a**") == "a b c d e d c b a"
+    assert clean("*" + "word " * 3000 + "end*") == "word " * 3000 + "end"
+    assert clean("\ufdd05\ufdd1 *a*") == "\ufdd05\ufdd1 a"
+
+
+def test_content_regions_at_every_size():
+    nav = '<a href="1">Home</a> | <a href="2">News of the day and of the week</a>'
+    prose = "Prose of some length stands here, without any tag in it, and goes on."
+    for lines in (2, 3, 4, 9):
+        for words in (3, 6, 40):
+            clean, kinds = markup.convert("\n".join([nav] * lines + [prose] * words))
+            assert clean.count("Prose") == words and clean.count("Home") <= 1 and kinds == [("html", "inline")]
+    assert markup.convert(nav)[0] == "Home | News of the day and of the week"
+    assert markup.convert("\n".join([nav] * 5))[0].count("Home") == 5  # nothing but links: nothing to tell them from
+    titled = "\n".join(["<h2>Title</h2>", nav, nav, nav, *[prose] * 5])
+    assert markup.convert(titled)[0].startswith("## Title")
+
+
 def test_markup_rows(spark):
     df = spark.createDataFrame([(1, "**a** <b>x</b>", "c1", 1), (1, "**a** <b>x</b>", "c1", 2), (2, None, "[[c2]]", 3), (3, "", None, 4)], "paragraph_id long, text string, chapter_id string, kinds int")
     got = sorted(tuple(r) for r in markup.markup_kinds(df, "paragraph_id", ["text", "chapter_id"]).collect())
