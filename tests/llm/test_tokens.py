@@ -1,3 +1,4 @@
+import random
 import os
 
 import pytest
@@ -84,18 +85,57 @@ def test_pieces_query(spark):
     assert [r.doc_id for r in chunking.oversized(df, limit=1024, overlap=64).collect()] == [1]
 
 
-@given(st.lists(st.integers(1, 64), max_size=200), st.integers(0, 5))
-@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=120), st.integers(0, 5))
+@settings(max_examples=60, deadline=None)
 def test_packing_is_whole_and_fits(sizes, seed):
-    bins = packing.pack(sizes, 64, seed)
-    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in b) <= 64 for b in bins)
-    assert len(bins) <= 2 * -(-sum(sizes) // 64)
+    start = packing.settle(sizes, 64, 1, seed)
+    end = packing.evolve(start, sizes, 64, str(seed))
+    for p in (*start, *end):
+        assert sorted(i for b in p.bins for i in b) == list(range(len(sizes)))
+        assert [64 - sum(sizes[i] for i in b) for b in p.bins] == p.free and min(p.free) >= 0
+        assert packing.Packing.of(p.places(), sizes, 64).bins == [sorted(b) for b in p.bins]
+    assert packing.least_bins(sizes, 64) <= len(end[0].bins) <= len(start[0].bins)
+
+
+def test_least_bins_is_a_bound():
+    rng = random.Random(8)
+
+    def exact(sizes, bins=()):
+        if not sizes:
+            return len(bins)
+        best = exact(sizes[1:], (*bins, sizes[0]))
+        for k, b in enumerate(bins):
+            if b + sizes[0] <= 20:
+                best = min(best, exact(sizes[1:], (*bins[:k], b + sizes[0], *bins[k + 1 :])))
+        return best
+
+    met = 0
+    for _ in range(150):
+        sizes = sorted((rng.randrange(3, 21) for _ in range(rng.randrange(1, 8))), reverse=True)
+        most = exact(sizes)
+        assert packing.least_bins(sizes, 20) <= most
+        met += packing.least_bins(sizes, 20) == most > -(-sum(sizes) // 20)
+    assert met > 10  # the bound of the sum alone is not met there
+
+
+def test_search_beats_best_fit():
+    # bins cut exactly: best fit of falling sizes needs more, the search finds the packing without a gap
+    rng = random.Random(21)
+    sizes = []
+    for _ in range(60):
+        cut = sorted(rng.sample(range(1, 1000), 3))
+        sizes += [b - a for a, b in zip([0, *cut], [*cut, 1000])]
+    sizes += [20] * 3  # and three for a bin more
+    islands = [packing.settle(sizes, 1000, k, 1) for k in range(4)]
+    fit = len(islands[0][0].bins)
+    for r in range(12):
+        islands = [packing.evolve([*island, islands[k - 1][0]], sizes, 1000, f"{k}:{r}", 60) for k, island in enumerate(islands)]
+    assert min(len(island[0].bins) for island in islands) <= fit and packing.least_bins(sizes, 1000) == 61
 
 
 def test_packing_rows(spark):
     df = spark.createDataFrame([(k, s, "c") for k, s in enumerate([0, None, 5, 64, 65, 200, 30, 34, 34, 30])], "doc_id long, n int, container string")
-    rows = packing.pack_sized(df, 10, "doc_id", "n", 64).collect()
+    rows = packing.pack_sized(df, "doc_id", "n", 64).collect()
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
@@ -106,4 +146,26 @@ def test_packing_rows(spark):
         if r.container is not None:
             fill[r.container] = fill.get(r.container, 0) + r["size"]
     assert max(fill.values()) <= 64 and len(fill) == 8  # 462 tokens in 8 containers of 64
-    assert packing.pack_sized(df.limit(0), 0, "doc_id", "n", 64).count() == 0
+    assert packing.pack_sized(df.limit(0), "doc_id", "n", 64).count() == 0
+
+
+def test_packing_islands(spark):
+    # many copies of one row, blocks that don't meet the bound at once, and the same result whatever the partitions
+    rng = random.Random(5)
+    sizes = [(k, rng.choice([31, 33, 34, 21, 22, 12, 97])) for k in range(300)] + [(9999, 40)] * 700
+    df = spark.createDataFrame(sizes, "doc_id long, n int")
+    out = []
+    for parts in (3, 7):
+        rows = [tuple(r) for r in packing.pack_sized(df.repartition(parts), "doc_id", "n", 64, block_items=128, islands=3).collect()]
+        out.append(sorted(rows))
+        fill, pieces = {}, {}
+        for i, part, start, size, c in rows:
+            fill[c] = fill.get(c, 0) + size
+            pieces[i] = pieces.get(i, 0) + size
+        assert max(fill.values()) <= 64 and sum(fill.values()) == sum(s for _, s in sizes)
+        assert pieces[9999] == 40 * 700 and len(rows) == 1000 + sum(s > 64 for _, s in sizes)
+        blocks = {}
+        for i, *_, c in rows:
+            blocks.setdefault(c >> 32, []).append(i)
+        assert max(map(len, blocks.values())) < 250
+    assert out[0] == out[1]
