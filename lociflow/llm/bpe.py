@@ -28,6 +28,8 @@ _WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: A coarser cut, of which every piece is a whole number of pre-tokens: letters, numbers and signs stay together.
 PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: Bits of an id in the key of a pair; a vocabulary with more entries is refused.
+ID_BITS = 20
 #: Entries of the per-worker memo; about 150 bytes each.
 MEMO = 300_000
 #: Rows handed to Python at once by the operators here; texts may be long.
@@ -86,6 +88,8 @@ class Encoder:
     """Ids of texts by one vocabulary."""
 
     def __init__(self, keys: list[bytes], hashed: PerfectHash | None = None) -> None:
+        if len(keys) > 1 << ID_BITS:
+            raise ValueError(f"more than {1 << ID_BITS} entries")
         self.keys = keys
         self.hash = hashed or PerfectHash(keys)
         self._pre = regex.compile(PATTERN)
@@ -93,12 +97,12 @@ class Encoder:
         ids = dict(zip(keys, range(len(keys))))  # for the two tables below only
         find = ids.get
         self._byte = [ids[bytes([b])] for b in range(256)]
-        # every way to put an entry together from two entries: left << 16 | right -> entry, which is also its rank
+        # every way to put an entry together from two entries: left << ID_BITS | right -> entry, which is also its rank
         self._pairs: dict[int, int] = {}
         for i, k in enumerate(keys):
             for at in range(1, len(k)):
                 if (a := find(k[:at])) is not None and (b := find(k[at:])) is not None:
-                    self._pairs[a << 16 | b] = i
+                    self._pairs[a << ID_BITS | b] = i
 
     def find(self, piece: bytes) -> int:
         """The id of a byte string in the vocabulary, or -1."""
@@ -112,11 +116,11 @@ class Encoder:
         came up; a position is void where its pair has another rank by now. A rank below the present one,
         which a merge may bring up, goes first.
         """
-        get, n = self._pairs.get, len(piece)
+        get, n, bits = self._pairs.get, len(piece), ID_BITS
         ids = [self._byte[b] for b in piece]
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         at: dict[int, list[int]] = {}
-        for i, r in enumerate(map(get, [a << 16 | b for a, b in zip(ids, ids[1:])])):
+        for i, r in enumerate(map(get, [a << bits | b for a, b in zip(ids, ids[1:])])):
             if r is not None:
                 if r in at:
                     at[r].append(i)
@@ -129,21 +133,21 @@ class Encoder:
             todo = sorted(at.pop(r))
             for done, i in enumerate(todo):
                 j = right[i]
-                if j >= n or (a := ids[i]) < 0 or get(a << 16 | ids[j]) != r:
+                if j >= n or (a := ids[i]) < 0 or get(a << bits | ids[j]) != r:
                     continue
                 ids[i], ids[j] = r, -1
                 right[i] = k = right[j]
                 low = r
                 if k < n:
                     left[k] = i
-                    if (x := get(r << 16 | ids[k])) is not None:
+                    if (x := get(r << bits | ids[k])) is not None:
                         if x in at:
                             at[x].append(i)
                         else:
                             at[x] = [i]
                             heapq.heappush(heap, x)
                             low = x
-                if (h := left[i]) >= 0 and (x := get(ids[h] << 16 | r)) is not None:
+                if (h := left[i]) >= 0 and (x := get(ids[h] << bits | r)) is not None:
                     if x in at:
                         at[x].append(h)
                     else:

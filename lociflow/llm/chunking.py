@@ -67,7 +67,7 @@ def boundaries(names: list[str], text: str, parts: list[int] = ()) -> tuple[np.n
         else:
             gap = nxt if i + 2 >= len(names) or not names[i + 2].isspace() else nxt + names[i + 2]
             if breaks := gap.count("\n"):
-                kind[i] = 0 if _HEADING.match(text[ends[i] : ends[i] + 200]) else 1 if breaks > 1 else 2
+                kind[i] = 0 if _HEADING.match(text, int(ends[i])) else 1 if breaks > 1 else 2
             else:
                 kind[i] = 3 if last in _ENDS and _SENTENCE_END.search(this) else 4
     return np.array(kind, np.int8), ends
@@ -99,8 +99,9 @@ def plan(sizes: list[int], kind: np.ndarray, limit: int, overlap: int) -> list[t
     starts_all = np.concatenate([[0], all_cuts])
     back = np.searchsorted(total[starts_all], at - overlap, side="right") - 1
     begin = np.where(cuts == 0, 0, starts_all[np.maximum(back, 0)])
-    wasted = at - total[begin] > 2 * overlap  # no boundary near: repeat nothing rather than much
-    begin = np.where(wasted, cuts, begin)
+    # no boundary near: the overlap opens inside a sentence or a run, at the last unit that leaves it
+    far = at - total[begin] > 2 * overlap
+    begin = np.where(far, np.maximum(begin, np.searchsorted(total, at - overlap, side="right") - 1), begin)
     m = len(cuts)
     f, prev = np.full(m, np.inf), np.zeros(m, np.int64)
     f[0] = 0
@@ -133,19 +134,53 @@ def split_text(enc: Encoder, text: str, limit: int, overlap: int) -> list[tuple[
     names, sizes, parts = units(enc, text)
     kind, ends = boundaries(names, text, parts)
     offset, total, part = np.concatenate([[0], ends]), np.concatenate([[0], np.cumsum(sizes)]), np.array(parts, np.int64)
-    within = limit
-    while True:
+
+    def made(spans: list[tuple[int, int, int]]) -> tuple[list, int]:
         out, most = [], 0
-        for first, last, new in plan(sizes, kind, within, overlap):
+        for first, last, new in spans:
             a, b = int(offset[first]), int(offset[last])
             n = int(total[last] - total[first])
-            if np.searchsorted(part, last) > np.searchsorted(part, first):  # the counts of its parts needn't add up
+            # the counts of parts needn't add up, nor those of a piece that opens or ends inside a run
+            if np.searchsorted(part, last) > np.searchsorted(part, first) or (first and first not in safe):
                 n = enc.count(text[a:b])
             most = max(most, n)
             out.append((a, b, int(offset[new]), n, KINDS[kind[last - 1]] if last < len(names) else "end"))
-        if most <= limit or within < 128:
+        return out, most
+
+    safe = {0, *(np.flatnonzero(kind >= 0) + 1).tolist()}
+    within = limit
+    while within >= max(128, 2 * overlap + 1):
+        out, most = made(plan(sizes, kind, within, overlap))
+        if most <= limit:
             return out
         within -= most - limit + 16
+    return made(by_counting(enc, text, offset, limit, overlap))[0]
+
+
+def by_counting(enc: Encoder, text: str, offset: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+    """Pieces as in plan(), by counting the tokens of each: the most units that fit, the overlap in units that fit too.
+    For texts of which the counts of units say too little about the counts of pieces."""
+    spans, new, n = [], 0, len(offset) - 1
+    count = lambda a, b: enc.count(text[int(offset[a]) : int(offset[b])])
+    while new < n:
+        first = new
+        while spans and first > spans[-1][0] + 1 and count(first, new) < overlap and count(first - 1, new + 1) <= limit:
+            first -= 1
+        low, step = new + 1, 1
+        while low < n and count(first, min(n, low + step)) <= limit:
+            low, step = min(n, low + step), 2 * step
+        high = min(n, low + step)
+        while low < high:
+            mid = (low + high + 1) // 2
+            if count(first, mid) <= limit:
+                low = mid
+            else:
+                high = mid - 1
+        while low > new + 1 and count(first, low) > limit:
+            low -= 1
+        spans.append((first, low, new))
+        new = low
+    return spans
 
 
 def split_oversized(
@@ -154,7 +189,8 @@ def split_oversized(
     """Rows (id, piece, start, end, new_from, n_tokens, boundary, text) of the texts of more than `limit` tokens.
 
     `piece` counts from 0; `start` and `end` are offsets in characters, and the text from `new_from` on is new, what
-    stands before it repeats the end of the piece before (about `overlap` tokens, from a boundary on). `boundary` is what
+    stands before it repeats the end of the piece before (about `overlap` tokens, from a boundary on, or inside a sentence
+    where none is near). `boundary` is what
     the piece ends at: heading, paragraph, line, sentence, word, forced (inside a run without blanks) or end. A text
     within the limit, an empty and a null text give no row. Each text is handled whole, in its own row: no shuffle.
     A row given twice comes out twice.

@@ -77,6 +77,45 @@ def test_pieces_prefer_better_boundaries(enc):
     assert set(kinds) <= {"heading", "paragraph", "end"}
 
 
+def test_overlap_without_boundaries(enc):
+    # runs of signs and of blanks hold no sentence or word for long; the overlap is there all the same
+    for text in ("word" + " " * 9000 + "".join(chr(0x4E00 + k % 3000) for k in range(4000)), "ab" * 9000 + " end", "=-" * 30000):
+        pieces = chunking.split_text(enc, text, 512, 64)
+        assert "".join(text[new:end] for _, end, new, _, _ in pieces) == text and len(pieces) > 2
+        assert all(n == enc.count(text[a:b]) <= 512 for a, b, _, n, _ in pieces)
+        repeated = [enc.count(text[a:new]) for a, _, new, _, _ in pieces[1:]]
+        assert min(repeated) >= 32 and max(repeated) <= 320
+
+
+def test_long_heading(enc):
+    title = "# " + "a title of very many words " * 30
+    kinds = [k for *_, k in chunking.split_text(enc, ("Some prose. " * 40 + "\n\n" + title.strip() + "\n\n") * 6, 512, 32)]
+    assert "heading" in kinds
+    under = "A line " * 60 + "\n======\n"
+    names, sizes, parts = chunking.units(enc, "One.\n" + under)
+    kind, _ = chunking.boundaries(names, "One.\n" + under, parts)
+    assert chunking.KINDS[kind[0]] == "heading"
+
+
+@given(st.lists(st.sampled_from(["word ", "\n", "x" * 700, " " * 900, "\u3000" * 300, "🙂" * 90]), min_size=1, max_size=60))
+@settings(max_examples=40, deadline=None)
+def test_pieces_by_counting(enc, parts):
+    text = "".join(parts)
+    names, _, _ = chunking.units(enc, text)
+    offset = [0]
+    for x in names:
+        offset.append(offset[-1] + len(x))
+    spans = chunking.by_counting(enc, text, offset, 256, 32)
+    assert [n for _, _, n in spans] == [0, *[last for _, last, _ in spans[:-1]]] and spans[-1][1] == len(names)
+    assert all(enc.count(text[offset[a] : offset[b]]) <= 256 and a <= n < b for a, b, n in spans)
+
+
+def test_vocabulary_beyond_the_key_width(monkeypatch):
+    monkeypatch.setattr(bpe, "ID_BITS", 8)
+    with pytest.raises(ValueError):
+        bpe.Encoder([bytes([k]) for k in range(256)] + [b"ab"])
+
+
 def test_pieces_query(spark):
     big = "one two three. " * 2000
     df = spark.createDataFrame([(1, big, "p"), (2, "short", "q"), (3, None, "r"), (4, "", None)], "doc_id long, text string, piece string")
