@@ -21,8 +21,8 @@ from lociflow.runtime import BROADCAST_ROWS, broadcast_if_small, spool
 HEAVY_SHARE = 256
 #: ... and among the so many most frequent ones: the bit matrix has that many lines at most.
 HEAVY_MAX = 1024
-#: Records in one bit matrix.
-BLOCK = 1 << 16
+#: Records in one bit matrix, and postings held for it: whichever comes first ends a block.
+BLOCK, POSTINGS = 1 << 16, 1 << 22
 #: Pair keys kept before they are counted and handed on.
 KEYS = 1 << 21
 
@@ -99,20 +99,21 @@ def _counter(heavy: int, vocabulary=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if vocabulary is None else pa.array(vocabulary.value, pa.string())
-        counts, rows, items, total = _Counts(), [], [], 0
+        counts, rows, items, total, held = _Counts(), [], [], 0, 0
         for b in batches:
-            col = b.column(0)
-            row = pc.list_parent_indices(col).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = pc.list_flatten(col)
-            item = pc.index_in(flat, value_set=known) if known is not None else flat
-            ok = pc.is_valid(item).to_numpy(zero_copy_only=False)
-            item = item.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-            rows.append(row[ok] + total)
-            items.append(item)
-            total += b.num_rows
-            if total >= BLOCK:
-                yield from count_block(*_sorted(rows, items), total, heavy, counts)
-                rows, items, total = [], [], 0
+            for at in range(0, b.num_rows, 1024):
+                col = b.column(0).slice(at, 1024)
+                lengths = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+                row, flat = np.repeat(np.arange(len(col)), lengths), col.flatten()
+                item = pc.index_in(flat, value_set=known) if known is not None else flat
+                ok = pc.is_valid(item).to_numpy(zero_copy_only=False)
+                item = item.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+                rows.append(row[ok] + total)
+                items.append(item)
+                total, held = total + len(col), held + len(item)
+                if total >= BLOCK or held >= POSTINGS:
+                    yield from count_block(*_sorted(rows, items), total, heavy, counts)
+                    rows, items, total, held = [], [], 0, 0
         if total:
             yield from count_block(*_sorted(rows, items), total, heavy, counts)
         yield from counts.flush()

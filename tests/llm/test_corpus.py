@@ -134,6 +134,8 @@ def test_terms_of_an_id_with_many_deliveries(spark):
 @pytest.mark.parametrize("share", [256, 3])
 def test_pairs(spark, monkeypatch, dictionary, share):
     monkeypatch.setattr(pairs, "HEAVY_SHARE", share)
+    if share == 3:  # blocks end by their postings
+        monkeypatch.setattr(pairs, "POSTINGS", 40)
     rng = random.Random(5)
     names = [f"{a}{b}" for a in "abcdef" for b in "xyz"]
     rows = []
