@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from random import Random
 
 import pandas as pd
@@ -13,10 +14,12 @@ from lociflow.runtime import spool
 
 #: A family larger than the whole divided by this is placed before all others; there are at most so many.
 GREAT = 4096
+#: A tie of more than the whole divided by this is hot; there are fewer than so many.
+HOT = 1024
 #: Families that one task anneals.
 SHARD = 20_000
-#: Replicas of the search in each shard, and moves of each per family.
-REPLICAS, MOVES = 2, 4
+#: Replicas of the search for the great families and in each shard, and moves of each per family.
+GREAT_REPLICAS, REPLICAS, MOVES = 8, 2, 4
 
 
 def _tie(kind: str, *parts: Column) -> Column:
@@ -167,6 +170,16 @@ def hashed_split(key: int, shares: list[float]) -> int:
     return len(shares) - 1
 
 
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (id, tie) with the root of their tie."""
+    ties = spool(members.groupBy("tie").agg(F.count("*").alias("n")), "ties")
+    whole = ties.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = roots.join(ties.where(F.col("n") * HOT > whole).select("tie"), "tie", "left_semi")  # HOT rows at most
+    met = members.join(F.broadcast(hot.select("tie", F.col("root").alias("hot_root"))), "tie", "left")
+    seldom = met.where("hot_root is null").select("id", "tie").join(roots, "tie").select("id", "root")
+    return met.where("hot_root is not null").select("id", F.col("hot_root").alias("root")).unionByName(seldom)
+
+
 def assign_splits(
     df: DataFrame,
     id_col: str,
@@ -180,16 +193,17 @@ def assign_splits(
     `labels` (values of `label`; others and null count as the rest) spread likewise.
 
     The search starts from a hash of the family. Families larger than a GREAT-th of all records, of which there are
-    GREAT at most, are annealed first in one task; the rest in shards of about `shard` families by hash, each against its
-    part of what the great ones leave. Each shard runs REPLICAS of the search and keeps the best. A record given twice
-    counts once. An empty table gives no row.
+    GREAT at most, are annealed first, each replica in a task of its own; the rest in shards of about `shard` families by
+    hash, each against its part of what the great ones leave. The best replica counts, in each shard and for the great
+    ones. Records of a hot tie, of which there are a bounded number, learn their root by a broadcast join, the others by
+    a shuffled one, so no task takes all records of a tie. A record given twice counts once. An empty table gives no row.
     """
     names = list(shares)
     part = [shares[n] / sum(shares.values()) for n in names]
     members, roots = families(df.withColumn("__label", label), id_col, ties)
     dims = ["size", *[f"n{k}" for k in range(len(labels))]]
     once = df.select(F.col(id_col).alias("id"), label.alias("label")).where("id is not null").groupBy("id").agg(F.min("label").alias("label"))
-    placed = spool(members.distinct().join(roots, "tie").join(once, "id").select("id", "root", "label"), "placed")
+    placed = spool(rooted(spool(members.distinct(), "members"), roots).join(once, "id").select("id", "root", "label"), "placed")
     count = lambda k: F.sum(F.when(F.col("label") == labels[k], 1).otherwise(0)).cast("double").alias(f"n{k}")
     sizes = spool(placed.groupBy("root").agg(F.count("*").cast("double").alias("size"), *[count(k) for k in range(len(labels))]), "sizes")
     whole = sizes.agg(F.count("*").alias("families"), *[F.coalesce(F.sum(d), F.lit(0.0)).alias(d) for d in dims]).first()
@@ -198,8 +212,15 @@ def assign_splits(
     vectors = [tuple(r[d] for d in dims) for r in great]
     at = [hashed_split(r["root"], part) for r in great]
     if great:
-        runs = [anneal(vectors, part, at, seed, target) for seed in range(8)]
-        at = min(runs, key=lambda r: r[0])[1]
+        first = at
+
+        def replica(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                runs = [(int(seed), *anneal(vectors, part, first, int(seed), target)) for seed in f["id"]]
+                yield pd.DataFrame(runs, columns=["seed", "cost", "places"])
+
+        seeds = df.sparkSession.range(0, GREAT_REPLICAS, 1, GREAT_REPLICAS)
+        at = seeds.mapInPandas(replica, "seed long, cost double, places array<int>").orderBy("cost", "seed").first()["places"]
     rest = [[target[s][d] - sum(v[d] for v, x in zip(vectors, at) if x == s) for d in range(len(dims))] for s in range(len(part))]
     left = max(1.0, whole["size"] - sum(v[0] for v in vectors))
     shards = max(1, math.ceil((whole["families"] - len(great)) / shard))
