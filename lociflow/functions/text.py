@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 
 def _plain(word: str | None) -> str | None:
@@ -51,6 +51,36 @@ def edit1_keys(word: Column) -> Column:
     return F.when(F.length(word) > 0, F.array_distinct(F.concat(F.array(word), cut))).otherwise(F.array(word))
 
 
-def lcs_similarity(a: Column, b: Column) -> Column:
+def edit_similarity(a: Column, b: Column) -> Column:
     """1 - Levenshtein distance / longer length; null where both are empty."""
     return F.lit(1.0) - F.levenshtein(a, b) / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0))
+
+
+def _word_distance(a: list[str], b: list[str]) -> int:
+    if len(a) < len(b):
+        a, b = b, a
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        corner, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
+    return row[-1]
+
+
+@F.pandas_udf(LongType())
+def token_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Levenshtein distance of two lists of words, a word being one item; null where a list is null."""
+    return pd.Series([None if a is None or b is None else _word_distance(list(a), list(b)) for a, b in zip(left, right)], dtype="Int64")
+
+
+def set_bits(mask: Column) -> Column:
+    """How many bits of a 64-bit mask are set."""
+    return F.bit_count(mask)
+
+
+def mask_of(items: Column, universe: list[str]) -> Column:
+    """The items of a list as a 64-bit mask by their place in `universe`, of 63 items at most; others give no bit."""
+    if len(universe) > 63:
+        raise ValueError("more than 63 items")
+    places = F.map_from_arrays(F.array(*map(F.lit, universe)), F.array(*[F.lit(1 << k) for k in range(len(universe))]))
+    return F.aggregate(items, F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.coalesce(F.try_element_at(places, x), F.lit(0)).cast("bigint")))

@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.functions.text import word_pattern
+
 #: Salt of the hash split, and names of its ten buckets: 0-1 test, 2 validation, 3-9 train.
 SALT = "lociflow-v1"
+#: Marks of doubt in a raw line: alternatives, unread signs, codes, apostrophes, a note of a rare sign; fixed values.
+DOUBT = r"\[[^\]]*:[^\]]*\]|\?|@[0-9]{3};|'|(?i:<!\s*[^>]*\brare\b)"
 #: Grouped units, the longest first; fixed values of the transcription alphabet.
 GROUPED = "(cth|ckh|cph|cfh|iin|ch|sh|in|.)"
 VISUAL = "(cth|ckh|cph|cfh|ch|sh|.)"
@@ -61,6 +65,7 @@ def records(loci: DataFrame) -> DataFrame:
         F.col("metadata")["Q"].alias("ql"),
         "text_raw",
         (F.col("text_raw").contains("<->") | F.col("text_raw").contains("<~>")).alias("interrupted"),
+        (F.coalesce(F.col("text_raw").rlike(DOUBT), F.lit(False)) | (F.coalesce(F.size(shown), F.lit(0)) > F.size(words))).alias("doubt"),
         words.alias("words"),
         F.size(words).cast("bigint").alias("nw"),
         (F.coalesce(F.size(shown), F.lit(0)) - F.size(words)).cast("bigint").alias("excluded"),
@@ -86,3 +91,24 @@ def units(tok: DataFrame, pattern: str = GROUPED) -> DataFrame:
     """One row for each unit of a word, cut greedily by `pattern`."""
     cut = F.regexp_extract_all("w", F.lit(pattern), F.lit(1))
     return tok.select("locus_id", "grp", "split", "ll", "wp", "w", F.posexplode(cut).alias("up", "u")).withColumn("up", F.col("up").cast("bigint"))
+
+
+def types(tok: DataFrame) -> DataFrame:
+    """One row for each split and distinct word: how often it stands there, its length and its pattern (abba: 0.1.1.0)."""
+    each = F.split("w", "")
+    return (
+        tok.groupBy("split", "w")
+        .agg(F.count("*").alias("n"))
+        .select("split", "w", "n", F.length("w").cast("bigint").alias("len"), word_pattern(F.filter(each, lambda c: c != "")).alias("pattern"))
+    )
+
+
+def letters(types_: DataFrame) -> DataFrame:
+    """One row for each letter of a distinct word."""
+    return types_.select("w").distinct().select("w", F.posexplode(F.regexp_extract_all("w", F.lit("(.)"), F.lit(1))).alias("cp", "ch")).withColumn("cp", F.col("cp").cast("bigint"))
+
+
+def type_units(types_: DataFrame, pattern: str, place: str = "up", unit: str = "u") -> DataFrame:
+    """One row for each unit of a distinct word of a split, with the word's count."""
+    cut = F.regexp_extract_all("w", F.lit(pattern), F.lit(1))
+    return types_.select("split", "w", "n", F.posexplode(cut).alias(place, unit)).withColumn(place, F.col(place).cast("bigint"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.operators import graphs, shred, solvers, tablecipher
-from lociflow.plans import joins, models, shared, statistics
+from lociflow.plans import joins, models, shared, statistics, studies
 from lociflow.plans.shared import oracle, query
 from lociflow.runtime import spool, table
 from lociflow.sources import ivtff
@@ -146,7 +146,9 @@ SELECT locus_id, array_to_string(t, ' ') AS tokens, (len(p) - len(t))::BIGINT AS
        contains(regexp_replace(text_raw, '<![^>]*>', '', 'g'), '<%>') AS opens, contains(regexp_replace(text_raw, '<![^>]*>', '', 'g'), '<$>') AS closes FROM e""".replace("\\\\", "\\"),
     "stream_bigrams": oracle("SELECT prev, ch, count(*) AS n FROM (SELECT substr('^' || w || '$', i_ + 1, 1) AS prev, substr('^' || w || '$', i_ + 2, 1) AS ch FROM (SELECT w, unnest(range(length(w) + 1)) AS i_ FROM {tok})) GROUP BY prev, ch"),
 }
-shared.DERIVED |= models.DERIVED
+shared.DERIVED |= models.DERIVED | joins.DERIVED
 for _module in (statistics, joins, models):
     QUERIES |= {name: query(body) for name, body in _module.BODIES.items()}
     SQL |= {name: oracle(body) for name, body in _module.BODIES.items()}
+QUERIES |= studies.QUERIES
+SQL |= studies.SQL

@@ -18,16 +18,6 @@ WITH {_SIDES} SELECT r.volume_id, r.folio, r.idx, r.id FROM r LEFT JOIN l ON r.v
 BODIES["key_unique"] = """
 SELECT volume_id, folio, idx, count(*) AS n FROM {recs} WHERE idx IS NOT NULL AND folio IS NOT NULL GROUP BY volume_id, folio, idx HAVING count(*) > 1"""
 
-# neighbouring loci of one page, read as two readings of it
-_NEIGHBOURS = """x AS (SELECT locus_id, lead(locus_id) OVER (PARTITION BY volume_id, folio ORDER BY source_order) AS other FROM {recs} WHERE folio IS NOT NULL AND volume_id IS NOT NULL),
-s AS (SELECT a.locus_id, array_to_string_(a.words) AS sa, array_to_string_(b.words) AS sb, a.kind AS ka, b.kind AS kb, a.excluded + b.excluded AS ex, a.nw AS na, b.nw AS nb
-      FROM x JOIN {recs} a ON x.locus_id = a.locus_id JOIN {recs} b ON x.other = b.locus_id)"""
-
-BODIES["agreement_agg"] = f"""
-WITH {_NEIGHBOURS} SELECT count(*) AS aligned, count(*) FILTER (WHERE ex = 0) AS eligible, count(*) FILTER (WHERE ex = 0 AND sa = sb) AS identical,
-  cast(sum(CASE WHEN ex = 0 THEN levenshtein(sa, sb) ELSE 0 END) AS BIGINT) AS distance_sum, round(avg(CASE WHEN ex = 0 THEN levenshtein(sa, sb) END), 6) AS distance_mean,
-  cast(max(CASE WHEN ex = 0 THEN levenshtein(sa, sb) END) AS BIGINT) AS distance_max, count(*) FILTER (WHERE ka <> kb) AS kind_mismatches FROM s"""
-
 BODIES["next_record"] = """
 SELECT locus_id, nxt FROM (SELECT locus_id, folio, idx, lead(locus_id) OVER (PARTITION BY volume_id ORDER BY source_order) AS nxt, lead(folio) OVER (PARTITION BY volume_id ORDER BY source_order) AS nf,
   lead(idx) OVER (PARTITION BY volume_id ORDER BY source_order) AS ni FROM {recs}) WHERE nf = folio AND ni = idx + 1"""
@@ -36,12 +26,16 @@ BODIES["asof_prev_line"] = """
 SELECT locus_id, prev FROM (SELECT locus_id, lag(locus_id) OVER (PARTITION BY volume_id, folio ORDER BY source_order) AS prev FROM {recs}
   WHERE paragraph AND excluded = 0 AND nw >= 3 AND folio IS NOT NULL AND volume_id IS NOT NULL) WHERE prev IS NOT NULL"""
 
+# the word above a word: the first of the line before that ends at its column or later; controls are as long as that one
 BODIES["column_asof"] = """
-WITH sel AS (SELECT locus_id, lag(locus_id) OVER (PARTITION BY volume_id, folio ORDER BY source_order) AS prev FROM {recs} WHERE paragraph AND nw >= 3 AND folio IS NOT NULL AND volume_id IS NOT NULL),
-width AS (SELECT locus_id, wp, w, sum(length(w) + 1) OVER (PARTITION BY locus_id ORDER BY wp) AS upto FROM {tok}),
-cand AS (SELECT s.locus_id, t.wp, t.w, p.w AS above, row_number() OVER (PARTITION BY s.locus_id, t.wp ORDER BY CASE WHEN p.upto >= t.upto THEN 0 ELSE 1 END, CASE WHEN p.upto >= t.upto THEN p.wp ELSE -p.wp END) AS k
-  FROM sel s JOIN width t ON s.locus_id = t.locus_id JOIN width p ON s.prev = p.locus_id)
-SELECT count(*) AS targets, count(*) FILTER (WHERE w = above) AS equal, round(avg(1 - levenshtein(w, above) / cast(greatest(length(w), length(above)) AS DOUBLE)), 6) AS similarity FROM cand WHERE k = 1"""
+WITH sel AS (SELECT locus_id, lag(locus_id) OVER (PARTITION BY volume_id, folio ORDER BY source_order, locus_id) AS prev FROM {recs}
+  WHERE paragraph AND excluded = 0 AND NOT coalesce(interrupted, false) AND nw >= 3 AND ll = 'B' AND split = 'test' AND folio IS NOT NULL AND volume_id IS NOT NULL),
+wd AS (SELECT locus_id, wp, w, sum(length(w) + 1) OVER (PARTITION BY locus_id ORDER BY wp) AS upto FROM {tok}),
+pick AS (SELECT s.locus_id, s.prev, t.wp, t.w, coalesce(min(CASE WHEN p.upto >= t.upto - length(t.w) - 1 THEN p.wp END), least(max(p.wp), t.wp)) AS k FROM sel s JOIN wd t ON s.locus_id = t.locus_id JOIN wd p ON s.prev = p.locus_id GROUP BY s.locus_id, s.prev, t.wp, t.w, t.upto),
+above AS (SELECT q.locus_id, q.prev, q.wp, q.w, q.k, y.w AS y FROM pick q JOIN wd y ON q.prev = y.locus_id AND q.k = y.wp),
+ctl AS (SELECT a.locus_id, a.wp, max(1 - levenshtein(a.w, a.y) / cast(greatest(length(a.w), length(a.y)) AS DOUBLE)) AS own, avg(1 - levenshtein(a.w, c.w) / cast(greatest(length(a.w), length(c.w)) AS DOUBLE)) AS control
+  FROM above a JOIN wd c ON a.prev = c.locus_id AND c.wp <> a.k AND length(c.w) = length(a.y) GROUP BY a.locus_id, a.wp)
+SELECT (SELECT count(*) FROM above) AS candidates, (SELECT count(*) FROM above WHERE w = y) AS equal, count(*) AS targets, round(avg(own - control), 6) AS excess FROM ctl"""
 
 BODIES["discovery_anti"] = """
 SELECT r.folio, count(*) AS records FROM {recs} r WHERE r.grp IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT grp FROM {tok} WHERE w = 'ytaiyteeg') d WHERE d.grp = r.grp) GROUP BY r.folio"""
@@ -50,56 +44,38 @@ BODIES["near_line_join"] = """
 SELECT count(*) AS pairs, count(*) FILTER (WHERE a.w = b.w) AS equal, count(*) FILTER (WHERE levenshtein(a.w, b.w) <= 1) AS near
 FROM (SELECT * FROM {tok} WHERE paragraph AND excluded = 0 AND nw >= 3) a JOIN {tok} b ON a.locus_id = b.locus_id AND a.wp < b.wp"""
 
-# deletion neighbourhoods: words within one edit share a word with one letter deleted, or one is the other's
-_DELETE = """types AS (SELECT w, count(*) AS c FROM {tok} GROUP BY w HAVING count(*) >= 5),
-cut AS (SELECT DISTINCT t.w, c.cp, substr(t.w, 1, cast(c.cp AS INT)) || substr(t.w, cast(c.cp AS INT) + 2) AS k FROM types t JOIN (SELECT DISTINCT w, cp FROM {chars}) c ON t.w = c.w),
-keys AS (SELECT DISTINCT w, k FROM cut UNION SELECT w, w FROM types)"""
-
-BODIES["edit1_vocab"] = f"""
-WITH {_DELETE} SELECT DISTINCT a.w AS a, b.w AS b FROM keys a JOIN keys b ON a.k = b.k AND a.w < b.w WHERE levenshtein(a.w, b.w) = 1"""
+# words within one edit share a word with one letter deleted, or one is the other with one deleted
+BODIES["edit1_vocab"] = """
+WITH v AS (SELECT DISTINCT w FROM {types}), k AS (SELECT w, w AS k FROM v UNION SELECT w, substr(w, 1, cast(cp AS INT)) || substr(w, cast(cp AS INT) + 2) FROM {letters})
+SELECT DISTINCT a.w AS a, b.w AS b FROM k a JOIN k b ON a.k = b.k AND a.w < b.w WHERE levenshtein(a.w, b.w) = 1"""
 
-_SAMPLES = """lex AS (SELECT w, count(*) AS c FROM {tok} WHERE split = 'train' AND length(w) <= 12 GROUP BY w),
-cip AS (SELECT w, count(*) AS c FROM {tok} WHERE split = 'validation' AND length(w) <= 12 GROUP BY w)"""
-_CODE = """firsts AS (SELECT w, ch, min(cp) AS f FROM (SELECT DISTINCT w, cp, ch FROM {chars}) GROUP BY w, ch),
-seq AS (SELECT d.w, d.cp, dense_rank() OVER (PARTITION BY d.w ORDER BY f.f) - 1 AS r FROM (SELECT DISTINCT w, cp, ch FROM {chars}) d JOIN firsts f ON d.w = f.w AND d.ch = f.ch WHERE length(d.w) <= 12),
-pat AS (SELECT w, count(*) AS len, cast(sum(r * power(20, cp)) AS DECIMAL(38, 0)) AS code FROM seq GROUP BY w)"""
+# cipher types are the validation words, the lexicon the train words; candidates of a type have its pattern of repeats
+_SAMPLES = """lex AS (SELECT w, n AS c, pattern FROM {types} WHERE split = 'train'), cip AS (SELECT w, n AS c, pattern FROM {types} WHERE split = 'validation'),
+n AS (SELECT count(*) AS t, cast(sum(c) AS BIGINT) AS k FROM cip)"""
 
 BODIES["pattern_join"] = f"""
-WITH {_SAMPLES}, {_CODE}
-SELECT c.w, c.c, count(l.w) AS candidates FROM cip c JOIN pat p ON c.w = p.w LEFT JOIN (SELECT l.w, q.len, q.code FROM lex l JOIN pat q ON l.w = q.w) l ON p.len = l.len AND p.code = l.code GROUP BY c.w, c.c"""
+WITH {_SAMPLES}
+SELECT c.w, c.c, coalesce(l.n, 0) AS candidates FROM cip c LEFT JOIN (SELECT pattern, count(*) AS n FROM lex GROUP BY pattern) l ON c.pattern = l.pattern"""
 
 BODIES["bound_independent"] = f"""
-WITH {_SAMPLES}, {_CODE}, wt AS (SELECT w, c * (SELECT count(*) FROM cip) + (SELECT sum(c) FROM cip) AS weight FROM cip)
-SELECT count(*) AS types, cast(sum(weight) AS BIGINT) AS total, cast(sum(CASE WHEN ok THEN weight ELSE 0 END) AS BIGINT) AS bound
-FROM (SELECT wt.w, wt.weight, EXISTS (SELECT 1 FROM lex l JOIN pat q ON l.w = q.w WHERE q.len = p.len AND q.code = p.code) AS ok FROM wt JOIN pat p ON wt.w = p.w)"""
+WITH {_SAMPLES} SELECT count(*) AS types, cast(sum(c * t + k) AS BIGINT) AS total, cast(sum(CASE WHEN l.pattern IS NOT NULL THEN c * t + k ELSE 0 END) AS BIGINT) AS bound
+FROM cip CROSS JOIN n LEFT JOIN (SELECT DISTINCT pattern FROM lex) l ON cip.pattern = l.pattern"""
 
 BODIES["objective_weights"] = f"""
-WITH {_SAMPLES}, n AS (SELECT count(*) AS t, cast(sum(c) AS BIGINT) AS k FROM cip)
-SELECT w, c, cast(c * t + k AS BIGINT) AS weight, cast(2 * t * k AS BIGINT) AS denominator FROM cip CROSS JOIN n"""
+WITH {_SAMPLES} SELECT w, c, cast(c * t + k AS BIGINT) AS weight, cast(2 * t * k AS BIGINT) AS denominator FROM cip CROSS JOIN n"""
 
 BODIES["symbol_order"] = f"""
-WITH {_SAMPLES}, n AS (SELECT count(*) AS t, sum(c) AS k FROM cip), u AS (SELECT DISTINCT w, ch FROM {{chars}})
+WITH {_SAMPLES}, u AS (SELECT DISTINCT w, ch FROM {{letters}})
 SELECT ch, weight, cast(row_number() OVER (ORDER BY weight DESC, ch) AS BIGINT) AS place FROM (SELECT u.ch, cast(sum(c.c * n.t + n.k) AS BIGINT) AS weight FROM cip c JOIN u ON c.w = u.w CROSS JOIN n GROUP BY u.ch)"""
 
 BODIES["bound_pivot"] = f"""
-WITH {_SAMPLES}, {_CODE}, n AS (SELECT count(*) AS t, sum(c) AS k FROM cip),
-wt AS (SELECT c.w, c.c * n.t + n.k AS weight FROM cip c CROSS JOIN n),
-piv AS (SELECT w, min(ch) AS p, min(cp) AS at FROM (SELECT w, ch, cp, rank() OVER (PARTITION BY w ORDER BY ch, cp) AS k FROM (SELECT DISTINCT w, ch, cp FROM {{chars}})) WHERE k = 1 GROUP BY w),
-cand AS (SELECT DISTINCT wt.w, pv.p, wt.weight, substr(l.w, cast(pv.at AS INT) + 1, 1) AS v FROM wt JOIN pat p ON wt.w = p.w JOIN piv pv ON pv.w = wt.w
-         JOIN (SELECT l.w, q.len, q.code FROM lex l JOIN pat q ON l.w = q.w) l ON l.len = p.len AND l.code = p.code)
+WITH {_SAMPLES}, first_of AS (SELECT w, ch, min(cp) AS cp FROM {{letters}} GROUP BY w, ch),
+piv AS (SELECT w, ch AS p, cp FROM (SELECT w, ch, cp, row_number() OVER (PARTITION BY w ORDER BY ch) AS r FROM first_of) WHERE r = 1),
+val AS (SELECT DISTINCT x.pattern, l.cp, l.ch AS v FROM lex x JOIN {{letters}} l ON x.w = l.w),
+cand AS (SELECT piv.p, val.v, c.c * n.t + n.k AS weight FROM cip c CROSS JOIN n JOIN piv ON c.w = piv.w JOIN val ON c.pattern = val.pattern AND piv.cp = val.cp)
 SELECT p AS pivot_unit, cast(max(s) AS BIGINT) AS bound FROM (SELECT p, v, sum(weight) AS s FROM cand GROUP BY p, v) GROUP BY p"""
 
-BODIES["conflict_self_join"] = f"""
-WITH {_SAMPLES}, {_CODE}, top AS (SELECT w FROM cip ORDER BY c DESC, w LIMIT 12),
-cand AS (SELECT t.w, l.w AS x FROM top t JOIN pat p ON t.w = p.w JOIN (SELECT l.w, q.len, q.code FROM lex l JOIN pat q ON l.w = q.w) l ON l.len = p.len AND l.code = p.code),
-ua AS (SELECT DISTINCT c.w, c.x, h.cp, h.ch AS u, g.ch AS v FROM cand c JOIN (SELECT DISTINCT w, cp, ch FROM {{chars}}) h ON c.w = h.w JOIN (SELECT DISTINCT w, cp, ch FROM {{chars}}) g ON c.x = g.w AND g.cp = h.cp),
-k AS (SELECT w, count(*) AS n FROM cand GROUP BY w),
-bad AS (SELECT a.w AS a, a.x AS ax, b.w AS b, b.x AS bx FROM ua a JOIN ua b ON a.u = b.u WHERE a.w < b.w AND a.v <> b.v
-        UNION SELECT a.w, a.x, b.w, b.x FROM ua a JOIN ua b ON a.v = b.v WHERE a.w < b.w AND a.u <> b.u),
-nb AS (SELECT a, b, count(*) AS n FROM bad GROUP BY a, b)
-SELECT k1.w AS a, k2.w AS b, k1.n * k2.n AS combinations, k1.n * k2.n - coalesce(nb.n, 0) AS consistent FROM k k1 JOIN k k2 ON k1.w < k2.w LEFT JOIN nb ON nb.a = k1.w AND nb.b = k2.w"""
-
-_KEY = """freq AS (SELECT split, ch, count(*) AS n FROM {chars} WHERE split IN ('train', 'validation') GROUP BY split, ch),
+_KEY = """freq AS (SELECT split, ch, sum(n) AS n FROM {tchars} WHERE split IN ('train', 'validation') GROUP BY split, ch),
 rk AS (SELECT split, ch, row_number() OVER (PARTITION BY split ORDER BY n DESC, ch) AS k FROM freq),
 key AS (SELECT a.ch AS u, b.ch AS letter FROM rk a JOIN rk b ON a.k = b.k WHERE a.split = 'validation' AND b.split = 'train')"""
 
@@ -108,73 +84,115 @@ BODIES["frequency_key"] = f"WITH {_KEY} SELECT u, letter FROM key"
 BODIES["key_validate"] = f"WITH {_KEY} SELECT letter, count(*) AS n FROM key GROUP BY letter HAVING count(*) > 1"
 
 BODIES["recovery_metrics"] = f"""
-WITH {_KEY} SELECT count(*) AS positions, count(k.letter) AS mapped, count(*) FILTER (WHERE k.letter = c.ch) AS correct,
-  round(count(*) FILTER (WHERE k.letter = c.ch) / nullif(cast(count(k.letter) AS DOUBLE), 0), 6) AS accuracy, (SELECT count(*) FROM key WHERE u = letter) AS correct_keys
-FROM (SELECT * FROM {{chars}} WHERE split = 'test') c LEFT JOIN key k ON c.ch = k.u"""
-
-_DECODED = """dec AS (SELECT c.w, c.cp, k.letter FROM (SELECT DISTINCT w, cp, ch FROM {chars}) c LEFT JOIN key k ON c.ch = k.u),
-plain AS (SELECT c.w, p.w AS x FROM (SELECT DISTINCT w FROM {tok} WHERE split = 'validation') c
-  JOIN (SELECT DISTINCT w FROM {tok} WHERE split = 'train') p ON length(c.w) = length(p.w)
-  JOIN dec d ON d.w = c.w JOIN (SELECT DISTINCT w, cp, ch FROM {chars}) h ON h.w = p.w AND h.cp = d.cp AND h.ch = d.letter GROUP BY c.w, p.w HAVING count(*) = length(c.w))"""
+WITH {_KEY}, fit AS (SELECT DISTINCT ch FROM {{tchars}} WHERE split = 'validation'),
+c AS (SELECT t.w, t.n, CASE WHEN k.letter = t.ch THEN 1 ELSE 0 END AS good, CASE WHEN k.letter IS NULL THEN 0 ELSE 1 END AS mapped, CASE WHEN fit.ch IS NULL THEN 0 ELSE 1 END AS seen
+  FROM {{tchars}} t LEFT JOIN key k ON t.ch = k.u LEFT JOIN fit ON t.ch = fit.ch WHERE t.split = 'test'),
+w AS (SELECT w, max(n) AS n, min(good) AS good, min(seen) AS seen FROM c GROUP BY w)
+SELECT cast(sum(n) AS BIGINT) AS positions, cast(sum(n * mapped) AS BIGINT) AS mapped, cast(sum(n * good) AS BIGINT) AS correct, round(sum(n * good) / nullif(cast(sum(n * mapped) AS DOUBLE), 0), 6) AS accuracy,
+  max(words.t) AS words, max(words.g) AS words_correct, round(max(words.g) / nullif(cast(max(words.t) AS DOUBLE), 0), 6) AS word_accuracy, (SELECT count(*) FROM key WHERE u = letter) AS correct_keys
+FROM c CROSS JOIN (SELECT cast(sum(n) AS BIGINT) AS t, cast(sum(n * good) AS BIGINT) AS g FROM w) words"""
+
+# what the key makes of the units that the validation words show, on the test words: all positions, and those it could know
+_OBSERVED = """fit AS (SELECT DISTINCT ch FROM {tchars} WHERE split = 'validation'), eff AS (SELECT key.u, key.letter FROM key JOIN fit ON key.u = fit.ch),
+c AS (SELECT t.w, t.n, CASE WHEN k.letter = t.ch THEN 1 ELSE 0 END AS good, CASE WHEN fit.ch IS NULL THEN 0 ELSE 1 END AS seen FROM {tchars} t LEFT JOIN eff k ON t.ch = k.u LEFT JOIN fit ON t.ch = fit.ch WHERE t.split = 'test'),
+w AS (SELECT w, max(n) AS n, min(good) AS good, min(seen) AS seen FROM c GROUP BY w),
+m AS (SELECT p.*, q.* FROM (SELECT coalesce(cast(sum(n) AS BIGINT), 0) AS chars, coalesce(cast(sum(n * good) AS BIGINT), 0) AS chars_correct, coalesce(cast(sum(n * seen) AS BIGINT), 0) AS observed, coalesce(cast(sum(n * seen * good) AS BIGINT), 0) AS observed_correct FROM c) p
+  CROSS JOIN (SELECT coalesce(cast(sum(n) AS BIGINT), 0) AS tokens, coalesce(cast(sum(n * good) AS BIGINT), 0) AS tokens_correct, coalesce(cast(sum(n * seen) AS BIGINT), 0) AS whole, coalesce(cast(sum(n * seen * good) AS BIGINT), 0) AS whole_correct FROM w) q)"""
+
+BODIES["recovery_fit_observed"] = f"""
+WITH {_KEY}, {_OBSERVED} SELECT *, chars - observed AS unobserved, round(observed_correct / nullif(cast(observed AS DOUBLE), 0), 6) AS observed_accuracy, round(whole_correct / nullif(cast(whole AS DOUBLE), 0), 6) AS whole_accuracy FROM m"""
+
+BODIES["accuracy_gate"] = f"""
+WITH {_KEY}, {_OBSERVED} SELECT CASE WHEN observed > 0 THEN observed_correct = observed END AS observed_positions_pass, CASE WHEN whole > 0 THEN whole_correct = whole END AS fully_observed_tokens_pass,
+  CASE WHEN chars > 0 AND tokens > 0 THEN chars_correct = chars AND tokens_correct = tokens END AS full_decoding_pass FROM m"""
+
+_DECODED = """plain AS (SELECT l.w, spell_(coalesce(k.letter, '?') BY l.cp)_ AS x, min(CASE WHEN k.letter IS NULL THEN 0 ELSE 1 END) AS mapped FROM {letters} l LEFT JOIN key k ON l.ch = k.u GROUP BY l.w),
+hit AS (SELECT c.w, c.n, p.x, p.mapped, CASE WHEN l.w IS NULL THEN 0 ELSE 1 END AS hit FROM {types} c JOIN plain p ON c.w = p.w LEFT JOIN (SELECT w FROM {types} WHERE split = 'train') l ON p.x = l.w WHERE c.split = 'validation')"""
 
 BODIES["lexicon_hits"] = f"""
-WITH {_KEY}, {_DECODED} SELECT count(*) AS types, count(x) AS type_hits, cast(sum(c) AS BIGINT) AS tokens, cast(sum(CASE WHEN x IS NOT NULL THEN c ELSE 0 END) AS BIGINT) AS token_hits
-FROM (SELECT t.w, count(*) AS c, min(p.x) AS x FROM {{tok}} t LEFT JOIN plain p ON t.w = p.w WHERE t.split = 'validation' GROUP BY t.w)"""
+WITH {_KEY}, {_DECODED}, miss AS (SELECT cast(sum(t.n) AS BIGINT) AS missing FROM {{tchars}} t LEFT JOIN key k ON t.ch = k.u WHERE t.split = 'validation' AND k.u IS NULL)
+SELECT count(*) AS types, cast(sum(mapped) AS BIGINT) AS mapped_types, cast(sum(hit) AS BIGINT) AS type_hits, cast(sum(n) AS BIGINT) AS tokens, cast(sum(n * mapped) AS BIGINT) AS mapped_tokens, cast(sum(n * hit) AS BIGINT) AS token_hits,
+  coalesce(max(miss.missing), 0) AS missing_occurrences FROM hit CROSS JOIN miss"""
+
+BODIES["lexical_coverage"] = f"""
+WITH {_KEY}, {_DECODED} SELECT cast(sum(n) AS BIGINT) AS tokens, cast(sum(n * mapped) AS BIGINT) AS fully_mapped, cast(sum(n * hit) AS BIGINT) AS hits, round(sum(n * hit) / nullif(cast(sum(n) AS DOUBLE), 0), 6) AS rate FROM hit"""
 
-BODIES["semi_lexicon"] = f"WITH {_KEY}, {_DECODED} SELECT w, x FROM plain"
+BODIES["semi_lexicon"] = f"WITH {_KEY}, {_DECODED} SELECT w, x FROM hit WHERE hit = 1"
 
 BODIES["apply_key"] = f"""
-WITH {_KEY} SELECT coalesce(k.letter, '?') AS letter, count(*) AS n FROM (SELECT * FROM {{chars}} WHERE split = 'validation') c LEFT JOIN key k ON c.ch = k.u GROUP BY coalesce(k.letter, '?')"""
+WITH {_KEY} SELECT coalesce(k.letter, '?') AS letter, cast(sum(c.n) AS BIGINT) AS n FROM (SELECT * FROM {{tchars}} WHERE split = 'validation') c LEFT JOIN key k ON c.ch = k.u GROUP BY coalesce(k.letter, '?')"""
 
 BODIES["encode_injective"] = """
-SELECT translate(w, 'abcdefghijklmnopqrstuvwxyz', 'qwertyuiopasdfghjklzxcvbnm') AS x, count(*) AS n FROM {tok} GROUP BY translate(w, 'abcdefghijklmnopqrstuvwxyz', 'qwertyuiopasdfghjklzxcvbnm') HAVING count(*) >= 2"""
+SELECT translate(w, 'abcdefghijklmnopqrstuvwxyz', 'qwertyuiopasdfghjklzxcvbnm') AS x, cast(sum(n) AS BIGINT) AS n FROM {types} GROUP BY translate(w, 'abcdefghijklmnopqrstuvwxyz', 'qwertyuiopasdfghjklzxcvbnm')"""
 
 BODIES["encode_homophonic"] = """
-SELECT ch, emitted, count(*) AS n FROM (SELECT ch, ch || ((row_number() OVER (PARTITION BY split, ch ORDER BY locus_id, wp, cp) - 1) % (1 + ascii(ch) % 3)) AS emitted FROM {chars} WHERE split IS NOT NULL) GROUP BY ch, emitted"""
+WITH one AS (SELECT split, ch, floor(locus_id / 65536) AS blk, row_number() OVER (PARTITION BY split, ch, floor(locus_id / 65536) ORDER BY locus_id, wp, cp) - 1 AS k FROM {chars} WHERE split IS NOT NULL),
+tot AS (SELECT split, ch, blk, count(*) AS n FROM one GROUP BY split, ch, blk), base AS (SELECT split, ch, blk, sum(n) OVER (PARTITION BY split, ch ORDER BY blk) - n AS base FROM tot)
+SELECT o.ch, o.ch || cast(cast((b.base + o.k) % (1 + ascii(o.ch) % 3) AS INT) AS STRING) AS emitted, count(*) AS n FROM one o JOIN base b ON o.split = b.split AND o.ch = b.ch AND o.blk = b.blk
+GROUP BY o.ch, o.ch || cast(cast((b.base + o.k) % (1 + ascii(o.ch) % 3) AS INT) AS STRING)"""
 
 BODIES["quotient_map"] = """
-SELECT q, count(*) AS n FROM (SELECT CASE WHEN u IN ('cth', 'ckh', 'cph', 'cfh') THEN 'G' WHEN u IN ('ch', 'sh') THEN 'C' ELSE u END AS q FROM {visual}) GROUP BY q"""
+SELECT q, cast(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN u IN ('cth', 'ckh', 'cph', 'cfh') THEN 'G' WHEN u IN ('ch', 'sh') THEN 'C' ELSE u END AS q FROM {tvisual}) GROUP BY q"""
 
 BODIES["capacity_join"] = f"""
-WITH {_SAMPLES}, small AS (SELECT w, c FROM cip WHERE length(w) BETWEEN 3 AND 6),
-ch1 AS (SELECT DISTINCT w, cp, ch FROM {{chars}} WHERE length(w) BETWEEN 3 AND 6),
-pairs AS (SELECT s.w, l.w AS x FROM small s JOIN (SELECT w FROM lex WHERE c >= 20 AND length(w) BETWEEN 3 AND 6) l ON length(s.w) = length(l.w)),
-m AS (SELECT p.w, p.x, a.ch AS u, b.ch AS v FROM pairs p JOIN ch1 a ON p.w = a.w JOIN ch1 b ON p.x = b.w AND a.cp = b.cp),
-bad_u AS (SELECT w, x FROM m GROUP BY w, x, u HAVING count(DISTINCT v) > 1), bad_v AS (SELECT w, x FROM m GROUP BY w, x, v HAVING count(DISTINCT u) > 2)
-SELECT w, count(*) AS candidates FROM (SELECT w, x FROM pairs EXCEPT SELECT w, x FROM bad_u EXCEPT SELECT w, x FROM bad_v) GROUP BY w"""
+WITH {_SAMPLES}, cp_ AS (SELECT pattern, min(w) AS w, count(*) AS n FROM cip GROUP BY pattern), lp AS (SELECT pattern, min(w) AS w, count(*) AS n FROM lex GROUP BY pattern),
+dl AS (SELECT w, count(DISTINCT ch) AS d FROM {{letters}} GROUP BY w),
+pairs AS (SELECT c.w, l.w AS x FROM cp_ c JOIN dl a ON c.w = a.w JOIN lp l ON length(c.w) = length(l.w) JOIN dl b ON l.w = b.w WHERE b.d <= a.d AND 2 * b.d >= a.d),
+m AS (SELECT DISTINCT p.w, p.x, a.ch AS u, b.ch AS v FROM pairs p JOIN {{letters}} a ON p.w = a.w JOIN {{letters}} b ON p.x = b.w AND a.cp = b.cp),
+bad AS (SELECT w, x FROM (SELECT w, x, u FROM m GROUP BY w, x, u HAVING count(*) > 1) UNION SELECT w, x FROM (SELECT w, x, v FROM m GROUP BY w, x, v HAVING count(*) > 2)),
+ok AS (SELECT p.w, p.x FROM pairs p LEFT JOIN bad b ON p.w = b.w AND p.x = b.x WHERE b.w IS NULL),
+k AS (SELECT c.pattern, cast(sum(l.n) AS BIGINT) AS n FROM ok JOIN cp_ c ON ok.w = c.w JOIN lp l ON ok.x = l.w GROUP BY c.pattern)
+SELECT cip.w, coalesce(k.n, 0) AS candidates FROM cip LEFT JOIN k ON cip.pattern = k.pattern"""
 
 BODIES["candidate_compat"] = f"""
-WITH {_SAMPLES}, {_CODE}, {_KEY}, part AS (SELECT u, letter FROM key WHERE u IN ('a', 'o', 'y')),
-cand AS (SELECT c.w, l.w AS x FROM cip c JOIN pat p ON c.w = p.w JOIN (SELECT l.w, q.len, q.code FROM lex l JOIN pat q ON l.w = q.w) l ON l.len = p.len AND l.code = p.code),
-pos AS (SELECT c.w, c.x, a.ch AS u, b.ch AS v FROM cand c JOIN (SELECT DISTINCT w, cp, ch FROM {{chars}}) a ON c.w = a.w JOIN (SELECT DISTINCT w, cp, ch FROM {{chars}}) b ON c.x = b.w AND a.cp = b.cp)
-SELECT count(*) AS candidates, count(*) FILTER (WHERE NOT clash) AS compatible FROM (
-  SELECT pos.w, pos.x, max(CASE WHEN (pos.u = part.u AND pos.v <> part.letter) OR (pos.u <> part.u AND pos.v = part.letter) THEN 1 ELSE 0 END) = 1 AS clash FROM pos CROSS JOIN part GROUP BY pos.w, pos.x)"""
-
-# a synthetic code table by rule: prefixes and suffixes of one and two letters with their plain letters
-_BOOK = """halves AS (SELECT DISTINCT substr(w, 1, 2) AS pre FROM {tok} WHERE length(w) >= 4), tails AS (SELECT DISTINCT substr(w, length(w) - 1, 2) AS suf FROM {tok} WHERE length(w) >= 4)"""
-
-BODIES["split_join"] = f"""
-WITH {_BOOK}, t AS (SELECT w, count(*) AS c FROM {{tok}} WHERE length(w) BETWEEN 2 AND 4 GROUP BY w), cuts AS (SELECT w, c, k FROM t CROSS JOIN (VALUES (1), (2), (3)) AS x(k) WHERE k < length(w))
-SELECT cuts.w, cuts.c, count(*) AS readings FROM cuts JOIN halves ON substr(w, 1, k) = pre JOIN tails ON substr(w, k + 1) = suf GROUP BY cuts.w, cuts.c"""
-
-BODIES["collision_catalog"] = f"""
-WITH {_BOOK} SELECT pre || suf AS token, count(*) AS readings FROM (SELECT pre FROM halves ORDER BY pre LIMIT 60) a CROSS JOIN (SELECT suf FROM tails ORDER BY suf LIMIT 60) b GROUP BY pre || suf"""
-
-BODIES["compat_agg"] = f"""
-WITH {_BOOK}, t AS (SELECT w, count(*) AS c FROM {{tok}} GROUP BY w),
-r AS (SELECT t.w, t.c, count(s.suf) AS n FROM t LEFT JOIN halves h ON length(t.w) = 4 AND substr(t.w, 1, 2) = h.pre LEFT JOIN tails s ON h.pre IS NOT NULL AND substr(t.w, 3) = s.suf GROUP BY t.w, t.c)
-SELECT count(*) AS types, count(*) FILTER (WHERE n > 0) AS parseable_types, count(*) FILTER (WHERE n > 1) AS ambiguous_types, cast(sum(CASE WHEN n > 0 THEN c ELSE 0 END) AS BIGINT) AS parseable_tokens,
-       round(sum(n * c) / cast(sum(c) AS DOUBLE), 6) AS mean_candidates, max(n) AS max_candidates FROM r"""
+WITH {_SAMPLES}, {_KEY}, part AS (SELECT u, letter FROM key WHERE u IN ('a', 'o', 'y')),
+mc AS (SELECT l.w, spell_(coalesce(p.u, '-') BY l.cp)_ AS mask FROM {{letters}} l LEFT JOIN part p ON l.ch = p.u GROUP BY l.w),
+ml AS (SELECT l.w, spell_(coalesce(p.u, '-') BY l.cp)_ AS mask FROM {{letters}} l LEFT JOIN part p ON l.ch = p.letter GROUP BY l.w),
+every AS (SELECT pattern, count(*) AS n FROM lex GROUP BY pattern), fit AS (SELECT lex.pattern, ml.mask, count(*) AS n FROM lex JOIN ml ON lex.w = ml.w GROUP BY lex.pattern, ml.mask)
+SELECT cast(sum(e.n) AS BIGINT) AS candidates, cast(sum(coalesce(f.n, 0)) AS BIGINT) AS compatible FROM cip c JOIN mc ON c.w = mc.w JOIN every e ON c.pattern = e.pattern LEFT JOIN fit f ON c.pattern = f.pattern AND mc.mask = f.mask"""
+
+#: Rows of each state of the code book: six tables of 23 letters.
+CODES = 138
+# A code book by rule: the most frequent beginnings, ends and whole words of the corpus stand for the letters of six tables.
+# Numbers of a word's readings: codes of one word, and every cut into a prefix and a suffix code.
+DERIVED: dict[str, str] = {}
+DERIVED["book"] = f"""
+WITH part AS (SELECT 'prefix' AS state, substr(w, 1, k) AS glyphs, sum(n) AS n FROM {{types}} CROSS JOIN (VALUES (1), (2), (3)) AS x(k) WHERE k < len GROUP BY substr(w, 1, k)
+  UNION ALL SELECT 'suffix', substr(w, cast(len AS INT) - k + 1, k), sum(n) FROM {{types}} CROSS JOIN (VALUES (1), (2), (3)) AS x(k) WHERE k < len GROUP BY substr(w, cast(len AS INT) - k + 1, k)
+  UNION ALL SELECT 'unigram', w, sum(n) FROM {{types}} GROUP BY w),
+r AS (SELECT state, glyphs, row_number() OVER (PARTITION BY state ORDER BY n DESC, glyphs) - 1 AS r FROM part)
+SELECT state, glyphs, cast(floor(r / 23) AS INT) AS tbl, substr('abcdefghilmnopqrstuvxyz', cast(r % 23 AS INT) + 1, 1) AS letter FROM r WHERE r < {CODES}"""
+DERIVED["reads"] = """
+WITH t AS (SELECT w, cast(sum(n) AS BIGINT) AS n FROM {types} GROUP BY w), at_ AS (SELECT DISTINCT w, cast(cp AS INT) AS k FROM {letters} WHERE cp > 0)
+SELECT t.w, t.n, b.letter AS plain, b.tbl AS table_a, -1 AS table_b FROM t JOIN {book} b ON b.state = 'unigram' AND t.w = b.glyphs
+UNION ALL SELECT t.w, t.n, p.letter || s.letter, p.tbl, s.tbl FROM t JOIN at_ ON t.w = at_.w JOIN {book} p ON p.state = 'prefix' AND substr(t.w, 1, at_.k) = p.glyphs JOIN {book} s ON s.state = 'suffix' AND substr(t.w, at_.k + 1) = s.glyphs"""
+
+BODIES["split_join"] = "SELECT w, n, plain, table_a, table_b, count(*) AS cuts FROM {reads} GROUP BY w, n, plain, table_a, table_b"
+
+BODIES["collision_catalog"] = """
+SELECT p.glyphs || s.glyphs AS token, count(*) AS readings, count(DISTINCT p.letter || s.letter) AS plaintexts FROM (SELECT * FROM {book} WHERE state = 'prefix') p CROSS JOIN (SELECT * FROM {book} WHERE state = 'suffix') s GROUP BY p.glyphs || s.glyphs"""
+
+BODIES["ambiguity_flags"] = """
+SELECT w, count(*) AS readings, count(DISTINCT plain) AS plaintexts, count(DISTINCT plain) > 1 AS plaintext_ambiguous, count(*) > count(DISTINCT plain) AS table_ambiguous FROM {reads} GROUP BY w"""
+
+BODIES["compat_agg"] = """
+WITH t AS (SELECT w, cast(sum(n) AS BIGINT) AS n FROM {types} GROUP BY w), r AS (SELECT w, count(*) AS k, count(DISTINCT plain) AS p FROM {reads} GROUP BY w),
+x AS (SELECT t.w, t.n, coalesce(r.k, 0) AS k, coalesce(r.p, 0) AS p FROM t LEFT JOIN r ON t.w = r.w)
+SELECT cast(sum(n) AS BIGINT) AS tokens, count(*) AS types, cast(sum(CASE WHEN k > 0 THEN n ELSE 0 END) AS BIGINT) AS parseable_tokens, count(*) FILTER (WHERE k > 0) AS parseable_types,
+  cast(sum(CASE WHEN k = 0 THEN n ELSE 0 END) AS BIGINT) AS no_parse_tokens, count(*) FILTER (WHERE k = 0) AS no_parse_types, cast(sum(CASE WHEN k > 1 THEN n ELSE 0 END) AS BIGINT) AS ambiguous_tokens,
+  count(*) FILTER (WHERE k > 1) AS ambiguous_types, cast(sum(CASE WHEN p > 1 THEN n ELSE 0 END) AS BIGINT) AS plaintext_ambiguous_tokens, cast(sum(CASE WHEN k > p THEN n ELSE 0 END) AS BIGINT) AS table_ambiguous_tokens,
+  round(sum(n * k) / cast(sum(n) AS DOUBLE), 6) AS mean_candidates, cast(max(k) AS BIGINT) AS max_candidates FROM x"""
+
+# runs of words with one plain text each, within a line; a word with none or with several ends a run
+BODIES["runs_islands"] = """
+WITH r AS (SELECT w, count(DISTINCT plain) AS p, min(length(plain)) AS m FROM {reads} GROUP BY w),
+t AS (SELECT t.locus_id, t.wp, coalesce(r.p, 0) AS p, coalesce(r.m, 0) AS m FROM {tok} t LEFT JOIN r ON t.w = r.w),
+i AS (SELECT locus_id, p, m, sum(CASE WHEN p = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY locus_id ORDER BY wp) AS island FROM t),
+run AS (SELECT locus_id, island, sum(m) AS chars FROM i WHERE p = 1 GROUP BY locus_id, island)
+SELECT count(*) FILTER (WHERE chars >= 8) AS runs, coalesce(cast(sum(CASE WHEN chars >= 8 THEN chars END) AS BIGINT), 0) AS kept_characters, count(*) FILTER (WHERE chars < 8) AS short_runs,
+  (SELECT count(*) FROM t WHERE p > 1) AS ambiguous, (SELECT count(*) FROM t WHERE p = 0) AS no_parse FROM run"""
 
 BODIES["focus_rows"] = f"""
 WITH {_SIDES}, page AS (SELECT folio, volume_id FROM l GROUP BY folio, volume_id ORDER BY count(*) DESC, volume_id, folio LIMIT 1)
 SELECT k.idx, max(k.lid) AS left_id, max(k.rid) AS right_id FROM (SELECT l.volume_id, l.folio, l.idx, l.id AS lid, NULL AS rid FROM l UNION ALL SELECT r.volume_id, r.folio, r.idx, NULL, r.id FROM r) k
 JOIN page p ON k.volume_id = p.volume_id AND k.folio = p.folio GROUP BY k.idx"""
-
-BODIES["adapt_paragraphs"] = """
-WITH p AS (SELECT paragraph_id, book_id, chapter_key, lower(trim(regexp_replace_all_(text))) AS seq FROM {paras} WHERE book_id IS NOT NULL AND chapter_key IS NOT NULL),
-c AS (SELECT book_id, chapter_key, min(paragraph_id) AS first_at FROM p GROUP BY book_id, chapter_key),
-n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY first_at) - 1 AS i, count(*) OVER (PARTITION BY book_id) AS k FROM c),
-s AS (SELECT p.paragraph_id, coalesce(p.seq, '') AS seq, CASE WHEN i < floor(k * 6 / 10) THEN 0 WHEN i < floor(k * 6 / 10) + floor(k * 2 / 10) THEN 1 ELSE 2 END AS rnk FROM p JOIN n ON p.chapter_key = n.chapter_key AND p.book_id = n.book_id),
-m AS (SELECT seq, min(rnk) AS first_rank FROM s GROUP BY seq)
-SELECT s.rnk AS split_rank, count(*) AS paragraphs, count(*) FILTER (WHERE s.seq = '') AS empties, count(*) FILTER (WHERE s.seq <> '' AND s.rnk > m.first_rank) AS duplicates FROM s JOIN m ON s.seq = m.seq GROUP BY s.rnk"""

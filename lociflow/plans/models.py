@@ -1,16 +1,18 @@
 """Conditional models: character n-grams, word bigrams, boundaries, local memory; and inference on them.
 
 Add-alpha estimates come from grouped counts joined on the left, so a context never seen keeps the uniform value.
-Randomised nulls order rows by md5(seed, replicate, key), the same in any engine and on any partitioning.
+Randomised nulls order rows by integer or md5 keys of (seed, replicate, row), the same in any engine and partitioning.
 """
 
+from lociflow.operators.resample import sql_key
+
 BODIES: dict[str, str] = {}
 
 #: Relations that a study reads several times; Spark writes them once to the shared folder.
 DERIVED: dict[str, str] = {}
 
-#: Replicates of the reference: permutations of words in lines, bootstrap draws, and nulls of word ends.
-PERMUTATIONS, DRAWS, NULLS = 499, 499, 99
+#: Replicates of the reference: permutations of words in lines, bootstrap draws, nulls of word ends, and keys at random.
+PERMUTATIONS, DRAWS, NULLS, KEYS = 499, 499, 99, 32
 
 
 def _replicates(n: int) -> str:
@@ -21,7 +23,7 @@ def _replicates(n: int) -> str:
 # symbols of a word with its end; unknown ones (not in train) become '?' before contexts are built
 # Events come from distinct words with their counts, so histories are read off a few types, not off all tokens.
 DERIVED["ngram_events"] = """
-WITH ty AS (SELECT split, w, count(*) AS n FROM {tok} WHERE split IS NOT NULL GROUP BY split, w),
+WITH ty AS (SELECT split, w, n FROM {types} WHERE split IS NOT NULL),
 pos AS (SELECT split, w, n, explode_(length(w) + 1) AS i FROM ty),
 raw AS (SELECT split, w, n, i, CASE WHEN i > length(w) THEN '$' ELSE substr(w, cast(i AS INT), 1) END AS ch FROM pos),
 known AS (SELECT DISTINCT ch FROM raw WHERE split = 'train'),
@@ -33,7 +35,8 @@ _SYMBOLS = """oev AS (SELECT split, 0 AS k, '' AS h, s, sum(n) AS n FROM {ngram_
         UNION ALL SELECT split, 2, h2 || h1, s, sum(n) FROM {ngram_events} GROUP BY split, h2, h1, s UNION ALL SELECT split, 3, h3 || h2 || h1, s, n FROM {ngram_events}),
 fit AS (SELECT k, h, s, n FROM oev WHERE split = 'train'), tot AS (SELECT k, h, cast(sum(n) AS DOUBLE) AS t FROM fit GROUP BY k, h), v AS (SELECT count(DISTINCT s) + 1 AS v FROM {ngram_events} WHERE split = 'train')"""
 
-BODIES["ngram_fit"] = f"WITH {_SYMBOLS} SELECT cast(k AS BIGINT) AS k, h, s, cast(n AS BIGINT) AS n FROM fit WHERE n >= 5"
+BODIES["ngram_fit"] = f"""
+WITH {_SYMBOLS} SELECT cast(k AS BIGINT) AS k, h, s, cast(n AS BIGINT) AS n FROM fit"""
 
 BODIES["ngram_score"] = f"""
 WITH {_SYMBOLS}, sc AS (SELECT e.split, e.k, e.n, e.s, -log2((coalesce(f.n, 0) + 1e-1) / (coalesce(t.t, 0e0) + 1e-1 * v.v)) AS bits
@@ -68,10 +71,23 @@ p AS (SELECT ev.split, ev.n, 1e-1 * (coalesce(f1.n, 0) + 1e-1) / (t1.t + 26e-1)
  LEFT JOIN t3 ON ev.b = t3.b AND ev.c = t3.c LEFT JOIN f4 ON ev.a = f4.a AND ev.b = f4.b AND ev.c = f4.c AND ev.d = f4.d LEFT JOIN t4 ON ev.a = t4.a AND ev.b = t4.b AND ev.c = t4.c)
 SELECT split, cast(sum(n) AS BIGINT) AS windows, round(-sum(n * log2(p)) / sum(n), 6) AS bits FROM p GROUP BY split"""
 
+#: The declared letters; a window with any other costs log2(26) and stays in the denominator. Fixed value.
+DECLARED = "abcdefghiklmnopqrsty"
+
+BODIES["window_model"] = f"""
+WITH {_STREAM} SELECT f4.a, f4.b, f4.c, f4.d, round(-log2(1e-1 * (f1.n + 1e-1) / (t1.t + 26e-1) + 2e-1 * (f2.n + 1e-1) / (t2.t + 26e-1) + 3e-1 * (f3.n + 1e-1) / (t3.t + 26e-1) + 4e-1 * (f4.n + 1e-1) / (t4.t + 26e-1)), 6) AS cost
+FROM f4 CROSS JOIN t1 JOIN f1 ON f4.d = f1.d JOIN f2 ON f4.c = f2.c AND f4.d = f2.d JOIN t2 ON f4.c = t2.c JOIN f3 ON f4.b = f3.b AND f4.c = f3.c AND f4.d = f3.d
+JOIN t3 ON f4.b = t3.b AND f4.c = t3.c JOIN t4 ON f4.a = t4.a AND f4.b = t4.b AND f4.c = t4.c"""
+
 BODIES["unknown_window"] = f"""
-WITH {_STREAM}, k AS (SELECT d AS ch FROM f1 WHERE n >= 200), u AS (SELECT g.split, g.n, CASE WHEN ka.ch IS NULL OR kb.ch IS NULL OR kc.ch IS NULL OR kd.ch IS NULL THEN 1 ELSE 0 END AS unk FROM {{stream4}} g
- LEFT JOIN k ka ON g.a = ka.ch LEFT JOIN k kb ON g.b = kb.ch LEFT JOIN k kc ON g.c = kc.ch LEFT JOIN k kd ON g.d = kd.ch)
-SELECT split, cast(sum(n) AS BIGINT) AS windows, cast(sum(unk * n) AS BIGINT) AS unknown, round(sum(unk * n) * log2(26e0) / sum(n), 6) AS floor_bits FROM u GROUP BY split"""
+WITH {_STREAM}, u AS (SELECT split, n, CASE WHEN instr('{DECLARED}', a) = 0 OR instr('{DECLARED}', b) = 0 OR instr('{DECLARED}', c) = 0 OR instr('{DECLARED}', d) = 0 THEN 1 ELSE 0 END AS unk, a, b, c, d FROM {{stream4}} WHERE split <> 'train'),
+ev AS (SELECT * FROM u WHERE unk = 0),
+p AS (SELECT ev.split, ev.n, 1e-1 * (coalesce(f1.n, 0) + 1e-1) / (t1.t + 26e-1) + 2e-1 * (coalesce(f2.n, 0) + 1e-1) / (coalesce(t2.t, 0) + 26e-1)
+   + 3e-1 * (coalesce(f3.n, 0) + 1e-1) / (coalesce(t3.t, 0) + 26e-1) + 4e-1 * (coalesce(f4.n, 0) + 1e-1) / (coalesce(t4.t, 0) + 26e-1) AS p
+ FROM ev CROSS JOIN t1 LEFT JOIN f1 ON ev.d = f1.d LEFT JOIN f2 ON ev.c = f2.c AND ev.d = f2.d LEFT JOIN t2 ON ev.c = t2.c LEFT JOIN f3 ON ev.b = f3.b AND ev.c = f3.c AND ev.d = f3.d
+ LEFT JOIN t3 ON ev.b = t3.b AND ev.c = t3.c LEFT JOIN f4 ON ev.a = f4.a AND ev.b = f4.b AND ev.c = f4.c AND ev.d = f4.d LEFT JOIN t4 ON ev.a = t4.a AND ev.b = t4.b AND ev.c = t4.c),
+k AS (SELECT split, sum(-n * log2(p)) AS bits FROM p GROUP BY split), w AS (SELECT split, sum(n) AS n, sum(n * unk) AS unk FROM u GROUP BY split)
+SELECT w.split, cast(w.n AS BIGINT) AS windows, cast(w.unk AS BIGINT) AS unknown, round((coalesce(k.bits, 0) + w.unk * log2(26e0)) / w.n, 6) AS bits FROM w LEFT JOIN k ON w.split = k.split"""
 
 DERIVED["mapped"] = """
 WITH vocab AS (SELECT w FROM {tok} WHERE split = 'train' GROUP BY w HAVING count(*) >= 2), m AS (SELECT t.locus_id, t.split, t.grp, t.wp, t.w AS raw, coalesce(v.w, '?') AS w FROM {tok} t LEFT JOIN vocab v ON t.w = v.w WHERE t.split IS NOT NULL)
@@ -80,15 +96,23 @@ SELECT split, grp, w, raw, lag(w) OVER (PARTITION BY locus_id ORDER BY wp) AS pr
 _BIGRAM = """uni AS (SELECT w, count(*) AS c FROM {mapped} WHERE split = 'train' GROUP BY w), n AS (SELECT cast(sum(c) AS DOUBLE) AS n, count(*) FILTER (WHERE w <> '?') + 1 AS v FROM uni),
 bi AS (SELECT prev, w, count(*) AS c FROM {mapped} WHERE split = 'train' AND prev IS NOT NULL GROUP BY prev, w), ctx AS (SELECT prev, sum(c) AS t FROM bi GROUP BY prev),
 ev AS (SELECT split, grp, prev, w, count(*) AS k FROM {mapped} WHERE split <> 'train' AND wp > 0 GROUP BY split, grp, prev, w),
-sc AS (SELECT p.split, p.grp, p.w, p.k, -log2((coalesce(u.c, 0) + 1e-1) / (n.n + 1e-1 * n.v)) AS ub,
+sc AS (SELECT p.split, p.grp, p.prev, p.w, p.k, -log2((coalesce(u.c, 0) + 1e-1) / (n.n + 1e-1 * n.v)) AS ub,
    -log2((coalesce(b.c, 0) + 10 * (coalesce(u.c, 0) + 1e-1) / (n.n + 1e-1 * n.v)) / (coalesce(x.t, 0) + 10)) AS bb
  FROM ev p CROSS JOIN n LEFT JOIN uni u ON p.w = u.w LEFT JOIN bi b ON p.prev = b.prev AND p.w = b.w LEFT JOIN ctx x ON p.prev = x.prev)"""
 
-BODIES["bigram_fit"] = f"WITH {_BIGRAM} SELECT b.prev, b.w, b.c, round((b.c + 10 * (u.c + 1e-1) / (n.n + 1e-1 * n.v)) / (x.t + 10), 8) AS p FROM bi b JOIN uni u ON b.w = u.w JOIN ctx x ON b.prev = x.prev CROSS JOIN n WHERE b.c >= 2"
+BODIES["bigram_fit"] = f"WITH {_BIGRAM} SELECT b.prev, b.w, b.c, round((b.c + 10 * (u.c + 1e-1) / (n.n + 1e-1 * n.v)) / (x.t + 10), 8) AS p FROM bi b JOIN uni u ON b.w = u.w JOIN ctx x ON b.prev = x.prev CROSS JOIN n"
 
 BODIES["bigram_score"] = f"""
 WITH {_BIGRAM} SELECT split, cast(sum(k) AS BIGINT) AS n, cast(sum(CASE WHEN w = '?' THEN k ELSE 0 END) AS BIGINT) AS unknown, round(sum(k * ub) / sum(k), 6) AS unigram_bits, round(sum(k * bb) / sum(k), 6) AS bigram_bits, round(sum(k * (ub - bb)) / sum(k), 6) AS gain FROM sc GROUP BY split"""
 
+BODIES["score_difference"] = f"""
+WITH {_BIGRAM}, sh AS (SELECT locus_id, w, row_number() OVER (PARTITION BY locus_id ORDER BY {sql_key(409, '0', 'locus_id', 'wp')}, wp) AS k FROM (SELECT t.locus_id, t.wp, coalesce(v.w, '?') AS w FROM {{tok}} t
+    LEFT JOIN (SELECT DISTINCT w FROM {{mapped}} WHERE split = 'train') v ON t.w = v.w WHERE t.split = 'train')),
+sb AS (SELECT prev, w, count(*) AS c FROM (SELECT lag(w) OVER (PARTITION BY locus_id ORDER BY k) AS prev, w FROM sh) WHERE prev IS NOT NULL GROUP BY prev, w), sx AS (SELECT prev, sum(c) AS t FROM sb GROUP BY prev),
+d AS (SELECT sc.split, sc.k, sc.ub, sc.bb, -log2((coalesce(b.c, 0) + 10 * power(2e0, -sc.ub)) / (coalesce(x.t, 0) + 10)) AS sbits FROM sc LEFT JOIN sb b ON sc.prev = b.prev AND sc.w = b.w LEFT JOIN sx x ON sc.prev = x.prev)
+SELECT split, cast(sum(k) AS BIGINT) AS n, round(sum(k * ub) / sum(k), 6) AS unigram_bits, round(sum(k * bb) / sum(k), 6) AS bigram_bits, round(sum(k * sbits) / sum(k), 6) AS shuffled_bits,
+  round(sum(k * (ub - bb)) / sum(k), 6) AS unigram_less_bigram, round(sum(k * (sbits - bb)) / sum(k), 6) AS shuffled_less_original FROM d GROUP BY split"""
+
 BODIES["bigram_score_groups"] = f"WITH {_BIGRAM} SELECT grp, cast(sum(k) AS BIGINT) AS n, round(sum(k * ub), 4) AS unigram_bits, round(sum(k * bb), 4) AS bigram_bits FROM sc GROUP BY grp"
 
 BODIES["unseen_words"] = f"""
@@ -131,49 +155,40 @@ BODIES["matched_cells"] = f"""
 WITH {_BOUNDARY} SELECT role, cast(plen AS BIGINT) AS plen, cast(length(w) AS BIGINT) AS tlen, count(*) AS n, count(DISTINCT fin) AS finals, count(DISTINCT ini) AS initials FROM e WHERE split = 'test' GROUP BY role, plen, length(w)"""
 
 BODIES["same_tail_components"] = f"""
-WITH {_BOUNDARY}, cell AS (SELECT role, substr(w, 2) AS tail, plen, count(*) AS n, count(DISTINCT ini) AS ki, count(DISTINCT fin) AS kf, sum(base_bits - cond_bits) AS observed FROM gain WHERE split = 'test' GROUP BY role, substr(w, 2), plen)
-SELECT ki, kf, count(*) AS cells, cast(sum(n) AS BIGINT) AS n, round(sum(observed), 4) AS observed FROM cell WHERE ki > 1 AND kf > 1 GROUP BY ki, kf"""
-
-def null_matched(replicates: int = NULLS) -> str:
-    return f"""
-WITH {_BOUNDARY}, o AS (SELECT role, plen, ini, row_number() OVER (PARTITION BY role, plen ORDER BY locus_id, wp) AS k FROM e WHERE split = 'test'),
-s AS (SELECT r.r, role, plen, fin, row_number() OVER (PARTITION BY r.r, role, plen ORDER BY md5('410:' || r.r || ':' || locus_id || ':' || wp), locus_id, wp) AS k FROM e CROSS JOIN {_replicates(replicates)} WHERE split = 'test')
-SELECT s.r, count(*) AS n, count(*) FILTER (WHERE s.fin = o.ini) AS equal FROM o JOIN s ON o.role = s.role AND o.plen = s.plen AND o.k = s.k GROUP BY s.r"""
-
-
-BODIES["null_matched"] = null_matched()
-
-_MEMORY = """voc AS (SELECT w, count(*) AS c FROM {tok} WHERE split = 'train' GROUP BY w HAVING count(*) >= 2), tn AS (SELECT count(*) AS n FROM {tok} WHERE split = 'train'), vn AS (SELECT count(*) + 1 AS v FROM voc),
-t AS (SELECT k.locus_id, k.split, k.wp, coalesce(voc.w, '?') AS w, (coalesce(voc.c, (SELECT n FROM tn) - (SELECT sum(c) FROM voc)) + 1e-1) / ((SELECT n FROM tn) + 1e-1 * (SELECT v FROM vn)) AS p0 FROM {tok} k LEFT JOIN voc ON k.w = voc.w WHERE k.split IN ('validation', 'test')),
-near AS (SELECT a.locus_id, a.split, a.wp, a.p0, g.width, sum(CASE WHEN a.w = b.w THEN 1e0 ELSE 0e0 END) / nullif(count(b.w), 0) AS kernel FROM t a CROSS JOIN (VALUES (1), (4), (16)) AS g(width)
-   LEFT JOIN t b ON a.locus_id = b.locus_id AND b.wp < a.wp AND b.wp >= a.wp - g.width GROUP BY a.locus_id, a.split, a.wp, a.p0, g.width),
-grid AS (SELECT split, width, lambda_ AS lam, count(*) AS n, avg(-log2(CASE WHEN kernel IS NULL THEN p0 ELSE (1 - lambda_) * p0 + lambda_ * kernel END)) AS bits FROM near CROSS JOIN (VALUES (0e0), (1e-1), (25e-2), (5e-1), (75e-2)) AS l(lambda_) GROUP BY split, width, lambda_)"""
-
-BODIES["unigram_memory_fit"] = f"WITH {_MEMORY} SELECT split, count(*) AS n, count(*) FILTER (WHERE w = '?') AS unknown, round(avg(-log2(p0)), 6) AS bits FROM t GROUP BY split"
-BODIES["memory_score"] = f"WITH {_MEMORY} SELECT split, width, round(lam, 2) AS lam, n, round(bits, 6) AS bits FROM grid"
-BODIES["memory_grid"] = f"""
-WITH {_MEMORY} SELECT width, round(lam, 2) AS lam, round(bits, 6) AS bits FROM (SELECT *, row_number() OVER (ORDER BY round(bits, 9), lam, width) AS k FROM grid WHERE split = 'validation') WHERE k = 1"""
-
-def _lines(permutations: int = PERMUTATIONS) -> str:
-    return f"""ln AS (SELECT locus_id, wp, w, nw FROM {{tok}} WHERE paragraph AND excluded = 0 AND NOT coalesce(interrupted, false) AND nw >= 3),
-perm AS (SELECT r.r, locus_id, w, row_number() OVER (PARTITION BY r.r, locus_id ORDER BY md5('408:' || r.r || ':' || locus_id || ':' || wp), wp) - 1 AS wp FROM ln CROSS JOIN {_replicates(permutations)}),
-al AS (SELECT -1 AS r, locus_id, w, wp FROM ln UNION ALL SELECT r, locus_id, w, wp FROM perm),
-st AS (SELECT r, locus_id, w, wp, lag(w) OVER (PARTITION BY r, locus_id ORDER BY wp) AS prev FROM al),
-stat AS (SELECT r, count(prev) AS pairs, count(*) FILTER (WHERE w = prev) AS equal, count(*) FILTER (WHERE levenshtein(w, prev) <= 1) AS near, count(*) FILTER (WHERE wp = 0 AND substr(w, 1, 1) IN ('t', 'k', 'p', 'f')) AS gallows FROM st GROUP BY r)"""
-
-
-def perm_word_order(permutations: int = PERMUTATIONS) -> str:
-    return f"WITH {_lines(permutations)} SELECT r, pairs, equal, near, gallows FROM stat"
-
-
-def rank_fraction(permutations: int = PERMUTATIONS) -> str:
-    return f"""
-WITH {_lines(permutations)} SELECT round((1 + sum(CASE WHEN s.equal >= o.equal THEN 1 ELSE 0 END)) / cast(1 + count(*) AS DOUBLE), 6) AS p_equal, round((1 + sum(CASE WHEN s.near >= o.near THEN 1 ELSE 0 END)) / cast(1 + count(*) AS DOUBLE), 6) AS p_near,
-  round((1 + sum(CASE WHEN s.gallows >= o.gallows THEN 1 ELSE 0 END)) / cast(1 + count(*) AS DOUBLE), 6) AS p_gallows FROM stat s CROSS JOIN (SELECT * FROM stat WHERE r = -1) o WHERE s.r >= 0"""
-
-
-BODIES["perm_word_order"] = perm_word_order()
-BODIES["rank_fraction"] = rank_fraction()
+WITH {_BOUNDARY}, cell AS (SELECT role, substr(w, 2) AS tail, plen, ini, fin, p0, base_bits - cond_bits AS g FROM gain WHERE split = 'test'),
+ok AS (SELECT role, tail, plen, count(*) AS n, sum(g) AS observed FROM cell GROUP BY role, tail, plen HAVING count(DISTINCT ini) > 1 AND count(DISTINCT fin) > 1),
+i AS (SELECT c.role, c.tail, c.plen, c.ini, max(c.p0) AS p0, count(*) AS n FROM cell c JOIN ok ON c.role = ok.role AND c.tail = ok.tail AND c.plen = ok.plen GROUP BY c.role, c.tail, c.plen, c.ini),
+f AS (SELECT c.role, c.tail, c.plen, c.fin, count(*) AS n FROM cell c JOIN ok ON c.role = ok.role AND c.tail = ok.tail AND c.plen = ok.plen GROUP BY c.role, c.tail, c.plen, c.fin),
+set_ AS (SELECT role, tail, plen, spell_(ini BY ini)_ AS inis FROM i GROUP BY role, tail, plen),
+x AS (SELECT i.role, i.tail, i.plen, sum(i.n * f.n * (log2((coalesce(c2.n, 0) + 10 * i.p0) / (coalesce(s2.t, 0) + 10)) - log2(i.p0))) AS s FROM i JOIN f ON i.role = f.role AND i.tail = f.tail AND i.plen = f.plen
+  LEFT JOIN c2 ON c2.role = i.role AND c2.fin = f.fin AND c2.ini = i.ini LEFT JOIN s2 ON s2.role = i.role AND s2.fin = f.fin GROUP BY i.role, i.tail, i.plen)
+SELECT set_.inis AS initials, count(*) AS cells, cast(sum(ok.n) AS BIGINT) AS n, round(sum(ok.observed), 4) AS observed, round(sum(x.s / ok.n), 4) AS expected FROM ok JOIN x ON ok.role = x.role AND ok.tail = x.tail AND ok.plen = x.plen JOIN set_ ON ok.role = set_.role AND ok.tail = set_.tail AND ok.plen = set_.plen GROUP BY set_.inis"""
+
+# The kernels of a context word: exact puts all on the word itself if it is in the vocabulary, edit spreads p0 over the
+# vocabulary words one edit away; a context that has neither keeps p0. Targets are words after the first of a line.
+_MEMORY = """voc AS (SELECT w, n AS c FROM {types} WHERE split = 'train' AND n >= 2), tn AS (SELECT cast(sum(n) AS BIGINT) AS n FROM {types} WHERE split = 'train'), vn AS (SELECT count(*) + 1 AS v, coalesce(sum(c), 0) AS c FROM voc),
+pv AS (SELECT w, (voc.c + 1e-1) / (tn.n + 1e-1 * vn.v) AS p0 FROM voc CROSS JOIN tn CROSS JOIN vn), unk AS (SELECT (tn.n - vn.c + 1e-1) / (tn.n + 1e-1 * vn.v) AS p0 FROM tn CROSS JOIN vn),
+seen AS (SELECT DISTINCT w FROM {types} WHERE split IN ('validation', 'test')),
+kv AS (SELECT w, w AS k FROM voc UNION SELECT l.w, substr(l.w, 1, cast(l.cp AS INT)) || substr(l.w, cast(l.cp AS INT) + 2) FROM {letters} l JOIN voc ON l.w = voc.w),
+ks AS (SELECT w, w AS k FROM seen UNION SELECT l.w, substr(l.w, 1, cast(l.cp AS INT)) || substr(l.w, cast(l.cp AS INT) + 2) FROM {letters} l JOIN seen ON l.w = seen.w),
+norm AS (SELECT e.x AS w, sum(pv.p0) AS norm FROM (SELECT DISTINCT ks.w AS x, kv.w AS y FROM ks JOIN kv ON ks.k = kv.k WHERE ks.w <> kv.w AND levenshtein(ks.w, kv.w) = 1) e JOIN pv ON e.y = pv.w GROUP BY e.x),
+t AS (SELECT k.locus_id, k.split, k.grp, k.wp, k.w, CASE WHEN pv.w IS NULL THEN 0 ELSE 1 END AS known, coalesce(pv.p0, unk.p0) AS p0, norm.norm FROM {tok} k CROSS JOIN unk LEFT JOIN pv ON k.w = pv.w LEFT JOIN norm ON k.w = norm.w WHERE k.split IN ('validation', 'test')),
+pr AS (SELECT a.locus_id, a.split, a.grp, a.wp, a.p0, a.wp - b.wp AS dist, CASE WHEN b.known = 0 THEN a.p0 WHEN a.w = b.w THEN 1e0 ELSE 0e0 END AS exact_,
+   CASE WHEN b.norm IS NULL THEN a.p0 WHEN a.known = 1 AND abs(length(a.w) - length(b.w)) <= 1 AND levenshtein(a.w, b.w) = 1 THEN a.p0 / b.norm ELSE 0e0 END AS edit_
+ FROM t a JOIN t b ON a.locus_id = b.locus_id AND b.wp < a.wp AND b.wp >= a.wp - 16),
+near AS (SELECT locus_id, split, grp, wp, p0, g.width, avg(exact_) AS exact_, avg(edit_) AS edit_ FROM pr JOIN (VALUES (1), (4), (16)) AS g(width) ON pr.dist <= g.width GROUP BY locus_id, split, grp, wp, p0, g.width),
+mix AS (SELECT split, grp, width, lambda_ AS lam, family, p0, (1 - lambda_) * p0 + lambda_ * CASE WHEN family = 'exact' THEN exact_ ELSE edit_ END AS p FROM near CROSS JOIN (VALUES (0e0), (1e-1), (25e-2), (5e-1), (75e-2)) AS l(lambda_) CROSS JOIN (VALUES ('exact'), ('edit')) AS f(family)),
+grid AS (SELECT split, family, width, lam, count(*) AS n, avg(-log2(p)) AS bits FROM mix GROUP BY split, family, width, lam),
+choice AS (SELECT family, width, lam FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY round(bits, 9), lam, width) AS k FROM grid WHERE split = 'validation') WHERE k = 1)"""
+
+BODIES["unigram_memory_fit"] = f"WITH {_MEMORY} SELECT split, count(*) AS n, count(*) FILTER (WHERE known = 0) AS unknown, round(avg(-log2(p0)), 6) AS bits FROM t GROUP BY split"
+BODIES["memory_score"] = f"WITH {_MEMORY} SELECT split, family, width, round(lam, 2) AS lam, n, round(bits, 6) AS bits FROM grid"
+BODIES["memory_grid"] = f"WITH {_MEMORY} SELECT g.family, g.width, round(g.lam, 2) AS lam, round(g.bits, 6) AS bits FROM grid g JOIN choice c ON g.family = c.family AND g.width = c.width AND g.lam = c.lam WHERE g.split = 'validation'"
+
+# the settings that validation chose, on the test split by group
+BODIES["memory_diagnostic"] = f"""
+WITH {_MEMORY} SELECT m.family, m.grp, count(*) AS n, round(avg(-log2(m.p0)), 6) AS baseline_bits, round(avg(-log2(m.p)), 6) AS bits, round(avg(log2(m.p) - log2(m.p0)), 6) AS gain
+FROM mix m JOIN choice c ON m.family = c.family AND m.width = c.width AND m.lam = c.lam WHERE m.split = 'test' GROUP BY m.family, m.grp"""
 
 BODIES["perm_expectation"] = """
 WITH ln AS (SELECT locus_id, wp, w, nw FROM {tok} WHERE paragraph AND excluded = 0 AND NOT coalesce(interrupted, false) AND nw >= 3),
@@ -181,71 +196,77 @@ g AS (SELECT locus_id, max(nw) AS n, count(*) FILTER (WHERE substr(w, 1, 1) IN (
 q AS (SELECT a.locus_id, max(a.nw) AS n, count(*) FILTER (WHERE a.w = b.w) AS same, count(*) FILTER (WHERE levenshtein(a.w, b.w) <= 1) AS near FROM ln a JOIN ln b ON a.locus_id = b.locus_id AND a.wp < b.wp GROUP BY a.locus_id)
 SELECT round(sum(g.g / cast(g.n AS DOUBLE)), 5) AS gallows, round(sum(2 * q.same / cast(q.n AS DOUBLE)), 5) AS equal, round(sum(2 * q.near / cast(q.n AS DOUBLE)), 5) AS near FROM g JOIN q ON g.locus_id = q.locus_id"""
 
-BODIES["holm"] = """
-WITH p AS (SELECT ll AS name, (1 + count(*) FILTER (WHERE nw < 3)) / cast(1 + count(*) AS DOUBLE) / 40 AS p FROM (SELECT coalesce(il, '?') AS ll, nw FROM {recs}) GROUP BY ll),
-r AS (SELECT name, p, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS m FROM p)
-SELECT name, round(p, 6) AS p, round(least(1e0, max((m - i + 1) * p) OVER (ORDER BY i)), 6) AS adjusted FROM r"""
-
-BODIES["null_within_token"] = """
-WITH sh AS (SELECT split, locus_id, wp, ch, row_number() OVER (PARTITION BY locus_id, wp ORDER BY md5('408:' || locus_id || ':' || wp || ':' || cp), cp) AS k FROM {chars} WHERE split = 'train'),
-b AS (SELECT lag(ch) OVER (PARTITION BY locus_id, wp ORDER BY k) AS prev, ch FROM sh)
-SELECT coalesce(prev, '^') AS prev, ch, count(*) AS n FROM b GROUP BY coalesce(prev, '^'), ch"""
-
-BODIES["null_train_lines"] = """
-WITH sh AS (SELECT locus_id, w, row_number() OVER (PARTITION BY locus_id ORDER BY md5('409:' || locus_id || ':' || wp), wp) AS k FROM {tok} WHERE split = 'train')
-SELECT prev, w, count(*) AS n FROM (SELECT lag(w) OVER (PARTITION BY locus_id ORDER BY k) AS prev, w FROM sh) WHERE prev IS NOT NULL GROUP BY prev, w HAVING count(*) >= 3"""
-
-BODIES["null_same_length"] = """
-WITH o AS (SELECT locus_id, length(w) AS len, wp, row_number() OVER (PARTITION BY locus_id, length(w) ORDER BY wp) AS k FROM {tok} WHERE wp > 0),
-s AS (SELECT locus_id, length(w) AS len, w, row_number() OVER (PARTITION BY locus_id, length(w) ORDER BY md5('409:' || locus_id || ':' || wp), wp) AS k FROM {tok} WHERE wp > 0),
-n AS (SELECT o.locus_id, o.wp, s.w FROM o JOIN s ON o.locus_id = s.locus_id AND o.len = s.len AND o.k = s.k)
-SELECT count(*) AS words, count(*) FILTER (WHERE n.w = t.w) AS unmoved FROM n JOIN {tok} t ON n.locus_id = t.locus_id AND n.wp = t.wp"""
-
-BODIES["null_stream"] = """
-WITH o AS (SELECT split, w, substr(md5('608:' || locus_id || ':' || wp), 1, 3) AS part, md5('608:' || locus_id || ':' || wp) || ':' || locus_id || ':' || wp AS k FROM {tok} WHERE split IS NOT NULL),
-inside AS (SELECT split, w, lag(w) OVER (PARTITION BY split, part ORDER BY k) AS prev FROM o),
-ends AS (SELECT split, part, min_by(w, k) AS first_w, max_by(w, k) AS last_w FROM o GROUP BY split, part),
-across AS (SELECT split, first_w AS w, lag(last_w) OVER (PARTITION BY split ORDER BY part) AS prev FROM ends)
-SELECT split, count(*) AS pairs, count(*) FILTER (WHERE w = prev) AS equal FROM (SELECT * FROM inside UNION ALL SELECT * FROM across) WHERE prev IS NOT NULL GROUP BY split"""
-
-BODIES["line_order_perm"] = """
-WITH s AS (SELECT volume_id, folio, words, row_number() OVER (PARTITION BY volume_id, folio ORDER BY md5('7:' || locus_id), locus_id) AS k FROM {recs} WHERE paragraph AND nw > 0 AND folio IS NOT NULL AND volume_id IS NOT NULL)
-SELECT count(*) AS pairs, cast(sum(levenshtein(substr(array_to_string_(words), 1, 12), prev)) AS BIGINT) AS distance
-FROM (SELECT words, lag(substr(array_to_string_(words), 1, 12)) OVER (PARTITION BY volume_id, folio ORDER BY k) AS prev FROM s) WHERE prev IS NOT NULL"""
-
-BODIES["cyclic_rotation"] = """
-WITH panel AS (SELECT folio_no AS panel, (locus_id % 15) AS slot, count(*) FILTER (WHERE excluded = 0) AS hits FROM {recs} WHERE folio_no BETWEEN 1 AND 4 GROUP BY folio_no, locus_id % 15),
-score AS (SELECT a.panel, b.slot AS rotation, cast(sum(a.hits * b.hits) % 10 AS BIGINT) AS s FROM panel a JOIN panel b ON a.panel = b.panel AND (a.slot + b.slot) % 15 < 7 GROUP BY a.panel, b.slot),
-h AS (SELECT panel, s, count(*) AS n FROM score GROUP BY panel, s),
-c AS (SELECT h1.s + h2.s AS s, sum(h1.n * h2.n) AS n FROM (SELECT * FROM h WHERE panel = 1) h1 CROSS JOIN (SELECT * FROM h WHERE panel = 2) h2 GROUP BY h1.s + h2.s)
-SELECT c.s + h3.s AS s, cast(sum(c.n * h3.n) AS BIGINT) AS combinations FROM c CROSS JOIN (SELECT * FROM h WHERE panel = 3) h3 GROUP BY c.s + h3.s"""
+BODIES["null_within_token"] = f"""
+WITH sh AS (SELECT split, locus_id, wp, ch, row_number() OVER (PARTITION BY locus_id, wp ORDER BY {sql_key(408, 'wp', 'locus_id', 'cp')}, cp) AS k FROM {{chars}} WHERE split = 'train'),
+sx AS (SELECT coalesce(lag(ch) OVER (PARTITION BY locus_id, wp ORDER BY k), '^') AS h, ch AS s FROM sh UNION ALL SELECT h, '$' FROM (SELECT locus_id, wp, ch AS h, row_number() OVER (PARTITION BY locus_id, wp ORDER BY k DESC) AS z FROM sh) WHERE z = 1),
+fit AS (SELECT h, s, count(*) AS n FROM sx GROUP BY h, s), tot AS (SELECT h, sum(n) AS t FROM fit GROUP BY h),
+raw AS (SELECT h1 AS h, s, sum(n) AS n FROM {{ngram_events}} WHERE split = 'train' GROUP BY h1, s), rt AS (SELECT h, sum(n) AS t FROM raw GROUP BY h), v AS (SELECT count(DISTINCT s) + 1 AS v FROM raw),
+ev AS (SELECT split, h1 AS h, s, sum(n) AS n FROM {{ngram_events}} WHERE split <> 'train' GROUP BY split, h1, s)
+SELECT ev.split, cast(sum(ev.n) AS BIGINT) AS n, round(-sum(ev.n * log2((coalesce(raw.n, 0) + 1e-1) / (coalesce(rt.t, 0) + 1e-1 * v.v))) / sum(ev.n), 6) AS original_bits,
+  round(-sum(ev.n * log2((coalesce(fit.n, 0) + 1e-1) / (coalesce(tot.t, 0) + 1e-1 * v.v))) / sum(ev.n), 6) AS shuffled_bits
+FROM ev CROSS JOIN v LEFT JOIN fit ON ev.h = fit.h AND ev.s = fit.s LEFT JOIN tot ON ev.h = tot.h LEFT JOIN raw ON ev.h = raw.h AND ev.s = raw.s LEFT JOIN rt ON ev.h = rt.h GROUP BY ev.split"""
+
+BODIES["null_train_lines"] = f"""
+WITH sh AS (SELECT locus_id, w, row_number() OVER (PARTITION BY locus_id ORDER BY {sql_key(409, '0', 'locus_id', 'wp')}, wp) AS k FROM {{tok}} WHERE split = 'train')
+SELECT prev, w, count(*) AS n FROM (SELECT lag(w) OVER (PARTITION BY locus_id ORDER BY k) AS prev, w FROM sh) WHERE prev IS NOT NULL GROUP BY prev, w"""
+
+BODIES["null_word_shuffle_partition"] = f"""
+WITH sh AS (SELECT split, locus_id, wp, ch, row_number() OVER (PARTITION BY locus_id, wp ORDER BY CASE split WHEN 'train' THEN {sql_key(408, 'wp', 'locus_id', 'cp')} WHEN 'validation' THEN {sql_key(409, 'wp', 'locus_id', 'cp')} ELSE {sql_key(410, 'wp', 'locus_id', 'cp')} END, cp) AS k FROM {{chars}} WHERE split IS NOT NULL),
+b AS (SELECT split, coalesce(lag(ch) OVER (PARTITION BY locus_id, wp ORDER BY k), '^') AS h, ch AS s FROM sh),
+f AS (SELECT split, h, s, count(*) AS n FROM b GROUP BY split, h, s), t AS (SELECT split, h, sum(n) AS t FROM f GROUP BY split, h)
+SELECT f.split, cast(sum(f.n) AS BIGINT) AS n, count(*) AS pairs, round(-sum(f.n * log2((f.n + 1e-1) / (t.t + 27e-1))) / sum(f.n), 6) AS bits FROM f JOIN t ON f.split = t.split AND f.h = t.h GROUP BY f.split"""
+
+BODIES["null_stream"] = f"""
+WITH o AS (SELECT split, locus_id, wp, w, CASE split WHEN 'train' THEN {sql_key(608, 'wp', 'locus_id', 'wp')} WHEN 'validation' THEN {sql_key(609, 'wp', 'locus_id', 'wp')} ELSE {sql_key(610, 'wp', 'locus_id', 'wp')} END AS k FROM {{tok}} WHERE split IS NOT NULL),
+p AS (SELECT split, w, k, locus_id, wp, floor(k / 65536) AS part FROM o),
+inside AS (SELECT split, w, lag(w) OVER (PARTITION BY split, part ORDER BY k, locus_id, wp) AS prev FROM p),
+ends AS (SELECT split, part, max(CASE WHEN a = 1 THEN w END) AS first_w, max(CASE WHEN z = 1 THEN w END) AS last_w FROM (SELECT split, part, w, row_number() OVER (PARTITION BY split, part ORDER BY k, locus_id, wp) AS a, row_number() OVER (PARTITION BY split, part ORDER BY k DESC, locus_id DESC, wp DESC) AS z FROM p) GROUP BY split, part),
+across AS (SELECT split, first_w AS w, lag(last_w) OVER (PARTITION BY split ORDER BY part) AS prev FROM ends),
+words AS (SELECT split, count(*) AS pairs, count(*) FILTER (WHERE w = prev) AS equal FROM (SELECT * FROM inside UNION ALL SELECT * FROM across) WHERE prev IS NOT NULL GROUP BY split),
+sh AS (SELECT split, locus_id, wp, ch, row_number() OVER (PARTITION BY locus_id, wp ORDER BY CASE split WHEN 'train' THEN {sql_key(508, 'wp', 'locus_id', 'cp')} WHEN 'validation' THEN {sql_key(509, 'wp', 'locus_id', 'cp')} ELSE {sql_key(510, 'wp', 'locus_id', 'cp')} END, cp) AS k FROM {{chars}} WHERE split IS NOT NULL),
+lg AS (SELECT split, ch, lag(ch) OVER (PARTITION BY locus_id, wp ORDER BY k) AS prev FROM sh),
+letters_ AS (SELECT split, count(prev) AS letter_pairs, count(*) FILTER (WHERE ch = prev) AS letter_equal, count(*) AS n_letters FROM lg GROUP BY split)
+SELECT words.split, pairs, equal, letter_pairs, letter_equal, n_letters FROM words JOIN letters_ ON words.split = letters_.split"""
 
 # a key by frequency ranks, and keys at random by md5: both score the validation stream under the train model
-_UNDER_KEY = """tr AS (SELECT h1, s, sum(n) AS n FROM {ngram_events} WHERE split = 'train' GROUP BY h1, s), tt AS (SELECT h1, cast(sum(n) AS DOUBLE) AS t FROM tr GROUP BY h1), v AS (SELECT count(DISTINCT s) AS v FROM tr),
-va AS (SELECT h1, s, sum(n) AS n FROM {ngram_events} WHERE split = 'validation' GROUP BY h1, s),
+_UNDER_KEY = f"""tr AS (SELECT h1, s, sum(n) AS n FROM {{ngram_events}} WHERE split = 'train' GROUP BY h1, s), tt AS (SELECT h1, cast(sum(n) AS DOUBLE) AS t FROM tr GROUP BY h1), v AS (SELECT count(DISTINCT s) AS v FROM tr),
+va AS (SELECT h1, s, sum(n) AS n FROM {{ngram_events}} WHERE split = 'validation' GROUP BY h1, s),
 lt AS (SELECT s, row_number() OVER (ORDER BY sum(n) DESC, s) AS k FROM tr WHERE s <> '$' GROUP BY s), lv AS (SELECT s, sum(n) AS n FROM va WHERE s <> '$' GROUP BY s),
 keys AS (SELECT -1 AS r, a.s AS u, lt.s AS x FROM (SELECT s, row_number() OVER (ORDER BY n DESC, s) AS k FROM lv) a JOIN lt ON a.k = lt.k
-  UNION ALL SELECT a.r, a.s, lt.s FROM (SELECT r.r, s, row_number() OVER (PARTITION BY r.r ORDER BY md5('12:' || r.r || ':' || s), s) AS k FROM lv CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS r(r)) a JOIN lt ON a.k = lt.k
-  UNION ALL SELECT r.r, e.u, e.u FROM (VALUES (-1), (0), (1), (2), (3), (4), (5), (6), (7)) AS r(r) CROSS JOIN (VALUES ('^'), ('$')) AS e(u)),
+  UNION ALL SELECT a.r, a.s, lt.s FROM (SELECT r.r, s, row_number() OVER (PARTITION BY r.r ORDER BY md5('12:' || r.r || ':' || s), s) AS k FROM lv CROSS JOIN {_replicates(KEYS)}) a JOIN lt ON a.k = lt.k
+  UNION ALL SELECT r.r, e.u, e.u FROM (SELECT r.r FROM {_replicates(KEYS)} UNION ALL SELECT -1) AS r CROSS JOIN (VALUES ('^'), ('$')) AS e(u)),
 de AS (SELECT a.r, va.n, a.x AS h, b.x AS s FROM va JOIN keys a ON va.h1 = a.u JOIN keys b ON va.s = b.u AND a.r = b.r),
 ks AS (SELECT de.r, sum(de.n) AS n, -sum(de.n * log2((coalesce(tr.n, 0) + 1e-1) / (coalesce(tt.t, 0) + 1e-1 * v.v))) AS bits FROM de LEFT JOIN tr ON de.h = tr.h1 AND de.s = tr.s LEFT JOIN tt ON de.h = tt.h1 CROSS JOIN v GROUP BY de.r)"""
 
 BODIES["score_key"] = f"WITH {_UNDER_KEY} SELECT cast(n AS BIGINT) AS events, round(bits / n, 6) AS bits_per_symbol FROM ks WHERE r = -1"
+# scored by joins of the decoded events, and once more by the events of the decoded words: both must agree
+BODIES["score_key_incremental"] = f"""
+WITH {_UNDER_KEY}, x AS (SELECT u, x FROM keys WHERE r = -1), w AS (SELECT l.w, l.cp, coalesce(x.x, '?') AS s FROM {{letters}} l LEFT JOIN x ON l.ch = x.u),
+ws AS (SELECT t.w, t.n, w.s, coalesce(lag(w.s) OVER (PARTITION BY t.w ORDER BY w.cp), '^') AS h, lead(w.s) OVER (PARTITION BY t.w ORDER BY w.cp) AS nx FROM {{types}} t JOIN w ON t.w = w.w WHERE t.split = 'validation'),
+e AS (SELECT h, s, n FROM ws UNION ALL SELECT s, '$', n FROM ws WHERE nx IS NULL)
+SELECT cast(sum(e.n) AS BIGINT) AS events, round(-sum(e.n * log2((coalesce(tr.n, 0) + 1e-1) / (coalesce(tt.t, 0) + 1e-1 * v.v))) / sum(e.n), 6) AS bits_per_symbol
+FROM e LEFT JOIN tr ON e.h = tr.h1 AND e.s = tr.s LEFT JOIN tt ON e.h = tt.h1 CROSS JOIN v"""
+
+BODIES["score_heldout"] = f"""
+WITH {_UNDER_KEY}, x AS (SELECT u, x FROM keys WHERE r = -1), te AS (SELECT h1, s, sum(n) AS n FROM {{ngram_events}} WHERE split = 'test' GROUP BY h1, s),
+d AS (SELECT te.n, te.s AS u, CASE WHEN te.h1 = '^' THEN '^' ELSE a.x END AS h, CASE WHEN te.s = '$' THEN '$' ELSE b.x END AS s FROM te LEFT JOIN x a ON te.h1 = a.u LEFT JOIN x b ON te.s = b.u)
+SELECT cast(sum(d.n) AS BIGINT) AS events, cast(sum(CASE WHEN d.h IS NOT NULL AND d.s IS NOT NULL THEN d.n ELSE 0 END) AS BIGINT) AS covered, cast(sum(CASE WHEN d.u = d.s AND d.s <> '$' THEN d.n ELSE 0 END) AS BIGINT) AS recovered,
+  round(sum(CASE WHEN d.h IS NOT NULL AND d.s IS NOT NULL THEN -d.n * log2((coalesce(tr.n, 0) + 1e-1) / (coalesce(tt.t, 0) + 1e-1 * v.v)) ELSE 0e0 END) / sum(CASE WHEN d.h IS NOT NULL AND d.s IS NOT NULL THEN d.n ELSE 0 END), 6) AS bits_per_symbol
+FROM d LEFT JOIN tr ON d.h = tr.h1 AND d.s = tr.s LEFT JOIN tt ON d.h = tt.h1 CROSS JOIN v"""
+
+# homophones: units of the quotient's classes stand for one letter each, so several units may give the same letter
+BODIES["score_homophonic"] = f"""
+WITH {_UNDER_KEY}, h AS (SELECT s AS u, (row_number() OVER (ORDER BY n DESC, s) - 1) AS k FROM lv), m AS (SELECT h.u, lt.s AS x FROM h JOIN lt ON floor(h.k / 2) + 1 = lt.k UNION ALL SELECT '^', '^' UNION ALL SELECT '$', '$'),
+e AS (SELECT va.n, a.x AS h, b.x AS s FROM va JOIN m a ON va.h1 = a.u JOIN m b ON va.s = b.u)
+SELECT (SELECT count(*) - count(DISTINCT x) FROM m) AS shared_letters, cast(sum(e.n) AS BIGINT) AS events, round(-sum(e.n * log2((coalesce(tr.n, 0) + 1e-1) / (coalesce(tt.t, 0) + 1e-1 * v.v))) / sum(e.n), 6) AS bits_per_symbol
+FROM e LEFT JOIN tr ON e.h = tr.h1 AND e.s = tr.s LEFT JOIN tt ON e.h = tt.h1 CROSS JOIN v"""
+
 BODIES["random_key_baseline"] = f"WITH {_UNDER_KEY} SELECT count(*) AS n_keys, round(min(bits / n), 6) AS low, round(max(bits / n), 6) AS high FROM ks WHERE r >= 0"
 
 BODIES["baseline_plaintext"] = f"""
 WITH {_UNDER_KEY} SELECT round(-sum(va.n * log2((coalesce(tr.n, 0) + 1e-1) / (coalesce(tt.t, 0) + 1e-1 * v.v))) / sum(va.n), 6) AS identity_bits
 FROM va LEFT JOIN tr ON va.h1 = tr.h1 AND va.s = tr.s LEFT JOIN tt ON va.h1 = tt.h1 CROSS JOIN v"""
 
-def null_tail(replicates: int = NULLS) -> str:
-    return f"""
-WITH s AS (SELECT r.r, locus_id, w, row_number() OVER (PARTITION BY r.r, locus_id ORDER BY CASE WHEN wp = 0 THEN '' ELSE md5('408:' || r.r || ':' || locus_id || ':' || wp) END, wp) AS k FROM {{tok}} CROSS JOIN {_replicates(replicates)}),
-p AS (SELECT r, w, lag(w) OVER (PARTITION BY r, locus_id ORDER BY k) AS prev FROM s)
-SELECT r, count(prev) AS pairs, count(*) FILTER (WHERE substr(prev, length(prev), 1) = substr(w, 1, 1)) AS same_unit FROM p GROUP BY r"""
-
-
-BODIES["null_tail"] = null_tail()
-
 BODIES["null_same_tail"] = f"""
 WITH {_BOUNDARY}, cell AS (SELECT *, substr(w, 2) AS tail FROM e WHERE split = 'test'),
 ok AS (SELECT role, tail, plen FROM cell GROUP BY role, tail, plen HAVING count(DISTINCT ini) > 1 AND count(DISTINCT fin) > 1),
@@ -255,9 +276,8 @@ t AS (SELECT role, tail, plen, sum(n) AS t FROM i GROUP BY role, tail, plen)
 SELECT cast(sum(CASE WHEN i.ini = f.fin THEN i.n * f.n ELSE 0 END) AS BIGINT) AS weight, round(sum(CASE WHEN i.ini = f.fin THEN i.n * f.n / cast(t.t AS DOUBLE) ELSE 0e0 END), 6) AS expected_equal
 FROM i JOIN f ON i.role = f.role AND i.tail = f.tail AND i.plen = f.plen JOIN t ON i.role = t.role AND i.tail = t.tail AND i.plen = t.plen"""
 
-BODIES["lm_fit_declared"] = """
-WITH d AS (SELECT h1, s, sum(n) AS n FROM {ngram_events} WHERE split = 'train' GROUP BY h1, s)
-SELECT h1 AS context, CASE WHEN s IN ('j', 'u', 'v', 'w', 'z', '?') THEN '?' ELSE s END AS symbol, cast(sum(n) AS BIGINT) AS n FROM d GROUP BY h1, CASE WHEN s IN ('j', 'u', 'v', 'w', 'z', '?') THEN '?' ELSE s END"""
+BODIES["lm_fit_declared"] = f"""
+SELECT h1 AS context, CASE WHEN instr('{DECLARED}$', s) = 0 THEN '?' ELSE s END AS symbol, cast(sum(n) AS BIGINT) AS n FROM {{ngram_events}} WHERE split = 'train' GROUP BY h1, CASE WHEN instr('{DECLARED}$', s) = 0 THEN '?' ELSE s END"""
 
 BODIES["gates"] = f"""
 WITH {_UNDER_KEY} SELECT k.bits / k.n < r.low AS beats_random, k.bits / k.n < log2(cast(v.v AS DOUBLE)) AS beats_uniform, k.n >= 1000 AS enough_events, k.bits / k.n < r.low AND k.bits / k.n < log2(cast(v.v AS DOUBLE)) AND k.n >= 1000 AS passed

@@ -18,26 +18,27 @@ FROM (SELECT il, ll, ql, grouping(il) AS gi, grouping(ll) AS gl, count(*) AS rec
       FROM (SELECT coalesce(il, '?') AS il, coalesce(ll, '?') AS ll, coalesce(ql, '?') AS ql, nw, excluded, folio FROM {recs})
       GROUP BY GROUPING SETS ((il), (ll), (ql)))"""
 
-BODIES["length_histogram"] = "SELECT cast(length(w) AS BIGINT) AS len, count(*) AS n FROM {tok} GROUP BY length(w)"
+BODIES["length_histogram"] = """
+SELECT len, cast(sum(n) AS BIGINT) AS n FROM {types} GROUP BY len"""
 
 BODIES["top_tokens"] = """
 SELECT w, c FROM (SELECT w, count(*) AS c, min(source_order * 100000 + wp) AS first_at FROM {tok} GROUP BY w) ORDER BY c DESC, first_at LIMIT 25"""
 
 BODIES["rank_types"] = """
-SELECT w, c, cast(row_number() OVER (ORDER BY c DESC, w) AS BIGINT) AS rnk FROM (SELECT w, count(*) AS c FROM {tok} GROUP BY w ORDER BY c DESC, w LIMIT 200)"""
+SELECT w, c, cast(row_number() OVER (ORDER BY c DESC, w) AS BIGINT) AS rnk FROM (SELECT w, cast(sum(n) AS BIGINT) AS c FROM {types} GROUP BY w ORDER BY c DESC, w LIMIT 200)"""
 
 BODIES["entropy_h1"] = """
-SELECT round(-sum(n / t * log2(n / t)), 6) AS h1 FROM (SELECT n, cast(sum(n) OVER () AS DOUBLE) AS t FROM (SELECT ch, count(*) AS n FROM {chars} GROUP BY ch))"""
+SELECT round(-sum(n / t * log2(n / t)), 6) AS h1 FROM (SELECT n, cast(sum(n) OVER () AS DOUBLE) AS t FROM (SELECT ch, sum(n) AS n FROM {tchars} GROUP BY ch))"""
 
 BODIES["entropy_h2"] = """
 SELECT round(-sum(n * log2(n / ta)) / sum(n), 6) AS h2
 FROM (SELECT a, b, n, cast(sum(n) OVER (PARTITION BY a) AS DOUBLE) AS ta
-      FROM (SELECT ch AS a, nxt AS b, count(*) AS n
-            FROM (SELECT ch, lead(ch) OVER (PARTITION BY locus_id, wp ORDER BY cp) AS nxt FROM {chars}) WHERE nxt IS NOT NULL GROUP BY ch, nxt))"""
+      FROM (SELECT ch AS a, nxt AS b, sum(n) AS n
+            FROM (SELECT n, ch, lead(ch) OVER (PARTITION BY split, w ORDER BY cp) AS nxt FROM {tchars}) WHERE nxt IS NOT NULL GROUP BY ch, nxt))"""
 
 BODIES["invariants"] = """
-WITH u AS (SELECT split, u, count(*) AS n FROM {units} WHERE split IS NOT NULL GROUP BY split, u),
-w AS (SELECT split, w, count(*) AS n FROM {tok} WHERE split IS NOT NULL GROUP BY split, w),
+WITH u AS (SELECT split, u, sum(n) AS n FROM {tunits} WHERE split IS NOT NULL GROUP BY split, u),
+w AS (SELECT split, w, n FROM {types} WHERE split IS NOT NULL),
 ue AS (SELECT split, count(*) AS alphabet, cast(sum(n) AS BIGINT) AS units, round(-sum(n / t * log2(n / t)), 6) AS unit_entropy
        FROM (SELECT split, n, cast(sum(n) OVER (PARTITION BY split) AS DOUBLE) AS t FROM u) GROUP BY split),
 we AS (SELECT split, count(*) AS types, cast(sum(n) AS BIGINT) AS tokens, round(-sum(n / t * log2(n / t)), 6) AS word_entropy
@@ -45,38 +46,45 @@ we AS (SELECT split, count(*) AS types, cast(sum(n) AS BIGINT) AS tokens, round(
 SELECT ue.split, alphabet, units, unit_entropy, types, tokens, word_entropy FROM ue JOIN we ON ue.split = we.split"""
 
 BODIES["freq_ranks"] = """
-SELECT c AS frequency, count(*) AS n_types FROM (SELECT w, count(*) AS c FROM {tok} GROUP BY w) GROUP BY c"""
+SELECT c AS frequency, count(*) AS n_types FROM (SELECT w, cast(sum(n) AS BIGINT) AS c FROM {types} GROUP BY w) GROUP BY c"""
 
-BODIES["unitize_raw"] = "SELECT ch AS u, count(*) AS n, count(DISTINCT w) AS types FROM {chars} GROUP BY ch"
-BODIES["unitize_grouped"] = "SELECT u, count(*) AS n, count(DISTINCT w) AS types FROM {units} GROUP BY u"
-BODIES["unitize_visual6"] = "SELECT u, count(*) AS n, count(DISTINCT w) AS types FROM {visual} GROUP BY u"
+BODIES["unitize_raw"] = """
+SELECT ch AS u, cast(sum(n) AS BIGINT) AS n, count(DISTINCT w) AS types FROM {tchars} GROUP BY ch"""
+BODIES["unitize_grouped"] = """
+SELECT u, cast(sum(n) AS BIGINT) AS n, count(DISTINCT w) AS types FROM {tunits} GROUP BY u"""
+BODIES["unitize_visual6"] = """
+SELECT u, cast(sum(n) AS BIGINT) AS n, count(DISTINCT w) AS types FROM {tvisual} GROUP BY u"""
 
 BODIES["unit_inventory"] = """
-SELECT 'raw' AS unitization, count(DISTINCT ch) AS alphabet, count(DISTINCT ch) <= 26 AS feasible FROM {chars}
-UNION ALL SELECT 'grouped', count(DISTINCT u), count(DISTINCT u) <= 26 FROM {units}
-UNION ALL SELECT 'visual6', count(DISTINCT u), count(DISTINCT u) <= 26 FROM {visual}"""
+SELECT 'raw' AS unitization, count(DISTINCT ch) AS alphabet, count(DISTINCT ch) <= 26 AS feasible FROM {tchars}
+UNION ALL SELECT 'grouped', count(DISTINCT u), count(DISTINCT u) <= 26 FROM {tunits}
+UNION ALL SELECT 'visual6', count(DISTINCT u), count(DISTINCT u) <= 26 FROM {tvisual}"""
 
 BODIES["unit_spans"] = """
-SELECT u, span_start, count(*) AS n
-FROM (SELECT u, cast(sum(length(u)) OVER (PARTITION BY locus_id, wp ORDER BY up) - length(u) AS BIGINT) AS span_start FROM {visual}) GROUP BY u, span_start"""
-
-BODIES["common_index"] = """
-SELECT coalesce(cast(k.i AS BIGINT), -1) AS idx, count(*) AS n FROM {visual} v
-LEFT JOIN (SELECT u, row_number() OVER (ORDER BY c DESC, u) - 1 AS i FROM (SELECT u, count(*) AS c FROM {visual} WHERE split = 'train' GROUP BY u) ORDER BY c DESC, u LIMIT 23) k ON v.u = k.u
-GROUP BY coalesce(cast(k.i AS BIGINT), -1)"""
-
-_PATTERNS = """first AS (SELECT w, ch, min(cp) AS f FROM (SELECT DISTINCT w, cp, ch FROM {chars}) GROUP BY w, ch),
-ranks AS (SELECT w, ch, dense_rank() OVER (PARTITION BY w ORDER BY f) - 1 AS r FROM first),
-seq AS (SELECT d.w, d.cp, r.r FROM (SELECT DISTINCT w, cp, ch FROM {chars}) d JOIN ranks r ON d.w = r.w AND d.ch = r.ch),
-pat AS (SELECT w, cast(sum(r * power(20, cp)) AS DECIMAL(38, 0)) AS code, count(*) AS len FROM seq WHERE w IN (SELECT w FROM seq GROUP BY w HAVING count(*) <= 12) GROUP BY w)"""
-
-BODIES["word_pattern"] = f"""
-WITH {_PATTERNS} SELECT len, cast(code AS BIGINT) AS code, count(*) AS types FROM pat GROUP BY len, code ORDER BY types DESC, len, code LIMIT 100"""
-
-BODIES["compare_invariants"] = f"""
-WITH {_PATTERNS}, side AS (SELECT DISTINCT t.split, p.len, p.code FROM (SELECT DISTINCT split, w FROM {{tok}} WHERE split IS NOT NULL) t JOIN pat p ON t.w = p.w)
-SELECT a.split, count(*) AS patterns, count(b.code) AS supported, round(count(b.code) / cast(count(*) AS DOUBLE), 6) AS support_rate
-FROM side a LEFT JOIN (SELECT len, code FROM side WHERE split = 'train') b ON a.len = b.len AND a.code = b.code WHERE a.split <> 'train' GROUP BY a.split"""
+SELECT u, span_start, cast(sum(n) AS BIGINT) AS n
+FROM (SELECT u, n, cast(sum(length(u)) OVER (PARTITION BY split, w ORDER BY up) - length(u) AS BIGINT) AS span_start FROM {tvisual}) GROUP BY u, span_start"""
+
+# The units that both ways of transcribing share, in their order.
+COMMON_UNITS = "o y a e ch sh k t f p ckh cth cfh cph d s r l i n m g q".split()
+_COMMON = "(VALUES " + ", ".join(f"('{u}', {i})" for i, u in enumerate(COMMON_UNITS)) + ") AS k(u, i)"
+
+BODIES["common_index"] = f"""
+SELECT coalesce(k.i, -1) AS idx, cast(sum(v.n) AS BIGINT) AS n FROM {{tvisual}} v LEFT JOIN {_COMMON} ON v.u = k.u GROUP BY coalesce(k.i, -1)"""
+
+BODIES["word_pattern"] = """
+SELECT len, pattern, count(DISTINCT w) AS types, cast(sum(n) AS BIGINT) AS tokens FROM {types} GROUP BY len, pattern"""
+
+BODIES["compare_invariants"] = """
+WITH side AS (SELECT split, len, pattern, count(*) AS types, sum(n) AS tokens FROM {types} WHERE split IS NOT NULL GROUP BY split, len, pattern),
+sup AS (SELECT a.split, cast(sum(a.types) AS BIGINT) AS types, cast(sum(CASE WHEN b.pattern IS NOT NULL THEN a.types ELSE 0 END) AS BIGINT) AS supported
+  FROM side a LEFT JOIN side b ON b.split = 'train' AND a.pattern = b.pattern WHERE a.split <> 'train' GROUP BY a.split),
+dist AS (SELECT 'length' AS what, split, cast(len AS STRING) AS k, sum(tokens) AS n FROM side GROUP BY split, len UNION ALL SELECT 'pattern', split, pattern, sum(tokens) FROM side GROUP BY split, pattern),
+p AS (SELECT what, split, k, n / cast(sum(n) OVER (PARTITION BY what, split) AS DOUBLE) AS p FROM dist),
+both_ AS (SELECT a.what, a.split, a.p, coalesce(b.p, 0e0) AS q FROM p a LEFT JOIN p b ON a.what = b.what AND a.k = b.k AND b.split = 'train' WHERE a.split <> 'train'
+  UNION ALL SELECT b.what, s.split, 0e0, b.p FROM p b CROSS JOIN (SELECT DISTINCT split FROM side WHERE split <> 'train') s LEFT JOIN p a ON a.what = b.what AND a.k = b.k AND a.split = s.split WHERE b.split = 'train' AND a.k IS NULL),
+js AS (SELECT what, split, round(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0e0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0e0 END) / 2, 6) AS js FROM both_ GROUP BY what, split)
+SELECT sup.split, sup.types, sup.supported, round(sup.supported / cast(sup.types AS DOUBLE), 6) AS support_rate, l.js AS length_js, q.js AS pattern_js
+FROM sup JOIN js l ON sup.split = l.split AND l.what = 'length' JOIN js q ON sup.split = q.split AND q.what = 'pattern'"""
 
 BODIES["js_divergence"] = """
 WITH c AS (SELECT ll, length(w) AS k, cast(count(*) AS DOUBLE) AS n FROM {tok} WHERE ll IN ('A', 'B') GROUP BY ll, length(w)),
@@ -85,9 +93,11 @@ j AS (SELECT coalesce(p, 0e0) AS p, coalesce(q, 0e0) AS q FROM p FULL OUTER JOIN
 SELECT round(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0e0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0e0 END) / 2, 6) AS js FROM j"""
 
 BODIES["summary_stats"] = """
-SELECT ll, round(avg(nw), 6) AS mean, round(stddev_pop(nw), 6) AS sd,
-       max(CASE WHEN rn = cast(floor(25e-3 * (n - 1)) AS BIGINT) + 1 THEN nw END) AS low, max(CASE WHEN rn = cast(floor(975e-3 * (n - 1)) AS BIGINT) + 1 THEN nw END) AS high
-FROM (SELECT coalesce(ll, '?') AS ll, nw, row_number() OVER (PARTITION BY coalesce(ll, '?') ORDER BY nw) AS rn, count(*) OVER (PARTITION BY coalesce(ll, '?')) AS n FROM {recs}) GROUP BY ll"""
+WITH h AS (SELECT coalesce(ll, '?') AS ll, nw, count(*) AS n FROM {recs} GROUP BY coalesce(ll, '?'), nw),
+r AS (SELECT ll, nw, n, sum(n) OVER (PARTITION BY ll ORDER BY nw) AS upto, sum(n) OVER (PARTITION BY ll) AS t FROM h),
+m AS (SELECT ll, sum(n * nw) / cast(sum(n) AS DOUBLE) AS mean, sum(n * nw * nw) / cast(sum(n) AS DOUBLE) AS square FROM h GROUP BY ll)
+SELECT r.ll, round(max(m.mean), 6) AS mean, round(sqrt(max(m.square) - max(m.mean) * max(m.mean)), 6) AS sd,
+  min(CASE WHEN upto > floor(25e-3 * (t - 1)) THEN nw END) AS low, min(CASE WHEN upto > floor(975e-3 * (t - 1)) THEN nw END) AS high FROM r JOIN m ON r.ll = m.ll GROUP BY r.ll"""
 
 BODIES["elig_structure"] = f"""
 SELECT ll, count(*) AS lines, cast(sum(nw) AS BIGINT) AS words FROM {{recs}} WHERE {ELIGIBLE} GROUP BY ll"""
@@ -103,16 +113,17 @@ SELECT reason, count(*) AS records, cast(sum(nw) AS BIGINT) AS words FROM (
          WHEN interrupted THEN 'diagram_interruption' ELSE 'eligible' END AS reason FROM {recs}) GROUP BY reason"""
 
 BODIES["elig_agreement"] = """
-SELECT reason, count(*) AS records FROM (
-  SELECT 'uncertain_or_rare_tokens' AS reason FROM {recs} WHERE excluded > 0 UNION ALL SELECT 'interrupted' FROM {recs} WHERE interrupted
-  UNION ALL SELECT 'empty_tokens' FROM {recs} WHERE nw = 0) GROUP BY reason"""
+WITH x AS (SELECT CASE transcriber WHEN 'QX' THEN 'left' ELSE 'right' END AS side, interrupted, nw, doubt FROM {recs} WHERE transcriber IN ('QX', 'MR'))
+SELECT side, reason, count(*) AS records FROM (
+  SELECT side, 'uncertain_or_rare_tokens' AS reason FROM x WHERE doubt UNION ALL SELECT side, 'interrupted' FROM x WHERE interrupted
+  UNION ALL SELECT side, 'empty_tokens' FROM x WHERE nw = 0) GROUP BY side, reason"""
 
 BODIES["elig_line_phase"] = """
 SELECT reason, count(*) AS records FROM (
   SELECT CASE WHEN NOT coalesce(paragraph, false) THEN 'not_paragraph' WHEN ll IS NULL THEN 'missing_language' WHEN split IS NULL THEN 'no_split' WHEN split <> 'train' THEN 'held_out'
     WHEN excluded > 0 THEN 'excluded_tokens' WHEN interrupted THEN 'interrupted' WHEN nw < 2 THEN 'short' WHEN nxt IS NULL THEN 'last_record'
     WHEN nxt <> folio THEN 'folio_end' ELSE 'kept' END AS reason
-  FROM (SELECT *, lead(folio) OVER (PARTITION BY volume_id ORDER BY source_order) AS nxt FROM {recs})) GROUP BY reason"""
+  FROM (SELECT paragraph, ll, split, excluded, interrupted, nw, folio, lead(folio) OVER (PARTITION BY volume_id ORDER BY source_order) AS nxt FROM {recs})) GROUP BY reason"""
 
 BODIES["vocab_min_count"] = """
 SELECT t.split, count(*) AS tokens, count(v.w) AS known, count(*) - count(v.w) AS unknown FROM {tok} t
@@ -142,10 +153,10 @@ SELECT s.split, count(*) AS records, count(*) FILTER (WHERE s.seq = '') AS empti
        count(*) FILTER (WHERE s.seq <> '' AND s.rnk = m.first_rank) AS kept FROM s JOIN m ON s.seq = m.seq GROUP BY s.split"""
 
 BODIES["adjacent_pairs"] = """
-SELECT prev, w, count(*) AS n FROM (SELECT w, lag(w) OVER (PARTITION BY locus_id ORDER BY wp) AS prev FROM {tok}) WHERE prev IS NOT NULL GROUP BY prev, w HAVING count(*) >= 3"""
+SELECT prev, w, count(*) AS n FROM (SELECT w, lag(w) OVER (PARTITION BY locus_id ORDER BY wp) AS prev FROM {tok}) WHERE prev IS NOT NULL GROUP BY prev, w"""
 
 BODIES["within_word_bigrams"] = """
-SELECT prev, ch, count(*) AS n FROM (SELECT ch, lag(ch) OVER (PARTITION BY locus_id, wp ORDER BY cp) AS prev FROM {chars}) WHERE prev IS NOT NULL GROUP BY prev, ch"""
+SELECT prev, ch, cast(sum(n) AS BIGINT) AS n FROM (SELECT ch, n, lag(ch) OVER (PARTITION BY split, w ORDER BY cp) AS prev FROM {tchars}) WHERE prev IS NOT NULL GROUP BY prev, ch"""
 
 BODIES["first_vs_rest"] = f"""
 SELECT count(*) AS lines, round(avg(first_len - (total - first_len) / cast(n - 1 AS DOUBLE)), 6) AS difference
@@ -156,8 +167,8 @@ SELECT role, count(*) AS n, round(avg(length(w)), 6) AS mean_length FROM (
   SELECT w, CASE WHEN wp = 1 THEN 'second' WHEN wp = nw - 1 THEN 'last' ELSE 'interior' END AS role FROM {tok} WHERE wp > 0) GROUP BY role"""
 
 BODIES["history_window"] = """
-SELECT c1, c2, ch, count(*) AS n FROM (
-  SELECT ch, coalesce(lag(ch, 2) OVER (PARTITION BY locus_id, wp ORDER BY cp), '^') AS c1, coalesce(lag(ch, 1) OVER (PARTITION BY locus_id, wp ORDER BY cp), '^') AS c2 FROM {chars})
+SELECT c1, c2, ch, cast(sum(n) AS BIGINT) AS n FROM (
+  SELECT ch, n, coalesce(lag(ch, 2) OVER (PARTITION BY split, w ORDER BY cp), '^') AS c1, coalesce(lag(ch, 1) OVER (PARTITION BY split, w ORDER BY cp), '^') AS c2 FROM {tchars})
 GROUP BY c1, c2, ch"""
 
 # Positions in one stream per split. A running sum over a whole split would be one task; so ranges of ids are summed
@@ -178,7 +189,7 @@ WITH {STREAM_POSITIONS} SELECT split, count(*) AS blocks, count(*) FILTER (WHERE
   SELECT split, floor(pos / 64) AS block, count(*) AS n FROM pos GROUP BY split, floor(pos / 64)) GROUP BY split"""
 
 BODIES["cum_width"] = """
-SELECT least(width, 400) AS width, count(*) AS n FROM (SELECT cast(sum(length(w) + 1) OVER (PARTITION BY locus_id ORDER BY wp) AS BIGINT) AS width FROM {tok}) GROUP BY least(width, 400)"""
+SELECT width, count(*) AS n FROM (SELECT cast(sum(length(w) + 1) OVER (PARTITION BY locus_id ORDER BY wp) AS BIGINT) AS width FROM {tok}) GROUP BY width"""
 
 BODIES["alternation"] = """
 WITH pairs AS (SELECT a.u AS a, b.u AS b FROM (SELECT DISTINCT u FROM {visual}) a JOIN (SELECT DISTINCT u FROM {visual}) b ON a.u < b.u),
@@ -198,20 +209,15 @@ SELECT a, b, count(*) AS partitions, count(*) FILTER (WHERE twice = 0 AND off <=
        min(CASE WHEN twice = 0 AND off <= 1 THEN 1 ELSE 0 END) = 1 AND count(DISTINCT opens) = 1 AS edge FROM parts GROUP BY a, b"""
 
 BODIES["sequence_match"] = """
-SELECT a, b, c, count(*) AS n FROM (SELECT w AS a, lead(w) OVER (PARTITION BY locus_id ORDER BY wp) AS b, lead(w, 2) OVER (PARTITION BY locus_id ORDER BY wp) AS c FROM {tok})
-WHERE c IS NOT NULL GROUP BY a, b, c HAVING count(*) >= 2"""
-
-BODIES["runs_islands"] = """
-SELECT grp, count(*) AS runs, cast(max(len) AS BIGINT) AS longest FROM (
-  SELECT grp, island, sum(n) AS len FROM (
-    SELECT grp, nw AS n, good, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (PARTITION BY grp ORDER BY source_order) AS island
-    FROM (SELECT grp, nw, source_order, excluded = 0 AND nw > 0 AS good FROM {recs} WHERE grp IS NOT NULL)) WHERE good GROUP BY grp, island HAVING sum(n) >= 8) GROUP BY grp"""
+SELECT a, b, c, d, e, count(*) AS n FROM (SELECT w AS a, lead(w) OVER x AS b, lead(w, 2) OVER x AS c, lead(w, 3) OVER x AS d, lead(w, 4) OVER x AS e FROM {tok} WINDOW x AS (PARTITION BY locus_id ORDER BY wp))
+WHERE e IS NOT NULL GROUP BY a, b, c, d, e"""
 
 BODIES["periodicity"] = """
-WITH s AS (SELECT w, cp, ch FROM (SELECT DISTINCT w, cp, ch FROM {chars}) WHERE length(w) BETWEEN 4 AND 16),
-p AS (SELECT s.w, x.k, max(n) AS worst FROM (VALUES (1), (2), (3), (4), (5), (6)) AS x(k)
-      JOIN (SELECT w, k, cp % k AS phase, count(DISTINCT ch) AS n FROM s CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) AS y(k) GROUP BY w, k, cp % k) s ON s.k = x.k GROUP BY s.w, x.k)
-SELECT k, count(*) AS words FROM p WHERE worst = 1 AND k < length(w) GROUP BY k"""
+WITH known AS (SELECT ch FROM (SELECT ch, sum(n) AS n FROM {tchars} WHERE split = 'train' GROUP BY ch) WHERE n > 1),
+s AS (SELECT l.w, l.cp, k.ch FROM {letters} l LEFT JOIN known k ON l.ch = k.ch),
+per AS (SELECT DISTINCT s.w, p.cp AS k FROM {letters} s JOIN {letters} p ON s.w = p.w AND p.cp >= 1),
+phase AS (SELECT s.w, per.k, s.cp % per.k AS ph, count(DISTINCT s.ch) AS n FROM s JOIN per ON s.w = per.w GROUP BY s.w, per.k, s.cp % per.k)
+SELECT k, count(*) AS words, count(*) FILTER (WHERE worst = 1) AS fully_known FROM (SELECT w, k, max(n) AS worst FROM phase GROUP BY w, k) WHERE worst <= 1 GROUP BY k"""
 
 BODIES["adjacent_repeat"] = """
 WITH v AS (SELECT locus_id, wp, u, lag(u) OVER (PARTITION BY locus_id, wp ORDER BY up) AS prev FROM {visual})

@@ -14,3 +14,11 @@ def test_columns(spark):
     assert [r.b for r in rows] == [["abb", "a"], [], ["ab"], []]
     assert rows[0].k == ["abba", "bba", "aba", "abb"] and rows[1].k == [""]
     assert rows[0].r == ["Été"] and rows[1].r == ["x"]
+
+
+def test_token_distance_and_masks(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(["a", "b", "c"], ["a", "c"]), ([], ["x"]), (None, ["x"]), (["ab"], ["a", "b"])], "a array<string>, b array<string>")
+    rows = df.select(text.token_distance("a", "b").alias("d"), text.set_bits(text.mask_of(F.col("b"), ["a", "b", "c"])).alias("n")).collect()
+    assert [r.d for r in rows] == [1, 1, None, 2] and [r.n for r in rows] == [2, 0, 0, 2]

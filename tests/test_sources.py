@@ -118,3 +118,18 @@ def test_views_handle_nulls(spark):
     got = {r.locus_id: r for r in views.records(spark.createDataFrame(rows, schema)).collect()}
     assert got[1].words == ["ab"] and got[1].excluded == 1 and got[1].folio_no == 85 and got[1].grp == "2:85" and got[1].idx == 3
     assert got[2].nw == 0 and got[2].split is None and len(got) == 2
+
+
+def test_strict_spans():
+    from lociflow.operators.spans import source_letters, word_spans
+
+    said = lambda t: [(s, r) for *_, s, r in word_spans(t)]
+    assert said("foo,bar.baz") == [("foo", "uncertain_space"), ("bar", "uncertain_space"), ("baz", None)]
+    assert said("<%>ab.c d.e[a:o]f.{cth}y.o?k.d'y.@130;a.Ab.x9") == [
+        ("ab", "inline_control"), ("c d", "interior_whitespace"), ("e[a:o]f", "uncertain_reading"), ("{cth}y", "ligature"), ("o?k", "uncertain_reading"),
+        ("d'y", "apostrophe"), ("@130;a", "high_ascii"), ("Ab", "uppercase"), ("x9", "other_construct"),
+    ]
+    assert said("ab<->cd.<~>.ef é") == [("ab<->cd", "diagram_marker"), ("ef é", "non_ascii")]
+    assert said("ab <!note") == [("ab <!note", "incomplete_span")] and said("") == [] and said(" ab .") == [("ab", None)]
+    assert [(a, b) for _, a, b, _, _ in word_spans(" ab .cd")] == [(1, 3), (5, 7)]
+    assert source_letters("<%>fach{ys}.Ar,<!n>o") == [("fachys", [3, 4, 5, 6, 8, 9]), ("ar", [12, 13]), ("o", [19])] and source_letters("a?b") is None
