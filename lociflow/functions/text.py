@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 
-def _plain(word: str | None) -> str | None:
+def plain_word(word: str | None) -> str | None:
+    """A word in letters a-z, after NFKD, case folding and without combining marks; None where that is not the whole form."""
     if word is None:
         return None
     s = "".join(c for c in unicodedata.normalize("NFKD", word).casefold() if not unicodedata.combining(c))
@@ -20,7 +21,7 @@ def _plain(word: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def normalize_word(words: pd.Series) -> pd.Series:
     """NFKD, case folding, no combining marks; null unless the whole form is then of letters a-z."""
-    known = {w: _plain(w) for w in words.unique()}
+    known = {w: plain_word(w) for w in words.unique()}
     return words.map(known)
 
 

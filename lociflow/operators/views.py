@@ -44,20 +44,25 @@ def folio_number(folio: Column) -> Column:
 def records(loci: DataFrame) -> DataFrame:
     """One row for each locus: normalised folio, index, labels, accepted words, number of excluded tokens, group and split.
 
-    Loci without an id are no records. `excluded` counts tokens that are neither null, blank nor accepted. A locus
+    `kind` may have its locator in front or not, and `locus` its kind behind; both forms are read.
+
+    Loci without an id are no records. `excluded` counts tokens that are neither null, blank nor accepted; readers that
+    count what they leave out mark their records by a column `excluded_exact`, and then excluded_tokens counts. A locus
     without a folio number has a null group and no split.
     """
     once = loci.where(F.col("locus_id").isNotNull()).dropDuplicates(["locus_id"])
     words = accepted(F.coalesce("tokens", F.array().cast("array<string>")))
+    exact = F.col("excluded_exact") if "excluded_exact" in loci.columns else F.lit(False)
     shown = F.filter("tokens", lambda t: F.length(F.trim(t)) > 0)
+    out_of = F.when(exact, F.coalesce("excluded_tokens", F.lit(0))).otherwise(F.coalesce(F.size(shown), F.lit(0)) - F.size(words)).cast("bigint")
     out = once.select(
         "locus_id",
         "source_order",
         "volume_id",
         F.lower(F.trim("folio")).alias("folio"),
-        F.regexp_extract("locus", r"\.(\d+)$", 1).try_cast("bigint").alias("idx"),
+        F.regexp_extract("locus", r"\.(\d+)(?:,|$)", 1).try_cast("bigint").alias("idx"),
         "kind",
-        (F.substring("kind", 2, 1) == "P").alias("paragraph"),
+        F.col("kind").rlike("^[@+*=&~/!]?P").alias("paragraph"),
         "transcriber",
         F.lower(F.trim("scribe")).alias("scribe"),
         F.col("metadata")["I"].alias("il"),
@@ -65,10 +70,10 @@ def records(loci: DataFrame) -> DataFrame:
         F.col("metadata")["Q"].alias("ql"),
         "text_raw",
         (F.col("text_raw").contains("<->") | F.col("text_raw").contains("<~>")).alias("interrupted"),
-        (F.coalesce(F.col("text_raw").rlike(DOUBT), F.lit(False)) | (F.coalesce(F.size(shown), F.lit(0)) > F.size(words))).alias("doubt"),
+        (F.coalesce(F.col("text_raw").rlike(DOUBT), F.lit(False)) | (out_of > 0)).alias("doubt"),
         words.alias("words"),
         F.size(words).cast("bigint").alias("nw"),
-        (F.coalesce(F.size(shown), F.lit(0)) - F.size(words)).cast("bigint").alias("excluded"),
+        out_of.alias("excluded"),
         folio_number(F.col("folio")).alias("folio_no"),
     )
     out = out.withColumn("grp", F.concat_ws(":", F.col("volume_id"), F.col("folio_no")))

@@ -20,8 +20,8 @@ _DUCK = {
   coalesce(len(list_filter(tokens, lambda t: length(trim(t)) > 0)), 0) AS shown,
   CASE WHEN lower(trim(folio)) = 'fros' THEN 85 WHEN regexp_extract(lower(trim(folio)), '(\\d+)', 1) <> '' THEN regexp_extract(lower(trim(folio)), '(\\d+)', 1)::INT END AS folio_no FROM once""",
     "grouped": "SELECT *, CASE WHEN folio_no IS NOT NULL AND volume_id IS NOT NULL THEN volume_id || ':' || folio_no END AS grp FROM clean",
-    "recs": f"""SELECT locus_id, source_order, volume_id, lower(trim(folio)) AS folio, try_cast(regexp_extract(locus, '\\.(\\d+)$', 1) AS BIGINT) AS idx, kind,
-  substr(kind, 2, 1) = 'P' AS paragraph, transcriber, lower(trim(scribe)) AS scribe, metadata['I'] AS il, metadata['L'] AS ll, metadata['Q'] AS ql, text_raw,
+    "recs": f"""SELECT locus_id, source_order, volume_id, lower(trim(folio)) AS folio, try_cast(regexp_extract(locus, '\\.(\\d+)(?:,|$)', 1) AS BIGINT) AS idx, kind,
+  regexp_matches(kind, '^[@+*=&~/!]?P') AS paragraph, transcriber, lower(trim(scribe)) AS scribe, metadata['I'] AS il, metadata['L'] AS ll, metadata['Q'] AS ql, text_raw,
   (text_raw LIKE '%<->%' OR text_raw LIKE '%<~>%') AS interrupted,
   coalesce(regexp_matches(text_raw, '\\[[^\\]]*:[^\\]]*\\]|\\?|@[0-9][0-9][0-9];|''|<!\\s*[^>]*\\b[rR][aA][rR][eE]\\b'), false) OR (shown - len(words)) > 0 AS doubt, words, len(words)::BIGINT AS nw, (shown - len(words))::BIGINT AS excluded, folio_no, grp,
   CASE WHEN grp IS NULL THEN NULL WHEN b <= 1 THEN 'test' WHEN b = 2 THEN 'validation' ELSE 'train' END AS split

@@ -169,7 +169,7 @@ def null_matched(spark: SparkSession, d: str, replicates: int = models.NULLS) ->
     item = F.struct("locus_id", "wp", code.alias("code"))
     cells = pairs.join(recs, "locus_id").groupBy("volume_id", "folio", "wp", (F.col("wp") == F.col("nw") - 1).alias("final"), F.length("before").alias("plen"), F.length("w").alias("tlen"))
     cells = cells.agg(F.array_sort(F.collect_list(item)).alias("items"), F.min("locus_id").alias("first"))
-    rows = cells.select((F.col("first") * 1009 + F.col("wp") * 31 + F.col("plen") * 7 + F.col("tlen")).alias("row"), F.transform("items", lambda x: x["code"]).alias("codes"))
+    rows = cells.select((F.col("first") % 1_000_000_007 * 1009 + F.col("wp") * 31 + F.col("plen") * 7 + F.col("tlen")).alias("row"), F.transform("items", lambda x: x["code"]).alias("codes"))
     sums = resample.replicate_sums(rows, replicates, ["targets", "gain"], resample.cell_gain(gain_table(spark, d)), 410)
     return sums.select("r", F.col("targets").cast("long").alias("targets"), F.round(F.col("gain") / F.col("targets"), 6).alias("gain"))
 
@@ -204,7 +204,7 @@ _MATCHED = f"""WITH {models._BOUNDARY}{_GAIN}, pr AS (SELECT locus_id, wp, w, nw
 ce AS (SELECT p.locus_id, p.wp, substr(p.w, 1, 1) AS ini, right(p.before, 1) AS fin, CASE WHEN p.wp = 1 THEN 'second' WHEN p.wp = p.nw - 1 THEN 'last' ELSE 'interior' END AS role,
   r.volume_id || '/' || r.folio || '/' || p.wp || '/' || (p.wp = p.nw - 1) || '/' || length(p.before) || '/' || length(p.w) AS cell, p.wp * 31 + length(p.before) * 7 + length(p.w) AS more
   FROM pr p JOIN {{recs}} r ON p.locus_id = r.locus_id WHERE p.wp > 0 AND r.folio IS NOT NULL AND r.volume_id IS NOT NULL),
-nu AS (SELECT *, min(locus_id) OVER (PARTITION BY cell) * 1009 + more AS id, row_number() OVER (PARTITION BY cell ORDER BY locus_id, wp) - 1 AS place FROM ce),
+nu AS (SELECT *, min(locus_id) OVER (PARTITION BY cell) % 1000000007 * 1009 + more AS id, row_number() OVER (PARTITION BY cell ORDER BY locus_id, wp) - 1 AS place FROM ce),
 it AS (SELECT r, cell, fin, row_number() OVER (PARTITION BY r, cell ORDER BY {sql_key(410, 'r', 'id', 'place')}, place) - 1 AS pos FROM nu, rep),
 x AS (SELECT it.r, nu.role, it.fin, nu.ini FROM nu JOIN it ON nu.cell = it.cell AND nu.place = it.pos UNION ALL SELECT -1, role, fin, ini FROM nu)
 SELECT x.r, count(*) AS targets, round(sum(g.g) / count(*), 6) AS gain FROM x JOIN g ON x.role = g.role AND x.fin = g.fin AND x.ini = g.ini GROUP BY x.r"""

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the format.
-_PAGE = r"^<([A-Za-z][A-Za-z0-9]*)>(?:\s*<!\s*([^>]*)>)?\s*$"
-_LOCUS = r"^<([A-Za-z][A-Za-z0-9]*)\.(\d+),([@+*=&~/!])([PLCR][a-z0-9])(?:;([A-Za-z0-9]))?>\s*(.*)$"
+_FOLIO, _NUMBER, _LOCATOR, _KIND, _HAND = "[A-Za-z][A-Za-z0-9]*", "[0-9]+", "[@+*=&~/!]", "[PLCR][a-z0-9]", "[A-Za-z0-9]"
+_PAGE = f"^<({_FOLIO})>(?:\\s*<!\\s*([^>]*)>)?\\s*$"
+_LOCUS = f"^<({_FOLIO})[.]({_NUMBER}),({_LOCATOR})({_KIND})(?:;({_HAND}))?>\\s*(.*)$"
 _HEADER = r"^#=(?:IVTFF|VDBTF)\s+(?:Eva-|EvaT)\s"
 _CODE = r"@(?:12[89]|1[3-9][0-9]|2[0-4][0-9]|25[0-5]);"
-_CLEAR = r"<[%$]>|<![^>]*>|<@[A-Z]=[A-Za-z0-9@]>|\s+"
+_CLEAR = r"(?U)<[%$]>|<![^>]*>|<@[A-Z]=[A-Za-z0-9@]>|\s+"
 _DOUBT = r"\[(?:[A-Za-z'?{}]|" + _CODE + r")*:(?:[A-Za-z'?{}:]|" + _CODE + r")*\]|\?+|'|" + _CODE
 _LEFT_OVER = r"""[<>\[\]{}:;|()"`#/=+*&!%$@]"""
 KNOWN_SOURCES = "ZL|IT|TT|GC|CD|FG|RF"
@@ -47,8 +48,10 @@ def _pairs(text: Column, pattern: str, at: int) -> Column:
     return F.map_from_entries(F.transform(found, lambda m: F.struct(F.substring(m, at, 1).alias("k"), F.substring(m, at + 2, 1).alias("v"))))
 
 
-def read_ivtff(spark: SparkSession, path: str, uncertain_spaces: str = "split") -> DataFrame:
-    """Locus records of the files at `path` in file order.
+def read_ivtff(spark: SparkSession, path: str, uncertain_spaces: str = "split", volume_id: int = 1) -> DataFrame:
+    """Locus records of the files at `path` in file order, with the columns of the `loci` table, so that the queries read
+    them as they are: `kind` is the type of the locus, its locator stands apart, the scribe is the page's variable H, and
+    all files are transcriptions of one volume. `locus_id` is made of the file's name and the number of the line.
 
     Page variables start anew on each page; inline tags override them and hold for the later loci of the page. A line
     that ends in '/' goes on in the next, which begins with '/'. Anything that is not of the format is an error that
@@ -81,22 +84,42 @@ def read_ivtff(spark: SparkSession, path: str, uncertain_spaces: str = "split")
     start, end = paragraph_flags(F.col("body"))
     source = F.regexp_extract("file", f"^({KNOWN_SOURCES})", 1)
     stray = malformed | (F.col("head").isNotNull() & (part(1) != F.col("head.folio")))
+    number = F.shiftleft(F.xxhash64("file").bitwiseAND((1 << 31) - 1), 32).bitwiseOR(F.col("line").cast("bigint"))
+    metadata = over(variables, F.col("held"))
     return loci.select(
+        number.alias("locus_id"),
         "file",
-        F.col("line").alias("source_order"),
+        F.col("line").cast("bigint").alias("source_order"),
+        F.lit(volume_id).cast("bigint").alias("volume_id"),
+        F.lit(None).cast("string").alias("line_group"),
         F.when(stray, F.raise_error(F.concat(where, F.lit(": unexpected markup or page")))).otherwise(part(1)).alias("folio"),
         F.concat(part(1), F.lit("."), part(2), F.lit(","), part(3), part(4)).alias("locus"),
         part(4).alias("kind"),
+        part(3).alias("locator"),
         F.coalesce(F.nullif(part(5), F.lit("")), F.nullif(source, F.lit(""))).alias("transcriber"),
+        F.try_element_at(metadata, F.lit("H")).alias("scribe"),
         F.col("body").alias("text_raw"),
         tokens.alias("tokens"),
-        over(variables, F.col("held")).alias("metadata"),
+        metadata.alias("metadata"),
         excluded.alias("excluded_tokens"),
+        F.lit(True).alias("excluded_exact"),
         start.alias("paragraph_start"),
         end.alias("paragraph_end"),
+        F.lit(None).cast("timestamp_ntz").alias("received_at"),
     )
 
 
+def union_sources(spark: SparkSession, paths: list[str], uncertain_spaces: str = "split", volume_id: int = 1) -> DataFrame:
+    """Records of several transcriptions of one volume, by name."""
+    out = None
+    for path in paths:
+        part = read_ivtff(spark, path, uncertain_spaces, volume_id)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no paths")
+    return out
+
+
 def filter_transcriber(records: DataFrame, transcriber: str | None = None) -> DataFrame:
     """Records of one transcriber; an error if none or more than one is left."""
     kept = records if transcriber is None else records.where(F.col("transcriber") == transcriber)

@@ -61,20 +61,76 @@ CONLLU = """# newdoc id = d1
 
 def test_conllu(spark, tmp_path):
     rows = conllu.read_conllu(spark, write(tmp_path, CONLLU, "a.conllu")).orderBy("sentence").collect()
-    assert [(r.document, r.words, r.empty_nodes, r.components, r.multiword, r.punct) for r in rows] == [("d1", ["delle", "cose", "."], 1, 2, 1, 1), ("d2", ["sola"], 0, 0, 0, 0)]
+    assert [(r.document, r.words, r.surface, r.excluded, r.empty_nodes, r.components, r.multiword, r.punct) for r in rows] == [
+        ("d1", ["delle", "cose"], ["delle", "cose", "."], 1, 1, 2, 1, 1),
+        ("d2", ["sola"], ["sola"], 0, 0, 0, 0, 0),
+    ]
+    for bad in ("2-3", "1-1"):
+        with pytest.raises(ValueError):
+            list(conllu.sentences("1-2\ta" + "\t_" * 8 + f"\n{bad}\tb" + "\t_" * 8 + "\n"))
+    assert next(conllu.sentences("# newdoc\n1\ta" + "\t_" * 8 + "\n"))[2] == "document-line-1"
+    counts = conllu.extract_text(conllu.read_conllu(spark, write(tmp_path, CONLLU, "a.conllu")), str(tmp_path / "plain"))
+    assert counts == {"sentences": 2, "surface": 4, "excluded": 1, "punct": 1}
+
+
+def test_partitions_and_documents(spark, tmp_path):
+    import hashlib
+
+    row = lambda *words: "".join(f"{k}\t{w}" + "\t_" * 8 + "\n" for k, w in enumerate(words, 1)) + "\n"
+    parts = {"train": "# newdoc id = a\n" + row("Āmō", ".") + row("x"), "validation": "# newdoc id = b\n" + row("amo") + row("novus"), "test": "# newdoc id = c\n" + row("novus") + row("amo", "te")}
+    files = {}
+    for split, text in parts.items():
+        path = write(tmp_path, text, f"{split}.conllu")
+        files[path] = (split, hashlib.sha256(text.encode()).hexdigest())
+    got = sorted((r.split, tuple(r.words)) for r in conllu.load_partitions(spark, files).collect())
+    assert got == [("test", ("amo", "te")), ("train", ("amo",)), ("train", ("x",)), ("validation", ("novus",))]
     with pytest.raises(ValueError):
-        list(conllu.sentences("1-2\ta" + "\t_" * 8 + "\n2-3\tb" + "\t_" * 8 + "\n"))
+        conllu.load_partitions(spark, {path: ("test", "0")})
+    sents = spark.createDataFrame([(1, "x document_id='d 7' y", "OldItalian_Dante_Inferno-3"), (2, None, None)], "sentence long, reference string, sent_id string")
+    assert sents.where("sentence = 1").select(conllu.reference_document("latin_llct"), conllu.reference_document("italian_old")).first()[:] == ("d 7", "Inferno")
+    with pytest.raises(Exception, match="no document"):
+        sents.select(conllu.reference_document("latin_llct")).collect()
+
+
+TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0" xml:lang="la"><teiHeader><fileDesc><title>On things</title></fileDesc></teiHeader><text><body><div type="edition">
+<div subtype="book" n="1"><head>B</head><div subtype="chapter" n="2"><head>H</head><pb/>
+<p>One <choice><sic>wrd</sic><corr>word</corr></choice>  he<hi>re</hi><note>n</note>.</p><p> </p><p>T<choice><sic>v</sic><corr>w</corr></choice>o <foreign xml:lang="grc">x</foreign> <del>gone</del></p></div></div></div></body></text></TEI>"""
 
 
 def test_tei(spark, tmp_path):
-    xml = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div n="1"><div n="2"><head>H</head>
-    <p>One <choice><sic>wrd</sic><corr>word</corr></choice>  here<note>n</note>.</p><p> </p><p>Two</p></div></div></body></text></TEI>"""
-    rows = tei.read_tei(spark, write(tmp_path, xml, "a.xml")).collect()
+    path = write(tmp_path, TEI, "a.xml")
+    rows = tei.read_tei(spark, path).collect()
     assert [(r.chapter_key, r.local_paragraph_ordinal, r.text) for r in rows] == [("1:2", 1, "One word here."), ("1:2", 2, "Two")]
-    assert len(list(tei.project(xml, empty_policy="include"))) == 3
-    with pytest.raises(ValueError):
-        list(tei.project(xml.replace("here<note>", "he<note>").replace("</note>.", "</note>re.")))
-    assert {r.tag: r.n for r in tei.audit_tags(spark, write(tmp_path, xml, "a.xml")).collect()}["p"] == 3
+    assert len(list(tei.project(TEI, empty_policy="include"))) == 3
+    assert list(tei.project(TEI)) == list(tei.project_by_events(TEI)) and list(tei.project(TEI, "", "include")) == list(tei.project_by_events(TEI, "", "include"))
+    for old, new in [("</hi><note>n</note>.", "</hi><note>n</note>re."), ("<pb/>", "<lb/>"), ('<head>B</head>', "<p>stray</p>"), ('<head>B</head>', "<note><p>stray</p></note>"), ('n="2"', ""), ('lang="grc"', 'lang="la"'), ("<corr>w</corr>", "")]:
+        assert old in TEI
+        with pytest.raises(ValueError):
+            list(tei.project(TEI.replace(old, new)))
+    counts = {(r.fate, r.tag): r.n for r in tei.projection_counts(spark, path).collect()}
+    assert counts["agrees", ""] == 1 and counts["kept", "p"] == 3 and counts["dropped", "sic"] == 2 and counts["dropped", "foreign"] == 1
+    audit = {r.tag: r for r in tei.audit_tags(spark, path).collect()}
+    assert audit["p"].n == 3 and audit["p"].title == "On things" and audit["p"].language == "la" and audit["choice"].inside_words == 1
+    many = spark.createDataFrame([("f", str(b), "1", f"{b}:1", k, "t") for b in (1, 2) for k in range(1, 41)], tei.SCHEMA)
+    assert sorted((r.book_id, r.local_paragraph_ordinal) for r in tei.review_sample(many).collect()) == [("1", 1), ("1", 36), ("1", 40), ("2", 1), ("2", 32), ("2", 40)]
+
+
+def test_files_to_queries(spark, tmp_path):
+    from lociflow.plans import catalog, statistics
+
+    text = "#=IVTFF Eva- 2.0\n<f1r> <! $I=H $L=A $H=1>\n<f1r.1,@P0> <%>fachys.ykal,ar.<!note>shol<$>\n<f1r.2,+P0> foo.[bar:baz].qu?x.okay.???\n<f1r.3,@Lf> y\u00a0kal.ol.dy\n<f1r.4,+P0> a.b<->c.d\n<f2v> <! $I=S>\n<f2v.1,@P0> kedy.kedy.kedy\n"
+    records = ivtff.read_ivtff(spark, write(tmp_path, text))
+    records.write.parquet(str(tmp_path / "loci.parquet"))
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path))
+    r = run("inventory").first()
+    assert (r.records, r.folios, r.tokens, r.excluded) == (5, 2, 16, 3)
+    assert {(r.reason, r.records) for r in run("elig_context").collect()} == {("eligible", 2), ("excluded_tokens", 1), ("not_paragraph", 1), ("interrupted_line", 1)}
+    assert {(r.label, r.value): r.tokens for r in run("inventory_by").collect()}["I", "H"] == 13
+    assert statistics.ELIGIBLE and [r.tokens for r in records.where("source_order = 4").collect()] == [["ykal", "ol", "dy"]]
+    both = ivtff.union_sources(spark, [write(tmp_path, text), write(tmp_path, text, "IT_x.txt")])
+    assert both.count() == 10 and both.select("locus_id").distinct().count() == 10
+    both.write.parquet(str(tmp_path / "both" / "loci.parquet"))
+    assert catalog.QUERIES["key_unique"](spark, str(tmp_path / "both")).count() == 5
 
 
 def test_sinks(spark, tmp_path):
