@@ -44,14 +44,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (tests), a new one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a new one on a local master, as in
+    tests, and an error on a cluster, whose machines share no folder of ours."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lociflow-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
 
 
+class Files:
+    """Small files and folders on any file system that Spark knows, through the driver."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, jvm = spark, spark.sparkContext._jvm
+        self.path_of = jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self.fs.exists(self.path_of(path))
+
+    def write_new(self, path: str, data: bytes) -> None:
+        """A file that must not exist yet."""
+        if self.exists(path):
+            raise FileExistsError(path)
+        out = self.fs.create(self.path_of(path), False)
+        out.write(data)
+        out.close()
+
+    def read(self, path: str) -> bytes:
+        source = self.fs.open(self.path_of(path))
+        try:
+            return bytes(source.readAllBytes())
+        finally:
+            source.close()
+
+    def rename(self, old: str, new: str) -> None:
+        """One step on file systems that rename atomically; an existing target is refused."""
+        if self.exists(new):
+            raise FileExistsError(new)
+        if not self.fs.rename(self.path_of(old), self.path_of(new)):
+            raise OSError(f"{old} could not be renamed to {new}")
+
+    def delete(self, path: str) -> None:
+        self.fs.delete(self.path_of(path), True)
+
+
 def spool(df: DataFrame, label: str = "t") -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
@@ -59,6 +99,7 @@ def spool(df: DataFrame, label: str = "t") -> DataFrame:
     of an RDD checkpoint. The folder is removed when the driver ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/spool/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
+
+from lociflow.runtime import Files
 
 
 def canonical_json(value) -> str:
@@ -17,11 +17,10 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def write_once(path: str, value) -> str:
-    """Write a value as canonical JSON into a file that must not exist yet; returns its sha256."""
+def write_once(spark: SparkSession, path: str, value) -> str:
+    """Write a value as canonical JSON into a file that must not exist yet, on any file system; returns its sha256."""
     data = (canonical_json(value) + "\n").encode()
-    with open(path, "xb") as f:
-        f.write(data)
+    Files(spark, path).write_new(path, data)
     return hashlib.sha256(data).hexdigest()
 
 
@@ -49,34 +48,73 @@ def verify_hashes(spark: SparkSession, path: str, expected: dict[str, str]) -> D
 def write_run(records: DataFrame, analysis: dict, report: str, path: str) -> None:
     """A run's folder: records, analysis.json, REPORT.md and SHA256SUMS, staged beside `path` and renamed at the end.
 
-    An existing `path` is refused. The records are written by the executors; the driver hashes its own two files
-    and lists the sizes of the rest.
+    An existing `path` is refused. The records are written by the executors; the driver writes and hashes its own
+    two files. What a failed run left staged is removed first.
     """
-    if os.path.exists(path):
+    spark = records.sparkSession
+    files = Files(spark, path)
+    if files.exists(path):
         raise FileExistsError(path)
     stage = f"{path}.staged"
+    files.delete(stage)
     records.write.mode("errorifexists").json(f"{stage}/records")
-    sums = {"analysis.json": write_once(f"{stage}/analysis.json", analysis)}
-    Path(f"{stage}/REPORT.md").write_text(report)
+    sums = {"analysis.json": write_once(spark, f"{stage}/analysis.json", analysis)}
+    files.write_new(f"{stage}/REPORT.md", report.encode())
     sums["REPORT.md"] = hashlib.sha256(report.encode()).hexdigest()
-    Path(f"{stage}/SHA256SUMS").write_text("".join(f"{v}  {k}\n" for k, v in sorted(sums.items())))
-    os.rename(stage, path)
+    files.write_new(f"{stage}/SHA256SUMS", "".join(f"{v}  {k}\n" for k, v in sorted(sums.items())).encode())
+    files.rename(stage, path)
 
 
 #: Columns that never leave: raw text, models, vocabularies and paths.
 PRIVATE = ("text", "text_raw", "tokens", "words", "vocabulary", "model", "path")
 
 
+def _public(kind: DataType, c: Column) -> Column | None:
+    """A column without what is private at any depth: named fields go, floats that are not finite and absolute paths
+    become null; None if nothing is left."""
+    if isinstance(kind, StructType):
+        kept = [(f.name, _public(f.dataType, c[f.name])) for f in kind if f.name not in PRIVATE]
+        kept = [x.alias(n) for n, x in kept if x is not None]
+        return F.when(c.isNotNull(), F.struct(*kept)) if kept else None
+    if isinstance(kind, ArrayType):
+        probe = _public(kind.elementType, F.lit(None).cast(kind.elementType))
+        return None if probe is None else F.transform(c, lambda x: _public(kind.elementType, x))
+    if isinstance(kind, MapType):
+        return F.map_filter(c, lambda k, _: ~k.isin(*PRIVATE)) if isinstance(kind.keyType, StringType) else c
+    if isinstance(kind, (FloatType, DoubleType)):
+        return F.when(~(F.isnan(c) | (F.abs(c) == float("inf"))), c)
+    if isinstance(kind, StringType):
+        return F.when(~c.rlike("^(/|[A-Za-z]:[/\\\\]|[a-z]+://)"), c)
+    return c
+
+
 def export_public(df: DataFrame, allowed: list[str]) -> DataFrame:
-    """Only the allowed columns, of which none may be private; floats that are not finite become null."""
+    """Only the allowed columns, of which none may be private. Inside structs, lists and maps private fields go as well;
+    floats that are not finite and texts that are absolute paths become null."""
     if bad := sorted(set(allowed) & set(PRIVATE)):
         raise ValueError(f"private columns: {', '.join(bad)}")
-    out = []
-    for f in df.select(*allowed).schema:
-        c = F.col(f.name)
-        finite = F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c).alias(f.name) if f.dataType.typeName() in ("double", "float") else c
-        out.append(finite)
-    return df.select(*out)
+    out = [(f.name, _public(f.dataType, F.col(f"`{f.name}`"))) for f in df.select(*allowed).schema]
+    return df.select(*[c.alias(n) for n, c in out if c is not None])
+
+
+def export_runs(spark: SparkSession, runs: dict[str, DataFrame], allowed: dict[str, list[str]], path: str, replace: bool = False) -> dict[str, str]:
+    """The public columns of several results, each as one folder of JSON lines below `path`, staged and renamed; an existing
+    `path` is refused unless `replace`. Returns a digest of each result's rows, whatever their order."""
+    files = Files(spark, path)
+    if files.exists(path) and not replace:
+        raise FileExistsError(path)
+    stage, digests = f"{path}.staged", {}
+    files.delete(stage)
+    for name, df in sorted(runs.items()):
+        public = export_public(df, allowed[name])
+        public.write.mode("errorifexists").json(f"{stage}/{name}")
+        row = F.sha2(F.to_json(F.struct(*public.columns)), 256)
+        digests[name] = public.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")), 256)).first()[0]
+    files.write_new(f"{stage}/DIGESTS.json", (canonical_json(digests) + "\n").encode())
+    if files.exists(path):
+        files.delete(path)
+    files.rename(stage, path)
+    return digests
 
 
 def render_table(df: DataFrame, limit: int = 200) -> str:
@@ -85,3 +123,9 @@ def render_table(df: DataFrame, limit: int = 200) -> str:
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
     body = "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in rows)
     return head + body + (f"\n{n - limit} more rows\n" if n > limit else "")
+
+
+def render_report(title: str, sections: dict[str, DataFrame | str], limit: int = 200) -> str:
+    """A Markdown report: a heading for each section, with a table of its aggregate or its text."""
+    body = [f"## {name}\n\n{part if isinstance(part, str) else render_table(part, limit)}" for name, part in sections.items()]
+    return f"# {title}\n\n" + "\n\n".join(x.rstrip("\n") for x in body) + "\n"

@@ -150,6 +150,44 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.assert_schema(df, "name string")
     assert "| a | 1.0 | x |" in sinks.render_table(df)
+    assert sinks.render_report("T", {"A": df, "B": "words"}).startswith("# T\n\n## A\n\n| name")
+    nested = spark.createDataFrame([(1, {"v": float("nan"), "text": "x", "path": "p"}, [("/abs/x", 1.0), ("rel", float("inf"))], {"tokens": 1, "n": 2})], "id long, s struct<v:double,text:string,path:string>, a array<struct<file:string,w:double>>, m map<string,int>")
+    out = sinks.export_public(nested, ["id", "s", "a", "m"]).first()
+    assert out.s.asDict() == {"v": None} and [tuple(x) for x in out.a] == [(None, 1.0), ("rel", None)] and out.m == {"n": 2}
+    to = str(tmp_path / "public")
+    first = sinks.export_runs(spark, {"one": df}, {"one": ["name", "v"]}, to)
+    with pytest.raises(FileExistsError):
+        sinks.export_runs(spark, {"one": df}, {"one": ["name"]}, to)
+    assert sinks.export_runs(spark, {"one": df.orderBy("v")}, {"one": ["name", "v"]}, to, replace=True) == first
+
+
+def test_freeze(spark, tmp_path):
+    from lociflow.sources import freeze
+
+    path = write(tmp_path, "words", "in.txt")
+    manifest = freeze.freeze(spark, [path], {"seed": 408})
+    freeze.verify_freeze(spark, manifest, {"seed": 408})
+    for bad, settings in [(manifest, {"seed": 409}), ({**manifest, "settings": {"seed": 409}}, {"seed": 409}), ({"files": {}}, {})]:
+        with pytest.raises(ValueError):
+            freeze.verify_freeze(spark, bad, settings)
+    write(tmp_path, "other", "in.txt")
+    with pytest.raises(ValueError, match="changed files"):
+        freeze.verify_freeze(spark, manifest, {"seed": 408})
+    keys = spark.createDataFrame([("a", "b")], "u string, letter string")
+    assert freeze.fit_before_test(keys, lambda k: k.where("u = 'a'")).count() == 1
+    with pytest.raises(Exception, match="exist"):
+        freeze.fit_before_test(keys, lambda k: k, str(tmp_path))
+    assert freeze.supervise(spark, lambda: keys.count(), 60) == ("finished", 1)
+    assert freeze.supervise(spark, lambda: 1 / 0, 60)[0] == "failed"
+    from pyspark.sql import functions as F
+
+    slow = spark.range(0, 40, 1, 40).where(F.expr("java_method('java.lang.Thread', 'sleep', 2000L) is null"))
+    assert freeze.supervise(spark, slow.count, 1)[0] in ("timed_out", "failed")
+    assert freeze.read_literals("import os\nX = {'f1r': {'B': 1}}\n", "X") == {"f1r": {"B": 1}}
+    for bad in ("X = 1", "X = {}", "X = {1: 2}\nX = {3: 4}", "X = os.environ"):
+        with pytest.raises(ValueError):
+            freeze.read_literals(bad, "X")
+    assert freeze.literal_rows(spark, "X: dict = {'f1r': {'B': 1}, 'f2': 'g'}", "X").count() == 2
 
 
 def test_table_cipher_round_trip(spark, tmp_path):
