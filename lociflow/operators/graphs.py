@@ -57,6 +57,26 @@ def quotient(edges: list[tuple[str, str]], budget: int = 100_000) -> list[tuple[
     return sorted(of.items())
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the smallest unit of their connected part as `grp`. Units are those of an alphabet, so the graph is
+    small whatever the corpus; its edges are gathered once counted."""
+    if edges.count() > 1 << 20:
+        raise ValueError("a graph of units has no more than a million edges")
+    rows = sorted({(min(r.a, r.b), max(r.a, r.b)) for r in edges.collect()})
+    root: dict[str, str] = {}
+
+    def find(u: str) -> str:
+        while root.setdefault(u, u) != u:
+            root[u] = root[root[u]]
+            u = root[u]
+        return u
+
+    for a, b in rows:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return edges.sparkSession.createDataFrame([(find(a), a, b) for a, b in rows], "grp string, a string, b string")
+
+
 def matchings_by(df: DataFrame, group_col: str, budget: int = 100_000) -> DataFrame:
     """Rows (group, status, a, b, verdict) for edges (group, a, b): a component of at most 64 units is solved in one task,
     all groups in parallel."""
@@ -156,8 +176,3 @@ def rank_mod(rows: list[list[int]], p: int = 3) -> int:
                 work[i] = [(x - q * y) % p for x, y in zip(work[i], work[rank])]
         rank += 1
     return rank
-
-
-def edges_of(graph: DataFrame) -> DataFrame:
-    """Edges (a, b) of a compatibility graph that has a boolean `edge`."""
-    return graph.where(F.col("edge")).select("a", "b")

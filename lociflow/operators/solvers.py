@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 import random
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import product
@@ -18,9 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociflow.runtime import BROADCAST_ROWS, ship
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Up to so many types branch and bound takes the sharper pivot bound at each node, beyond the bound of single types.
+PIVOT_TYPES = 60
+#: Bytes that the masks of one problem may take in a worker.
+MASK_BYTES = 1 << 30
+
+
 class Lexicon:
     """Cipher types with integer weights, and plain words: a key scores the weights of the types it turns into words.
 
@@ -28,20 +37,31 @@ class Lexicon:
     """
 
     def __init__(self, types: dict[str, int], words: set[str], capacity: int | None = 1) -> None:
-        self.types, self.capacity = types, capacity
-        by_length: dict[int, list[str]] = {}
+        self.types, self.words, self.capacity = types, words, capacity
+        # an injective key keeps the pattern of repeats; other keys keep the length
+        shape = word_shape if capacity == 1 else len
+        by_shape: dict[object, list[str]] = {}
         for w in sorted(words):
-            by_length.setdefault(len(w), []).append(w)
+            by_shape.setdefault(shape(w), []).append(w)
         self.candidates: dict[str, list[dict[str, str]]] = {}
         for t in types:
-            fits = (self._mapping(t, w) for w in by_length.get(len(t), ()))
+            fits = (self._mapping(t, w) for w in by_shape.get(shape(t), ()))
             self.candidates[t] = [m for m in fits if m is not None]
         total: dict[str, int] = {}
+        self.of_unit: dict[str, list[str]] = {}
         for t, weight in types.items():
             for u in set(t):
                 total[u] = total.get(u, 0) + weight
+                self.of_unit.setdefault(u, []).append(t)
         #: Units by falling weight of the types that hold them: the order of branching.
         self.order = sorted(total, key=lambda u: (-total[u], u))
+        self._bits: BitsetBound | None = None
+
+    @property
+    def bits(self) -> BitsetBound:
+        if self._bits is None:
+            self._bits = BitsetBound(self)
+        return self._bits
 
     def _mapping(self, cipher: str, word: str) -> dict[str, str] | None:
         key: dict[str, str] = {}
@@ -96,8 +116,18 @@ class Lexicon:
                 sums[v] = sums.get(v, 0) + w
         return done + sum(max(s.values()) for s in groups.values())
 
-    def score(self, key: dict[str, str]) -> int:
-        return sum(w for t, w in self.types.items() if any(all(key.get(u) == v for u, v in m.items()) for m in self.candidates[t]))
+    def decoded(self, t: str, key: dict[str, str]) -> str | None:
+        out = [key.get(u) for u in t]
+        return None if None in out else "".join(out)
+
+    def score(self, key: dict[str, str], types: list[str] | None = None) -> int:
+        """The weights of the types (all, or some) that the key turns into words."""
+        return sum(self.types[t] for t in (self.types if types is None else types) if self.decoded(t, key) in self.words)
+
+    def gain(self, key: dict[str, str], new: dict[str, str], changed: tuple[str, ...]) -> int:
+        """score(new) - score(key) for keys that differ in the units `changed` only."""
+        touched = {t for u in changed for t in self.of_unit.get(u, ())}
+        return self.score(new, touched) - self.score(key, touched)
 
     def values(self, key: dict[str, str]) -> list[str]:
         used: dict[str, int] = {}
@@ -106,6 +136,110 @@ class Lexicon:
         return [v for v in ALPHABET if self.capacity is None or used.get(v, 0) < self.capacity]
 
 
+def word_shape(w: str) -> tuple[int, ...]:
+    """The pattern of repeats of a word."""
+    seen: dict[str, int] = {}
+    return tuple(seen.setdefault(c, len(seen)) for c in w)
+
+
+class BitsetBound:
+    """The bound of Lexicon.bound() by masks: every candidate of every type is a bit, the candidates of a type lie side by
+    side in a lane, and above each lane is a guard bit. Adding a full lane to what is left of it carries into the guard if
+    and only if a candidate is left; guards are weighed by the bits of the weights.
+
+    An assignment leaves the candidates that agree with it, so the mask of a child is its parent's and two more masks.
+    Capacities of 1, 2 and none are kept by masks; a mask beyond MASK_BYTES in all is refused.
+    """
+
+    def __init__(self, lex: Lexicon) -> None:
+        if lex.capacity not in (1, 2, None):
+            raise ValueError("capacity 1, 2 or None")
+        self.lex, at = lex, 0
+        n = sum(map(len, lex.candidates.values())) + len(lex.candidates)
+        if n // 8 * max(1, len(lex.order)) * (len(ALPHABET) + 1) > MASK_BYTES:
+            raise ValueError(f"{n} candidates of {len(lex.order)} units are too many for the masks")
+        holds: dict[str, list[int]] = {u: [] for u in lex.order}
+        gives: dict[tuple[str, str], list[int]] = {}
+        twice: dict[str, list[int]] = {}
+        self.full = self.guards = 0
+        self.guard_of: dict[str, int] = {}
+        lanes, guards = [], []
+        for t, candidates in lex.candidates.items():
+            if not candidates:
+                continue
+            for k, m in enumerate(candidates, at):
+                values: dict[str, int] = {}
+                for u, v in m.items():
+                    holds[u].append(k)
+                    gives.setdefault((u, v), []).append(k)
+                    values[v] = values.get(v, 0) + 1
+                for v, c in values.items():
+                    if c > 1:
+                        twice.setdefault(v, []).append(k)
+            lanes.append((at, len(candidates)))
+            at += len(candidates)
+            self.guard_of[t] = at
+            guards.append(at)
+            at += 1
+        self.size = at
+        self.full = sum(((1 << c) - 1) << o for o, c in lanes)
+        self.guards = self._mask(guards)
+        self.holds = {u: self._mask(k) for u, k in holds.items()}
+        self.gives = {uv: self._mask(k) for uv, k in gives.items()}
+        self.twice = {v: self._mask(k) for v, k in twice.items()}
+        high = max((w.bit_length() for w in lex.types.values()), default=0)
+        self.weight = [self._mask([g for t, g in self.guard_of.items() if lex.types[t] >> b & 1]) for b in range(high)]
+
+    def _mask(self, places: list[int]) -> int:
+        bits = bytearray(self.size // 8 + 1)
+        for k in places:
+            bits[k >> 3] |= 1 << (k & 7)
+        return int.from_bytes(bits, "little")
+
+    def child(self, mask: int, key: dict[str, str], unit: str, value: str) -> int:
+        """The mask after unit = value is added to `key`, of which `mask` is the mask."""
+        mask &= ~self.holds[unit] | self.gives.get((unit, value), 0)
+        if self.lex.capacity is not None:
+            same = [u for u, v in key.items() if v == value] + [unit]
+            if len(same) >= self.lex.capacity:  # the letter is full: no other unit may give it
+                for u in self.lex.order:
+                    if u not in same and u not in key:
+                        mask &= ~self.gives.get((u, value), 0)
+            elif self.lex.capacity == 2:  # one more unit may: not two that are both new
+                mask &= ~(self.twice.get(value, 0) & ~self.holds[unit])
+        return mask
+
+    def mask(self, key: dict[str, str]) -> int:
+        mask, done = self.full, {}
+        for u, v in key.items():
+            if u in self.holds:
+                mask = self.child(mask, done, u, v)
+            done[u] = v
+        return mask
+
+    def value(self, mask: int, among: int | None = None) -> int:
+        """The weights of the types with a candidate left, of all or those whose guards are `among`."""
+        live = (mask + self.full) & (self.guards if among is None else among)
+        return sum((live & w).bit_count() << b for b, w in enumerate(self.weight))
+
+    def bound(self, key: dict[str, str]) -> int:
+        return self.value(self.mask(key))
+
+    def pivot(self, mask: int, key: dict[str, str]) -> int:
+        """Lexicon.pivot_bound() by masks: for each smallest open unit the best of its values."""
+        groups: dict[str | None, list[int]] = {}
+        for t, g in self.guard_of.items():
+            groups.setdefault(min((u for u in t if u not in key), default=None), []).append(g)
+        out = 0
+        for p, guards in groups.items():
+            among = self._mask(guards)
+            if p is None:
+                out += self.value(mask, among)
+            else:
+                out += max((self.value(mask & self.gives[p, v], among) for v in ALPHABET if (p, v) in self.gives), default=0)
+        return out
+
+
 def branch_and_bound(lex: Lexicon, budget: int = 1000, fixed: dict[str, str] | None = None, forbidden: set[tuple[str, str]] = frozenset(), target: int | None = None) -> dict:
     """Best-first search for the key of the largest score: {status, lower, upper, key, nodes}.
 
@@ -121,8 +255,13 @@ def branch_and_bound(lex: Lexicon, budget: int = 1000, fixed: dict[str, str] | N
     if not lex.allowed(start) or any((u, v) in forbidden for u, v in start.items()):
         return {"status": "infeasible", "lower": 0, "upper": 0, "key": {}, "nodes": 0}
     best, best_key, nodes, serial = lex.score(start), start, 0, 0
-    root = lex.pivot_bound(start)
-    heap = [(-root, 0, 0, start)]
+    bits = lex.bits
+    sharp = len(bits.guard_of) <= PIVOT_TYPES
+
+    def upper_of(mask: int, key: dict[str, str]) -> int:
+        return bits.pivot(mask, key) if sharp else bits.value(mask)
+
+    heap = [(-upper_of(bits.mask(start), start), 0, 0, start)]
     while heap:
         upper = max(best, -heap[0][0])
         if target is not None and best >= target:
@@ -138,11 +277,12 @@ def branch_and_bound(lex: Lexicon, budget: int = 1000, fixed: dict[str, str] | N
         unit = next((u for u in lex.order if u not in key), None)
         if unit is None:
             continue
+        mask = bits.mask(key)
         for v in lex.values(key):
             if (unit, v) in forbidden:
                 continue
             child = {**key, unit: v}
-            if (b := lex.pivot_bound(child)) > best or (target is not None and b >= target):
+            if (b := upper_of(bits.child(mask, key, unit, v), child)) > best or (target is not None and b >= target):
                 if (s := lex.score(child)) > best:
                     best, best_key = s, child
                 serial += 1
@@ -155,21 +295,22 @@ def branch_and_bound(lex: Lexicon, budget: int = 1000, fixed: dict[str, str] | N
 def local_search(lex: Lexicon, key: dict[str, str], moves: int = 8) -> tuple[int, dict[str, str], int]:
     """Best improvement over all reassignments and swaps, ties by the smallest key; (score, key, neighbours seen)."""
     score, seen = lex.score(key), 0
+    units = sorted(lex.order)
     for _ in range(moves):
-        found = []
-        units = sorted(lex.order)
+        best: tuple[int, list, dict[str, str]] | None = None
         for i, u in enumerate(units):
-            for v in ALPHABET:
-                if key.get(u) != v and lex.allowed(k := {**key, u: v}):
-                    found.append(k)
-            for w in units[i + 1 :]:
-                if u in key and w in key and key[u] != key[w]:
-                    found.append({**key, u: key[w], w: key[u]})
-        seen += len(found)
-        gain, _, best = min(((-lex.score(k), sorted(k.items()), k) for k in found), key=lambda x: x[:2], default=(-score, [], key))
-        if -gain <= score:
+            near = [({**key, u: v}, (u,)) for v in ALPHABET if key.get(u) != v]
+            near += [({**key, u: key[w], w: key[u]}, (u, w)) for w in units[i + 1 :] if u in key and w in key and key[u] != key[w]]
+            for k, changed in near:
+                if not lex.allowed(k):
+                    continue
+                seen += 1
+                gain = lex.gain(key, k, changed)
+                if gain > 0 and (best is None or (-gain, sorted(k.items())) < best[:2]):
+                    best = (-gain, sorted(k.items()), k)
+        if best is None:
             break
-        score, key = -gain, best
+        score, key = score - best[0], best[2]
     return score, key, seen
 
 
@@ -184,10 +325,10 @@ def anneal_key(lex: Lexicon, steps: int, seed: int, start: dict[str, str] | None
     for step in range(steps if len(units) > 1 else 0):
         u, w = rng.sample(units, 2)
         if rng.random() < 0.25 and (room := lex.values(key)):
-            new = {**key, u: rng.choice(room)}
+            new, changed = {**key, u: rng.choice(room)}, (u,)
         else:
-            new = {**key, u: key[w], w: key[u]}
-        s = lex.score(new)
+            new, changed = {**key, u: key[w], w: key[u]}, (u, w)
+        s = score + lex.gain(key, new, changed)
         heat = heat0 * (1 - step / steps)
         if s >= score or (heat > 0 and rng.random() < math.exp((s - score) / heat)):
             key, score = new, s
@@ -225,6 +366,70 @@ def preserved_completions(free_units: int, room: list[int]) -> int:
     return ways[free_units]
 
 
+def preserved_injective(free_units: int, free_letters: int) -> int:
+    """In how many ways units without influence can take letters of their own that are free."""
+    return math.perm(free_letters, free_units) if free_units <= free_letters else 0
+
+
+def ambiguity(lex: Lexicon, key: dict[str, str]) -> dict:
+    """How many keys agree with `key` on every unit of the types it turns into words: all of them keep its hits."""
+    hits = [t for t in lex.types if lex.decoded(t, key) in lex.words]
+    held = {u for t in hits for u in t}
+    free = [u for u in lex.order if u not in held]
+    used: dict[str, int] = {}
+    for u in held:
+        used[key[u]] = used.get(key[u], 0) + 1
+    if lex.capacity == 1:
+        n = preserved_injective(len(free), len(ALPHABET) - len(used))
+    elif lex.capacity is None:
+        n = len(ALPHABET) ** len(free)
+    else:
+        n = preserved_completions(len(free), [lex.capacity - used.get(v, 0) for v in ALPHABET])
+    return {"hits": len(hits), "determined_units": len(held), "free_units": len(free), "completions": n}
+
+
+def threshold_queries(spark: SparkSession, types: dict[str, int], words: set[str], capacity: int | None, queries: list[tuple[str, dict[str, str], set[tuple[str, str]], int]], budget: int) -> DataFrame:
+    """Rows (name, status, lower, upper, nodes) of queries (name, fixed units, forbidden values, target): is there a key that
+    scores the target. Each query is a task of its own."""
+    shared = _Shared(spark, (types, words, capacity, {name: (fixed, forbidden, target) for name, fixed, forbidden, target in queries}))
+    ship(spark)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t, w, c, todo = shared.value
+        for frame in frames:
+            out = []
+            for name in frame["name"]:
+                fixed, forbidden, target = todo[name]
+                r = branch_and_bound(_lexicon(shared.id, t, w, c), budget, fixed, forbidden, target)
+                out.append((name, {"feasible": "feasible", "infeasible": "infeasible", "search_exhausted": "infeasible"}.get(r["status"], "unknown"), r["lower"], r["upper"], r["nodes"]))
+            yield pd.DataFrame(out, columns=["name", "status", "lower", "upper", "nodes"])
+
+    names = spark.createDataFrame([(n,) for n, *_ in queries], "name string").repartition(max(1, len(queries)))
+    return names.mapInPandas(run, "name string, status string, lower long, upper long, nodes long")
+
+
+class _Shared:
+    """A broadcast value with a name of its own."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.id, self._b = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self._b.value
+
+
+_BUILT: dict[object, Lexicon] = {}
+
+
+def _lexicon(number: object, types: dict[str, int], words: set[str], capacity: int | None) -> Lexicon:
+    """The problem's lexicon, built once in each worker."""
+    if (number, capacity) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[number, capacity] = Lexicon(types, words, capacity)
+    return _BUILT[number, capacity]
+
+
 def assess_optimum(lex: Lexicon, key: dict[str, str], budget: int = 1000) -> Iterator[tuple[str, str, str]]:
     """For each unit (unit, value, verdict): forced_at_certified_optimum if no key with another value reaches the score,
     ambiguous if one does, unresolved if the budget ends first."""
@@ -247,14 +452,15 @@ def solve(spark: SparkSession, types: dict[str, int], words: set[str], jobs: lis
 
     methods: bnb, anneal, local. The problem, a bounded vocabulary, goes to the workers once; each job is a task of its own.
     """
-    shared = spark.sparkContext.broadcast((types, words))
+    shared = _Shared(spark, (types, words))
+    ship(spark)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, w = shared.value
         for frame in frames:
             out = []
             for method, seed, capacity, budget in frame.itertuples(index=False, name=None):
-                lex = Lexicon(t, w, None if capacity == 0 else int(capacity))
+                lex = _lexicon(shared.id, t, w, None if capacity == 0 else int(capacity))
                 r = _SOLVE[method](lex, int(seed), int(budget))
                 text = " ".join(f"{u}={v}" for u, v in sorted(r["key"].items()))
                 out.append((method, seed, capacity, r["status"], r["lower"], r["upper"], r["nodes"], text))
@@ -268,7 +474,10 @@ def solve(spark: SparkSession, types: dict[str, int], words: set[str], jobs: lis
 def score_keys(solved: DataFrame, types: DataFrame, words: DataFrame) -> DataFrame:
     """Scores of solved keys, computed by joins: types (w, weight) are spelt out under each key and met with the words (w)."""
     key = solved.select("method", "seed", "capacity", F.str_to_map("key", F.lit(" "), F.lit("=")).alias("m"))
-    spelt = key.crossJoin(F.broadcast(types)) if types.count() <= 100_000 else key.join(types)
+    n = key.count()
+    if n > BROADCAST_ROWS // 100:
+        raise ValueError("too many keys to spell the types under each")
+    spelt = types.crossJoin(F.broadcast(key))  # each type under each of a bounded number of keys
     letters = F.transform(F.split("w", ""), lambda u: F.coalesce(F.try_element_at("m", u), F.when(u == "", "").otherwise("?")))
     hits = spelt.withColumn("x", F.array_join(letters, "")).join(words.select(F.col("w").alias("x")).distinct(), "x")
     return hits.groupBy("method", "seed", "capacity").agg(F.sum("weight").cast("long").alias("score"))

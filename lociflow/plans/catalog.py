@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.operators import graphs, shred, solvers, tablecipher
-from lociflow.plans import joins, models, shared, statistics, studies
+from lociflow.operators import graphs, shred, tablecipher
+from lociflow.plans import joins, models, searches, shared, statistics, studies
 from lociflow.plans.shared import oracle, query
 from lociflow.runtime import spool, table
 from lociflow.sources import ivtff
@@ -67,39 +67,6 @@ def ivtff_lexer(spark: SparkSession, d: str) -> DataFrame:
     return loci.select("locus_id", F.array_join(tokens, " ").alias("tokens"), excluded.cast("long").alias("excluded"), malformed.alias("malformed"), start.alias("opens"), end.alias("closes"))
 
 
-def _problem(spark: SparkSession, d: str, top: int = 40) -> tuple[dict[str, int], set[str], DataFrame, DataFrame]:
-    """The `top` most frequent validation types with exact weights, and the train types as lexicon: a bounded problem."""
-    types = query(joins.BODIES["objective_weights"])(spark, d).where("length(w) between 2 and 6").orderBy(F.desc("weight"), "w").limit(top)
-    words = query("SELECT w, count(*) AS c FROM {tok} WHERE split = 'train' AND length(w) BETWEEN 2 AND 6 GROUP BY w ORDER BY c DESC, w LIMIT 400")(spark, d)
-    weights = {r.w: int(r.weight) for r in types.collect()}
-    known = {r.w for r in words.collect()}
-    return weights, known, spark.createDataFrame(sorted(weights.items()), "w string, weight long"), spark.createDataFrame(sorted((w,) for w in known), "w string")
-
-
-def key_search(spark: SparkSession, d: str) -> DataFrame:
-    """Restarts of annealing, local search and branch and bound on one lexicon problem, each a row, with re-derived scores."""
-    weights, known, types, words = _problem(spark, d)
-    jobs = [("anneal", s, c, 200) for s in range(6) for c in (1, 2)] + [("local", s, 1, 2) for s in range(2)] + [("bnb", 0, 1, 20), ("bnb", 0, 2, 10)]
-    found = spool(solvers.solve(spark, weights, known, jobs), "keys")
-    scores = solvers.score_keys(found, types, words)
-    return found.join(scores, ["method", "seed", "capacity"], "left").select("method", "seed", "capacity", "status", "lower", "upper", "nodes", F.coalesce("score", F.lit(0)).alias("score"))
-
-
-def key_identifiability(spark: SparkSession, d: str) -> DataFrame:
-    """Which units of a certified optimum are forced: one threshold query per unit, on a small problem."""
-    weights, known, _, _ = _problem(spark, d, 8)
-    lex = solvers.Lexicon(weights, known, 1)
-    best = solvers.branch_and_bound(lex, 200)
-    rows = [(u, v, verdict, best["status"]) for u, v, verdict in solvers.assess_optimum(lex, best["key"], 50)]
-    return spark.createDataFrame(rows, "unit string, value string, verdict string, optimum string")
-
-
-def cyclic_matchings(spark: SparkSession, d: str) -> DataFrame:
-    """Matchings and forced edges of graphs over visual units: an edge joins units whose line counts agree in most lines."""
-    graph = query(statistics.BODIES["alternation"])(spark, d).where("alternating * 2 > n_lines").withColumn("grp", F.substring("a", 1, 1))
-    return graphs.matchings_by(graph.select("grp", "a", "b"), "grp")
-
-
 def line_lattice(spark: SparkSession, d: str) -> DataFrame:
     """Integer lattices of the unit counts of lines, by language and illustration class."""
     body = "SELECT coalesce(r.il, '?') || coalesce(r.ll, '?') AS track, cast(v.locus_id AS STRING) AS line, v.u AS unit, count(*) AS n FROM {visual} v JOIN {recs} r ON v.locus_id = r.locus_id WHERE v.split = 'train' GROUP BY 1, 2, 3"
@@ -130,7 +97,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p6_found, p6_nodes, p6_cases, p6_checks, p6_sources, p6_tracks, p6_regions, p6_batches, p6_children, p6_list_values, ivtff_lexer, key_search, key_identifiability, cyclic_matchings, line_lattice, table_readings,
+        p6_found, p6_nodes, p6_cases, p6_checks, p6_sources, p6_tracks, p6_regions, p6_batches, p6_children, p6_list_values, ivtff_lexer, line_lattice, table_readings,
         stream_bigrams, stream_windows,
     )
 }
@@ -150,5 +117,5 @@ shared.DERIVED |= models.DERIVED | joins.DERIVED
 for _module in (statistics, joins, models):
     QUERIES |= {name: query(body) for name, body in _module.BODIES.items()}
     SQL |= {name: oracle(body) for name, body in _module.BODIES.items()}
-QUERIES |= studies.QUERIES
+QUERIES |= studies.QUERIES | searches.QUERIES
 SQL |= studies.SQL

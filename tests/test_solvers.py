@@ -1,7 +1,9 @@
 import random
 from itertools import permutations, product
 
-from lociflow.operators import graphs, solvers
+import numpy as np
+
+from lociflow.operators import graphs, keysearch, solvers
 
 
 def small(seed, capacity):
@@ -41,6 +43,91 @@ def test_branch_and_bound_is_exact(monkeypatch):
             assert s <= s2 == lex.score(key2) <= best and lex.allowed(key2)
 
 
+def test_masks_give_the_plain_bounds(monkeypatch):
+    monkeypatch.setattr(solvers, "ALPHABET", "abcdef")
+    rng = random.Random(9)
+    for seed in range(30):
+        for capacity in (1, 2, None):
+            lex, _ = small(seed, capacity)
+            bits = lex.bits
+            key, mask = {}, bits.full
+            assert bits.bound({}) == lex.bound({}) and bits.pivot(bits.full, {}) == lex.pivot_bound({})
+            for u in rng.sample(lex.order, len(lex.order)):
+                if not (room := lex.values(key)):
+                    break
+                v = rng.choice(room)
+                mask, key = bits.child(mask, key, u, v), {**key, u: v}
+                assert mask == bits.mask(key) and bits.value(mask) == lex.bound(key) == bits.bound(key)
+                assert bits.pivot(mask, key) == lex.pivot_bound(key)
+            assert bits.value(mask) >= lex.score(key)
+    monkeypatch.setattr(solvers, "MASK_BYTES", 1)
+    try:
+        solvers.Lexicon({"xyz": 1, "xy": 2}, {"abc", "ab", "bc", "cd"}, 1).bits
+        raise AssertionError("masks beyond the limit")
+    except ValueError:
+        pass
+
+
+def test_branching_by_either_bound(monkeypatch):
+    monkeypatch.setattr(solvers, "ALPHABET", "abcdef")
+    for seed in range(12):
+        lex, words = small(seed, 1)
+        found = []
+        for most in (0, 60):
+            monkeypatch.setattr(solvers, "PIVOT_TYPES", most)
+            r = solvers.branch_and_bound(lex, 100_000)
+            found.append((r["lower"], r["upper"]))
+        assert found[0] == found[1] == (brute(lex, words),) * 2
+
+
+def test_completions(monkeypatch):
+    monkeypatch.setattr(solvers, "ALPHABET", "abcd")
+    for seed in range(10):
+        for capacity in (1, 2, None):
+            lex, words = small(seed, capacity)
+            key = next((k for v in product("abcd", repeat=len(lex.order)) if lex.allowed(k := dict(zip(lex.order, v))) and lex.score(k)), None)
+            if key is None:
+                continue
+            held = {u for t in lex.types if lex.decoded(t, key) in words for u in t}
+            same = sum(lex.allowed(k) and all(k[u] == key[u] for u in held) for v in product("abcd", repeat=len(lex.order)) for k in [dict(zip(lex.order, v))])
+            assert solvers.ambiguity(lex, key)["completions"] == same
+    assert solvers.preserved_injective(2, 3) == 6 and solvers.preserved_injective(3, 2) == 0
+
+
+def test_threshold_queries(spark, monkeypatch):
+    types, words = {"xyx": 5, "xy": 3, "z": 2}, {"aba", "ab", "c"}
+    rows = solvers.threshold_queries(spark, types, words, 1, [("all", {}, set(), 10), ("more", {}, set(), 11), ("not", {}, {("x", "a")}, 10), ("fixed", {"z": "d"}, set(), 8)], 500).collect()
+    assert {r.name: r.status for r in rows} == {"all": "feasible", "more": "infeasible", "not": "infeasible", "fixed": "feasible"}
+
+
+def test_key_search_by_likelihood(spark):
+    rng = random.Random(3)
+    events = np.array([[rng.choice([*range(5), 5]) for _ in range(3)] + [rng.choice([*range(5), 6])] for _ in range(200)])
+    counts, table = np.array([rng.randrange(1, 9) for _ in range(200)]), np.random.default_rng(1).random((28,) * 4)
+    for capacity, reassign in ((1, 0.25), (2, 0.5), (1, 0.0)):
+        p = keysearch.Problem(list("vwxyz"), events, counts, table, capacity)
+        start = p.random_start(random.Random(5))
+        cost, key = keysearch.search(p, start, 400, random.Random(1), reassign)
+        full = [*key.tolist(), 26, 27]
+        want = sum(n * table[tuple(full[u] for u in e)] for e, n in zip(events.tolist(), counts.tolist()))
+        assert abs(cost - want) < 1e-6 and cost <= p.cost(start) and max(np.bincount(key, minlength=26)) <= capacity
+    # of all keys of three units over few letters the search finds the best
+    small_ = keysearch.Problem(list("xyz"), events[(events < 3).all(axis=1) | True] % 3, counts, table, 1)
+    best = min(small_.cost(np.array(k)) for k in permutations(range(26), 3))
+    runs = [keysearch.search(small_, small_.random_start(random.Random(k)), 3000, random.Random(k), 0.5)[0] for k in range(4)]
+    assert min(runs) <= best * 1.02
+
+
+def test_cost_tables():
+    counts = np.zeros((28,) * 4)
+    counts[26, 26, 26, 0], counts[26, 26, 0, 1], counts[0, 1, 2, 3], counts[0, 1, 2, 4] = 3, 2, 5, 1
+    cost = keysearch.order_costs(counts, 3)
+    assert np.allclose((2.0 ** -cost[0, 1, 2]).sum(), 1) and np.isclose(2.0 ** -cost[0, 1, 2, 3], 5.1 / 8.8)
+    assert np.allclose(2.0 ** -keysearch.order_costs(counts, 0)[9, 9, 9], 2.0 ** -keysearch.order_costs(counts, 0)[1, 2, 3])
+    w = keysearch.window_costs(counts)
+    assert np.isclose(2.0 ** -w[0, 1, 2, 3], 0.1 * 5.1 / 8.6 + 0.2 * 5.1 / 8.6 + 0.3 * 5.1 / 8.6 + 0.4 * 5.1 / 8.6) and np.allclose((2.0 ** -w[4, 5, 6, :26]).sum(), 1)
+
+
 def test_identifiability(monkeypatch):
     monkeypatch.setattr(solvers, "ALPHABET", "abcd")
     for seed in range(12):
