@@ -118,7 +118,7 @@ def search(problem: Problem, start: np.ndarray, proposals: int, rng: random.Rand
             new[u], new[w] = key[w], key[u]
             rows = np.union1d(problem.of_unit[u], problem.of_unit[w])
         change = problem.cost(new, rows) - problem.cost(key, rows)
-        t = heat * (1 - step / proposals) / 26
+        t = heat * (1 - step / proposals)
         if change <= 0 or (t > 0 and rng.random() < math.exp(-change / t)):
             room += np.bincount(key, minlength=26) - np.bincount(new, minlength=26)
             key, cost = new, cost + change

@@ -71,7 +71,7 @@ def _swap(spark: SparkSession, d: str, known: str | None) -> DataFrame:
     train, fit, _ = _windows(spark, d)
     table = keysearch.table_of(train, _WINDOW, True)
     problem, unknown = keysearch.problem_of(fit, _WINDOW, table, 1, known)
-    found = spool(keysearch.restarts(spark, problem, _letters(train, "d"), reassign=0.0), "found")
+    found = spool(keysearch.restarts(spark, problem, _letters(train, "d"), reassign=0.3), "found")  # a letter no unit has is one to change with
     whole = F.col("events") + unknown
     return found.select("restart", whole.alias("windows"), F.lit(unknown).cast("long").alias("unknown"), F.round((F.col("cost") + unknown * F.log2(F.lit(26.0))) / whole, 6).alias("bits"), "key")
 

@@ -60,7 +60,7 @@ def test_masks_give_the_plain_bounds(monkeypatch):
                 assert mask == bits.mask(key) and bits.value(mask) == lex.bound(key) == bits.bound(key)
                 assert bits.pivot(mask, key) == lex.pivot_bound(key)
             assert bits.value(mask) >= lex.score(key)
-    monkeypatch.setattr(solvers, "MASK_BYTES", 1)
+    monkeypatch.setattr(solvers, "MASK_BYTES", -1)
     try:
         solvers.Lexicon({"xyz": 1, "xy": 2}, {"abc", "ab", "bc", "cd"}, 1).bits
         raise AssertionError("masks beyond the limit")
