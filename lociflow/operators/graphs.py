@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.runtime import ship, spool
+
 
 def perfect_matchings(edges: list[tuple[str, str]], budget: int = 100_000, most: int = 2, units: set[str] = frozenset()) -> tuple[str, list[list[tuple[str, str]]], int]:
     """(status, up to `most` matchings, nodes): depth-first on the vertex with the fewest partners left; `units` are
@@ -94,47 +96,85 @@ def matchings_by(df: DataFrame, group_col: str, budget: int = 100_000) -> DataFr
     return df.groupBy(group_col).applyInPandas(run, f"`{group_col}` {kind}, status string, a string, b string, verdict string")
 
 
+class Lattice:
+    """The lattice that integer rows span, folded in one row at a time: for each column that has one, a row that starts there.
+
+    A row meets these by Euclid's steps; what is left of it starts further right or is nothing. Each kept row remembers
+    of which given rows it is made, so rows that change nothing are forgotten. Numbers beyond `bits` end it.
+    """
+
+    def __init__(self, columns: int, bits: int = 4096) -> None:
+        self.n, self.bits, self.reason = columns, bits, None
+        self.rows: dict[int, tuple[list[int], dict[int, int]]] = {}
+
+    @staticmethod
+    def _less(x: tuple[list[int], dict[int, int]], q: int, y: tuple[list[int], dict[int, int]]) -> tuple[list[int], dict[int, int]]:
+        made = dict(x[1])
+        for k, v in y[1].items():
+            if w := made.get(k, 0) - q * v:
+                made[k] = w
+            else:
+                made.pop(k, None)
+        return [a - q * b for a, b in zip(x[0], y[0])], made
+
+    def add(self, row: list[int], number: int) -> None:
+        if self.reason or self.whole():
+            return
+        x = (list(row), {number: 1})
+        for c in range(self.n):
+            if not x[0][c]:
+                continue
+            if c not in self.rows:
+                self.rows[c] = x if x[0][c] > 0 else self._less(([0] * self.n, {}), 1, x)
+                return
+            while x[0][c]:
+                top = self.rows[c]
+                if abs(x[0][c]) >= abs(top[0][c]):
+                    x = self._less(x, x[0][c] // top[0][c], top)
+                else:
+                    self.rows[c], x = x, top
+            top = self.rows[c]
+            if top[0][c] < 0:
+                self.rows[c] = self._less(([0] * self.n, {}), 1, top)
+            if max(map(abs, (*self.rows[c][0], *x[0], *self.rows[c][1].values(), *x[1].values()))).bit_length() > self.bits:
+                self.reason = "bit_limit"
+                return
+
+    def whole(self) -> bool:
+        return len(self.rows) == self.n and all(self.rows[c][0][c] == 1 for c in range(self.n))
+
+    def support(self) -> list[int]:
+        return sorted({k for _, made in self.rows.values() for k in made})
+
+    def inverse(self) -> list[dict[int, int]]:
+        """For each column the combination of given rows that is its unit row; for a whole lattice."""
+        done: dict[int, tuple[list[int], dict[int, int]]] = {}
+        for c in reversed(range(self.n)):
+            x = self.rows[c]
+            for k in range(c + 1, self.n):
+                if x[0][k]:
+                    x = self._less(x, x[0][k], done[k])
+            done[c] = x
+        return [done[c][1] for c in range(self.n)]
+
+
 def lattice_certificate(rows: list[list[int]], bits: int = 4096) -> dict:
     """Whether integer rows span the whole lattice of their columns: {status, reason, rank, pivots, support, inverse}.
 
-    Rows are reduced by Euclid's steps while the transform is kept. certified: every column has a pivot of 1; then `inverse`
-    times the support rows is the identity, which verify_lattice() checks without any elimination.
+    certified: every column has a pivot of 1; then `inverse` times the support rows is the identity, which verify_lattice()
+    checks without any elimination.
     """
     if not rows or not rows[0]:
         return {"status": "not_certified", "reason": "empty", "rank": 0, "pivots": [], "support": [], "inverse": []}
-    m, n = len(rows), len(rows[0])
-    work = [list(r) + [int(i == k) for k in range(m)] for i, r in enumerate(rows)]
-    pivots, top = [], 0
-    for c in range(n):
-        while True:
-            live = [i for i in range(top, m) if work[i][c]]
-            if not live:
-                break
-            p = min(live, key=lambda i: abs(work[i][c]))
-            work[top], work[p] = work[p], work[top]
-            clean = True
-            for i in range(top + 1, m):
-                if q := work[i][c] // work[top][c]:
-                    work[i] = [x - q * y for x, y in zip(work[i], work[top])]
-                    if max(abs(x) for x in work[i]).bit_length() > bits:
-                        return {"status": "not_certified", "reason": "bit_limit", "rank": top, "pivots": pivots, "support": [], "inverse": []}
-                clean = clean and not work[i][c]
-            if clean:
-                break
-        if top < m and work[top][c]:
-            if work[top][c] < 0:
-                work[top] = [-x for x in work[top]]
-            pivots.append(work[top][c])
-            for i in range(top):
-                if q := work[i][c] // work[top][c]:
-                    work[i] = [x - q * y for x, y in zip(work[i], work[top])]
-            top += 1
-            if top == m:
-                break
-    if top < n or any(p != 1 for p in pivots):
-        return {"status": "not_certified", "reason": "rank" if top < n else "pivot", "rank": top, "pivots": pivots, "support": [], "inverse": []}
-    used = [k for k in range(m) if any(work[i][n + k] for i in range(n))]
-    return {"status": "certified", "reason": None, "rank": n, "pivots": pivots, "support": used, "inverse": [[work[i][n + k] for k in used] for i in range(n)]}
+    lattice = Lattice(len(rows[0]), bits)
+    for k, row in enumerate(rows):
+        lattice.add(row, k)
+    pivots = [lattice.rows[c][0][c] for c in sorted(lattice.rows)]
+    out = {"rank": len(pivots), "pivots": pivots}
+    if lattice.reason or not lattice.whole():
+        return {"status": "not_certified", "reason": lattice.reason or ("rank" if len(pivots) < lattice.n else "pivot"), **out, "support": [], "inverse": []}
+    used = lattice.support()
+    return {"status": "certified", "reason": None, **out, "support": used, "inverse": [[line.get(k, 0) for k in used] for line in lattice.inverse()]}
 
 
 def verify_lattice(rows: list[list[int]], certificate: dict) -> bool:
@@ -143,36 +183,64 @@ def verify_lattice(rows: list[list[int]], certificate: dict) -> bool:
     return all(sum(a * r[j] for a, r in zip(line, used)) == int(i == j) for i, line in enumerate(certificate["inverse"]) for j in range(n)) and len(certificate["inverse"]) == n
 
 
-def lattice_tracks(counts: DataFrame, track_col: str, columns: list[str]) -> DataFrame:
-    """Rows (track, columns, rows, status, rank, rank modulo 3, gcd) for count vectors (track, line, unit, n): each track's distinct rows
-    are reduced in one task. Rows are made distinct before they are gathered; of rows of one track only as many
-    as the lattice needs enter the elimination, so the task holds the distinct rows of a track at most."""
-    wide = counts.groupBy(track_col, "line").pivot("unit", columns).sum("n").na.fill(0).drop("line").distinct()
+#: Distinct rows of a track that one task folds at first.
+FOLDED = 20_000
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[columns].sort_values(columns).to_numpy().astype(int).tolist()
-        r = lattice_certificate(rows[: 4 * len(columns)])
-        if r["status"] != "certified" and len(rows) > 4 * len(columns):
-            r = lattice_certificate(rows)
-        mod3 = rank_mod([list(x) for x in sorted({tuple(v % 3 for v in row) for row in rows})])
-        out = (key[0], len(columns), len(rows), r["status"], r["rank"], mod3, math.gcd(*r["pivots"]) if r["pivots"] else 0)
-        return pd.DataFrame([out], columns=[track_col, "n_columns", "n_rows", "status", "rank", "rank_mod3", "gcd"])
 
-    return wide.groupBy(track_col).applyInPandas(run, f"`{track_col}` string, n_columns int, n_rows long, status string, rank int, rank_mod3 int, gcd long")
+def lattice_tracks(counts: DataFrame, track_col: str, columns: list[str]) -> DataFrame:
+    """Rows (track, columns, rows, status, reason, rank, rank modulo 3, gcd, support, verified) for count vectors (track, line,
+    unit, n), one certificate for each track.
+
+    Distinct rows are folded in buckets first; a bucket leaves the rows of which its lattice is made, and those of which its
+    space modulo 3 is, a few for each column. A track's task folds what its buckets left, whose lattice is the same.
+    """
+    ship(counts.sparkSession)
+    wide = counts.groupBy(track_col, "line").pivot("unit", columns).sum("n").na.fill(0).drop("line").distinct()
+    wide = spool(wide.select(track_col, F.array(*[F.col(f"`{c}`").cast("long") for c in columns]).alias("row")), "rows")
+    buckets = max(1, -(-wide.count() // FOLDED))
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(list(map(int, r)) for r in pdf["row"])
+        lattice, kept = Lattice(len(columns)), []
+        for k, row in enumerate(rows):
+            lattice.add(row, k)
+        # a lattice that grew beyond the limit is passed on whole, for its track to say so
+        kept = rows if lattice.reason else [rows[k] for k in lattice.support()]
+        out = [(key[0], r, len(rows) if not k else 0) for k, r in enumerate(kept)] or [(key[0], rows[0], len(rows))]
+        out += [(key[0], r, 0) for r in independent_rows(rows, 3)]
+        return pd.DataFrame(out, columns=[track_col, "row", "n"])
+
+    def certify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted({tuple(map(int, r)) for r in pdf["row"]})
+        rows = [list(r) for r in rows]
+        r = lattice_certificate(rows)
+        good = r["status"] == "certified" and verify_lattice(rows, r)
+        out = (key[0], len(columns), int(pdf["n"].sum()), r["status"], r["reason"], r["rank"], rank_mod(rows), math.gcd(*r["pivots"]) if r["pivots"] else 0, len(r["support"]), good)
+        return pd.DataFrame([out], columns=[track_col, "n_columns", "n_rows", "status", "reason", "rank", "rank_mod3", "gcd", "support", "verified"])
+
+    part = wide.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets))).groupBy(track_col, "bucket").applyInPandas(fold, f"`{track_col}` string, row array<long>, n long")
+    return part.groupBy(track_col).applyInPandas(certify, f"`{track_col}` string, n_columns int, n_rows long, status string, reason string, rank int, rank_mod3 int, gcd long, support int, verified boolean")
+
+
+def independent_rows(rows: list[list[int]], p: int) -> list[list[int]]:
+    """Rows of which the space modulo a prime is made, the first that are independent."""
+    basis: dict[int, list[int]] = {}
+    out = []
+    for row in rows:
+        x = [v % p for v in row]
+        for c in range(len(x)):
+            if not x[c]:
+                continue
+            if c not in basis:
+                inv = pow(x[c], -1, p)
+                basis[c] = [v * inv % p for v in x]
+                out.append(row)
+                break
+            q = x[c]
+            x = [(a - q * b) % p for a, b in zip(x, basis[c])]
+    return out
 
 
 def rank_mod(rows: list[list[int]], p: int = 3) -> int:
     """Rank of integer rows modulo a prime."""
-    work, rank = [[x % p for x in r] for r in rows], 0
-    for c in range(len(work[0]) if work else 0):
-        k = next((i for i in range(rank, len(work)) if work[i][c]), None)
-        if k is None:
-            continue
-        work[rank], work[k] = work[k], work[rank]
-        inv = pow(work[rank][c], -1, p)
-        work[rank] = [x * inv % p for x in work[rank]]
-        for i in range(len(work)):
-            if i != rank and (q := work[i][c]):
-                work[i] = [(x - q * y) % p for x, y in zip(work[i], work[rank])]
-        rank += 1
-    return rank
+    return len(independent_rows(rows, p))

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import random
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# States, tables with their cards in a deck of 52, letters, letters of other alphabets.
+from lociflow.runtime import ship
+
+# States, tables with their cards in decks of 78 and 52, letters, letters of other alphabets.
 STATES = ("unigram", "prefix", "suffix")
 TABLES = ("alpha", "beta1", "beta2", "beta3", "gamma1", "gamma2")
+DECK_78 = {"alpha": 28, "beta1": 14, "beta2": 11, "beta3": 11, "gamma1": 7, "gamma2": 7}
 DECK = {"alpha": 20, "beta1": 8, "beta2": 8, "beta3": 8, "gamma1": 4, "gamma2": 4}
 LETTERS = "abcdefghilmnopqrstuvxyz"
 _OTHER = {"æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ł": "l", "ß": "ss", "ø": "o"}
@@ -27,13 +32,11 @@ def plain_letters(text: str) -> str:
 
 
 def respaced(text: str, rng: random.Random, one: float = 17 / 36) -> list[str]:
-    """The text in units of one letter (with the chance `one`) or two."""
-    out, i = [], 0
-    while i < len(text):
-        n = 1 if i == len(text) - 1 or rng.random() < one else 2
-        out.append(text[i : i + n])
-        i += n
-    return out
+    """The text in units of one letter (with the chance `one`) or two; the last letter may be left alone."""
+    ends = [0]
+    while ends[-1] < len(text):
+        ends.append(min(len(text), ends[-1] + (1 if ends[-1] == len(text) - 1 or rng.random() < one else 2)))
+    return [text[a:b] for a, b in pairwise(ends)]
 
 
 def rule_book(spark: SparkSession) -> DataFrame:
@@ -74,10 +77,56 @@ def ambiguity(reads: DataFrame) -> DataFrame:
     return g.select("w", "n_readings", "n_plain", (F.col("n_plain") > 1).alias("plain_ambiguous"), (F.col("n_readings") > F.col("n_plain")).alias("table_ambiguous"))
 
 
-def encrypt(df: DataFrame, id_col: str, text_col: str, book: DataFrame, seed: int = 408) -> DataFrame:
-    """Rows (id, place, token, plain): each text in units of one or two letters, tables dealt from a deck without
-    replacement, which is new for each text. The stream of chances depends on the seed and the id alone."""
+def refused(codes: dict[tuple[str, str, str], str], policy: str) -> set[str]:
+    """Tokens of two letters that a policy refuses: 'unigram' those that are also a code of one letter, 'full' also those that
+    more than one pair of codes spells, 'none' none."""
+    if policy == "none":
+        return set()
+    out = {g for (s, _, _), g in codes.items() if s == "unigram"}
+    if policy == "full":
+        parts = [[g for (s, _, _), g in codes.items() if s == state] for state in ("prefix", "suffix")]
+        out |= {token for token, n in Counter(a + b for a in parts[0] for b in parts[1]).items() if n > 1}
+    return out
+
+
+def encrypt_text(text: str, codes: dict[tuple[str, str, str], str], rng: random.Random, deck: dict[str, int] = DECK, not_these: set[str] = frozenset(), retries: int = 10_000) -> list[tuple[str, str, str]]:
+    """Tokens (token, plain, tables) of a text: units of one or two letters, tables dealt from a shuffled deck without
+    replacement, a new one when it is used up. A token of two letters that is among `not_these` is dealt again."""
+    hand: list[str] = []
+
+    def deal() -> str:
+        if not hand:
+            hand.extend(t for t, n in deck.items() for _ in range(n))
+            rng.shuffle(hand)
+        return hand.pop()
+
+    out = []
+    for unit in respaced(text, rng):
+        if len(unit) == 1:
+            t = deal()
+            out.append((codes["unigram", t, unit], unit, t))
+            continue
+        for _ in range(retries):
+            a, b = deal(), deal()
+            token = codes["prefix", a, unit[0]] + codes["suffix", b, unit[1]]
+            if token not in not_these:
+                out.append((token, unit, f"{a} {b}"))
+                break
+        else:
+            raise ValueError(f"no allowed token for {unit!r} in {retries} deals")
+    return out
+
+
+def encrypt(df: DataFrame, id_col: str, text_col: str, book: DataFrame, seed: int = 408, deck: dict[str, int] = DECK, policy: str = "none", retries: int = 10_000) -> DataFrame:
+    """Rows (id, place, token, plain, tables): each text by encrypt_text() with a deck of its own. The stream of chances
+    depends on the seed and the id alone. Null and empty texts give none; letters that the book lacks are left out."""
+    if policy not in ("none", "unigram", "full"):
+        raise ValueError("policy is 'none', 'unigram' or 'full'")
+    if set(deck) != set(TABLES) or min(deck.values()) < 1:
+        raise ValueError("a deck has cards of every table")
+    ship(df.sparkSession)
     codes = {(r.state, r.tbl, r.letter): r.glyphs for r in book.collect()}  # 414 rows
+    bad = refused(codes, policy)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
@@ -85,17 +134,9 @@ def encrypt(df: DataFrame, id_col: str, text_col: str, book: DataFrame, seed: in
         for frame in frames:
             rows = []
             for id_, text in zip(frame["id"], frame["text"]):
-                rng, deck = random.Random(f"{seed}:{id_}"), []
                 letters = "".join(c for c in plain_letters(text or "") if c in LETTERS)
-                for place, unit in enumerate(respaced(letters, rng)):
-                    drawn = []
-                    for _ in unit:
-                        if not deck:
-                            deck = [t for t, n in DECK.items() for _ in range(n)]
-                            rng.shuffle(deck)
-                        drawn.append(deck.pop())
-                    names = ("unigram",) if len(unit) == 1 else ("prefix", "suffix")
-                    rows.append((id_, place, "".join(codes[s, t, x] for s, t, x in zip(names, drawn, unit)), unit))
-            yield pd.DataFrame(rows, columns=[id_col, "place", "token", "plain"])
-
-    return source.mapInPandas(run, f"`{id_col}` {kind}, place int, token string, plain string")
+                made = encrypt_text(letters, codes, random.Random(f"{seed}:{id_}"), deck, bad, retries)
+                rows += [(id_, place, *token) for place, token in enumerate(made)]
+            yield pd.DataFrame(rows, columns=[id_col, "place", "token", "plain", "tables"])
+
+    return source.mapInPandas(run, f"`{id_col}` {kind}, place int, token string, plain string, tables string")

@@ -68,9 +68,18 @@ def ivtff_lexer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_lattice(spark: SparkSession, d: str) -> DataFrame:
-    """Integer lattices of the unit counts of lines, by language and illustration class."""
-    body = "SELECT coalesce(r.il, '?') || coalesce(r.ll, '?') AS track, cast(v.locus_id AS STRING) AS line, v.u AS unit, count(*) AS n FROM {visual} v JOIN {recs} r ON v.locus_id = r.locus_id WHERE v.split = 'train' GROUP BY 1, 2, 3"
-    return graphs.lattice_tracks(query(body)(spark, d), "track", ["o", "a", "e", "y", "d", "l", "ch", "sh"])
+    """Integer lattices of the lines of the train split, by language and illustration class: counts of the visual units,
+    spaces between words, and one for the line."""
+    body = """WITH k AS (SELECT locus_id, coalesce(il, '?') || coalesce(ll, '?') AS track, nw FROM {recs} WHERE split = 'train' AND nw > 0)
+SELECT k.track, cast(v.locus_id AS STRING) AS line, v.u AS unit, count(*) AS n FROM {visual} v JOIN k ON v.locus_id = k.locus_id GROUP BY k.track, v.locus_id, v.u
+UNION ALL SELECT track, cast(locus_id AS STRING), ' ', nw - 1 FROM k UNION ALL SELECT track, cast(locus_id AS STRING), '|', 1 FROM k"""
+    return graphs.lattice_tracks(query(body)(spark, d), "track", [*statistics.COMMON_UNITS, " ", "|"])
+
+
+def word_lattice(spark: SparkSession, d: str) -> DataFrame:
+    """The same for words instead of lines: counts of letters by place modulo 3, by language."""
+    body = "SELECT coalesce(split, '?') AS track, w AS line, cast(cp % 3 AS STRING) || ch AS unit, count(*) AS n FROM {tchars} WHERE ch IN ('o', 'a', 'e', 'y', 'd', 'l', 'k', 'r') GROUP BY coalesce(split, '?'), w, cast(cp % 3 AS STRING) || ch"
+    return graphs.lattice_tracks(query(body)(spark, d), "track", [f"{k}{c}" for k in range(3) for c in "oaeydlkr"])
 
 
 def table_readings(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +106,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p6_found, p6_nodes, p6_cases, p6_checks, p6_sources, p6_tracks, p6_regions, p6_batches, p6_children, p6_list_values, ivtff_lexer, line_lattice, table_readings,
+        p6_found, p6_nodes, p6_cases, p6_checks, p6_sources, p6_tracks, p6_regions, p6_batches, p6_children, p6_list_values, ivtff_lexer, line_lattice, word_lattice, table_readings,
         stream_bigrams, stream_windows,
     )
 }

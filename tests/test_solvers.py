@@ -214,4 +214,34 @@ def test_lattice(spark):
     assert graphs.lattice_certificate([])["reason"] == "empty"
     df = spark.createDataFrame([("t", "1", "a", 1), ("t", "2", "b", 1), ("t", "2", "a", 3)], "track string, line string, unit string, n long")
     row = graphs.lattice_tracks(df, "track", ["a", "b"]).first()
-    assert (row.status, row["rank"], row.n_rows) == ("certified", 2, 2)
+    assert (row.status, row["rank"], row.n_rows, row.verified) == ("certified", 2, 2, True)
+
+
+def test_lattice_in_buckets(spark, monkeypatch):
+    rng = random.Random(6)
+    data, tracks = [], {}
+    for t in "uvw":
+        tracks[t] = [[rng.randrange(5) * (2 if t == "v" else 1) for _ in range(4)] for _ in range(60)]
+        data += [(t, str(k), c, v) for k, r in enumerate(tracks[t]) for c, v in zip("abcd", r)]
+    df = spark.createDataFrame(data, "track string, line string, unit string, n long")
+    monkeypatch.setattr(graphs, "FOLDED", 15)
+    got = {r.track: r for r in graphs.lattice_tracks(df, "track", list("abcd")).collect()}
+    for t, rows in tracks.items():
+        one = graphs.lattice_certificate(sorted(rows))
+        assert (got[t].status, got[t]["rank"], got[t].rank_mod3) == (one["status"], one["rank"], graphs.rank_mod(rows, 3)) and got[t].n_rows == len({tuple(r) for r in rows})
+        assert got[t].support < 30
+    assert got["v"].status == "not_certified" and got["v"].gcd % 2 == 0
+
+
+def test_lattice_against_determinants():
+    # three columns: the lattice is whole if and only if the 3 x 3 minors have no common divisor
+    from itertools import combinations
+    from math import gcd
+
+    rng = random.Random(7)
+    for _ in range(200):
+        rows = [[rng.randrange(-3, 4) for _ in range(3)] for _ in range(rng.randrange(3, 6))]
+        det = lambda a, b, c: a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+        r = graphs.lattice_certificate(rows)
+        assert (r["status"] == "certified") == (gcd(*[det(*x) for x in combinations(rows, 3)]) == 1)
+        assert len(graphs.independent_rows(rows, 3)) == graphs.rank_mod(rows, 3) <= 3

@@ -198,6 +198,18 @@ def test_table_cipher_round_trip(spark, tmp_path):
     assert "".join(r.plain for r in rows) == "aegrisomniauuaescing" and {r.id for r in rows} == {1}
     reads = {(r.w, r.plain) for r in tablecipher.readings(tokens.withColumnRenamed("token", "w"), book).collect()}
     assert all((r.token, r.plain) in reads for r in rows)
+    again = tablecipher.encrypt(df, "id", "text", book, deck=tablecipher.DECK_78, policy="full").orderBy("place").collect()
+    assert "".join(r.plain for r in again) == "aegrisomniauuaescing"
+    import random
+
+    codes = {(s, t, x): g for s, g in (("unigram", "ab"), ("prefix", "a"), ("suffix", "b")) for t in tablecipher.TABLES for x in "xy"}
+    codes |= {("prefix", "gamma1", x): "p" + x for x in "xy"}
+    bad = tablecipher.refused(codes, "unigram")
+    assert bad == {"ab"} and "ab" in tablecipher.refused(codes, "full") and tablecipher.refused(codes, "none") == set()
+    made = tablecipher.encrypt_text("xy" * 60, codes, random.Random(1), tablecipher.DECK, bad)
+    assert "".join(p for _, p, _ in made) == "xy" * 60 and all(t.startswith("p") for t, p, _ in made if len(p) == 2)
+    with pytest.raises(ValueError):
+        tablecipher.encrypt_text("xy" * 60, codes, random.Random(1), tablecipher.DECK, {"ab", "pxb", "pyb"}, 50)
     csv = tmp_path / "book.csv"
     csv.write_text("code,glyphs\n" + "".join(f"{r.state}_{r.tbl}_{r.letter},{r.glyphs}\n" for r in book.collect()))
     assert tablecipher.read_book(spark, str(csv)).count() == 414
