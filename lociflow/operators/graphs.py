@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.operators.views import VISUAL
 from lociflow.runtime import ship, spool
 
 
@@ -59,6 +63,66 @@ def quotient(edges: list[tuple[str, str]], budget: int = 100_000) -> list[tuple[
     return sorted(of.items())
 
 
+#: The visual units, single letters and compounds; fixed values.
+UNITS = [*"abcdefghijklmnopqrstuvwxyz", "cth", "ckh", "cph", "cfh", "ch", "sh"]
+
+
+def unit_turns(df: DataFrame, part_col: str, words_col: str) -> DataFrame:
+    """Rows (a, b, parts, turns, a_first, b_first) for pairs of units a < b: in how many parts either stands, in how many
+    they take turns with counts that differ by one at most, and which of the two comes first.
+
+    The rows of a part must lie together and in order; a part's state is a few numbers for each unit and pair, however
+    many rows it has, and a task leaves a row for each pair. A unit that occurs nowhere has no pair.
+    """
+    ship(df.sparkSession)
+    number, cut, n = {u: k for k, u in enumerate(UNITS)}, re.compile(VISUAL), len(UNITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, n, n), np.int64)
+        memo: dict[str, list[int]] = {}
+        part, at, open_ = None, 0, False
+
+        def close() -> None:
+            nonlocal open_
+            if open_:
+                seen = count > 0
+                either = seen[:, None] | seen[None, :]
+                total[0] += either
+                total[1] += either & ~(twice | twice.T) & (np.abs(count[:, None] - count[None, :]) <= 1)
+                total[2] += either & (first[:, None] < first[None, :])
+                total[3] += either & (first[:, None] > first[None, :])
+            open_ = False
+
+        for b in batches:
+            for key, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not open_ or key != part:
+                    close()
+                    part, at, open_ = key, 0, True
+                    count, last, first = np.zeros(n, np.int64), np.full(n, -1), np.full(n, 1 << 60)
+                    twice = np.zeros((n, n), bool)
+                for w in words or ():
+                    if w not in memo:
+                        if len(memo) > 200_000:
+                            memo.clear()
+                        memo[w] = [number[u] for u in cut.findall(w)]
+                    for u in memo[w]:
+                        if count[u]:
+                            twice[u] |= last < last[u]
+                        else:
+                            first[u] = at
+                        last[u] = at
+                        count[u] += 1
+                        at += 1
+        close()
+        i, j = np.nonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array([UNITS[k] for k in i]), pa.array([UNITS[k] for k in j]), *[pa.array(t[i, j]) for t in total]], ["a", "b", "parts", "turns", "a_first", "b_first"])
+
+    rows = df.select(part_col, words_col).mapInArrow(run, "a string, b string, parts long, turns long, a_first long, b_first long")
+    whole = rows.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("parts", "turns", "a_first", "b_first")])
+    alone = whole.where("a = b").select(F.col("a").alias("u"))  # the units that occur
+    return whole.where("a < b").join(F.broadcast(alone.toDF("a")), "a").join(F.broadcast(alone.toDF("b")), "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) with the smallest unit of their connected part as `grp`. Units are those of an alphabet, so the graph is
     small whatever the corpus; its edges are gathered once counted."""

@@ -196,3 +196,31 @@ BODIES["focus_rows"] = f"""
 WITH {_SIDES}, page AS (SELECT folio, volume_id FROM l GROUP BY folio, volume_id ORDER BY count(*) DESC, volume_id, folio LIMIT 1)
 SELECT k.idx, max(k.lid) AS left_id, max(k.rid) AS right_id FROM (SELECT l.volume_id, l.folio, l.idx, l.id AS lid, NULL AS rid FROM l UNION ALL SELECT r.volume_id, r.folio, r.idx, NULL, r.id FROM r) k
 JOIN page p ON k.volume_id = p.volume_id AND k.folio = p.folio GROUP BY k.idx"""
+
+# words outside of the groups in which they were found; first reason that applies
+_OUTSIDE = """f AS (SELECT folio, grp, max(il) AS il, max(ql) AS ql, cast(sum(nw) AS BIGINT) AS nw FROM {recs} WHERE folio IS NOT NULL AND grp IS NOT NULL GROUP BY folio, grp),
+disc AS (SELECT DISTINCT grp FROM {tok} WHERE w = 'ytaiyteeg' AND grp IS NOT NULL), hit AS (SELECT r.folio, r.grp, count(*) AS n FROM {tok} t JOIN {recs} r ON t.locus_id = r.locus_id WHERE t.w = 'maidy' GROUP BY r.folio, r.grp),
+r AS (SELECT f.*, CASE WHEN disc.grp IS NOT NULL THEN 'discovery_group' WHEN f.il IS NULL THEN 'missing_metadata' WHEN f.il <> 'H' THEN 'nonherbal' WHEN f.nw = 0 THEN 'missing_text' ELSE 'kept' END AS reason FROM f LEFT JOIN disc ON f.grp = disc.grp)"""
+
+BODIES["elig_blue"] = f"WITH {_OUTSIDE} SELECT reason, count(*) AS folios, count(DISTINCT grp) AS groups, cast(sum(nw) AS BIGINT) AS tokens FROM r GROUP BY reason"
+
+BODIES["blue_words"] = f"""
+WITH {_OUTSIDE} SELECT CASE WHEN r.ql IS NULL THEN 'no_tag' ELSE 'tag' END AS category, count(*) AS folios, count(DISTINCT r.grp) AS groups, cast(sum(r.nw) AS BIGINT) AS tokens, cast(sum(coalesce(hit.n, 0)) AS BIGINT) AS hits,
+  count(hit.n) AS folios_with_hits FROM r LEFT JOIN hit ON r.folio = hit.folio AND r.grp = hit.grp WHERE r.reason = 'kept' GROUP BY CASE WHEN r.ql IS NULL THEN 'no_tag' ELSE 'tag' END"""
+
+BODIES["key_intersect"] = f"WITH {_SIDES} SELECT volume_id, folio, idx FROM l INTERSECT SELECT volume_id, folio, idx FROM r"
+BODIES["key_except"] = f"WITH {_SIDES} SELECT 'left' AS side, volume_id, folio, idx FROM (SELECT volume_id, folio, idx FROM l EXCEPT SELECT volume_id, folio, idx FROM r) UNION ALL SELECT 'right', volume_id, folio, idx FROM (SELECT volume_id, folio, idx FROM r EXCEPT SELECT volume_id, folio, idx FROM l)"
+
+BODIES["union_sources"] = """
+SELECT transcriber, count(*) AS records, cast(sum(nw) AS BIGINT) AS tokens FROM (SELECT transcriber, nw FROM {recs} WHERE transcriber = 'QX' UNION ALL SELECT transcriber, nw FROM {recs} WHERE transcriber = 'MR') GROUP BY transcriber"""
+
+# the nearest words of a lexicon, all that tie
+BODIES["nearest_key"] = """
+WITH q AS (SELECT w FROM (SELECT w, sum(n) AS n FROM {types} WHERE split = 'test' GROUP BY w ORDER BY n DESC, w LIMIT 200)), k AS (SELECT w, n FROM (SELECT w, sum(n) AS n FROM {types} WHERE split = 'train' GROUP BY w ORDER BY n DESC, w LIMIT 1000)),
+x AS (SELECT q.w, k.w AS near, levenshtein(q.w, k.w) AS d FROM q CROSS JOIN k), m AS (SELECT w, min(d) AS d FROM x GROUP BY w)
+SELECT x.w, cast(m.d AS BIGINT) AS distance, count(*) AS ties, min(x.near) AS first_tie FROM x JOIN m ON x.w = m.w AND x.d = m.d GROUP BY x.w, m.d"""
+
+# shifts of cyclic positions: a letter's place plus one shift modulo the alphabet, for each split's most frequent letters
+BODIES["shift_counts"] = """
+WITH l AS (SELECT split, ch, row_number() OVER (PARTITION BY split ORDER BY sum(n) DESC, ch) AS k FROM {tchars} WHERE split IN ('train', 'test') GROUP BY split, ch)
+SELECT (ascii(b.ch) - ascii(a.ch) + 26) % 26 AS shift, count(*) AS n FROM l a JOIN l b ON a.k = b.k WHERE a.split = 'train' AND b.split = 'test' GROUP BY (ascii(b.ch) - ascii(a.ch) + 26) % 26"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.operators import graphs, keysearch, solvers
-from lociflow.plans import statistics
+from lociflow.plans import studies
 from lociflow.plans.shared import Relations, query
 from lociflow.runtime import spool
 
@@ -231,7 +231,7 @@ def optimal_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _visual_edges(spark: SparkSession, d: str) -> DataFrame:
-    return query(statistics.BODIES["alternation"])(spark, d).where("alternating * 2 > n_lines").select("a", "b")
+    return studies.alternation(spark, d).where("alternating * 2 > n_lines").select("a", "b")
 
 
 def cyclic_matchings(spark: SparkSession, d: str) -> DataFrame:

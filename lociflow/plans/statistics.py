@@ -191,23 +191,6 @@ WITH {STREAM_POSITIONS} SELECT split, count(*) AS blocks, count(*) FILTER (WHERE
 BODIES["cum_width"] = """
 SELECT width, count(*) AS n FROM (SELECT cast(sum(length(w) + 1) OVER (PARTITION BY locus_id ORDER BY wp) AS BIGINT) AS width FROM {tok}) GROUP BY width"""
 
-BODIES["alternation"] = """
-WITH pairs AS (SELECT a.u AS a, b.u AS b FROM (SELECT DISTINCT u FROM {visual}) a JOIN (SELECT DISTINCT u FROM {visual}) b ON a.u < b.u),
-of_unit AS (SELECT a AS u, a, b FROM pairs UNION ALL SELECT b, a, b FROM pairs),
-hit AS (SELECT p.a, p.b, v.locus_id, v.wp, v.up, v.u FROM {visual} v JOIN of_unit p ON v.u = p.u),
-runs AS (SELECT a, b, locus_id, u, lag(u) OVER (PARTITION BY a, b, locus_id ORDER BY wp, up) AS prev FROM hit),
-lines AS (SELECT a, b, locus_id, max(CASE WHEN u = prev THEN 1 ELSE 0 END) AS twice, abs(sum(CASE WHEN u = a THEN 1 ELSE -1 END)) AS off FROM runs GROUP BY a, b, locus_id)
-SELECT a, b, count(*) AS n_lines, count(*) FILTER (WHERE twice = 0 AND off <= 1) AS alternating FROM lines GROUP BY a, b"""
-
-BODIES["compat_graph"] = """
-WITH pairs AS (SELECT a.u AS a, b.u AS b FROM (SELECT DISTINCT u FROM {visual}) a JOIN (SELECT DISTINCT u FROM {visual}) b ON a.u < b.u),
-of_unit AS (SELECT a AS u, a, b FROM pairs UNION ALL SELECT b, a, b FROM pairs),
-hit AS (SELECT p.a, p.b, v.grp, v.locus_id, v.wp, v.up, v.u FROM {visual} v JOIN of_unit p ON v.u = p.u WHERE v.grp IS NOT NULL),
-runs AS (SELECT a, b, grp, u, lag(u) OVER (PARTITION BY a, b, grp ORDER BY locus_id, wp, up) AS prev FROM hit),
-parts AS (SELECT a, b, grp, max(CASE WHEN u = prev THEN 1 ELSE 0 END) AS twice, abs(sum(CASE WHEN u = a THEN 1 ELSE -1 END)) AS off, min(CASE WHEN prev IS NULL THEN u END) AS opens FROM runs GROUP BY a, b, grp)
-SELECT a, b, count(*) AS partitions, count(*) FILTER (WHERE twice = 0 AND off <= 1) AS fits, count(DISTINCT opens) AS openers,
-       min(CASE WHEN twice = 0 AND off <= 1 THEN 1 ELSE 0 END) = 1 AND count(DISTINCT opens) = 1 AS edge FROM parts GROUP BY a, b"""
-
 BODIES["sequence_match"] = """
 SELECT a, b, c, d, e, count(*) AS n FROM (SELECT w AS a, lead(w) OVER x AS b, lead(w, 2) OVER x AS c, lead(w, 3) OVER x AS d, lead(w, 4) OVER x AS e FROM {tok} WINDOW x AS (PARTITION BY locus_id ORDER BY wp))
 WHERE e IS NOT NULL GROUP BY a, b, c, d, e"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import text
-from lociflow.operators import resample, spans
+from lociflow.operators import graphs, resample, spans
 from lociflow.operators.resample import ROLES, sql_key
 from lociflow.plans import joins, models
 from lociflow.plans.shared import Relations, oracle, run_body
@@ -295,6 +295,40 @@ def local_repeat_tracks(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def alternation(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (a, b, n_lines, alternating): in how many lines two visual units stand, either or both, and in how many of them
+    they take turns with counts that differ by one at most. Lines are read where they lie."""
+    lines = relation(spark, d, "recs").where("nw > 0").select("locus_id", "words")
+    return graphs.unit_turns(lines, "locus_id", "words").select("a", "b", F.col("parts").alias("n_lines"), F.col("turns").alias("alternating"))
+
+
+def compat_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (a, b, partitions, fits, openers, edge): the same for physical groups; an edge joins units that take turns in
+    every group in which either stands, and of which the same one always comes first."""
+    lines = relation(spark, d, "recs").where("nw > 0 and grp is not null").select("grp", "locus_id", "words")
+    lines = lines.repartition("grp").sortWithinPartitions("grp", "locus_id")
+    turns = graphs.unit_turns(lines, "grp", "words")
+    openers = (F.col("a_first") > 0).cast("long") + (F.col("b_first") > 0).cast("long")
+    return turns.select("a", "b", F.col("parts").alias("partitions"), F.col("turns").alias("fits"), openers.alias("openers"), ((F.col("turns") == F.col("parts")) & (openers == 1)).alias("edge"))
+
+
+_ALTERNATION = """WITH pairs AS (SELECT a.u AS a, b.u AS b FROM (SELECT DISTINCT u FROM {visual}) a JOIN (SELECT DISTINCT u FROM {visual}) b ON a.u < b.u),
+of_unit AS (SELECT a AS u, a, b FROM pairs UNION ALL SELECT b, a, b FROM pairs),
+hit AS (SELECT p.a, p.b, v.locus_id, v.wp, v.up, v.u FROM {visual} v JOIN of_unit p ON v.u = p.u),
+runs AS (SELECT a, b, locus_id, u, lag(u) OVER (PARTITION BY a, b, locus_id ORDER BY wp, up) AS prev FROM hit),
+lines AS (SELECT a, b, locus_id, max(CASE WHEN u = prev THEN 1 ELSE 0 END) AS twice, abs(sum(CASE WHEN u = a THEN 1 ELSE -1 END)) AS off FROM runs GROUP BY a, b, locus_id)
+SELECT a, b, count(*) AS n_lines, count(*) FILTER (WHERE twice = 0 AND off <= 1) AS alternating FROM lines GROUP BY a, b"""
+
+
+_COMPATIBLE = """WITH pairs AS (SELECT a.u AS a, b.u AS b FROM (SELECT DISTINCT u FROM {visual}) a JOIN (SELECT DISTINCT u FROM {visual}) b ON a.u < b.u),
+of_unit AS (SELECT a AS u, a, b FROM pairs UNION ALL SELECT b, a, b FROM pairs),
+hit AS (SELECT p.a, p.b, v.grp, v.locus_id, v.wp, v.up, v.u FROM {visual} v JOIN of_unit p ON v.u = p.u WHERE v.grp IS NOT NULL),
+runs AS (SELECT a, b, grp, u, lag(u) OVER (PARTITION BY a, b, grp ORDER BY locus_id, wp, up) AS prev FROM hit),
+parts AS (SELECT a, b, grp, max(CASE WHEN u = prev THEN 1 ELSE 0 END) AS twice, abs(sum(CASE WHEN u = a THEN 1 ELSE -1 END)) AS off, min(CASE WHEN prev IS NULL THEN u END) AS opens FROM runs GROUP BY a, b, grp)
+SELECT a, b, count(*) AS partitions, count(*) FILTER (WHERE twice = 0 AND off <= 1) AS fits, count(DISTINCT opens) AS openers,
+       min(CASE WHEN twice = 0 AND off <= 1 THEN 1 ELSE 0 END) = 1 AND count(DISTINCT opens) = 1 AS edge FROM parts GROUP BY a, b"""
+
+
 # words of paragraphs
 
 
@@ -389,7 +423,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         agreement_agg, perm_word_order, rank_fraction, holm, null_tail, null_same_length, null_matched, boundary_null_ranks, line_order_perm, cyclic_rotation, likelihood_ratio_cells,
-        strict_spans, project_source, local_repeat_tracks, adapt_paragraphs, normalize_word, conflict_self_join,
+        strict_spans, project_source, local_repeat_tracks, alternation, compat_graph, adapt_paragraphs, normalize_word, conflict_self_join,
     )
 }
 SQL = {
@@ -397,6 +431,8 @@ SQL = {
     "perm_word_order": oracle(f"WITH {_ORDER} SELECT r, pairs, equal, near, gallows, difference FROM stat"),
     "rank_fraction": oracle(f"WITH {_ORDER} SELECT " + ", ".join(f"round(max(p) FILTER (WHERE name = '{c}'), 6) AS p_{c}" for c in ("gallows", "difference", "near", "equal")) + " FROM frac"),
     "holm": oracle(f"WITH {_ORDER}, k AS (SELECT name, p, (5 - row_number() OVER (ORDER BY p, name)) * p AS x FROM frac) SELECT name, round(p, 6) AS p, round(least(1, max(x) OVER (ORDER BY p, name)), 6) AS adjusted FROM k"),
+    "alternation": oracle(_ALTERNATION),
+    "compat_graph": oracle(_COMPATIBLE),
     "null_tail": oracle(_TAIL),
     "null_same_length": oracle(_SAME),
     "null_matched": oracle(_MATCHED),
