@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.runtime import ship
+
 #: Keys are squares and sums modulo this prime.
 PRIME = 2_147_483_647
 #: Numbers of an array that a worker holds at once.
@@ -59,6 +61,7 @@ def replicate_sums(rows: DataFrame, replicates: int, names: list[str], measure:
     returns (order, sums): order(keys) gives the places (rows, replicates, n), sums(order) the values, an array
     (len(names), replicates). A worker leaves one row for each replicate; lists of any length are taken whole.
     """
+    ship(rows.sparkSession)
     schema = "r long, " + ", ".join(f"`{n}` double" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +243,8 @@ def rotations(panels: DataFrame) -> DataFrame:
     convolved. p_upper is the share of the combinations that agree at least as often as the recorded one.
     """
 
+    ship(panels.sparkSession)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             studies, observed, low, shares = b.column(0), [], [], []
