@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.bpe import PIECE, RANKS, Encoder, Vocabulary, encoder_of, slices
+from lociflow.runtime import ship
 
 #: Boundary kinds, the best first, with the penalty of a cut there; the imbalance of a piece costs up to 1.
 KINDS = ("heading", "paragraph", "line", "sentence", "word", "forced")
@@ -23,8 +24,8 @@ _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 
 
 def units(enc: Encoder, text: str) -> tuple[list[str], list[int], list[int]]:
-    """The text cut into pieces of whole pre-tokens with their token counts; a pre-token of many characters is cut
-    further. Last, the numbers of the units that are parts of such a one, of which the counts are estimates."""
+    """The text cut into pieces of whole pre-tokens with their token counts; a pre-token of many characters or tokens is
+    cut further, so that no unit has more than 192 tokens. Last, the numbers of the units that are parts of such a one, of which the counts are estimates."""
     names, sizes, parts = [], [], []
     memo, words = enc.memo, enc.words
     for p in PIECE.findall(text):
@@ -33,14 +34,14 @@ def units(enc: Encoder, text: str) -> tuple[list[str], list[int], list[int]]:
             sizes.append(len(memo[p]))
             continue
         for t in enc.pretokens(p):
-            if len(t) <= 256:
+            if len(t) <= 256 and len(words[t]) <= 128:
                 names.append(t)
                 sizes.append(len(words[t]))
             else:
-                for at in range(0, len(t), 64):
+                for at in range(0, len(t), 32):  # of 128 tokens at most: a token is a byte or more, a character four at most
                     parts.append(len(names))
-                    names.append(t[at : at + 64])
-                    sizes.append(len(enc.word_ids(t[at : at + 64])))
+                    names.append(t[at : at + 32])
+                    sizes.append(len(enc.word_ids(t[at : at + 32])))
     return names, sizes, parts
 
 
@@ -197,6 +198,7 @@ def split_oversized(
     """
     if not 0 <= overlap < limit // 2 or limit < 256:
         raise ValueError("limit must be 256 or more, the overlap less than half of it")
+    ship(df.sparkSession)
     vocabulary = Vocabulary(df.sparkSession, path)
     # a token is a byte at least, so shorter texts needn't go to Python
     source = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.octet_length("__text") > limit)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.runtime import broadcast_if_small, spool
+from lociflow.runtime import broadcast_if_small, ship, spool
 
 #: A pair qualifies with one word edit in so many words of the longer list, and from so many words in each on.
 EDIT_SHARE, LEAST = 8, 6
@@ -128,6 +128,7 @@ def normalised_records(records: DataFrame, files: DataFrame, id_col: str, tokens
     Words are compared after NFKD, case folding and removal of combining marks and outer blanks; words then null or
     empty are dropped. `words` are 64-bit hashes of them, `class` a 128-bit digest of the list.
     """
+    ship(records.sparkSession)
     roles = files.select("file_id", role_of(F.col("split_name")).cast("int").alias("role")).where("role is not null").distinct()
     own = records.where(F.col(id_col).isNotNull()).select("file_id", F.col(id_col).alias("rec"), F.col(tokens_col).alias("tokens"))
     source = own.join(broadcast_if_small(roles, roles.count()), "file_id").select("rec", "role", "tokens")
