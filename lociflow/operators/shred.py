@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.runtime import spool
+from lociflow.runtime import ship, spool
 
 _JSON_BLANKS = " \t\n\r"
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
@@ -97,46 +97,95 @@ def _next_label(text: str, i: int, top: list) -> tuple[int, str | int]:
     return _SPACE.match(text, i + 1).end(), json.loads(raw) if "\\" in raw else raw[1:-1]
 
 
-def nodes(payload: str | None) -> list[tuple]:
+class _Object(list):
+    """The pairs of an object, in order; keys may occur twice."""
+
+
+class _Number(str):
+    """A number as it is written."""
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)  # NaN and Infinity are no JSON
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_Object, parse_float=_Number, parse_int=_Number, parse_constant=_no_constant)
+
+
+def parsed(text: str):
+    """The value of a JSON text: objects as lists of pairs, numbers as written. Nesting deeper than the interpreter allows
+    goes through events(), which knows no depth."""
+    try:
+        return _DECODER.decode(text)
+    except RecursionError:
+        pass
+    except ValueError as error:
+        raise Incomplete from error
+    made: list = []
+    for kind, up, key, scalar in events(text):
+        value = _Object() if kind == "o" else [] if kind == "a" else _Number(scalar) if kind == "n" else scalar == "true" if kind == "b" else scalar
+        if up >= 0:
+            made[up].append((key, value) if type(made[up]) is _Object else value)
+        made.append(value)
+    return made[0]
+
+
+def _read_in_place(text: str):
+    """What a string holds that is itself JSON text of an object or a list; else the string."""
+    if text.lstrip(_JSON_BLANKS)[:1] in ("{", "["):
+        try:
+            return parsed(text)
+        except Incomplete:
+            return text
+    return text
+
+
+def _whole(text: str) -> str:
+    """A text without halves of surrogate pairs, which escapes may spell and no encoding takes."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def nodes(payload: str | None, objects_only: bool = False) -> list[tuple]:
     """Adjacency rows (node, parent, owner, label, ordinal, kind, scalar, path, entity) of a payload.
 
-    node numbers count from 0, the whole payload, in document order; parent is the node around it and owner the nearest
+    node numbers rise from 0, the whole payload, in document order; parent is the node around it and owner the nearest
     object around it, -1 for none. A key gives a label, a list position an ordinal. path joins keys and
     positions by '/'; entity is the path without positions. A string that is itself JSON text of an object or a list is
-    read in place, under its own path. A null payload, or one that is not complete JSON, has none.
+    read in place, under its own path. A null payload, or one that is not complete JSON, has none. With `objects_only`
+    other nodes are passed through, but leave no row; the numbers then differ from those of a full shredding.
     """
     if payload is None:
         return []
     try:
-        todo = [(events(payload), -1, -1, "", "", None)]
+        value = parsed(payload)
     except Incomplete:
         return []
     out: list[tuple] = []
-    while todo:
-        tree, parent, owner, path, entity, at = todo.pop()
-        known: list[tuple[int, int, str, str]] = []  # number, owner for what is inside, path, entity
-        for kind, up, key, scalar in tree:
-            if up < 0:
-                p, own, here, ent, label = parent, owner, path, entity, at
-            else:
-                p, own, base, ent = known[up]
-                here = f"{base}/{key}" if base else str(key)
-                if isinstance(key, str):
-                    ent = f"{ent}/{key}" if ent else key
-                label = key
-            if kind == "s" and scalar.lstrip(_JSON_BLANKS)[:1] in ("{", "["):
-                try:
-                    inside = events(scalar)
-                except Incomplete:
-                    inside = None
-                if inside is not None:
-                    known.append((-1, -1, here, ent))
-                    todo.append((inside, p, own, here, ent, label))
+    number = -1
+    stack = [(value, -1, -1, None, None, "", "")]
+    while stack:
+        v, parent, owner, label, place, path, entity = stack.pop()
+        number += 1
+        if type(v) is str:
+            v = _read_in_place(v)
+        t = type(v)
+        if t is _Object:
+            out.append((number, parent, owner, label, place, "o", None, path, entity))
+            below = []
+            for k, c in v:
+                if objects_only and type(c) not in (_Object, list) and (type(c) is not str or c.lstrip(_JSON_BLANKS)[:1] not in ("{", "[")):
                     continue
-            number = len(out)
-            name, place = (label, None) if isinstance(label, str) else (None, label)
-            out.append((number, p, own, name, place, kind, scalar, here, ent))
-            known.append((number, number if kind == "o" else own, here, ent))
+                k = _whole(k)
+                below.append((c, number, number, k, None, f"{path}/{k}" if path else k, f"{entity}/{k}" if entity else k))
+            stack += reversed(below)
+        elif t is list:
+            if not objects_only:
+                out.append((number, parent, owner, label, place, "a", None, path, entity))
+            stack += reversed([(c, number, owner, None, k, f"{path}/{k}" if path else str(k), entity) for k, c in enumerate(v)])
+        elif not objects_only:
+            kind = "n" if t is _Number else "s" if t is str else "b" if t is bool else "z"
+            scalar = None if v is None else ("true" if v else "false") if t is bool else _whole(v)
+            out.append((number, parent, owner, label, place, kind, scalar, path, entity))
     return out
 
 
@@ -145,11 +194,12 @@ _FIELDS = pa.schema(
 )
 
 
-def adjacency(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+def adjacency(df: DataFrame, id_col: str, payload_col: str, objects_only: bool = False) -> DataFrame:
     """Rows (id, node, parent, owner, label, ordinal, kind, scalar, path, entity): the nodes of each payload, see nodes().
 
     A payload is parsed in its own row, no shuffle; a row given twice comes out twice. Only two columns are read.
     """
+    ship(df.sparkSession)
     source = df.select(F.col(id_col).alias("__id"), F.col(payload_col).alias("__payload"))
     id_type = source.schema["__id"].dataType.simpleString()
 
@@ -159,7 +209,7 @@ def adjacency(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
                 b = batch.slice(start, 256)
                 at, rows = [], []
                 for i, payload in enumerate(b.column(1).to_pylist()):
-                    found = nodes(payload)
+                    found = nodes(payload, objects_only)
                     at += [i] * len(found)
                     rows += found
                 cols = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FIELDS)]
@@ -175,7 +225,7 @@ def object_links(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
 
     Objects join their owners in the adjacency table. Repeated rows are made one before the join.
     """
-    objects = adjacency(df, id_col, payload_col).where("kind = 'o'").select(id_col, "node", "owner", "path")
+    objects = adjacency(df, id_col, payload_col, objects_only=True).select(id_col, "node", "owner", "path")
     objects = spool(objects.dropDuplicates([id_col, "node", "path"]), "objects")  # both sides of the join: parsed once
     owners = objects.select(F.col(id_col).alias("__i"), F.col("node").alias("__n"), F.col("path").alias("__p"))
     joined = objects.join(owners, (objects[id_col] == owners["__i"]) & (objects["owner"] == owners["__n"]), "left")
@@ -232,6 +282,11 @@ def entity_pivot(adj: DataFrame, id_col: str, at: Column, first: tuple[str, ...]
     return rows.groupBy(id_col, key.alias("__key")).agg(of_object("node"), *[of_object(c) for c in ("owner", "path", "entity")], *picks).where("node is not null").drop("__key")
 
 
+def values(adj: DataFrame, id_col: str) -> DataFrame:
+    """Rows (id, node_path, kind, scalar), each once: all scalars and nulls of a payload by their place."""
+    return adj.where(F.col("kind").isin("s", "n", "b", "z")).select(id_col, F.col("path").alias("node_path"), "kind", "scalar").distinct()
+
+
 def list_values(adj: DataFrame, id_col: str) -> DataFrame:
     """Rows (id, node, parent, owner, ordinal, kind, scalar, path, entity), each once: the scalars that stand in lists."""
     return adj.where(F.col("ordinal").isNotNull() & F.col("kind").isin("s", "n", "b", "z")).select(id_col, "node", "parent", "owner", "ordinal", "kind", "scalar", "path", "entity").distinct()

@@ -56,6 +56,10 @@ def p6_children(spark: SparkSession, d: str) -> DataFrame:
     return shred.entity_pivot(adj, "receipt_id", ~F.col("entity").rlike("|".join(ENTITIES.values())))
 
 
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    return shred.values(shred.adjacency(table(spark, d, "receipts"), "receipt_id", "payload"), "receipt_id")
+
+
 def p6_list_values(spark: SparkSession, d: str) -> DataFrame:
     return shred.list_values(shred.adjacency(table(spark, d, "receipts"), "receipt_id", "payload"), "receipt_id")
 
@@ -106,11 +110,21 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p6_found, p6_nodes, p6_cases, p6_checks, p6_sources, p6_tracks, p6_regions, p6_batches, p6_children, p6_list_values, ivtff_lexer, line_lattice, word_lattice, table_readings,
+        p6_found, p6_nodes, p6_cases, p6_checks, p6_sources, p6_tracks, p6_regions, p6_batches, p6_children, p6_values, p6_list_values, ivtff_lexer, line_lattice, word_lattice, table_readings,
         stream_bigrams, stream_windows,
     )
 }
+# Nodes by recursion from the whole payload; a string that is JSON text of an object or a list takes its place.
+_IN_PLACE = "CASE WHEN json_type({v}) = 'VARCHAR' AND ltrim({v} ->> '$', chr(9) || chr(10) || chr(13) || ' ')[1] IN (chr(123), '[') AND json_valid({v} ->> '$') THEN ({v} ->> '$')::JSON ELSE {v} END"
+_TREE = f"""WITH RECURSIVE n(receipt_id, path, owner, v, top) AS (
+  SELECT receipt_id, '', '', {_IN_PLACE.replace('{v}', 'p')}, true FROM (SELECT DISTINCT receipt_id, payload::JSON AS p FROM receipts WHERE json_valid(payload))
+  UNION ALL SELECT receipt_id, path, owner, {_IN_PLACE.replace('{v}', 'w')}, false FROM (
+    SELECT n.receipt_id, CASE WHEN n.path = '' THEN e.key ELSE n.path || '/' || e.key END AS path, CASE WHEN json_type(n.v) = 'OBJECT' THEN n.path ELSE n.owner END AS owner, e.value::JSON AS w
+    FROM n, LATERAL json_each(n.v) e WHERE json_type(n.v) IN ('OBJECT', 'ARRAY')))"""
 SQL: dict[str, str] = {
+    "p6_found": f"{_TREE} SELECT DISTINCT receipt_id, owner AS parent_path, path AS node_path FROM n WHERE json_type(v) = 'OBJECT' AND NOT top",
+    "p6_values": f"""{_TREE} SELECT DISTINCT receipt_id, path AS node_path, CASE json_type(v) WHEN 'VARCHAR' THEN 's' WHEN 'BOOLEAN' THEN 'b' WHEN 'NULL' THEN 'z' ELSE 'n' END AS kind,
+  CASE WHEN json_type(v) <> 'NULL' THEN v ->> '$' END AS scalar FROM n WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')""",
     "ivtff_lexer": r"""
 WITH once AS (SELECT DISTINCT ON (locus_id) locus_id, text_raw FROM loci),
 a AS (SELECT *, regexp_replace(text_raw, '<[%$]>|<![^>]*>|<@[A-Z]=[A-Za-z0-9@]>|\\s+', '', 'g') AS x FROM once),
