@@ -291,3 +291,41 @@ def cell_log_ratio(last: list[str], first: list[str], chance: Callable[[str, str
     arrangements = math.factorial(len(last)) // math.prod(math.factorial(n) for n in left.values())
     seen = math.prod(chance(x, y) for x, y in zip(last, first))
     return math.log2(seen) - math.log2(states[tuple(0 for _ in names)]) + math.log2(arrangements)
+
+
+def memory_loss(width: int, lam: float, same_length: bool = False) -> Callable:
+    """Measure of lines, each word as `word <tab> known <tab> p0 <tab> norm <tab>`: bits of the words after the first under
+    the edit kernel of the `width` words before, mixed with p0 by `lam`. Sums: targets, bits, lines that changed."""
+
+    def measure(lines: list[list[str]]) -> tuple[Callable, Callable]:
+        n = len(lines[0])
+        parts = [[x.split("\t") for x in line] for line in lines]
+        p0 = np.array([[float(x[2]) for x in line] for line in parts])
+        kernel = np.empty((len(lines), n, n))  # of context i for target j
+        for k, line in enumerate(parts):
+            for i, c in enumerate(line):
+                for j, t in enumerate(line):
+                    if not c[3]:
+                        kernel[k, i, j] = p0[k, j]
+                    else:
+                        near = t[1] == "1" and t[0] != c[0] and within_one(t[0], c[0])
+                        kernel[k, i, j] = p0[k, j] / float(c[3]) if near else 0.0
+        names = np.array([[hash(x[0]) for x in line] for line in parts])
+        groups = None
+        if same_length:
+            groups = np.array([[len(x[0]) for x in line] for line in parts])
+            groups[:, 0] = 0
+
+        def sums(p: np.ndarray) -> np.ndarray:
+            bits = np.zeros(p.shape[1])
+            for t in range(1, n):
+                low = max(0, t - width)
+                mean = sum(_gather(kernel, p[:, :, i : i + 1], p[:, :, t : t + 1])[:, :, 0] for i in range(low, t)) / (t - low)
+                own = np.take_along_axis(p0, p[:, :, t], axis=1)
+                bits -= np.log2((1 - lam) * own + lam * mean).sum(axis=0)
+            moved = (np.take_along_axis(names[:, None, :], p, axis=2) != names[:, None, :]).any(axis=2).sum(axis=0)
+            return np.stack([np.full(p.shape[1], float(len(lines) * (n - 1))), bits, moved.astype(float)])
+
+        return (lambda k: orders(k, True, groups)), sums
+
+    return measure

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.operators import graphs, shred, tablecipher
-from lociflow.plans import joins, models, searches, shared, statistics, studies
+from lociflow.plans import composites, joins, models, searches, shared, statistics, studies
 from lociflow.plans.shared import oracle, query
 from lociflow.runtime import spool, table
 from lociflow.sources import ivtff
@@ -140,5 +140,5 @@ shared.DERIVED |= models.DERIVED | joins.DERIVED
 for _module in (statistics, joins, models):
     QUERIES |= {name: query(body) for name, body in _module.BODIES.items()}
     SQL |= {name: oracle(body) for name, body in _module.BODIES.items()}
-QUERIES |= studies.QUERIES | searches.QUERIES
-SQL |= studies.SQL
+QUERIES |= studies.QUERIES | searches.QUERIES | composites.QUERIES
+SQL |= studies.SQL | composites.SQL

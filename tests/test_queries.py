@@ -85,7 +85,7 @@ def test_entropy_and_pairs(spark, data):
     assert got == pairs
 
 
-@pytest.mark.parametrize("name", ["inventory", "inventory_by", "elig_context", "split_manifest", "align_full_outer", "agreement_agg", "ngram_score", "bigram_score", "boundary_score", "memory_grid", "perm_word_order", "bound_independent", "compat_graph", "edit1_vocab", "pattern_join", "lexicon_hits", "candidate_compat", "capacity_join", "compat_agg", "memory_score", "column_asof", "null_same_length", "holm"])
+@pytest.mark.parametrize("name", ["inventory", "inventory_by", "elig_context", "split_manifest", "align_full_outer", "agreement_agg", "ngram_score", "bigram_score", "boundary_score", "memory_grid", "perm_word_order", "bound_independent", "compat_graph", "edit1_vocab", "pattern_join", "lexicon_hits", "candidate_compat", "capacity_join", "compat_agg", "memory_score", "column_asof", "null_same_length", "holm", "alternation", "compat_graph", "boundary_study", "elig_blue", "score_difference"])
 def test_engines_agree(spark, data, name):
     d, _ = data
     spark_rows = catalog.QUERIES[name](spark, d)
@@ -222,6 +222,50 @@ def test_cell_ratio():
     assert resample.cell_log_ratio(last, first, chance, limit=1) is None
 
 
+def test_memory_of_lines(spark, data):
+    from lociflow.plans import composites
+
+    import numpy as np
+
+    d, _ = data
+    # recorded lines lose what the model says they do
+    chosen = {r.family: (r.width, r.lam) for r in catalog.QUERIES["memory_grid"](spark, d).collect()}
+    scores = {(r.family, r.width, r.lam): r.bits for r in catalog.QUERIES["memory_score"](spark, d).where("split = 'test'").collect()}
+    rows = composites.memory_order_null(spark, d, 5).collect()
+    for mode in ("tail", "same_length"):
+        assert {r.r: r for r in rows if r.mode == mode}[-1].bits == pytest.approx(scores["edit", *chosen["edit"]], abs=2e-6)
+    # and any order of any line what adding up by hand gives
+    rng = random.Random(2)
+    lines = [["\t".join([rng.choice(["ab", "abc", "b", "ac"]), rng.choice("01"), str(rng.random()), rng.choice(["", "0.7"]), ""]) for _ in range(5)] for _ in range(3)]
+    order, sums = resample.memory_loss(2, 0.4)(lines)
+    p = order(resample.keys(1, np.arange(4), np.arange(3), 5))
+    for r in range(4):
+        want = 0.0
+        for k, line in enumerate(lines):
+            x = [line[i].split("\t") for i in p[k, r]]
+            for t in range(1, 5):
+                near = [(float(x[t][2]) if not c[3] else float(x[t][2]) / 0.7 if x[t][1] == "1" and c[0] != x[t][0] and resample.within_one(c[0], x[t][0]) else 0.0) for c in x[max(0, t - 2) : t]]
+                want -= math.log2(0.6 * float(x[t][2]) + 0.4 * sum(near) / len(near))
+        assert sums(p)[1, r] == pytest.approx(want)
+
+
+def test_composites(spark, data):
+    from lociflow.plans import composites
+
+    d, _ = data
+    parts = {r.part for r in composites.structural_run(spark, d).collect()}
+    assert {"inventory", "holm", "gain_interval"} <= parts
+    assert composites.first_stage_summary(spark, d).startswith("# Summary\n\n## agreement_agg")
+
+
+def test_structural_folder(spark, data, tmp_path):
+    from lociflow.plans import composites
+
+    d, _ = data
+    composites.write_structural_run(spark, d, str(tmp_path / "run"))
+    assert {p.name for p in (tmp_path / "run").iterdir() if not p.name.startswith(".")} == {"records", "analysis.json", "REPORT.md", "SHA256SUMS"}
+
+
 def test_agreement(spark, tmp_path):
     base = {"source_order": 1, "volume_id": 1, "line_group": None, "kind": "+P0", "scribe": None, "metadata": {}, "excluded_tokens": 0, "paragraph_start": False, "paragraph_end": False, "received_at": None}
     readings = [("QX", 1, ["a", "b", "c"]), ("MR", 1, ["a", "c"]), ("QX", 2, ["d", "e"]), ("MR", 2, ["d", "x", "e"]), ("QX", 3, ["f"]), ("QX", 4, ["g"]), ("MR", 4, [])]
