@@ -129,7 +129,7 @@ SQL: dict[str, str] = {
 WITH once AS (SELECT DISTINCT ON (locus_id) locus_id, text_raw FROM loci),
 a AS (SELECT *, regexp_replace(text_raw, '<[%$]>|<![^>]*>|<@[A-Z]=[A-Za-z0-9@]>|\\s+', '', 'g') AS x FROM once),
 b AS (SELECT *, replace(regexp_replace(x, '<[-~]>', '.', 'g'), ',', '.') AS y FROM a),
-c AS (SELECT *, regexp_replace(regexp_replace(y, '\\[[A-Za-z?{}]*:[A-Za-z?{}:]*\\]|\\?+|''|@(?:12[89]|1[3-9][0-9]|2[0-4][0-9]|25[0-5]);', '0', 'g'), '\\{([A-Za-z0]+)\\}', '\\1', 'g') AS z FROM b),
+c AS (SELECT *, regexp_replace(regexp_replace(y, '\\[(?:[A-Za-z?]|\\{[A-Za-z?]+\\})*(?::(?:[A-Za-z?]|\\{[A-Za-z?]+\\})*)+\\]|\\?+|''|@(?:12[89]|1[3-9][0-9]|2[0-4][0-9]|25[0-5]);', '0', 'g'), '\\{([A-Za-z0]+)\\}', '\\1', 'g') AS z FROM b),
 d AS (SELECT *, list_filter(string_split(z, '.'), lambda w: w <> '') AS p FROM c),
 e AS (SELECT *, list_filter(list_transform(p, lambda w: lower(w)), lambda w: regexp_matches(w, '^[a-z]+$')) AS t FROM d)
 SELECT locus_id, array_to_string(t, ' ') AS tokens, (len(p) - len(t))::BIGINT AS excluded, regexp_matches(z, '[<>\\[\\]{}:;|()"`#/=+*&!%$@]') AS malformed,

@@ -12,7 +12,8 @@ _LOCUS = f"^<({_FOLIO})[.]({_NUMBER}),({_LOCATOR})({_KIND})(?:;({_HAND}))?>\\s*(
 _HEADER = r"^#=(?:IVTFF|VDBTF)\s+(?:Eva-|EvaT)\s"
 _CODE = r"@(?:12[89]|1[3-9][0-9]|2[0-4][0-9]|25[0-5]);"
 _CLEAR = r"(?U)<[%$]>|<![^>]*>|<@[A-Z]=[A-Za-z0-9@]>|\s+"
-_DOUBT = r"\[(?:[A-Za-z'?{}]|" + _CODE + r")*:(?:[A-Za-z'?{}:]|" + _CODE + r")*\]|\?+|'|" + _CODE
+_FRAGMENT = r"(?:[A-Za-z'?]|\{(?:[A-Za-z'?]|" + _CODE + r")+\}|" + _CODE + ")*"  # what may stand in a choice, ligatures closed
+_DOUBT = r"\[" + _FRAGMENT + "(?::" + _FRAGMENT + r")+\]|\?+|'|" + _CODE
 _LEFT_OVER = r"""[<>\[\]{}:;|()"`#/=+*&!%$@]"""
 KNOWN_SOURCES = "ZL|IT|TT|GC|CD|FG|RF"
 

@@ -39,7 +39,7 @@ def test_ivtff(spark, tmp_path):
         ivtff.filter_transcriber(ivtff.read_ivtff(spark, write(tmp_path, FILE)))
 
 
-@pytest.mark.parametrize("bad", ["<f1r.1,@P0> a(b", "nonsense", "<f2r.1,@P0> ok", "/ alone"])
+@pytest.mark.parametrize("bad", ["<f1r.1,@P0> a(b", "<f1r.1,@P0> a[b}:c]d", "<f1r.1,@P0> a{b{th}}", "<f1r.1,@P0> a{}b", "nonsense", "<f2r.1,@P0> ok", "/ alone"])
 def test_ivtff_refuses(spark, tmp_path, bad):
     with pytest.raises(Exception, match="unexpected"):
         ivtff.read_ivtff(spark, write(tmp_path, f"#=IVTFF Eva- 2.0\n<f1r>\n{bad}\n")).collect()
