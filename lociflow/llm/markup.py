@@ -159,12 +159,13 @@ def furniture(lines: list[str]) -> list[int]:
     text without tags, or whose lines are all alike, all is content; no word outside a link is ever in such a line.
     """
     tags = np.array([len(_TAG.findall(x)) if "<" in x else 0 for x in lines])
-    linked = [k for k in np.flatnonzero(tags >= 2) if _ANCHOR.search(lines[k])]
+    linked = {k for k in np.flatnonzero(tags >= 2).tolist() if _ANCHOR.search(lines[k])}
     if not linked:
         return []
-    own = [_ASIDE.sub("", _TAG.sub("", _ANCHOR.sub("", x) if k in linked else x)).strip() for k, x in enumerate(lines)]
+    signs = lambda x: _ASIDE.sub("", _REFERENCE.sub("", _TAG.sub("", x)))
+    own = [signs(_ANCHOR.sub("", x) if k in linked else x) for k, x in enumerate(lines)]
     content = content_lines(np.array([sum(map(str.isalnum, x)) for x in own]), tags)
-    return [k for k in linked if not content[k] and not any(map(str.isalnum, own[k]))]
+    return [k for k in sorted(linked) if not content[k] and not any(map(str.isalnum, own[k]))]
 
 
 class _Events(HTMLParser):
@@ -267,6 +268,7 @@ class _Document:
         self.kinds: set[tuple[str, str]] = set()
         self.kept: list[str] = []
         self.dropped: set[str] = set()
+        self.lost: list[str] = []
         self.absent: set[str] = set()
 
     def aside(self, s: str) -> str:
@@ -363,6 +365,7 @@ class _Document:
         for k in furniture(lines):
             mark = self.aside("")
             self.dropped.add(mark)
+            self.lost.append(self.restored(_TAG.sub("", lines[k])))
             lines[k] += mark
         text = "\n".join(lines)
         # what isn't a reference is no event
@@ -580,6 +583,25 @@ def clean_markup(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     return source.mapInArrow(run, f"`{id_col}` {id_type}, field_name string, clean string, kinds array<struct<family:string,element:string>>")
 
 
+def dropped_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, place, line): the lines that clean_markup() leaves out of a text as page furniture, without their tags, in
+    order. A null text has none."""
+    ship(df.sparkSession)
+    source = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.col("__text").contains("<"))
+    id_type = source.schema["__id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                doc = _Document()
+                doc.tags(doc.opaque(text))
+                rows += [(k, place, line) for place, line in enumerate(doc.lost)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], [id_col, "place", "line"])
+
+    return source.mapInArrow(run, f"`{id_col}` {id_type}, place int, line string")
+
+
 def markup_kinds(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """Rows (id, field_name, family, element), each once: the kinds of markup in each text."""
     return (

@@ -24,6 +24,10 @@ def p1_clean_documents(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(table(spark, d, "documents"), "doc_id", ["text"]).select("doc_id", "clean")
 
 
+def p1_dropped(spark: SparkSession, d: str) -> DataFrame:
+    return markup.dropped_lines(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.torn_families(table(spark, d, "loci"), table(spark, d, "run_lines"))
 
@@ -93,7 +97,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean_paragraphs, p1_clean_documents, p2_found, p2_splits, p2_kept, p3_found, p3_lift, p4_found, p4_terms,
+        p1_found, p1_clean_paragraphs, p1_clean_documents, p1_dropped, p2_found, p2_splits, p2_kept, p3_found, p3_lift, p4_found, p4_terms,
         p5_found, p5_overlap, p5_report, p7_ids, p8_containers, p9_found, p9_pieces,
     )
 }
