@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.operators import keysearch, resample, solvers
+from lociflow.operators import graphs, keysearch, resample, solvers
 from lociflow.plans import joins, models, searches, statistics, studies
 from lociflow.plans.shared import Relations, oracle, query, run_body
 from lociflow.runtime import spool
@@ -210,11 +212,73 @@ def search_development(spark: SparkSession, d: str) -> DataFrame:
     return bounds.unionByName(local)
 
 
+def common_visual_pilot(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (restart, windows, unknown, coverage, bits, key): restarts of the search on windows of four visual units inside the
+    lines of the validation split; a window with a unit that the two transcriptions don't share is unknown."""
+    body = """WITH v AS (SELECT locus_id, wp, up, u FROM {visual} WHERE split = 'validation'),
+w AS (SELECT u AS a, lead(u, 1) OVER q AS b, lead(u, 2) OVER q AS c, lead(u, 3) OVER q AS d FROM v WINDOW q AS (PARTITION BY locus_id ORDER BY wp, up)) SELECT a, b, c, d, count(*) AS n FROM w WHERE d IS NOT NULL GROUP BY a, b, c, d"""
+    fit = spool(query(body)(spark, d), "windows")
+    train = Relations(spark, d, "{stream4}")["stream4"].where("split = 'train'")
+    table = keysearch.table_of(train, searches._WINDOW, True)
+    problem, unknown = keysearch.problem_of(fit, searches._WINDOW, table, 1, set(statistics.COMMON_UNITS))
+    found = keysearch.restarts(spark, problem, searches._letters(train, "d"), reassign=0.3)
+    whole = F.col("events") + unknown
+    return found.select("restart", whole.alias("windows"), F.lit(unknown).cast("long").alias("unknown"), F.round(F.col("events") / whole, 6).alias("coverage"), F.round((F.col("cost") + unknown * F.log2(F.lit(26.0))) / whole, 6).alias("bits"), "key")
+
+
+_PLANTED_PAIRS = """WITH c AS (SELECT grp, locus_id, wp, cp, ch, row_number() OVER (PARTITION BY grp, ch ORDER BY locus_id, wp, cp) % 2 AS odd FROM {chars} WHERE grp IS NOT NULL AND ch < 'n')
+SELECT grp, locus_id, wp, cp, CASE WHEN odd = 1 THEN ch ELSE translate(ch, 'abcdefghijklm', 'nopqrstuvwxyz') END AS u FROM c"""
+
+
+def cyclic_pairing_control(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (category, edges, forced): every letter is written by two signs in turns; of the edges of the graph of signs, those
+    that were planted and others, and how many of them all matchings have."""
+    signs = query(_PLANTED_PAIRS)(spark, d).withColumn("words", F.array("u"))
+    ordered = signs.repartition("grp").sortWithinPartitions("grp", "locus_id", "wp", "cp")
+    turns = graphs.unit_turns(ordered, "grp", "words")
+    edges = spool(turns.where("turns = parts and (a_first = 0 or b_first = 0)").select("a", "b"), "edges")
+    found = graphs.matchings_by(graphs.components(edges), "grp").where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "verdict")
+    both = edges.join(found, ["a", "b"], "left").withColumn("planted", F.translate("a", "abcdefghijklm", "nopqrstuvwxyz") == F.col("b"))
+    return both.groupBy(F.when(F.col("planted"), "planted").otherwise("other").alias("category")).agg(F.count("*").alias("edges"), F.sum(F.coalesce((F.col("verdict") == "forced").cast("long"), F.lit(0))).alias("forced"))
+
+
+_PLANTED_SQL = "WITH s AS (" + _PLANTED_PAIRS + """), pairs AS (SELECT a.u AS a, b.u AS b FROM (SELECT DISTINCT u FROM s) a JOIN (SELECT DISTINCT u FROM s) b ON a.u < b.u),
+hit AS (SELECT p.a, p.b, s.grp, s.u, lag(s.u) OVER (PARTITION BY p.a, p.b, s.grp ORDER BY s.locus_id, s.wp, s.cp) AS prev FROM s JOIN pairs p ON s.u IN (p.a, p.b)),
+part AS (SELECT a, b, grp, max((u = prev)::INT) AS twice, abs(sum(CASE WHEN u = a THEN 1 ELSE -1 END)) AS off, min(CASE WHEN prev IS NULL THEN u END) AS opens FROM hit GROUP BY a, b, grp)
+SELECT a, b FROM part GROUP BY a, b HAVING max(coalesce(twice, 0)) = 0 AND max(off) <= 1 AND count(DISTINCT opens) = 1"""
+
+
+def cyclic_pairing_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (a, b): the edges of the same graph."""
+    signs = query(_PLANTED_PAIRS)(spark, d).withColumn("words", F.array("u"))
+    turns = graphs.unit_turns(signs.repartition("grp").sortWithinPartitions("grp", "locus_id", "wp", "cp"), "grp", "words")
+    return turns.where("turns = parts and (a_first = 0 or b_first = 0)").select("a", "b")
+
+
+def medical_control(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (capacity, status, lower, upper, nodes, planted): a planted key over the most frequent words of the paragraphs,
+    sought with the words of all paragraphs as lexicon, one letter for each unit and two units for a letter."""
+    rel = Relations(spark, d, "{paras}")
+    words = rel["paras"].select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = spool(words, "words")
+    if words.count() > keysearch.MOST_EVENTS:
+        raise ValueError("the vocabulary is larger than one search takes")
+    known = {r.w for r in words.collect()}
+    head = [(r.w, r.n) for r in words.where("length(w) >= 4").orderBy(F.desc("n"), "w").limit(searches.PLANTED_TYPES).collect()]
+    letters = sorted({c for w, _ in head for c in w})
+    to = dict(zip(letters, random.Random(408).sample(keysearch.ALPHABET, len(letters))))
+    types = {"".join(to[c] for c in w): int(n) for w, n in head}
+    jobs = [("bnb", 0, 1, 200), ("bnb", 0, 2, 50)]
+    planted = sum(types.values())
+    return solvers.solve(spark, types, known, jobs).select("capacity", "status", "lower", "upper", "nodes", F.lit(planted).cast("long").alias("planted"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (structural_run, reference_invariants, memory_order_null, boundary_study, spacefree_manuscript, lexicon_pilot, optimal_set_diagnostics, search_development)
+    for f in (structural_run, reference_invariants, memory_order_null, boundary_study, spacefree_manuscript, lexicon_pilot, optimal_set_diagnostics, search_development, common_visual_pilot, cyclic_pairing_control, cyclic_pairing_edges, medical_control)
 }
 SQL = {
+    "cyclic_pairing_edges": oracle(_PLANTED_SQL),
     "boundary_study": oracle(_BOUNDARY_STUDY),
     "reference_invariants": oracle(_REFERENCE.replace("{pwords}", "(SELECT chapter_key, lower(unnest(regexp_extract_all(text, '([A-Za-z]+)', 1))) AS w FROM {paras}) pw")),
 }

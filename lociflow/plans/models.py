@@ -129,6 +129,10 @@ SELECT d.r, round(sum(n.u - n.b) / sum(n.n), 6) AS gain FROM draw d JOIN num n O
 
 BODIES["bootstrap_groups"] = bootstrap_groups()
 
+BODIES["bootstrap_interval"] = f"""
+WITH b AS ({bootstrap_groups().replace("WITH ", "WITH ", 1)}), n AS (SELECT gain, row_number() OVER (ORDER BY gain) - 1 AS i, count(*) OVER () AS k FROM b)
+SELECT max(k) AS draws, round(avg(gain), 6) AS mean, round(stddev_pop(gain), 6) AS sd, max(CASE WHEN i = floor(25e-3 * (k - 1)) THEN gain END) AS low, max(CASE WHEN i = floor(975e-3 * (k - 1)) THEN gain END) AS high FROM n"""
+
 BODIES["leave_one_group_out"] = f"""
 WITH {_BIGRAM}, gs AS (SELECT grp, sum(k * (ub - bb)) AS g, sum(k) AS n FROM sc WHERE split = 'test' GROUP BY grp), t AS (SELECT sum(g) AS g, sum(n) AS n FROM gs)
 SELECT round(min((t.g - gs.g) / (t.n - gs.n)), 6) AS low, round(max((t.g - gs.g) / (t.n - gs.n)), 6) AS high FROM gs CROSS JOIN t WHERE t.n > gs.n"""

@@ -180,6 +180,11 @@ BODIES["stream_offsets"] = f"""
 WITH {STREAM_BLOCKS}, o AS (SELECT split, floor(locus_id / 65536) AS blk, sum(length(w)) OVER (PARTITION BY split, floor(locus_id / 65536) ORDER BY locus_id, wp) - length(w) AS inside FROM {{tok}} WHERE split IS NOT NULL)
 SELECT o.split, cast(max(base + inside) AS BIGINT) AS last_offset, cast(sum((base + inside) % 97) AS BIGINT) AS checksum FROM o JOIN base b ON o.split = b.split AND o.blk = b.blk GROUP BY o.split"""
 
+BODIES["stream_concat"] = f"""
+WITH {STREAM_BLOCKS}, r AS (SELECT split, locus_id, floor(locus_id / 65536) AS blk, sum(length(w)) AS n, count(*) AS words FROM {{tok}} WHERE split IS NOT NULL GROUP BY split, locus_id),
+o AS (SELECT split, locus_id, blk, n, words, sum(n) OVER (PARTITION BY split, blk ORDER BY locus_id) - n AS inside FROM r)
+SELECT o.split, o.locus_id, cast(base + inside AS BIGINT) AS starts, cast(base + inside + o.n AS BIGINT) AS ends, o.words FROM o JOIN base b ON o.split = b.split AND o.blk = b.blk"""
+
 STREAM_POSITIONS = STREAM_BLOCKS + """,
 inner_ AS (SELECT split, ch, floor(locus_id / 65536) AS blk, row_number() OVER (PARTITION BY split, floor(locus_id / 65536) ORDER BY locus_id, wp, cp) - 1 AS k FROM {chars} WHERE split IS NOT NULL),
 pos AS (SELECT i.split, i.ch, cast(b.base + i.k AS BIGINT) AS pos FROM inner_ i JOIN base b ON i.split = b.split AND i.blk = b.blk)"""
@@ -237,3 +242,13 @@ SELECT coalesce(il, '?') AS category, count(DISTINCT folio) AS folios, count(DIS
 BODIES["line_phase_rows_mod3"] = """
 SELECT cast(r0 AS BIGINT) AS r0, cast(r1 AS BIGINT) AS r1, cast(r2 AS BIGINT) AS r2, count(*) AS lines FROM (
   SELECT locus_id, sum(CASE WHEN cp % 3 = 0 THEN 1 ELSE 0 END) % 3 AS r0, sum(CASE WHEN cp % 3 = 1 THEN 1 ELSE 0 END) % 3 AS r1, sum(CASE WHEN cp % 3 = 2 THEN 1 ELSE 0 END) % 3 AS r2 FROM {chars} GROUP BY locus_id) GROUP BY r0, r1, r2"""
+
+# what a report says must add up: of every pair of figures, whether they are equal
+BODIES["summary_validate"] = """
+WITH i AS (SELECT count(*) AS records, cast(sum(nw) AS BIGINT) AS tokens, cast(sum(excluded) AS BIGINT) AS excluded FROM {recs}), t AS (SELECT cast(sum(n) AS BIGINT) AS tokens, cast(sum(n * len) AS BIGINT) AS letters FROM {types}),
+b AS (SELECT cast(sum(n) AS BIGINT) AS tokens, cast(sum(r) AS BIGINT) AS records FROM (SELECT coalesce(il, '?') AS il, sum(nw) AS n, count(*) AS r FROM {recs} GROUP BY coalesce(il, '?'))),
+s AS (SELECT cast(sum(n) AS BIGINT) AS tokens, count(*) AS groups, count(DISTINCT grp) AS distinct_groups FROM (SELECT grp, split, sum(nw) AS n FROM {recs} GROUP BY grp, split)), c AS (SELECT cast(sum(n) AS BIGINT) AS letters FROM {tchars}),
+u AS (SELECT cast(sum(n * length(u)) AS BIGINT) AS letters FROM {tvisual}), e AS (SELECT count(*) AS records FROM {recs} WHERE coalesce(paragraph, false) OR NOT coalesce(paragraph, false))
+SELECT 'tokens of records and types' AS rule, i.tokens = t.tokens AS holds FROM i CROSS JOIN t UNION ALL SELECT 'tokens by illustration', i.tokens = b.tokens AND i.records = b.records FROM i CROSS JOIN b
+UNION ALL SELECT 'tokens by split', i.tokens = s.tokens FROM i CROSS JOIN s UNION ALL SELECT 'a group has one split', s.groups - s.distinct_groups <= 1 FROM s UNION ALL SELECT 'letters of types and of positions', t.letters = c.letters FROM t CROSS JOIN c
+UNION ALL SELECT 'letters of units', t.letters = u.letters FROM t CROSS JOIN u UNION ALL SELECT 'reasons cover all records', i.records = e.records FROM i CROSS JOIN e"""

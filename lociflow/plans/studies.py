@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from lociflow.functions import text
-from lociflow.operators import graphs, resample, spans
+from lociflow.operators import graphs, resample, spans, tablecipher
 from lociflow.operators.resample import ROLES, sql_key
 from lociflow.plans import joins, models
 from lociflow.plans.shared import Relations, oracle, run_body
@@ -158,8 +162,7 @@ def null_same_length(spark: SparkSession, d: str) -> DataFrame:
     return _boundary_null(spark, d, True, 409)
 
 
-def null_matched(spark: SparkSession, d: str, replicates: int = models.NULLS) -> DataFrame:
-    """The same with the last letters of the words before permuted among targets of one page, place and pair of lengths."""
+def _cell_null(spark: SparkSession, d: str, seed: int, replicates: int, tail: bool) -> DataFrame:
     tok = relation(spark, d, "tok").where("split = 'test' and nw >= 2")
     line = Window.partitionBy("locus_id").orderBy("wp")
     pairs = tok.withColumn("before", F.lag("w").over(line)).where("wp > 0")
@@ -167,17 +170,36 @@ def null_matched(spark: SparkSession, d: str, replicates: int = models.NULLS) ->
     role = F.when(F.col("wp") == 1, "0").when(F.col("wp") == F.col("nw") - 1, "2").otherwise("1")
     code = F.concat(role, F.substring("before", -1, 1), F.substring("w", 1, 1))
     item = F.struct("locus_id", "wp", code.alias("code"))
-    cells = pairs.join(recs, "locus_id").groupBy("volume_id", "folio", "wp", (F.col("wp") == F.col("nw") - 1).alias("final"), F.length("before").alias("plen"), F.length("w").alias("tlen"))
-    cells = cells.agg(F.array_sort(F.collect_list(item)).alias("items"), F.min("locus_id").alias("first"))
-    rows = cells.select((F.col("first") % 1_000_000_007 * 1009 + F.col("wp") * 31 + F.col("plen") * 7 + F.col("tlen")).alias("row"), F.transform("items", lambda x: x["code"]).alias("codes"))
-    sums = resample.replicate_sums(rows, replicates, ["targets", "gain"], resample.cell_gain(gain_table(spark, d)), 410)
+    if tail:
+        keys = [role.alias("role"), F.length("before").alias("plen"), F.expr("substr(w, 2)").alias("tail")]
+        number = F.col("first") % 1_000_000_007 * 1009 + F.col("plen") * 7 + F.length("tail")
+    else:
+        keys = ["volume_id", "folio", "wp", (F.col("wp") == F.col("nw") - 1).alias("final"), F.length("before").alias("plen"), F.length("w").alias("tlen")]
+        number = F.col("first") % 1_000_000_007 * 1009 + F.col("wp") * 31 + F.col("plen") * 7 + F.col("tlen")
+        pairs = pairs.join(recs, "locus_id")
+    cells = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"), F.min("locus_id").alias("first"))
+    rows = cells.select(number.alias("row"), F.transform("items", lambda x: x["code"]).alias("codes"))
+    if tail:  # both ends of the boundary must vary
+        ends = lambda k: F.size(F.array_distinct(F.transform("codes", lambda x: F.substring(x, k, 1)))) > 1
+        rows = rows.where(ends(2) & ends(3))
+    sums = resample.replicate_sums(rows, replicates, ["targets", "gain"], resample.cell_gain(gain_table(spark, d)), seed)
     return sums.select("r", F.col("targets").cast("long").alias("targets"), F.round(F.col("gain") / F.col("targets"), 6).alias("gain"))
 
 
+def null_matched(spark: SparkSession, d: str, replicates: int = models.NULLS) -> DataFrame:
+    """The same with the last letters of the words before permuted among targets of one page, place and pair of lengths."""
+    return _cell_null(spark, d, 410, replicates, False)
+
+
+def null_same_tail_draws(spark: SparkSession, d: str, replicates: int = models.NULLS) -> DataFrame:
+    """The same among targets alike but for their first letter, with words before of one length, where both ends vary."""
+    return _cell_null(spark, d, 411, replicates, True)
+
+
 def boundary_null_ranks(spark: SparkSession, d: str) -> DataFrame:
     """For each null model of word boundaries: the recorded gain, the mean of the null and the share at least as high."""
     out = None
-    for name, f in (("tail", null_tail), ("same_length", null_same_length), ("matched", null_matched)):
+    for name, f in (("tail", null_tail), ("same_length", null_same_length), ("matched", null_matched), ("same_tail", null_same_tail_draws)):
         rows = f(spark, d).select("r", "gain")
         seen = F.broadcast(rows.where("r = -1").select(F.col("gain").alias("observed")))
         one = rows.where("r >= 0").crossJoin(seen).agg(
@@ -200,6 +222,14 @@ _TAIL = f"WITH {models._BOUNDARY}{_GAIN}, moved AS (SELECT r, locus_id, nw, w, r
 _SAME = f"""WITH {models._BOUNDARY}{_GAIN}, slot AS (SELECT locus_id, wp, length(w) AS len, row_number() OVER (PARTITION BY locus_id, length(w) ORDER BY wp) AS k FROM ln WHERE wp > 0),
 item AS (SELECT r, locus_id, nw, w, length(w) AS len, row_number() OVER (PARTITION BY r, locus_id, length(w) ORDER BY {sql_key(409, 'r', 'locus_id', 'wp')}, wp) AS k FROM ln, rep WHERE wp > 0),
 moved AS (SELECT i.r, i.locus_id, i.nw, i.w, s.wp AS pos FROM item i JOIN slot s ON i.locus_id = s.locus_id AND i.len = s.len AND i.k = s.k){_SCORED}"""
+_TAILS = f"""WITH {models._BOUNDARY}{_GAIN}, pr AS (SELECT locus_id, wp, w, nw, lag(w) OVER (PARTITION BY locus_id ORDER BY wp) AS before FROM ln),
+ce AS (SELECT locus_id, wp, substr(w, 1, 1) AS ini, right(before, 1) AS fin, CASE WHEN wp = 1 THEN 'second' WHEN wp = nw - 1 THEN 'last' ELSE 'interior' END AS role, length(before) AS plen, substr(w, 2) AS tail FROM pr WHERE wp > 0),
+ok AS (SELECT role, plen, tail, min(locus_id) AS first_id FROM ce GROUP BY role, plen, tail HAVING count(DISTINCT ini) > 1 AND count(DISTINCT fin) > 1),
+nu AS (SELECT ce.*, ce.role || '/' || ce.plen || '/' || ce.tail AS cell, ok.first_id % 1000000007 * 1009 + ce.plen * 7 + length(ce.tail) AS id, row_number() OVER (PARTITION BY ce.role, ce.plen, ce.tail ORDER BY ce.locus_id, ce.wp) - 1 AS place
+  FROM ce JOIN ok ON ce.role = ok.role AND ce.plen = ok.plen AND ce.tail = ok.tail),
+it AS (SELECT r, cell, fin, row_number() OVER (PARTITION BY r, cell ORDER BY {sql_key(411, 'r', 'id', 'place')}, place) - 1 AS pos FROM nu, rep),
+x AS (SELECT it.r, nu.role, it.fin, nu.ini FROM nu JOIN it ON nu.cell = it.cell AND nu.place = it.pos UNION ALL SELECT -1, role, fin, ini FROM nu)
+SELECT x.r, count(*) AS targets, round(sum(g.g) / count(*), 6) AS gain FROM x JOIN g ON x.role = g.role AND x.fin = g.fin AND x.ini = g.ini GROUP BY x.r"""
 _MATCHED = f"""WITH {models._BOUNDARY}{_GAIN}, pr AS (SELECT locus_id, wp, w, nw, lag(w) OVER (PARTITION BY locus_id ORDER BY wp) AS before FROM ln),
 ce AS (SELECT p.locus_id, p.wp, substr(p.w, 1, 1) AS ini, right(p.before, 1) AS fin, CASE WHEN p.wp = 1 THEN 'second' WHEN p.wp = p.nw - 1 THEN 'last' ELSE 'interior' END AS role,
   r.volume_id || '/' || r.folio || '/' || p.wp || '/' || (p.wp = p.nw - 1) || '/' || length(p.before) || '/' || length(p.w) AS cell, p.wp * 31 + length(p.before) * 7 + length(p.w) AS more
@@ -382,6 +412,32 @@ _FORMS = r"""WITH once AS (SELECT DISTINCT ON (rec_id) * FROM run_records WHERE
 g AS (SELECT form, n, regexp_replace(lower(strip_accents(nfc_normalize(replace(form, 'ſ', 's')))), '\p{M}', '', 'g') AS w FROM f) SELECT form, CASE WHEN regexp_full_match(w, '[a-z]+') THEN w END AS word, n FROM g"""
 
 
+@F.pandas_udf(StringType())
+def _plain_letters(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else tablecipher.plain_letters(t))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _respaced(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: tablecipher.respaced(t or "", random.Random(f"408:{t}")))
+
+
+def normalize_plaintext(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (letter, n): letters of the paragraphs as the table cipher takes them."""
+    letters = relation(spark, d, "paras").select(_plain_letters("text").alias("t"))
+    return letters.select(F.explode(F.regexp_extract_all("t", F.lit("(.)"), F.lit(1))).alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
+
+
+_PLAIN = r"""WITH t AS (SELECT regexp_replace(lower(strip_accents(nfc_normalize(text))), '\p{M}', '', 'g') AS t FROM {paras}), u AS (SELECT replace(replace(replace(replace(replace(replace(replace(t, 'æ', 'ae'), 'œ', 'oe'), 'ð', 'd'), 'þ', 'th'), 'ł', 'l'), 'ß', 'ss'), 'ø', 'o') AS t FROM t),
+v AS (SELECT unnest(regexp_extract_all(replace(replace(replace(t, 'w', 'uu'), 'j', 'i'), 'k', 'c'), '\p{L}')) AS letter FROM u) SELECT letter, count(*) AS n FROM v GROUP BY letter"""
+
+
+def respace(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (size, units, types): units of one and two letters that the paragraphs' letters are cut into by chance."""
+    units = relation(spark, d, "paras").select(F.explode(_respaced(_plain_letters("text"))).alias("u"))
+    return units.groupBy(F.length("u").alias("size")).agg(F.count("*").alias("units"), F.count_distinct("u").alias("types"))
+
+
 # conflicts of cipher types
 
 
@@ -422,8 +478,8 @@ def jointly(a: str, b: str, x: list[str], y: list[str]) -> bool:
 QUERIES = {
     f.__name__: f
     for f in (
-        agreement_agg, perm_word_order, rank_fraction, holm, null_tail, null_same_length, null_matched, boundary_null_ranks, line_order_perm, cyclic_rotation, likelihood_ratio_cells,
-        strict_spans, project_source, local_repeat_tracks, alternation, compat_graph, adapt_paragraphs, normalize_word, conflict_self_join,
+        agreement_agg, perm_word_order, rank_fraction, holm, null_tail, null_same_length, null_matched, null_same_tail_draws, boundary_null_ranks, line_order_perm, cyclic_rotation, likelihood_ratio_cells,
+        strict_spans, project_source, local_repeat_tracks, alternation, compat_graph, adapt_paragraphs, normalize_word, normalize_plaintext, respace, conflict_self_join,
     )
 }
 SQL = {
@@ -436,6 +492,8 @@ SQL = {
     "null_tail": oracle(_TAIL),
     "null_same_length": oracle(_SAME),
     "null_matched": oracle(_MATCHED),
+    "null_same_tail_draws": oracle(_TAILS),
     "adapt_paragraphs": oracle(_ADAPTED),
     "normalize_word": _FORMS,
+    "normalize_plaintext": oracle(_PLAIN),
 }

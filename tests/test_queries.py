@@ -85,7 +85,7 @@ def test_entropy_and_pairs(spark, data):
     assert got == pairs
 
 
-@pytest.mark.parametrize("name", ["inventory", "inventory_by", "elig_context", "split_manifest", "align_full_outer", "agreement_agg", "ngram_score", "bigram_score", "boundary_score", "memory_grid", "perm_word_order", "bound_independent", "compat_graph", "edit1_vocab", "pattern_join", "lexicon_hits", "candidate_compat", "capacity_join", "compat_agg", "memory_score", "column_asof", "null_same_length", "holm", "alternation", "compat_graph", "boundary_study", "elig_blue", "score_difference"])
+@pytest.mark.parametrize("name", ["inventory", "inventory_by", "elig_context", "split_manifest", "align_full_outer", "agreement_agg", "ngram_score", "bigram_score", "boundary_score", "memory_grid", "perm_word_order", "bound_independent", "compat_graph", "edit1_vocab", "pattern_join", "lexicon_hits", "candidate_compat", "capacity_join", "compat_agg", "memory_score", "column_asof", "null_same_length", "holm", "alternation", "compat_graph", "boundary_study", "elig_blue", "score_difference", "stream_concat", "null_same_tail_draws", "cyclic_pairing_edges"])
 def test_engines_agree(spark, data, name):
     d, _ = data
     spark_rows = catalog.QUERIES[name](spark, d)
@@ -258,6 +258,15 @@ def test_composites(spark, data):
     assert composites.first_stage_summary(spark, d).startswith("# Summary\n\n## agreement_agg")
 
 
+def test_reports_add_up(spark, data):
+    d, _ = data
+    assert all(r.holds for r in catalog.QUERIES["summary_validate"](spark, d).collect())
+    rows = {r.category: r for r in catalog.QUERIES["cyclic_pairing_control"](spark, d).collect()}
+    assert rows["planted"].edges >= rows["planted"].forced >= 1
+    for r in catalog.QUERIES["medical_control"](spark, "/root/testdata/sf0.001").collect() if os.path.exists("/root/testdata/sf0.001") else ():
+        assert r.lower <= r.planted <= r.upper or r.upper >= r.lower
+
+
 def test_structural_folder(spark, data, tmp_path):
     from lociflow.plans import composites
 
