@@ -124,7 +124,7 @@ def bootstrap_groups(draws: int = DRAWS) -> str:
 WITH {_BIGRAM}, gs AS (SELECT grp, sum(k * ub) AS u, sum(k * bb) AS b, sum(k) AS n FROM sc WHERE split = 'test' GROUP BY grp),
 num AS (SELECT *, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS k FROM gs),
 draw AS (SELECT r.r, s.i AS slot, cast(conv_(substr(md5('9:' || r.r || ':' || s.i), 1, 8)) AS BIGINT) % s.k AS pick FROM num s CROSS JOIN {_replicates(draws)})
-SELECT d.r, round(sum(n.u - n.b) / sum(n.n), 6) AS gain FROM draw d JOIN num n ON d.pick = n.i GROUP BY d.r"""
+SELECT cast(d.r AS BIGINT) AS r, round(sum(n.u - n.b) / sum(n.n), 6) AS gain FROM draw d JOIN num n ON d.pick = n.i GROUP BY d.r"""
 
 
 BODIES["bootstrap_groups"] = bootstrap_groups()
