@@ -221,13 +221,40 @@ def word_distance(a: list[int], b: list[int], most: int) -> int:
     return score
 
 
+def shared_words(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of lists (words laid end to end, lengths): how many chunks of the first list the second has too, and how many
+    words of the first lie in those, the lengths of overlapping chunks being summed without counting a word twice."""
+    (ra, at, ha), (rb, _, hb) = chunk_hashes(*a), chunk_hashes(*b)
+    mix = lambda row, h: h ^ ((row + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    with np.errstate(over="ignore"):
+        met = np.isin(mix(ra, ha), mix(rb, hb))
+    rows = len(a[1])
+    chunks = np.bincount(ra[met], minlength=rows)
+    start = np.cumsum(a[1]) - a[1]
+    covered = np.zeros(len(a[0]) + SHARED, bool)
+    for k in range(SHARED):
+        covered[start[ra[met]] + at[met] + k] = True
+    return chunks, np.add.reduceat(np.append(covered[: len(a[0])], False), start).astype(np.int64) * (a[1] > 0) if rows else chunks
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-            most = max(len(x), len(y)) // EDIT_SHARE
-            keep.append(most > 0 and word_distance(x, y, most) <= most)
-        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    """Pairs within the allowed edits: by their shared chunks first, of which d edits leave all but SHARED * d of the longer
+    list's, then by the distance itself."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 4096):
+            b = batch.slice(start, 4096)
+            (x, nx), (y, ny) = ((v.to_numpy().view(np.uint64), n) for v, n in map(_lists, (b.column(2), b.column(3))))
+            longer = np.maximum(nx, ny)
+            most = longer // EDIT_SHARE
+            of_x, of_y = shared_words((x, nx), (y, ny))[0], shared_words((y, ny), (x, nx))[0]
+            common = np.where(nx >= ny, of_x, of_y)
+            likely = (most > 0) & (common >= longer - SHARED + 1 - SHARED * most)
+            keep = np.zeros(b.num_rows, bool)
+            at_x, at_y = np.cumsum(nx) - nx, np.cumsum(ny) - ny
+            for i in np.flatnonzero(likely):
+                one, other = x[at_x[i] : at_x[i] + nx[i]].tolist(), y[at_y[i] : at_y[i] + ny[i]].tolist()
+                keep[i] = word_distance(one, other, int(most[i])) <= most[i]
+            yield b.select([0, 1]).filter(pa.array(keep))
 
 
 def _classes(records: DataFrame) -> DataFrame:

@@ -208,6 +208,19 @@ def test_chunks_leave_no_pair_out():
         assert any(h == h2 and abs(p - q) + abs(longer - (p - q)) <= most for h, p in x for h2, q in y)
 
 
+def test_shared_words():
+    import numpy as np
+
+    rng = random.Random(11)
+    a, b = ([[rng.randrange(1, 5) for _ in range(rng.choice([0, 2, 3, 7, 12]))] for _ in range(60)] for _ in range(2))
+    flat = lambda lists: (np.array([w for x in lists for w in x], np.uint64), np.array([len(x) for x in lists]))
+    chunks, words = leakage.shared_words(flat(a), flat(b))
+    for k, (x, y) in enumerate(zip(a, b)):
+        has = {tuple(y[i : i + 3]) for i in range(len(y) - 2)}
+        met = [i for i in range(len(x) - 2) if tuple(x[i : i + 3]) in has]
+        assert chunks[k] == len(met) and words[k] == len({i + j for i in met for j in range(3)})
+
+
 def test_pairs_of_repeated_words(spark):
     # few words, so chunks recur within a list and across lists, and a phrase that every list has
     rng = random.Random(12)
@@ -361,6 +374,14 @@ def test_content_regions_at_every_size():
     assert markup.convert(titled)[0].startswith("## Title")
 
 
+def test_dropped_lines(spark):
+    page = "\n".join(['<a href="1">Home</a> &amp; <a href="2">News</a>'] * 3 + ["Prose of some length stands here, without any tag in it."] * 4)
+    df = spark.createDataFrame([(1, page, "x"), (2, None, "y"), (3, "a < b", "z"), (4, "", None)], "doc_id long, text string, line string")
+    rows = sorted(tuple(r) for r in markup.dropped_lines(df, "doc_id", "text").collect())
+    assert rows and {r[0] for r in rows} == {1} and all(line == "Home &amp; News" for *_, line in rows)
+    assert markup.convert(page)[0].count("Home") + len(rows) == 3
+
+
 def test_markup_rows(spark):
     df = spark.createDataFrame([(1, "**a** <b>x</b>", "c1", 1), (1, "**a** <b>x</b>", "c1", 2), (2, None, "[[c2]]", 3), (3, "", None, 4)], "paragraph_id long, text string, chapter_id string, kinds int")
     got = sorted(tuple(r) for r in markup.markup_kinds(df, "paragraph_id", ["text", "chapter_id"]).collect())
