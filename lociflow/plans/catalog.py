@@ -104,7 +104,7 @@ def stream_bigrams(spark: SparkSession, d: str) -> DataFrame:
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Terms by day of receipt, by a stream over the locus files."""
     out = counts.run_to_table(counts.windowed_terms(counts.read_loci_stream(spark, f"{d}/loci.parquet")), f"windows_{uuid.uuid4().hex}")
-    return out.groupBy("start").agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
+    return out.groupBy(F.date_format("start", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
 
 
 QUERIES = {
@@ -134,6 +134,9 @@ d AS (SELECT *, list_filter(string_split(z, '.'), lambda w: w <> '') AS p FROM c
 e AS (SELECT *, list_filter(list_transform(p, lambda w: lower(w)), lambda w: regexp_matches(w, '^[a-z]+$')) AS t FROM d)
 SELECT locus_id, array_to_string(t, ' ') AS tokens, (len(p) - len(t))::BIGINT AS excluded, regexp_matches(z, '[<>\\[\\]{}:;|()"`#/=+*&!%$@]') AS malformed,
        contains(regexp_replace(text_raw, '<![^>]*>', '', 'g'), '<%>') AS opens, contains(regexp_replace(text_raw, '<![^>]*>', '', 'g'), '<$>') AS closes FROM e""".replace("\\\\", "\\"),
+    "stream_windows": """WITH once AS (SELECT locus_id, min(received_at) AS seen, any_value(tokens) AS tokens FROM loci WHERE locus_id IS NOT NULL GROUP BY locus_id),
+w AS (SELECT strftime(seen, '%Y-%m-%d') AS day, unnest(list_filter(list_transform(coalesce(tokens, []::VARCHAR[]), lambda t: lower(trim(t))), lambda t: regexp_matches(t, '^[a-z]+$'))) AS term FROM once)
+SELECT day, count(DISTINCT term) AS terms, count(*) AS n FROM w GROUP BY day""",
     "stream_bigrams": oracle("SELECT prev, ch, count(*) AS n FROM (SELECT substr('^' || w || '$', i_ + 1, 1) AS prev, substr('^' || w || '$', i_ + 2, 1) AS ch FROM (SELECT w, unnest(range(length(w) + 1)) AS i_ FROM {tok})) GROUP BY prev, ch"),
 }
 shared.DERIVED |= models.DERIVED | joins.DERIVED
