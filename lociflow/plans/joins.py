@@ -134,7 +134,8 @@ GROUP BY o.ch, o.ch || cast(cast((b.base + o.k) % (1 + ascii(o.ch) % 3) AS INT)
 BODIES["quotient_map"] = """
 SELECT q, cast(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN u IN ('cth', 'ckh', 'cph', 'cfh') THEN 'G' WHEN u IN ('ch', 'sh') THEN 'C' ELSE u END AS q FROM {tvisual}) GROUP BY q"""
 
-BODIES["capacity_join"] = f"""
+# candidates under capacity are told by patterns: of each pattern one word stands for all
+CAPACITY_JOIN = f"""
 WITH {_SAMPLES}, cp_ AS (SELECT pattern, min(w) AS w, count(*) AS n FROM cip GROUP BY pattern), lp AS (SELECT pattern, min(w) AS w, count(*) AS n FROM lex GROUP BY pattern),
 dl AS (SELECT w, count(DISTINCT ch) AS d FROM {{letters}} GROUP BY w),
 pairs AS (SELECT c.w, l.w AS x FROM cp_ c JOIN dl a ON c.w = a.w JOIN lp l ON length(c.w) = length(l.w) JOIN dl b ON l.w = b.w WHERE b.d <= a.d AND 2 * b.d >= a.d),

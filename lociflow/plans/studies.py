@@ -15,7 +15,7 @@ from lociflow.operators.resample import ROLES, sql_key
 from lociflow.plans import joins, models
 from lociflow.plans.shared import Relations, oracle, run_body
 from lociflow.plans.statistics import ELIGIBLE
-from lociflow.runtime import spool
+from lociflow.runtime import BROADCAST_ROWS, spool
 
 #: Permutations of the lines of a page.
 LINE_ORDERS = 9_999
@@ -460,6 +460,51 @@ def conflict_self_join(spark: SparkSession, d: str, top: int = CONFLICT_TYPES) -
     return pairs.repartition(top, "a", "b").mapInPandas(run, "a string, b string")
 
 
+def takes(cipher: tuple[int, ...], plain: tuple[int, ...], most: int) -> bool:
+    """Whether a word of the pattern `plain` can stand for a cipher word of the pattern `cipher`: each unit for one letter, and
+    at most `most` units for a letter."""
+    key: dict[int, int] = {}
+    for u, v in zip(cipher, plain):
+        if key.setdefault(u, v) != v:
+            return False
+    used: dict[int, int] = {}
+    for v in key.values():
+        used[v] = used.get(v, 0) + 1
+        if used[v] > most:
+            return False
+    return True
+
+
+def capacity_join(spark: SparkSession, d: str, most: int = 2) -> DataFrame:
+    """Rows (w, candidates): for each cipher type the train words that it can stand for when up to `most` units may have one
+    letter. Patterns of repeats decide, so patterns meet, not words; those of the train words are sent to the tasks once
+    counted to be few, else they meet in a shuffled join."""
+    rel = Relations(spark, d, "{types}{types}")
+    lex = rel["types"].where("split = 'train'").groupBy("pattern").agg(F.count("*").alias("n"))
+    rows = lex.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return run_body(joins.CAPACITY_JOIN, rel)
+    shape = lambda p: tuple(map(int, p.split(".")))
+    by: dict[tuple[int, int], list[tuple[tuple[int, ...], int]]] = {}
+    for r in rows:
+        x = shape(r.pattern)
+        by.setdefault((len(x), max(x) + 1), []).append((x, r.n))
+    known = spark.sparkContext.broadcast(by)
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for p in f["pattern"]:
+                x = shape(p)
+                k = max(x) + 1
+                out.append(sum(n for m in range(-(-k // most), k + 1) for y, n in known.value.get((len(x), m), ()) if takes(x, y, most)))
+            yield pd.DataFrame({"pattern": f["pattern"], "candidates": out})
+
+    cipher = rel["types"].where("split = 'validation'").select("w", "pattern")
+    counted = cipher.select("pattern").distinct().repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(run, "pattern string, candidates long")
+    return cipher.join(counted, "pattern").select("w", "candidates")
+
+
 def jointly(a: str, b: str, x: list[str], y: list[str]) -> bool:
     """Whether some candidate of `a` and some of `b` agree on the units that both have and give other units other letters."""
     shared = sorted(set(a) & set(b))
@@ -479,7 +524,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         agreement_agg, perm_word_order, rank_fraction, holm, null_tail, null_same_length, null_matched, null_same_tail_draws, boundary_null_ranks, line_order_perm, cyclic_rotation, likelihood_ratio_cells,
-        strict_spans, project_source, local_repeat_tracks, alternation, compat_graph, adapt_paragraphs, normalize_word, normalize_plaintext, respace, conflict_self_join,
+        strict_spans, project_source, local_repeat_tracks, alternation, compat_graph, adapt_paragraphs, normalize_word, normalize_plaintext, respace, conflict_self_join, capacity_join,
     )
 }
 SQL = {
@@ -494,6 +539,7 @@ SQL = {
     "null_matched": oracle(_MATCHED),
     "null_same_tail_draws": oracle(_TAILS),
     "adapt_paragraphs": oracle(_ADAPTED),
+    "capacity_join": oracle(joins.CAPACITY_JOIN),
     "normalize_word": _FORMS,
     "normalize_plaintext": oracle(_PLAIN),
 }
