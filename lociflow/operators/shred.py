@@ -6,7 +6,9 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -264,7 +266,9 @@ def entity_pivot(adj: DataFrame, id_col: str, at: Column, first: tuple[str, ...]
     scalar = F.col("kind").isin("s", "n", "b", "z") & F.col("label").isNotNull()
     home = F.when(F.col("kind") == "o", F.col("entity")).when(scalar, F.expr("substring(entity, 1, length(entity) - length(label) - 1)"))
     rows = adj.withColumn("entity", home).where("entity is not null").where(at)
-    rows = spool(rows.select(id_col, "node", "parent", "owner", "label", "kind", "scalar", "path", "entity"), "entity")  # read twice, parsed once
+    is_object = F.col("kind") == "o"
+    only = lambda c: F.when(is_object, F.col(c)).alias(c)
+    rows = spool(rows.select(id_col, "node", "parent", only("owner"), "label", "kind", "scalar", only("path"), only("entity")), "entity")  # read twice, parsed once
     found = sorted(r[0] for r in rows.where("kind <> 'o'").select("label").distinct().collect())
     names, used = {}, {id_col.lower(), "node", "owner", "path", "entity"}
     for label in [*first, *[x for x in found if x not in first]]:
@@ -274,12 +278,31 @@ def entity_pivot(adj: DataFrame, id_col: str, at: Column, first: tuple[str, ...]
             name = f"{label}_{k}"
         used.add(name.lower())
         names[label] = name
-    is_object = F.col("kind") == "o"
-    of_object = lambda c: F.max(F.when(is_object, F.col(c))).alias(c)
-    value = F.struct("node", "scalar")
-    picks = [F.max(F.when(~is_object & (F.col("label") == label), value))["scalar"].alias(name) for label, name in names.items()]
+    home = F.max(F.when(is_object, F.struct("node", "owner", "path", "entity"))).alias("home")
+    cells = F.collect_list(F.when(~is_object, F.struct("node", "label", "scalar")))
     key = F.when(is_object, F.col("node")).otherwise(F.col("parent"))
-    return rows.groupBy(id_col, key.alias("__key")).agg(of_object("node"), *[of_object(c) for c in ("owner", "path", "entity")], *picks).where("node is not null").drop("__key")
+    each = rows.groupBy(id_col, key.alias("__key")).agg(home, F.array_sort(F.array_distinct(cells)).alias("cells")).where("home is not null")
+    flat = each.select(id_col, "home.*", "cells")
+    id_type = adj.schema[id_col].dataType.simpleString()
+    ddl = f"`{id_col}` {id_type}, node int, owner int, path string, entity string" + "".join(f", `{n.replace('`', '``')}` string" for n in names.values())
+    labels = list(names)
+
+    def pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(labels, pa.string())
+        for b in batches:
+            cells = b.column(5)
+            of = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False))
+            inner = cells.flatten()
+            number = pc.fill_null(pc.index_in(inner.field("label"), value_set=wanted), -1).to_numpy(zero_copy_only=False)
+            cols = []
+            for k in range(len(labels)):
+                at = np.flatnonzero(number == k)
+                place = np.full(b.num_rows, -1, np.int64)
+                place[of[at]] = at  # cells come in order: of a key that occurs twice the last counts
+                cols.append(inner.field("scalar").take(pa.array(place, mask=place < 0)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *cols], [id_col, "node", "owner", "path", "entity", *names.values()])
+
+    return flat.mapInArrow(pivot, ddl)
 
 
 def values(adj: DataFrame, id_col: str) -> DataFrame:
