@@ -438,6 +438,39 @@ def respace(spark: SparkSession, d: str) -> DataFrame:
     return units.groupBy(F.length("u").alias("size")).agg(F.count("*").alias("units"), F.count_distinct("u").alias("types"))
 
 
+def unit_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (bits, types, masks): the visual units of each distinct word as bits, by how many are set, and how many sets there are."""
+    units = F.regexp_extract_all("w", F.lit("(cth|ckh|cph|cfh|ch|sh|.)"), F.lit(1))
+    words = relation(spark, d, "types").select("w").distinct().select(text.mask_of(units, graphs.UNITS).alias("mask"))
+    return words.groupBy(text.set_bits(F.col("mask")).cast("long").alias("bits")).agg(F.count("*").alias("types"), F.count_distinct("mask").alias("masks"))
+
+
+_MASKS = """WITH u AS (SELECT w, list_sort(list_distinct(regexp_extract_all(w, '(cth|ckh|cph|cfh|ch|sh|.)', 1))) AS s FROM (SELECT DISTINCT w FROM {types}))
+SELECT len(s)::BIGINT AS bits, count(*) AS types, count(DISTINCT s) AS masks FROM u GROUP BY len(s)"""
+
+
+def text_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (size, blocks): paragraphs in consecutive blocks of 64 characters, the last of each being what is left."""
+    blocks = relation(spark, d, "paras").select(F.explode(text.fixed_blocks(F.col("text"))).alias("b"))
+    return blocks.groupBy(F.length("b").cast("long").alias("size")).agg(F.count("*").alias("blocks"))
+
+
+_BLOCKS = """WITH b AS (SELECT length(text) AS n, unnest(range(0, length(text), 64)) AS at_ FROM {paras} WHERE length(text) > 0) SELECT least(64, n - at_)::BIGINT AS size, count(*) AS blocks FROM b GROUP BY least(64, n - at_)"""
+
+
+def similar_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (tenths, pairs): how alike each line is to the one before it on its page, letter by letter, in tenths."""
+    page = Window.partitionBy("volume_id", "folio").orderBy("source_order", "locus_id")
+    lines = relation(spark, d, "recs").where("nw > 0 and folio is not null and volume_id is not null").select("volume_id", "folio", "source_order", "locus_id", F.array_join("words", "").alias("s"))
+    near = lines.withColumn("before", F.lag("s").over(page)).where("before is not null").select(text.edit_similarity(F.col("s"), F.col("before")).alias("x"))
+    return near.groupBy(F.floor(F.round(F.col("x") * 10, 6)).alias("tenths")).agg(F.count("*").alias("pairs"))
+
+
+_SIMILAR = """WITH l AS (SELECT volume_id, folio, source_order, locus_id, array_to_string(words, '') AS s FROM {recs} WHERE nw > 0 AND folio IS NOT NULL AND volume_id IS NOT NULL),
+p AS (SELECT s, lag(s) OVER (PARTITION BY volume_id, folio ORDER BY source_order, locus_id) AS b FROM l)
+SELECT floor(round((1 - levenshtein(s, b) / greatest(length(s), length(b))::DOUBLE) * 10, 6))::BIGINT AS tenths, count(*) AS pairs FROM p WHERE b IS NOT NULL GROUP BY 1"""
+
+
 # conflicts of cipher types
 
 
@@ -524,7 +557,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         agreement_agg, perm_word_order, rank_fraction, holm, null_tail, null_same_length, null_matched, null_same_tail_draws, boundary_null_ranks, line_order_perm, cyclic_rotation, likelihood_ratio_cells,
-        strict_spans, project_source, local_repeat_tracks, alternation, compat_graph, adapt_paragraphs, normalize_word, normalize_plaintext, respace, conflict_self_join, capacity_join,
+        strict_spans, project_source, local_repeat_tracks, alternation, compat_graph, adapt_paragraphs, normalize_word, normalize_plaintext, respace, unit_masks, text_blocks, similar_lines, conflict_self_join, capacity_join,
     )
 }
 SQL = {
@@ -539,6 +572,9 @@ SQL = {
     "null_matched": oracle(_MATCHED),
     "null_same_tail_draws": oracle(_TAILS),
     "adapt_paragraphs": oracle(_ADAPTED),
+    "unit_masks": oracle(_MASKS),
+    "text_blocks": oracle(_BLOCKS),
+    "similar_lines": oracle(_SIMILAR),
     "capacity_join": oracle(joins.CAPACITY_JOIN),
     "normalize_word": _FORMS,
     "normalize_plaintext": oracle(_PLAIN),
