@@ -19,8 +19,8 @@ def term_of(token: Column) -> Column:
 
 
 def postings(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """Rows (term, id, delivery), one for each occurrence of a term (letters a-z only, trimmed and lower-cased) in the
-    first delivery of its id.
+    """Rows (term, id), one for each occurrence of a term (letters a-z only, trimmed and lower-cased) in the first delivery of
+    its id.
 
     Null tokens, null lists and rows without an id give none. Each task first reduces an id to its first delivery, so an
     id with many deliveries leaves a row for each task.
@@ -29,19 +29,16 @@ def postings(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     return (
         rows.where(F.col("id").isNotNull())
         .groupBy("id")
-        .agg(F.min_by("tokens", "delivery").alias("tokens"), F.min("delivery").alias("delivery"))
-        .select(F.explode("tokens").alias("token"), "id", "delivery")
-        .select(term_of(F.col("token")).alias("term"), "id", "delivery")
+        .agg(F.min_by("tokens", "delivery").alias("tokens"))
+        .select(F.explode("tokens").alias("token"), "id")
+        .select(term_of(F.col("token")).alias("term"), "id")
         .where(F.col("term").rlike("^[a-z]+$"))
     )
 
 
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run-length scan of batches sorted by (term, id, delivery): rows (term, occurrences, records).
-
-    Within a run of one (term, id) only the first delivery's occurrences count. A run may cross batches.
-    """
-    term = last_id = first = None  # of the open run
+    """Run-length scan of batches sorted by (term, id): rows (term, occurrences, records). A run may cross batches."""
+    term = last_id = None  # of the open run
     occ = records = 0
 
     def out(terms, o, r) -> pa.RecordBatch:
@@ -51,30 +48,23 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = b.num_rows
         if not n:
             continue
-        t, ids, dv = b.column(0), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+        t, ids = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
         new_term = np.ones(n, bool)
         new_term[1:] = pc.not_equal(t.slice(1), t.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         new_rec = new_term.copy()
         new_rec[1:] |= ids[1:] != ids[:-1]
-        starts = np.flatnonzero(new_rec)
-        firsts = dv[starts]
-        goes_on = term is not None and t[0].as_py() == term
-        same_rec = goes_on and ids[0] == last_id
-        if same_rec:
-            firsts[0] = first
-        counted = dv == np.repeat(firsts, np.diff(np.append(starts, n)))
         at = np.flatnonzero(new_term)
-        o = np.add.reduceat(counted.astype(np.int64), at)
+        o = np.diff(np.append(at, n))
         r = np.add.reduceat(new_rec.astype(np.int64), at)
-        if goes_on:
+        if term is not None and t[0].as_py() == term:
             o[0] += occ
-            r[0] += records - same_rec
+            r[0] += records - (ids[0] == last_id)
         elif term is not None:
             yield out([term], [occ], [records])
         names = t.take(pa.array(at))
         if len(at) > 1:
             yield out(names[:-1], o[:-1], r[:-1])
-        term, occ, records, last_id, first = names[-1].as_py(), int(o[-1]), int(r[-1]), ids[-1], firsts[-1]
+        term, occ, records, last_id = names[-1].as_py(), int(o[-1]), int(r[-1]), ids[-1]
     if term is not None:
         yield out([term], [occ], [records])
 
@@ -95,7 +85,7 @@ def term_frequencies(df: DataFrame, id_col: str = "locus_id", tokens_col: str =
     runs = (
         postings(df, id_col, tokens_col)
         .repartitionByRange("term", "id")
-        .sortWithinPartitions("term", "id", "delivery")
+        .sortWithinPartitions("term", "id")
         .mapInArrow(scan_runs, "term string, occurrences long, records long")
     )
     total = runs.groupBy("term").agg(F.sum("occurrences").alias("n_occurrences"), F.sum("records").alias("n_records"))
