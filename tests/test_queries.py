@@ -222,6 +222,13 @@ def test_cell_ratio():
     assert resample.cell_log_ratio(last, first, chance, limit=1) is None
 
 
+def test_wide_cell_is_summed():
+    # a chance that is a product is the same for every arrangement, however many states there are
+    cell = [c for c in "abcdefgh" for _ in range(6)]
+    chance = lambda x, y: (1 + ord(x) % 5) / (2 + ord(y) % 3)
+    assert resample.cell_log_ratio(cell, cell[5:] + cell[:5], chance) == pytest.approx(0, abs=1e-6)
+
+
 def test_memory_of_lines(spark, data):
     from lociflow.plans import composites
 
