@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -229,6 +230,18 @@ def test_wide_cell_is_summed():
     assert resample.cell_log_ratio(cell, cell[5:] + cell[:5], chance) == pytest.approx(0, abs=1e-6)
 
 
+def test_count_vector(spark, data):
+    d, rows = data
+    lines = {i: w for i, (w, _) in records(rows).items() if w}
+    got = {}
+    for r in catalog.QUERIES["count_vector"](spark, d).collect():
+        got.setdefault(r.locus_id, {})[r.u] = r.n
+    assert got.keys() == lines.keys()
+    for i, w in lines.items():
+        want = Counter(u for x in w for u in re.findall("cth|ckh|cph|cfh|ch|sh|.", x))
+        assert got[i] == {**want, " ": len(w) - 1, "|": 1}
+
+
 def test_memory_of_lines(spark, data):
     from lociflow.plans import composites
 
