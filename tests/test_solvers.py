@@ -258,3 +258,60 @@ def test_rows_of_a_lattice_are_left_out_at_once(monkeypatch):
     many = graphs.Lattice(7)
     many.add_all(rows)
     assert many.rows == one.rows and len(calls) < 100
+
+
+def _many(seed, n=90, words=300):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 6)))
+    return {word(): rng.randrange(1, 50) for _ in range(n)}, {word() for _ in range(words)}
+
+
+def test_classes_bound_as_masks_do(monkeypatch):
+    for seed in range(4):
+        types, words = _many(seed)
+        lex = solvers.Lexicon(types, words, 1)
+        by, key = solvers.ShapeBound(lex), {}
+        assert lex.bound({}) == lex.bits.bound({}) == solvers.ShapeMasks(lex).bound()
+        assert lex.pivot_bound({}) == lex.bits.pivot(lex.bits.full, {}) == solvers.ShapeMasks(lex).pivot()
+        for u in lex.order[:6]:
+            bounds, scores = by.children(key, u)
+            for v in lex.values(key):
+                child = {**key, u: v}
+                assert bounds[ord(v) - 97] == lex.bits.bound(child) == lex.bound(child) and scores[ord(v) - 97] == lex.score(child)
+            key[u] = lex.values(key)[seed % len(lex.values(key))]
+        wanted = [solvers.branch_and_bound(lex, 40)]
+        monkeypatch.setattr(solvers.ShapeBound, "possible", staticmethod(lambda lex: False))
+        assert [solvers.branch_and_bound(lex, 40)] == wanted
+        monkeypatch.undo()
+
+
+def test_a_large_vocabulary_writes_no_pairs(monkeypatch):
+    types, words = _many(9)
+    monkeypatch.setattr(solvers.Lexicon, "candidates_of", lambda self, t: pytest.fail("pairs of types and words"))
+    monkeypatch.setattr(solvers, "MASK_BYTES", 1)
+    for capacity in (1, 2):
+        lex = solvers.Lexicon(types, words, capacity)
+        lex.bound({})
+        solvers.anneal_key(lex, 50, 1)
+    lex = solvers.Lexicon(types, words, 1)
+    lex.pivot_bound({}), solvers.pair_bound(lex), solvers.branch_and_bound(lex, 20)
+
+
+def test_scores_by_digits():
+    types, words = _many(3)
+    types["abcdefghabcdefgh"] = 7
+    words.add("hgfedcbahgfedcba")
+    lex = solvers.Lexicon(types, words, 1)
+    key = dict(zip("abcdefgh", "abcdefgh"))
+    for new in (dict(zip("abcdefgh", "hgfedcba")), {**key, "a": "b", "b": "a"}, {**key, "c": "z"}, key):
+        assert lex.gain(key, new, tuple("abcdefgh")) == lex.score(new) - lex.score(key)
+
+
+def test_local_search_starts(monkeypatch):
+    types, words = _many(5)
+    lex, asked = solvers.Lexicon(types, words, 1), []
+    anneal = solvers.anneal_key
+    monkeypatch.setattr(solvers, "anneal_key", lambda lex, steps, seed, start=None: (asked.append((steps, start)), anneal(lex, 30, seed, start))[1])
+    assert solvers.local_start(lex, 0) == solvers.frequency_start(lex) and not asked
+    solvers.local_start(lex, 1)
+    assert [steps for steps, _ in asked] == [2000] * 8 and asked[0][1] == solvers.frequency_start(lex)
