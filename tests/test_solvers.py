@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from fractions import Fraction
 from itertools import permutations, product
 
 import numpy as np
@@ -315,3 +317,23 @@ def test_local_search_starts(monkeypatch):
     assert solvers.local_start(lex, 0) == solvers.frequency_start(lex) and not asked
     solvers.local_start(lex, 1)
     assert [steps for steps, _ in asked] == [2000] * 8 and asked[0][1] == solvers.frequency_start(lex)
+
+
+def test_ratio_in_lowest_terms_at_size():
+    import time
+
+    rng = random.Random(2)
+    pairs = [(h, s) for h in "abcdefghijklmnopqrstuvwxyz" for s in "abcdefghijklmnopqrstuvwxyz"]
+    train = {e: rng.randrange(100_000) for e in pairs}
+    a, b = ({e: rng.randrange(40) for e in pairs} for _ in range(2))
+    n, m = solvers.ratio_parts(train, 28, a, b)
+    want, totals = Fraction(1), Counter()
+    for (h, _), c in train.items():
+        totals[h] += c
+    for e in pairs:
+        want *= Fraction(10 * train[e] + 1, 10 * totals[e[0]] + 28) ** (a[e] - b[e])
+    assert Fraction(n, m) == want and (n, m) == (want.numerator, want.denominator)
+    large = [{e: rng.randrange(600) for e in pairs} for _ in range(4)]
+    began = time.time()
+    ranked = solvers.rank_keys(train, 28, {f"{k:02d}": e for k, e in enumerate(large)})
+    assert time.time() - began < 20 and [r[3] for r in ranked] == sorted((r[3] for r in ranked), reverse=True)
