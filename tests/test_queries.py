@@ -313,6 +313,39 @@ def test_streams(spark, data):
     assert sum(r.n for r in catalog.QUERIES["stream_windows"](spark, d).collect()) == sum(len(w) for w, _ in records(rows).values())
 
 
+@pytest.fixture(scope="module")
+def pages(spark, tmp_path_factory):
+    """Pages of language B, of very different numbers of lines, some lines without a place in the source."""
+    rng, rows = random.Random(11), []
+    for k in range(400):
+        folio = f"f{min(rng.randrange(1, 40), rng.randrange(1, 40))}{rng.choice('rv')}"
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(2, 9))]
+        rows.append((k * 7 + 1, None if k % 13 == 0 else (k * 37) % 400, rng.randrange(3), None, folio, f"{folio}.{k}", "+P0", "QX", None, "a.b", words, {"L": "B"}, 0, False, False, None))
+    d = str(tmp_path_factory.mktemp("pages"))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{d}/loci.parquet")
+    split, found = records(rows), {}
+    for r in sorted(rows, key=lambda r: (r[1] is None, r[1], r[0])):
+        if split[r[0]][1] == "test" and len(r[10]) >= 3:
+            found.setdefault((r[2], r[4]), []).append((r[0], r[10]))
+    return d, found
+
+
+def test_column_asof_without_joins(spark, pages):
+    d, found = pages
+    pairs = [(above, words) for page in found.values() for (_, above), (_, words) in zip(page, page[1:])]
+    parts = [resample.column_excess(above, words) for above, words in pairs]
+    df = catalog.QUERIES["column_asof"](spark, d)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Subquery" not in plan and plan.count("Exchange") <= 3  # the driver holds every stage of a plan
+    r = df.first()
+    assert (r.candidates, r.targets) == (sum(len(w) for _, w in pairs), sum(n for _, n in parts)) and r.targets > 100
+    assert r.excess == pytest.approx(sum(x for x, _ in parts) / r.targets, abs=1e-6)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW loci AS SELECT * FROM '{d}/loci.parquet/*.parquet'")
+    other = con.sql(catalog.SQL["column_asof"])
+    assert dict(zip(other.columns, other.fetchall()[0])) == r.asDict()
+
+
 def test_entry_without_llm(monkeypatch):
     import importlib.util
 
